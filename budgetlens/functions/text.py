@@ -44,7 +44,7 @@ MIN_DETAILED_CHARS = 200
 
 def py_strip(c: str | Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(col_(c), rf"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
+    return F.regexp_replace(col_(c), rf"\A{PY_WHITESPACE}+|{PY_WHITESPACE}+\z", "")
 
 
 def ascii_only(c: str | Column) -> Column:
@@ -75,54 +75,75 @@ def first_paragraph(c: str | Column) -> Column:
     return F.substring_index(col_(c), "\n\n", 1)
 
 
-def _summary_for(text: Column, pattern: str, mode: str) -> Column:
-    """Summary taken after ``pattern``, or NULL when this pattern does not
-    apply (absent, or no stop mark after it)."""
-    at = locate(pattern, text)                       # 1-based start of pattern
-    start = at + F.lit(len(pattern))                 # 1-based first char after it
-    if mode == "markdown":
-        rest = F.substring(text, start, F.length(text))
-        start = start + F.length(F.regexp_extract(rest, f"^{PY_WHITESPACE}*", 0))
-    stop = first_positive(*[locate(m, text, start) for m in STOP_MARKS])
-    piece = F.substring(text, start, stop - start)
-    return F.when((at > 0) & stop.isNotNull(), py_strip(piece))
+def _check_mode(mode: str) -> str:
+    if mode not in ("compat", "markdown"):
+        raise ValueError(f"mode must be 'compat' or 'markdown', not {mode!r}")
+    return mode
 
 
-def executive_summary(c: str | Column, mode: str = "compat") -> Column:
-    """Executive summary of a report text.
+def add_report_sections(df: DataFrame, text_col: str, mode: str = "compat",
+                        summary_col: str = "executive_summary",
+                        detailed_col: str = "detailed_report") -> DataFrame:
+    """Add the executive summary and the detailed report of a report text
+    (X1).
 
     ``compat`` follows the reference step by step: the first heading pattern
     that is present *and* followed by a stop mark decides the summary, even
-    when that summary is empty. ``markdown`` skips the blank lines right
-    after the heading before looking for the stop mark, which is what a
-    normal ``## Executive Summary`` section needs.
+    when that summary is empty; then the first paragraph if it is longer
+    than 50 characters; then a fixed placeholder when the summary is shorter
+    than 50. ``markdown`` skips the blank lines right after the heading
+    before looking for the stop mark, which a normal ``## Executive
+    Summary`` section needs. The detailed report is the text after the
+    first occurrence of the summary, stripped, or the whole text when the
+    summary does not occur or the rest is under 200 characters.
+
+    The steps are separate projections, so every intermediate value is
+    computed once per row (Catalyst does not inline a non-trivial value
+    that is used more than once).
     """
-    if mode not in ("compat", "markdown"):
-        raise ValueError(f"mode must be 'compat' or 'markdown', not {mode!r}")
-    text = col_(c)
-    by_heading = F.coalesce(*[_summary_for(text, p, mode) for p in SUMMARY_PATTERNS],
-                            F.lit(""))
-    para = first_paragraph(text)
-    chosen = F.when(by_heading != "", by_heading) \
-              .when(F.length(para) > MIN_SUMMARY_CHARS, py_strip(para)) \
+    _check_mode(mode)
+    text = F.col(text_col)
+    n = len(SUMMARY_PATTERNS)
+    # Step 1: where each heading pattern starts and where its summary starts.
+    starts = []
+    for i, p in enumerate(SUMMARY_PATTERNS):
+        starts += [locate(p, text).alias(f"_at{i}"),
+                   (locate(p, text) + F.lit(len(p))).alias(f"_st{i}")]
+    step = df.select("*", *starts)
+    if mode == "markdown":
+        skips = []
+        for i in range(n):
+            rest = F.substring(text, F.col(f"_st{i}"), F.length(text))
+            ws = F.length(F.regexp_extract(rest, rf"\A{PY_WHITESPACE}*", 0))
+            skips.append(F.when(F.col(f"_at{i}") > 0, F.col(f"_st{i}") + ws)
+                          .otherwise(F.col(f"_st{i}")).alias(f"_st{i}"))
+        step = step.select(*[c for c in step.columns if not c.startswith("_st")], *skips)
+    # Step 2: the first stop mark after each start.
+    stops = [F.when(F.col(f"_at{i}") > 0,
+                    first_positive(*[locate(m, text, F.col(f"_st{i}")) for m in STOP_MARKS]))
+              .alias(f"_sp{i}") for i in range(n)]
+    step = step.select("*", *stops)
+    # Step 3: the first applicable pattern decides; empty text if none does.
+    cands = [F.when((F.col(f"_at{i}") > 0) & F.col(f"_sp{i}").isNotNull(),
+                    py_strip(F.substring(text, F.col(f"_st{i}"), F.col(f"_sp{i}") - F.col(f"_st{i}"))))
+             for i in range(n)]
+    temp = [f"_at{i}" for i in range(n)] + [f"_st{i}" for i in range(n)] + [f"_sp{i}" for i in range(n)]
+    step = step.select("*", F.coalesce(*cands, F.lit("")).alias("_byh"),
+                       first_paragraph(text).alias("_para")).drop(*temp)
+    chosen = F.when(F.col("_byh") != "", F.col("_byh")) \
+              .when(F.length("_para") > MIN_SUMMARY_CHARS, py_strip(F.col("_para"))) \
               .otherwise(F.lit(""))
-    return F.when(F.length(chosen) < MIN_SUMMARY_CHARS, F.lit(PLACEHOLDER_SUMMARY)).otherwise(chosen)
-
-
-def detailed_report(c: str | Column, summary: Column) -> Column:
-    """Text after the first occurrence of the summary, stripped; the whole
-    text if the summary does not occur or the rest is short (X1)."""
-    text = col_(c)
-    at = locate(summary, text)
-    rest = py_strip(F.substring(text, at + F.length(summary), F.length(text)))
-    return F.when((at > 0) & (F.length(rest) >= MIN_DETAILED_CHARS), rest).otherwise(text)
-
-
-def report_sections(c: str | Column, mode: str = "compat") -> Column:
-    """``struct<executive_summary, detailed_report>``."""
-    summary = executive_summary(c, mode)
-    return F.struct(summary.alias("executive_summary"),
-                    detailed_report(c, summary).alias("detailed_report"))
+    step = step.select("*", chosen.alias("_chosen")).drop("_byh", "_para")
+    summary = F.when(F.length("_chosen") < MIN_SUMMARY_CHARS, F.lit(PLACEHOLDER_SUMMARY)) \
+               .otherwise(F.col("_chosen"))
+    step = step.select("*", summary.alias(summary_col)).drop("_chosen")
+    # Step 4: the detailed report.
+    step = step.select("*", locate(F.col(summary_col), text).alias("_sat"))
+    step = step.select("*", py_strip(F.substring(text, F.col("_sat") + F.length(summary_col),
+                                                 F.length(text))).alias("_rest"))
+    detailed = F.when((F.col("_sat") > 0) & (F.length("_rest") >= MIN_DETAILED_CHARS),
+                      F.col("_rest")).otherwise(text)
+    return step.select("*", detailed.alias(detailed_col)).drop("_sat", "_rest")
 
 
 def split_markdown_sections(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ def top_k(df: DataFrame, spec: list[tuple[str, str]], k: int) -> DataFrame:
 def with_rank(small: DataFrame, spec: list[tuple[str, str]], out: str = "rn") -> DataFrame:
     """1-based ordinal by ``spec`` (W1). Only for bounded inputs (a top-k, an
     aggregated series): the window has no partition key."""
-    return small.withColumn(out, F.row_number().over(Window.orderBy(*order_cols(spec))))
+    return small.withColumn(out, F.row_number().over(Window.orderBy(*order_cols(spec))).cast("long"))
 
 
 def top_k_ranked(df: DataFrame, spec: list[tuple[str, str]], k: int, out: str = "rn") -> DataFrame:
