@@ -14,12 +14,20 @@ from pyspark.sql import types as T
 
 from budgetlens.functions.safe import col_
 
-# Characters Python's ``str.strip()`` removes (``str.isspace``), written as a
-# regex class that Java and RE2 read the same way.
+# Fixed value: the characters Python's ``str.strip()`` removes (those for
+# which ``str.isspace`` is true), as a character set and as a regex class
+# that Java and RE2 read the same way.
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 PY_WHITESPACE = (
     r"[\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# Longer than any string: "the rest of the text" without counting its characters.
+REST = 2147483647
 
 # Headings the section extractor looks for, in order of
 # preference, and the marks that end the summary.
@@ -43,8 +51,10 @@ MIN_DETAILED_CHARS = 200
 
 
 def py_strip(c: str | Column) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(col_(c), rf"\A{PY_WHITESPACE}+|{PY_WHITESPACE}+\z", "")
+    """Python ``str.strip()``: remove leading and trailing whitespace.
+
+    A character-set trim: it only touches the ends of the string."""
+    return F.trim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def ascii_only(c: str | Column) -> Column:
@@ -99,37 +109,34 @@ def add_report_sections(df: DataFrame, text_col: str, mode: str = "compat",
 
     The steps are separate projections, so every intermediate value is
     computed once per row (Catalyst does not inline a non-trivial value
-    that is used more than once).
+    that is used more than once), and a pattern is only searched for while
+    no earlier pattern has decided.
     """
     _check_mode(mode)
     text = F.col(text_col)
-    n = len(SUMMARY_PATTERNS)
-    # Step 1: where each heading pattern starts and where its summary starts.
-    starts = []
-    for i, p in enumerate(SUMMARY_PATTERNS):
-        starts += [locate(p, text).alias(f"_at{i}"),
-                   (locate(p, text) + F.lit(len(p))).alias(f"_st{i}")]
-    step = df.select("*", *starts)
-    if mode == "markdown":
-        skips = []
-        for i in range(n):
-            rest = F.substring(text, F.col(f"_st{i}"), F.length(text))
-            ws = F.length(F.regexp_extract(rest, rf"\A{PY_WHITESPACE}*", 0))
-            skips.append(F.when(F.col(f"_at{i}") > 0, F.col(f"_st{i}") + ws)
-                          .otherwise(F.col(f"_st{i}")).alias(f"_st{i}"))
-        step = step.select(*[c for c in step.columns if not c.startswith("_st")], *skips)
-    # Step 2: the first stop mark after each start.
-    stops = [F.when(F.col(f"_at{i}") > 0,
-                    first_positive(*[locate(m, text, F.col(f"_st{i}")) for m in STOP_MARKS]))
-              .alias(f"_sp{i}") for i in range(n)]
-    step = step.select("*", *stops)
-    # Step 3: the first applicable pattern decides; empty text if none does.
-    cands = [F.when((F.col(f"_at{i}") > 0) & F.col(f"_sp{i}").isNotNull(),
-                    py_strip(F.substring(text, F.col(f"_st{i}"), F.col(f"_sp{i}") - F.col(f"_st{i}"))))
-             for i in range(n)]
-    temp = [f"_at{i}" for i in range(n)] + [f"_st{i}" for i in range(n)] + [f"_sp{i}" for i in range(n)]
-    step = step.select("*", F.coalesce(*cands, F.lit("")).alias("_byh"),
-                       first_paragraph(text).alias("_para")).drop(*temp)
+    win_type = "struct<st:int,sp:int>"
+    step = df.select("*", F.lit(None).cast(win_type).alias("_win"))
+    keep = step.columns
+    for p in SUMMARY_PATTERNS:
+        undecided = F.col("_win").isNull()
+        step = step.select(*keep, F.when(undecided, locate(p, text)).alias("_at"))
+        st = F.col("_at") + F.lit(len(p))
+        if mode == "markdown":
+            ws = F.regexp_extract(F.substring(text, st, F.lit(REST)), rf"\A{PY_WHITESPACE}*", 0)
+            st = st + F.length(ws)
+        step = step.select(*keep, "_at", F.when(F.col("_at") > 0, st).alias("_st"))
+        stop = first_positive(*[locate(m, text, F.col("_st")) for m in STOP_MARKS])
+        step = step.select(*keep, "_st", F.when(F.col("_st").isNotNull(), stop).alias("_sp"))
+        won = F.when(F.col("_sp").isNotNull(),
+                     F.struct(F.col("_st").alias("st"), F.col("_sp").alias("sp")))
+        step = step.select(*[c for c in keep if c != "_win"],
+                           F.coalesce(F.col("_win"), won).alias("_win"))
+    win_st, win_sp = F.col("_win.st"), F.col("_win.sp")
+    by_heading = F.when(F.col("_win").isNotNull(),
+                        py_strip(F.substring(text, win_st, win_sp - win_st))).otherwise(F.lit(""))
+    step = step.select(*[c for c in keep if c != "_win"], by_heading.alias("_byh"))
+    para = F.when(F.col("_byh") == "", first_paragraph(text))
+    step = step.select("*", para.alias("_para"))
     chosen = F.when(F.col("_byh") != "", F.col("_byh")) \
               .when(F.length("_para") > MIN_SUMMARY_CHARS, py_strip(F.col("_para"))) \
               .otherwise(F.lit(""))
@@ -137,12 +144,12 @@ def add_report_sections(df: DataFrame, text_col: str, mode: str = "compat",
     summary = F.when(F.length("_chosen") < MIN_SUMMARY_CHARS, F.lit(PLACEHOLDER_SUMMARY)) \
                .otherwise(F.col("_chosen"))
     step = step.select("*", summary.alias(summary_col)).drop("_chosen")
-    # Step 4: the detailed report.
+    # The detailed report.
     step = step.select("*", locate(F.col(summary_col), text).alias("_sat"))
-    step = step.select("*", py_strip(F.substring(text, F.col("_sat") + F.length(summary_col),
-                                                 F.length(text))).alias("_rest"))
-    detailed = F.when((F.col("_sat") > 0) & (F.length("_rest") >= MIN_DETAILED_CHARS),
-                      F.col("_rest")).otherwise(text)
+    rest = F.when(F.col("_sat") > 0,
+                  py_strip(F.substring(text, F.col("_sat") + F.length(summary_col), F.lit(REST))))
+    step = step.select("*", rest.alias("_rest"))
+    detailed = F.when(F.length("_rest") >= MIN_DETAILED_CHARS, F.col("_rest")).otherwise(text)
     return step.select("*", detailed.alias(detailed_col)).drop("_sat", "_rest")
 
 
@@ -158,7 +165,7 @@ def split_markdown_sections(df: DataFrame, text_col: str, keys: list[str]) -> Da
     title = F.when(F.col("ord") > 0, py_strip(F.substring_index(F.col("chunk"), "\n", 1)))
     nl = locate("\n", F.col("chunk"))
     body = F.when(F.col("ord") == 0, py_strip(F.col("chunk"))).otherwise(
-        F.when(nl > 0, py_strip(F.substring(F.col("chunk"), nl + 1, F.length(F.col("chunk")))))
+        F.when(nl > 0, py_strip(F.substring(F.col("chunk"), nl + 1, F.lit(REST))))
          .otherwise(F.lit("")))
     out = exploded.select(*keys, F.col("ord"), title.alias("title"), body.alias("body"))
     return out.filter((F.col("ord") > 0) | (F.col("body") != ""))
