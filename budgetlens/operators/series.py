@@ -16,6 +16,15 @@ def drop_last(df: DataFrame, order: str) -> DataFrame:
     return df.crossJoin(F.broadcast(last)).filter(F.col(order) < F.col("_last")).drop("_last")
 
 
+def drop_last_if_summary(df: DataFrame, key: str, order: str, marker: str = "Total") -> DataFrame:
+    """Drop the last row by position only when a summary row exists (the
+    reference's ``s[:-1] if 'Total' in keys else s``) (P5 + P6)."""
+    facts = df.agg(F.max(order).alias("_last"),
+                   F.coalesce(F.max((F.col(key) == F.lit(marker)).cast("int")), F.lit(0)).alias("_has"))
+    out = df.crossJoin(F.broadcast(facts))
+    return out.filter((F.col("_has") == 0) | (F.col(order) < F.col("_last"))).drop("_last", "_has")
+
+
 def contains_value(c: str, value) -> Column:
     """Aggregate: does the column hold ``value``?"""
     return F.coalesce(F.max((F.col(c) == F.lit(value)).cast("int")), F.lit(0)) == 1

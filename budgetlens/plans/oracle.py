@@ -280,7 +280,7 @@ SQL["kpi_egov"] = f"""
 WITH {SECTOR_FACT}, {DAYS},
 s1 AS (SELECT coalesce((SELECT cast(projects_count as varchar) FROM sf WHERE sector = {lit(EGOV_SECTOR)}
                         LIMIT 1), 'N/A') AS online_services),
-h AS (SELECT avg(cast(online_service_hits as double)) AS mean_hits FROM a WHERE day < (SELECT max(day) FROM a)),
+h AS (SELECT avg(cast(online_service_hits as double)) AS mean_hits FROM a),
 t AS (SELECT cast(coalesce(sum(training_sessions), 0) as bigint) AS training_sessions FROM a),
 i AS (SELECT coalesce((SELECT cast({ratio('finished_lines', 'lines')} as varchar) FROM pf
                         WHERE p_type = {lit(EGOV_SECTION)} AND p_name = {lit(EOFFICE_ITEM)}

@@ -30,7 +30,7 @@ from budgetlens.operators.aggregate import (argmax_key, attach_scalars, group_ut
 from budgetlens.operators.binning import COMPLETION_BINS, Bins, count_per_bin
 from budgetlens.operators.ranking import (close_polygon, every_nth, flag_top_k, radar_angle,
                                           top_k, top_k_ranked, with_rank)
-from budgetlens.operators.series import drop_last, lookup_first
+from budgetlens.operators.series import drop_last, drop_last_if_summary, lookup_first
 from budgetlens.operators.stats import box_summary, correlation_pairs, with_trend
 from budgetlens.operators.totals import apply_totals, summary_or_sum
 
@@ -216,14 +216,17 @@ def q14_kpi_projects(sectors: DataFrame, months: DataFrame, totals: str = "exclu
 
 
 def q15_kpi_egov(sectors: DataFrame, activity: DataFrame, items: DataFrame,
-                 service_sector: str, item_section: str, item_name: str) -> DataFrame:
+                 service_sector: str, item_section: str, item_name: str,
+                 period_key: str = "month", totals: str = "exclude") -> DataFrame:
     """Q15: one row: online services (projects of one sector, ``N/A`` if the
-    sector is absent), mean hits per period without the last period, one
-    item's achievement (``N/A`` if absent) and the sessions total."""
+    sector is absent), mean service hits per period (the last row dropped
+    when a summary row exists), one item's achievement (``N/A`` if absent)
+    and the sessions total (under the totals policy)."""
     services = sectors.agg(lookup_first("sector", "projects_count", service_sector).alias("online_services"))
-    hits = drop_last(activity, "ord").agg(F.avg(as_double("online_service_hits")).alias("mean_hits"))
-    sessions = activity.agg(F.coalesce(F.sum("training_sessions"), F.lit(0)).cast("long")
-                            .alias("training_sessions"))
+    hits = drop_last_if_summary(activity, period_key, "ord") \
+        .agg(F.avg(as_double("online_service_hits")).alias("mean_hits"))
+    sessions = apply_totals(activity, period_key, totals) \
+        .agg(F.coalesce(F.sum("training_sessions"), F.lit(0)).cast("long").alias("training_sessions"))
     section_items = items.filter(F.col("section") == F.lit(item_section))
     item = section_items.agg(lookup_first("item", "pct_achieved", item_name).alias("item_pct"))
     out = services.crossJoin(F.broadcast(hits)).crossJoin(F.broadcast(sessions)) \

@@ -136,7 +136,7 @@ def kpi_projects(spark, sf_dir):
 def kpi_egov(spark, sf_dir):
     t = _t(spark, sf_dir)
     q = rq.q15_kpi_egov(sectors(t), proxies.activity_series(t), items(t),
-                        EGOV_SECTOR, EGOV_SECTION, EOFFICE_ITEM)
+                        EGOV_SECTOR, EGOV_SECTION, EOFFICE_ITEM, period_key="day")
     return q.withColumn("mean_hits", r6("mean_hits"))
 
 
