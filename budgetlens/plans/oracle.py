@@ -296,6 +296,7 @@ SELECT row_number() OVER (ORDER BY implementation_percentage DESC NULLS LAST,
        district, budget_allocation, budget_utilization, implementation_percentage, population_covered,
        {money_text('budget_allocation', '')} AS allocated_text,
        {money_text('budget_utilization', '')} AS utilized_text,
+       {pct_text('implementation_percentage')} AS implementation_text,
        cast(population_covered as varchar) AS population_text
 FROM d ORDER BY implementation_percentage DESC NULLS LAST, budget_allocation DESC NULLS LAST, district
 LIMIT 5"""
@@ -406,3 +407,77 @@ SELECT event_id, path, TRY_CAST(json_extract_string(props, '$."' || path || '"')
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+# -------------------------------------------------------------- assembly
+
+from budgetlens.plans.report import PROMPT_TAIL, prompt_preamble, prompt_sections_text  # noqa: E402
+from budgetlens.plans.star_report import DEPARTMENT, KPI_JSON_FIELDS  # noqa: E402
+
+KPI_RECORD = f"""{KPI_SECTORS},
+o AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS completed_projects,
+             count(*) FILTER (WHERE o_orderstatus = 'O') AS new_projects,
+             count(*) AS total_received,
+             count(*) FILTER (WHERE o_orderstatus <> 'O') AS total_resolved FROM orders),
+kr AS (SELECT k.*, o.*,
+              {guarded('total_utilized', 'total_allocated')} AS overall_utilization_pct,
+              {guarded('total_resolved', 'total_received')} AS resolution_rate
+       FROM k, o)"""
+
+SQL["summary_context"] = f"""
+WITH {KPI_RECORD}
+SELECT concat_ws(chr(10),
+  'Key Metrics:',
+  '- Budget: Total allocation ' || {money_text('total_allocated')} || ', Utilization '
+    || {money_text('total_utilized')} || ' (' || {pct_text('overall_utilization_pct')} || ')',
+  '- Projects: Total ' || cast(total_projects as varchar) || ', Completed '
+    || cast(completed_projects as varchar) || ', Average implementation ' || {pct_text('avg_impl')},
+  '- Top performing sector: ' || top_sector,
+  '- Grievances: Received ' || cast(total_received as varchar) || ', Resolved '
+    || cast(total_resolved as varchar) || ' (' || {pct_text('resolution_rate')} || ' resolution rate)'
+) AS summary_context
+FROM kr"""
+
+
+def _kpi_json_sql() -> str:
+    exprs = {
+        "allocated_text": money_text("total_allocated"),
+        "utilized_text": money_text("total_utilized"),
+        "utilization_text": pct_text("overall_utilization_pct"),
+        "top_sector": "top_sector",
+        "total_projects_text": "cast(total_projects as varchar)",
+        "avg_implementation_text": pct_text("avg_impl"),
+        "resolution_rate_text": pct_text("resolution_rate"),
+        "avg_resolution_time": lit(AVG_RESOLUTION_TIME),
+    }
+    args = ", ".join(f"{lit(k)}, {exprs[k]}" for k in KPI_JSON_FIELDS)
+    return f"json_object({args})"
+
+
+def _report_prompt_sql() -> str:
+    cols = ["section", "allocated", "utilized", "utilization_pct"]
+    widths = ", ".join(f"cast(greatest({len(c)}, max(length({c}))) as integer) AS w{i}"
+                       for i, c in enumerate(cols))
+    head = " || '  ' || ".join(f"lpad({lit(c)}, w{i}, ' ')" for i, c in enumerate(cols))
+    line = " || '  ' || ".join(f"lpad({c}, w{i}, ' ')" for i, c in enumerate(cols))
+    util = guarded('coalesce(sum(util), 0)', 'coalesce(sum(alloc), 0)')
+    return f"""
+WITH {KPI_RECORD},
+q1 AS (SELECT p_type AS section,
+              printf('%.2f', round_even(cast(coalesce(sum(alloc), 0) as double), 2)) AS allocated,
+              printf('%.2f', round_even(cast(coalesce(sum(util), 0) as double), 2)) AS utilized,
+              printf('%.1f', round_even({util}, 1)) AS utilization_pct
+       FROM pf WHERE p_type IS NOT NULL GROUP BY p_type),
+w AS (SELECT {widths} FROM q1),
+tb AS (SELECT w0, w1, w2, w3, string_agg({line}, chr(10) ORDER BY section) AS body
+       FROM q1, w GROUP BY w0, w1, w2, w3),
+tt AS (SELECT {head} || chr(10) || body AS table_text FROM tb),
+js AS (SELECT {_kpi_json_sql()} AS json_text FROM kr),
+p AS (SELECT doc_id, concat_ws(chr(10),
+        {lit(prompt_preamble(DEPARTMENT))}, '', 'DATA SOURCES:', '', 'Structured Data:', table_text, '',
+        'Unstructured Data:', {strip('text')}, '', 'JSON Data:', json_text, '',
+        {lit(prompt_sections_text())}, '', {lit(PROMPT_TAIL)}) AS prompt
+      FROM documents, tt, js)
+SELECT doc_id, cast(length(prompt) as bigint) AS prompt_len, md5(prompt) AS prompt_md5 FROM p"""
+
+
+SQL["report_prompt"] = _report_prompt_sql()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from budgetlens.plans import star, text_queries
+from budgetlens.plans import star, star_report, text_queries
 
 QUERIES = {}
 QUERIES.update(star.QUERIES)
 QUERIES.update(text_queries.QUERIES)
+QUERIES.update(star_report.QUERIES)

@@ -247,6 +247,7 @@ def q16_top_districts(districts: DataFrame, k: int = 5) -> DataFrame:
         "population_covered",
         currency("budget_allocation", unit="").alias("allocated_text"),
         currency("budget_utilization", unit="").alias("utilized_text"),
+        pct_text("implementation_percentage").alias("implementation_text"),
         int_text("population_covered").alias("population_text"))
 
 
