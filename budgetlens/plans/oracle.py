@@ -481,3 +481,18 @@ SELECT doc_id, cast(length(prompt) as bigint) AS prompt_len, md5(prompt) AS prom
 
 
 SQL["report_prompt"] = _report_prompt_sql()
+
+# ------------------------------------------------------------- streaming
+
+SQL["activity_windows_stream"] = """
+WITH e AS (SELECT date_trunc('day', ts) AS ws, event_type, value FROM events),
+m AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       event_type, count(*) AS n, cast(sum(cast(value as decimal(18,2))) as double) AS value_sum
+FROM e, m WHERE ws + INTERVAL 1 DAY <= wm
+GROUP BY ws, event_type"""
+
+SQL["events_bronze"] = """
+SELECT event_type, count(*) AS n, cast(sum(cast(value as decimal(18,2))) as double) AS value_sum
+FROM events GROUP BY event_type"""

@@ -8,3 +8,7 @@ QUERIES = {}
 QUERIES.update(star.QUERIES)
 QUERIES.update(text_queries.QUERIES)
 QUERIES.update(star_report.QUERIES)
+
+from budgetlens.plans import star_io  # noqa: E402
+
+QUERIES.update(star_io.QUERIES)
