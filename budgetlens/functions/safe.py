@@ -67,3 +67,23 @@ def exact_total(c: str | Column, scale: int = 4) -> Column:
     ``scale`` decimals (money and its products): summed as DECIMAL, so the
     result does not depend on how rows are spread over tasks."""
     return F.sum(col_(c).cast(f"decimal(38,{scale})")).cast("double")
+
+
+def cents(c: str | Column, scale: int = 2) -> Column:
+    """A DOUBLE with at most ``scale`` decimals as an exact integer count of
+    ``10**-scale`` units (``rint`` snaps the binary representation back to
+    the integer it stands for)."""
+    return F.rint(col_(c) * F.lit(float(10 ** scale))).cast("long")
+
+
+def units_sum(c: Column) -> Column:
+    """Exact sum of integer units. Summed as DECIMAL(18,0): additions stay
+    on Spark's long-backed fast path and widen (instead of overflowing) when
+    a group's total passes 18 digits."""
+    return F.sum(c.cast("decimal(18,0)"))
+
+
+def units_to_double(c: str | Column, scale: int) -> Column:
+    """Integer units -> DOUBLE value: exact integer divided by ``10**scale``,
+    i.e. the correctly rounded double of the decimal value."""
+    return col_(c).cast("double") / F.lit(float(10 ** scale))

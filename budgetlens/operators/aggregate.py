@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from budgetlens.functions.safe import as_double, exact_total, guarded_pct, money_sum, row_pct
+from budgetlens.functions.safe import (as_double, exact_total, guarded_pct, money_sum, row_pct,
+                                       units_to_double)
 
 AGG_FUNCS = {
     "sum": F.sum,
@@ -37,29 +38,29 @@ def agg_map(spec: dict[str, str]) -> list[Column]:
 
 
 def group_utilization(df: DataFrame, key: str, allocated: str, utilized: str,
-                      out_key: str = None) -> DataFrame:
+                      out_key: str = None, scales: tuple[int, int] | None = None) -> DataFrame:
     """Per-group allocated / utilized sums and utilization % (A1, A2).
 
     Null keys are dropped (pandas ``groupby`` does the same); money is
-    summed exactly as DECIMAL and returned as DOUBLE.
+    summed exactly and returned as DOUBLE. With ``scales`` the two columns
+    hold exact integer units of ``10**-scale`` (pre-aggregated facts);
+    otherwise they are money values with at most two decimals.
     """
     out_key = out_key or key
 
-    def exact_sum(c: str) -> Column:
-        # Already-exact DECIMAL inputs (pre-aggregated sums) keep their scale.
+    def exact(c: str, scale: int | None) -> Column:
+        if scale is not None:
+            return units_to_double(F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0).cast("decimal(18,0)")), scale)
         if isinstance(df.schema[c].dataType, DecimalType):
-            return F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0).cast(df.schema[c].dataType))
-        return money_sum(F.col(f"`{c}`"))
+            return as_double(F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0).cast(df.schema[c].dataType)))
+        return as_double(money_sum(F.col(f"`{c}`")))
 
+    sa, su = scales if scales else (None, None)
     g = (df.filter(F.col(f"`{key}`").isNotNull())
            .groupBy(F.col(f"`{key}`").alias(out_key))
-           .agg(exact_sum(allocated).alias("_a"), exact_sum(utilized).alias("_u")))
-    return g.select(
-        out_key,
-        as_double("_a").alias("allocated"),
-        as_double("_u").alias("utilized"),
-        guarded_pct(as_double("_u"), as_double("_a")).alias("utilization_pct"),
-    )
+           .agg(exact(allocated, sa).alias("allocated"), exact(utilized, su).alias("utilized")))
+    return g.select(out_key, "allocated", "utilized",
+                    guarded_pct("utilized", "allocated").alias("utilization_pct"))
 
 
 def argmax_key(key: str, measure: str, tie: str = "ord") -> Column:

@@ -27,24 +27,23 @@ def ranked_within_group(df: DataFrame, group: str, value: str,
     rank is the number of group rows in earlier partitions plus the row's
     position inside its partition. ``monotonically_increasing_id`` gives that
     position (its lower 33 bits count rows within the partition, in sorted
-    order, as it is evaluated right after the sort). The sorted two-column
-    slice is checkpointed to the shared checkpoint folder, so both of its
-    readers see the same partitions, and a lost executor does not force a
-    re-sort.
+    order, as it is evaluated right after the sort). The sorted slice (group,
+    value, partition, position) is written once to the shared checkpoint
+    folder, so both of its readers see the same positions and a lost
+    executor does not force a re-sort.
 
     The per-(partition, group) table has at most partitions + groups rows;
     with ``few_groups`` (groups are bins given by the caller) it is broadcast.
     """
-    from budgetlens.session import checkpoint_root
+    from budgetlens.session import materialize
 
-    checkpoint_root(df.sparkSession)
     d = (df.select(F.col(group).alias("g"), as_double(value).alias("v"))
            .filter(F.col("g").isNotNull() & F.col("v").isNotNull()))
     s = (d.repartitionByRange("g", "v").sortWithinPartitions("g", "v")
           .withColumn("pid", F.spark_partition_id())
           .withColumn("row_in_part", F.monotonically_increasing_id()
                       - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    s = s.checkpoint(eager=True)
+    s = materialize(s, "quantile-ranks")
     slices = s.groupBy("pid", "g").agg(F.min("row_in_part").alias("first_row"),
                                        F.count(F.lit(1)).alias("slice_n"))
     w = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

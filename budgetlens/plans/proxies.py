@@ -35,23 +35,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.functions.safe import MONEY, as_double, money, row_pct
+from budgetlens.functions.safe import cents, row_pct, units_sum, units_to_double
 from budgetlens.operators.totals import TOTAL, with_rollup_total
 from budgetlens.sources.tables import Tables
 
-UTIL_TYPE = "decimal(38,4)"
+# Money is carried as exact integer units: ``alloc`` in cents (scale 2),
+# ``util`` = extendedprice * (1 - discount) in 1e-4 units (scale 4).
+ALLOC_SCALE = 2
+UTIL_SCALE = 4
 
 
-def line_utilization():
-    """extendedprice * (1 - discount), exact in DECIMAL."""
-    return money("l_extendedprice") * (F.lit(1) - money("l_discount"))
+def zero():
+    return F.lit(0).cast("decimal(18,0)")
+
+
+def line_utilization_units():
+    """extendedprice * (1 - discount) in 1e-4 units: cents x (100 - discount
+    in hundredths), an exact integer product."""
+    return cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
 
 
 def lines_by_order(t: Tables) -> DataFrame:
     li = t.lineitem
     return li.groupBy("l_orderkey").agg(
-        F.sum(money("l_extendedprice")).alias("alloc"),
-        F.sum(line_utilization()).alias("util"),
+        units_sum(cents("l_extendedprice")).alias("alloc"),
+        units_sum(line_utilization_units()).alias("util"),
         F.count_if(F.col("l_returnflag") == "R").alias("returned_lines"),
     )
 
@@ -59,11 +67,11 @@ def lines_by_order(t: Tables) -> DataFrame:
 def lines_by_part(t: Tables) -> DataFrame:
     li = t.lineitem
     return li.groupBy("l_partkey").agg(
-        F.sum(money("l_extendedprice")).alias("alloc"),
-        F.sum(line_utilization()).alias("util"),
+        units_sum(cents("l_extendedprice")).alias("alloc"),
+        units_sum(line_utilization_units()).alias("util"),
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("l_linestatus") == "F").alias("finished_lines"),
-        F.sum(money("l_quantity")).alias("quantity"),
+        units_sum(cents("l_quantity")).alias("quantity"),
     )
 
 
@@ -86,8 +94,8 @@ def district_fact(t: Tables) -> DataFrame:
     per_nation = (t.customer.select("c_custkey", "c_nationkey")
                   .join(per_cust, F.col("c_custkey") == F.col("o_custkey"), "left")
                   .groupBy("c_nationkey").agg(
-                      F.coalesce(F.sum("alloc"), F.lit(0).cast(MONEY)).alias("alloc"),
-                      F.coalesce(F.sum("util"), F.lit(0).cast(UTIL_TYPE)).alias("util"),
+                      F.coalesce(F.sum("alloc"), zero()).alias("alloc"),
+                      F.coalesce(F.sum("util"), zero()).alias("util"),
                       F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
                       F.coalesce(F.sum("finished"), F.lit(0)).alias("finished"),
                       F.count(F.lit(1)).alias("customers"),
@@ -96,8 +104,8 @@ def district_fact(t: Tables) -> DataFrame:
     out = per_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return out.select(
         F.col("n_name").alias("district"),
-        as_double("alloc").alias("budget_allocation"),
-        as_double("util").alias("budget_utilization"),
+        units_to_double("alloc", ALLOC_SCALE).alias("budget_allocation"),
+        units_to_double("util", UTIL_SCALE).alias("budget_utilization"),
         F.col("orders").cast("long").alias("projects_count"),
         row_pct("finished", "orders").alias("implementation_percentage"),
         F.col("customers").cast("long").alias("population_covered"),
@@ -114,18 +122,18 @@ def part_fact(t: Tables) -> DataFrame:
 def group_fact(parts: DataFrame, key: str, out_key: str) -> DataFrame:
     """Sector-like rows: sums of the parts of each ``key`` value."""
     g = parts.groupBy(key).agg(
-        F.coalesce(F.sum("alloc"), F.lit(0).cast(MONEY)).alias("alloc"),
-        F.coalesce(F.sum("util"), F.lit(0).cast(UTIL_TYPE)).alias("util"),
+        F.coalesce(F.sum("alloc"), zero()).alias("alloc"),
+        F.coalesce(F.sum("util"), zero()).alias("util"),
         F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"),
         F.coalesce(F.sum("finished_lines"), F.lit(0)).alias("finished_lines"),
-        F.coalesce(F.sum("quantity"), F.lit(0).cast(MONEY)).alias("quantity"),
+        F.coalesce(F.sum("quantity"), zero()).alias("quantity"),
     )
     return g.select(
         F.col(key).alias(out_key),
-        as_double("alloc").alias("budget_allocation"),
-        as_double("util").alias("budget_utilization"),
+        units_to_double("alloc", ALLOC_SCALE).alias("budget_allocation"),
+        units_to_double("util", UTIL_SCALE).alias("budget_utilization"),
         F.col("lines").cast("long").alias("projects_count"),
-        F.col("quantity").cast("long").alias("beneficiaries"),
+        (F.col("quantity") / 100).cast("long").alias("beneficiaries"),
         row_pct("finished_lines", "lines").alias("implementation_percentage"),
     )
 
@@ -141,9 +149,9 @@ def month_series(t: Tables, with_total: bool = True) -> DataFrame:
     o = t.orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"),
                         "o_totalprice", "o_orderstatus")
     aggs = [
-        F.sum(money("o_totalprice")).alias("alloc"),
-        F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "F", money("o_totalprice"))),
-                   F.lit(0).cast(MONEY)).alias("util"),
+        units_sum(cents("o_totalprice")).alias("alloc"),
+        F.coalesce(units_sum(F.when(F.col("o_orderstatus") == "F", cents("o_totalprice"))),
+                   zero()).alias("util"),
         F.count(F.lit(1)).alias("grievances_received"),
         F.count_if(F.col("o_orderstatus") != "O").alias("grievances_resolved"),
         F.count_if(F.col("o_orderstatus") == "F").alias("projects_completed"),
@@ -152,8 +160,8 @@ def month_series(t: Tables, with_total: bool = True) -> DataFrame:
     g = with_rollup_total(o, "month", aggs) if with_total else o.groupBy("month").agg(*aggs)
     return g.select(
         "month",
-        as_double("alloc").alias("budget_allocation"),
-        as_double("util").alias("budget_utilization"),
+        units_to_double("alloc", ALLOC_SCALE).alias("budget_allocation"),
+        units_to_double("util", ALLOC_SCALE).alias("budget_utilization"),
         *[F.col(c).cast("long").alias(c) for c in
           ("grievances_received", "grievances_resolved", "projects_completed", "new_projects_started")],
         # File order: months ascending, the Total row last.
@@ -175,8 +183,8 @@ def activity_series(t: Tables) -> DataFrame:
 
 def customer_values(t: Tables) -> DataFrame:
     """One row per customer: account balance and the money of its orders."""
-    per_cust = t.orders.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("spend"))
+    per_cust = t.orders.groupBy("o_custkey").agg(units_sum(cents("o_totalprice")).alias("spend"))
     c = t.customer.select("c_custkey", "c_acctbal")
     j = c.join(per_cust, F.col("c_custkey") == F.col("o_custkey"), "left")
     return j.select("c_custkey", "c_acctbal",
-                    as_double(F.coalesce("spend", F.lit(0).cast(MONEY))).alias("order_value"))
+                    units_to_double(F.coalesce("spend", zero()), ALLOC_SCALE).alias("order_value"))

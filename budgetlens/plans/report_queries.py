@@ -44,9 +44,10 @@ CORRELATION_MEASURES = ["budget_allocation", "budget_utilization", "projects_cou
 AVG_RESOLUTION_TIME = "5 days"
 
 
-def q1_budget_by_section(items: DataFrame) -> DataFrame:
-    """Q1: per section allocated, utilized and utilization %, key order."""
-    return group_utilization(items, "section", "allocated", "utilized").orderBy("section")
+def q1_budget_by_section(items: DataFrame, scales: tuple[int, int] | None = None) -> DataFrame:
+    """Q1: per section allocated, utilized and utilization %, key order.
+    ``scales``: the money columns are integer units (see group_utilization)."""
+    return group_utilization(items, "section", "allocated", "utilized", scales=scales).orderBy("section")
 
 
 def q2_completion_status(df: DataFrame, pct_col: str = "pct_achieved",

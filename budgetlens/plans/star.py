@@ -40,7 +40,11 @@ def _t(spark: SparkSession, sf_dir: str) -> Tables:
 
 def items(t: Tables) -> DataFrame:
     """Section items: parts, with the section being the part type."""
-    p = proxies.part_fact(t)
+    return items_from(proxies.part_fact(t))
+
+
+def items_from(p: DataFrame) -> DataFrame:
+    """Section items from a part-level fact (see ``proxies.part_fact``)."""
     return p.select(F.col("p_type").alias("section"), F.col("p_name").alias("item"),
                     F.try_divide(F.col("finished_lines").cast("double"),
                                  F.col("lines").cast("double")).alias("_f"),
@@ -50,17 +54,24 @@ def items(t: Tables) -> DataFrame:
 
 
 def sectors(t: Tables) -> DataFrame:
-    s = proxies.sector_fact(t)
-    # Sectors have no file order; the name decides ties.
-    return s.withColumn("ord", F.col("sector"))
+    return sectors_from(proxies.part_fact(t))
+
+
+def sectors_from(p: DataFrame) -> DataFrame:
+    """Sectors (part brands) from a part-level fact; sectors have no file
+    order, so the name decides ties."""
+    return proxies.group_fact(p, "p_brand", "sector").withColumn("ord", F.col("sector"))
 
 
 def districts(t: Tables) -> DataFrame:
     return proxies.district_fact(t).withColumn("ord", F.col("district"))
 
 
+ITEM_SCALES = (proxies.ALLOC_SCALE, proxies.UTIL_SCALE)
+
+
 def budget_by_section(spark, sf_dir):
-    return rq.q1_budget_by_section(items(_t(spark, sf_dir)))
+    return rq.q1_budget_by_section(items(_t(spark, sf_dir)), ITEM_SCALES)
 
 
 def completion_status(spark, sf_dir):

@@ -31,7 +31,7 @@ def summary_context(spark, sf_dir) -> DataFrame:
 
 
 def section_table_text(t: Tables) -> DataFrame:
-    q1 = rq.q1_budget_by_section(star.items(t))
+    q1 = rq.q1_budget_by_section(star.items(t), star.ITEM_SCALES)
     cells = q1.select("section",
                       F.format_string("%.2f", fixed("allocated", 2)).alias("allocated"),
                       F.format_string("%.2f", fixed("utilized", 2)).alias("utilized"),
@@ -53,13 +53,45 @@ def report_prompt(spark, sf_dir) -> DataFrame:
                     F.md5("prompt").alias("prompt_md5"))
 
 
+class ReportFacts:
+    """The report's entities, each computed once per report run.
+
+    Every fact is an aggregate (one row per sector, district, month, day,
+    part); it is checkpointed to the shared checkpoint folder so the many
+    blocks of one report read it instead of re-aggregating the fact tables,
+    and a lost executor does not force the aggregation again. The facts
+    are aggregates (bounded by the number of parts, districts, months...),
+    so they are small next to the fact tables they summarise.
+    """
+
+    def __init__(self, spark, sf_dir: str):
+        from budgetlens.session import materialize
+
+        t = Tables(spark, sf_dir)
+        parts = materialize(proxies.part_fact(t), "fact-parts")
+        self.items = star.items_from(parts)
+        self.sectors = star.sectors_from(parts)
+        self.districts = materialize(star.districts(t), "fact-districts")
+        self.months = materialize(proxies.month_series(t), "fact-months")
+        self.activity = materialize(proxies.activity_series(t), "fact-activity")
+
+    def parts(self) -> dict[str, DataFrame]:
+        return {
+            "kpi_budget": rq.q13_kpi_budget(self.sectors),
+            "kpi_projects": rq.q14_kpi_projects(self.sectors, self.months),
+            "kpi_egov": rq.q15_kpi_egov(self.sectors, self.activity, self.items, star.EGOV_SECTOR,
+                                        star.EGOV_SECTION, star.EOFFICE_ITEM, period_key="day"),
+            "top_districts": rq.q16_top_districts(self.districts),
+            "kpi_grievance": rq.q17_kpi_grievance(self.months),
+        }
+
+
 def report_blocks(spark, sf_dir) -> DataFrame:
-    """Q20: the ordered report blocks."""
-    t = Tables(spark, sf_dir)
-    parts = {name: star.QUERIES[name](spark, sf_dir)
-             for name in ("kpi_budget", "kpi_projects", "kpi_egov", "top_districts", "kpi_grievance")}
-    narrative = report.fallback_narrative(kpis(t))
-    return report.report_blocks(spark, parts, narrative)
+    """Q20: the ordered report blocks, assembled from facts built once."""
+    facts = ReportFacts(spark, sf_dir)
+    parts = facts.parts()
+    kpi = report.kpi_record(parts["kpi_budget"], parts["kpi_projects"], parts["kpi_grievance"])
+    return report.report_blocks(spark, parts, report.fallback_narrative(kpi))
 
 
 QUERIES = {

@@ -38,3 +38,11 @@ def test_scan_prunes_columns(spark):
     df = E.queries()["district_heatmap"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_discount:double>" in plan
+
+
+def test_entry_module_imports_without_spark():
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; assert len(E.queries()) >= len(E.oracle_sql()) > 0"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
