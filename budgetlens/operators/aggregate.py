@@ -78,11 +78,21 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalars))
 
 
-def normalise_to_max(df: DataFrame, measures: dict[str, str]) -> DataFrame:
+def normalise_to_max(df: DataFrame, measures: dict[str, str],
+                     group: list[str] | None = None, few_groups: bool = False) -> DataFrame:
     """``out = measure / max(measure) * 100`` for each ``{measure: out}``
-    (A11, W2)."""
-    maxes = df.agg(*[F.max(as_double(m)).alias(f"_max_{i}") for i, m in enumerate(measures)])
-    joined = attach_scalars(df, maxes)
+    (A11, W2), over the whole frame or per ``group``.
+
+    The maxima are an aggregate, not a window: a window partitioned by the
+    group would move each group, however large, into one task. Per-group
+    maxima are joined back on the group key (broadcast only when the caller
+    states the groups are few)."""
+    aggs = [F.max(as_double(m)).alias(f"_max_{i}") for i, m in enumerate(measures)]
+    if group:
+        maxes = df.groupBy(*group).agg(*aggs)
+        joined = df.join(F.broadcast(maxes) if few_groups else maxes, group)
+    else:
+        joined = attach_scalars(df, df.agg(*aggs))
     for i, (m, out) in enumerate(measures.items()):
         joined = joined.withColumn(out, row_pct(as_double(m), F.col(f"_max_{i}")))
     return joined.drop(*[f"_max_{i}" for i in range(len(measures))])

@@ -25,6 +25,21 @@ def drop_last_if_summary(df: DataFrame, key: str, order: str, marker: str = "Tot
     return out.filter((F.col("_has") == 0) | (F.col(order) < F.col("_last"))).drop("_last", "_has")
 
 
+def in_period(month: str, start: str | None = None, end: str | None = None,
+              fmt: str = "MMM-yyyy", keep_unparsed: bool = True) -> Column:
+    """Predicate: the month text (``Apr-2023``) falls in ``[start, end]``
+    (``yyyy-MM-dd`` dates, compared on the month's first day). Rows whose
+    key is not a month (a ``Total`` row) are kept when ``keep_unparsed``
+    (the totals policy decides about them)."""
+    d = F.try_to_date(F.col(month), fmt)
+    cond = F.lit(True)
+    if start:
+        cond = cond & (d >= F.trunc(F.to_date(F.lit(start)), "month"))
+    if end:
+        cond = cond & (d <= F.to_date(F.lit(end)))
+    return (d.isNull() & F.lit(keep_unparsed)) | (d.isNotNull() & cond)
+
+
 def contains_value(c: str, value) -> Column:
     """Aggregate: does the column hold ``value``?"""
     return F.coalesce(F.max((F.col(c) == F.lit(value)).cast("int")), F.lit(0)) == 1

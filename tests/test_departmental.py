@@ -151,3 +151,24 @@ def test_treemap_and_quick_stats(sources):
     assert [r.value for r in q] == ["53.4%", "61.0%", "Public Services"]
     assert q[0].subtext == "Rs. 972.68 Cr / Rs. 1822.86 Cr"
     assert q[2].subtext == "Implementation: 80.0%"
+
+
+def test_departmental_report(spark):
+    import os
+    from tests.conftest import REFERENCE_DATA
+    if not os.path.isdir(REFERENCE_DATA):
+        pytest.skip("departmental sample files not available")
+    from budgetlens.plans.departmental import departmental_report
+    out = departmental_report(spark, REFERENCE_DATA, include=("budget", "grievance"),
+                              period=("2023-04-01", "2023-09-30"))
+    sections = {b.section for b in out["blocks"].collect()}
+    assert "Budget Performance Analysis" in sections and "Project Status" not in sections
+    assert len(out["monthly_budget_projects"].collect()) == 6
+    g = out["blocks"].filter("title = 'kpi_grievance'").collect()[0].body
+    assert "| 128 | 126 |" in g           # received / resolved of Apr-Sep
+    p = out["prompt"].collect()[0].prompt
+    assert "JSON data available" in p and "REQUIRED REPORT SECTIONS:" in p
+    assert "Budget Announcements" in p
+    s = out["sections"].collect()[0]
+    assert len(s.executive_summary) >= 50
+    assert len(out) == 17

@@ -130,3 +130,19 @@ def test_agg_map(spark):
     assert out.Budget == 4.0
     with pytest.raises(ValueError):
         aggregate.agg_map({"Budget": "median"})
+
+
+def test_normalise_to_max_grouped(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 2.0), ("b", 0.0)], "g string, v double")
+    got = sorted((r.g, r.v, r.pct) for r in aggregate.normalise_to_max(df, {"v": "pct"}, ["g"]).collect())
+    assert got == [("a", 1.0, 25.0), ("a", 4.0, 100.0), ("b", 0.0, 0.0), ("b", 2.0, 100.0)]
+    whole = sorted(r.pct for r in aggregate.normalise_to_max(df, {"v": "pct"}).collect())
+    assert whole == [0.0, 25.0, 50.0, 100.0]
+
+
+def test_in_period(spark):
+    df = spark.createDataFrame([("Mar-2023",), ("Apr-2023",), ("Total",)], "m string")
+    keep = [r.m for r in df.filter(series.in_period("m", "2023-04-01", None)).collect()]
+    assert keep == ["Apr-2023", "Total"]
+    strict = [r.m for r in df.filter(series.in_period("m", None, "2023-03-31", keep_unparsed=False)).collect()]
+    assert strict == ["Mar-2023"]
