@@ -67,6 +67,14 @@ def latin1_replace(c: str | Column) -> Column:
     return F.regexp_replace(col_(c), r"[^\x00-\xFF]", "?")
 
 
+def utf8_ignore(c: str | Column) -> Column:
+    """Drop byte sequences that are not valid UTF-8 (F9: ``encode('utf-8',
+    'ignore')``). Valid strings pass unchanged; invalid ones are repaired
+    and the replacement characters the repair inserts are removed."""
+    v = col_(c)
+    return F.when(F.is_valid_utf8(v), v).otherwise(F.regexp_replace(F.make_valid_utf8(v), "\uFFFD", ""))
+
+
 def locate(needle: str | Column, haystack: str | Column, pos: Column | int = 1) -> Column:
     """1-based position of ``needle`` in ``haystack`` at or after ``pos``;
     0 when absent (F10). Unlike ``F.locate`` the needle may be a column."""
@@ -76,8 +84,11 @@ def locate(needle: str | Column, haystack: str | Column, pos: Column | int = 1)
 
 
 def first_positive(*positions: Column) -> Column:
-    """Smallest position > 0, NULL if none."""
-    return F.array_min(F.filter(F.array(*positions), lambda x: x > 0))
+    """Smallest position > 0, NULL if none (F14). ``least`` skips NULLs, so
+    this stays inside whole-stage codegen (a lambda ``filter`` does not)."""
+    if len(positions) == 1:
+        return F.when(positions[0] > 0, positions[0])
+    return F.least(*[F.when(p > 0, p) for p in positions])
 
 
 def first_paragraph(c: str | Column) -> Column:

@@ -127,3 +127,14 @@ def test_json_facts_and_document(spark, sources):
     assert flat["DepartmentInfo.ContactInfo.Website"] == "www.arunachalpanchayat.gov.in"
     assert flat["BudgetAnnouncements.10%SORGrants.AllocatedFunds"] == "Rs. 163.98 Cr"
     assert flat["PublicGrievances.Received"] is not None
+
+
+def test_utf8_ignore_and_dates(spark):
+    from pyspark.sql import functions as F
+    from budgetlens.functions import fmt
+    df = spark.createDataFrame([(bytearray(b"ok\xff\xfeyes"), "2024-03-15 09:30:00")], "b binary, ts string")
+    row = df.select(X.utf8_ignore(F.col("b").cast("string")).alias("u"),
+                    fmt.report_id(F.to_timestamp("ts")).alias("rid"),
+                    fmt.period_text(F.to_date("ts")).alias("period"),
+                    fmt.previous_month(F.to_date("ts")).cast("string").alias("prev")).collect()[0]
+    assert (row.u, row.rid, row.period, row.prev) == ("okyes", "20240315_093000", "March 2024", "2024-02-01")
