@@ -31,15 +31,22 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def wall_clock_as_utc(c: str, tz: str):
+def _ntz_epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def wall_clock_as_utc(c: str):
     """A TIMESTAMP_NTZ wall clock as the instant with that wall clock in UTC
-    (watermarks need TIMESTAMP); independent of the session time zone."""
-    return F.to_utc_timestamp(F.col(c).cast("timestamp"), tz)
+    (watermarks need TIMESTAMP): microseconds since the NTZ epoch, read as
+    microseconds since the Unix epoch. No time zone is involved, so the
+    windows do not depend on the session time zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _ntz_epoch(), F.col(c)))
 
 
-def utc_wall_clock_text(c, tz: str):
+def utc_wall_clock_text(c):
     """Inverse of :func:`wall_clock_as_utc`, rendered as text."""
-    return F.date_format(F.from_utc_timestamp(c, tz), "yyyy-MM-dd HH:mm:ss")
+    ntz = F.timestamp_add("MICROSECOND", F.unix_micros(c), _ntz_epoch())
+    return F.date_format(ntz, "yyyy-MM-dd HH:mm:ss")
 
 
 def window_counts(events: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
@@ -50,21 +57,35 @@ def window_counts(events: DataFrame, window: str = "1 day", watermark: str = "1
                  F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"))
 
 
+def _start_with_state_partitions(spark: SparkSession, writer, n: int | None):
+    """Start a stateful query with ``n`` state partitions (fixed in the
+    checkpoint at the first start; default: the cluster's total cores),
+    leaving the session's own setting as it was."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def activity_windows(spark: SparkSession, source_dir: str, glob: str = "events.parquet",
-                     window: str = "1 day", watermark: str = "1 day") -> DataFrame:
+                     window: str = "1 day", watermark: str = "1 day",
+                     state_partitions: int | None = None) -> DataFrame:
     """Run R2 over the files present now (``availableNow``) into Parquet
     and return the closed windows as a DataFrame."""
     out, ckpt = scratch_path(spark, "activity-windows"), scratch_path(spark, "activity-windows-ckpt")
     stream = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
               .option("maxFilesPerTrigger", 1000).parquet(source_dir))
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    stream = stream.withColumn("ts", wall_clock_as_utc("ts", tz))
+    stream = stream.withColumn("ts", wall_clock_as_utc("ts"))
     agg = window_counts(stream, window, watermark).select(
-        utc_wall_clock_text(F.col("w.start"), tz).alias("window_start"),
-        utc_wall_clock_text(F.col("w.end"), tz).alias("window_end"),
+        utc_wall_clock_text(F.col("w.start")).alias("window_start"),
+        utc_wall_clock_text(F.col("w.end")).alias("window_end"),
         "event_type", "n", F.col("value_sum").cast("double").alias("value_sum"))
-    q = (agg.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    writer = (agg.writeStream.outputMode("append").format("parquet").option("path", out)
+              .option("checkpointLocation", ckpt).trigger(availableNow=True))
+    q = _start_with_state_partitions(spark, writer, state_partitions)
     q.awaitTermination()
     return spark.read.schema("window_start string, window_end string, event_type string, n long, "
                              "value_sum double").parquet(out)

@@ -109,3 +109,18 @@ def test_report_blocks_fixture(spark, sources):
     top = [b for b in blocks if b.title == "top_districts"][0].body.splitlines()
     assert top[2].startswith("| Papum Pare | Rs. 78.50 | Rs. 62.80 | 80.0% | 95000")
     assert os.path.isdir(REFERENCE_DATA)
+
+
+def test_stream_windows_independent_of_session_time_zone(spark):
+    if not os.path.isdir(SF_SMALL):
+        return
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "UTC")
+        utc = sorted(tuple(r) for r in activity.activity_windows(spark, SF_SMALL).collect())
+        spark.conf.set(key, "America/Los_Angeles")
+        la = sorted(tuple(r) for r in activity.activity_windows(spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set(key, old)
+    assert utc == la and utc[0][0].endswith("00:00:00")
