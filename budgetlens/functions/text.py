@@ -117,51 +117,91 @@ def add_report_sections(df: DataFrame, text_col: str, mode: str = "compat",
     Summary`` section needs. The detailed report is the text after the
     first occurrence of the summary, stripped, or the whole text when the
     summary does not occur or the rest is under 200 characters.
+    """
+    return add_report_sections_modes(df, text_col, {mode: (summary_col, detailed_col)})
+
+
+def add_report_sections_modes(df: DataFrame, text_col: str,
+                              modes: dict[str, tuple[str, str]]) -> DataFrame:
+    """X1 in several modes at once: ``{mode: (summary_col, detailed_col)}``.
 
     The steps are separate projections, so every intermediate value is
     computed once per row (Catalyst does not inline a non-trivial value
-    that is used more than once), and a pattern is only searched for while
-    no earlier pattern has decided.
+    that is used more than once). A heading pattern is searched for only
+    while some mode is still undecided, and the search, the first paragraph
+    and the detailed-report search are shared between modes.
     """
-    _check_mode(mode)
+    for m in modes:
+        _check_mode(m)
+    names = list(modes)
     text = F.col(text_col)
     win_type = "struct<st:int,sp:int>"
-    step = df.select("*", F.lit(None).cast(win_type).alias("_win"))
+    wins = [f"_win_{m}" for m in names]
+    step = df.select("*", *[F.lit(None).cast(win_type).alias(w) for w in wins])
     keep = step.columns
     for p in SUMMARY_PATTERNS:
-        undecided = F.col("_win").isNull()
+        undecided = F.lit(False)
+        for w in wins:
+            undecided = undecided | F.col(w).isNull()
         step = step.select(*keep, F.when(undecided, locate(p, text)).alias("_at"))
-        st = F.col("_at") + F.lit(len(p))
-        if mode == "markdown":
-            ws = F.regexp_extract(F.substring(text, st, F.lit(REST)), rf"\A{PY_WHITESPACE}*", 0)
-            st = st + F.length(ws)
-        step = step.select(*keep, "_at", F.when(F.col("_at") > 0, st).alias("_st"))
-        stop = first_positive(*[locate(m, text, F.col("_st")) for m in STOP_MARKS])
-        step = step.select(*keep, "_st", F.when(F.col("_st").isNotNull(), stop).alias("_sp"))
-        won = F.when(F.col("_sp").isNotNull(),
-                     F.struct(F.col("_st").alias("st"), F.col("_sp").alias("sp")))
-        step = step.select(*[c for c in keep if c != "_win"],
-                           F.coalesce(F.col("_win"), won).alias("_win"))
-    win_st, win_sp = F.col("_win.st"), F.col("_win.sp")
-    by_heading = F.when(F.col("_win").isNotNull(),
-                        py_strip(F.substring(text, win_st, win_sp - win_st))).otherwise(F.lit(""))
-    step = step.select(*[c for c in keep if c != "_win"], by_heading.alias("_byh"))
-    para = F.when(F.col("_byh") == "", first_paragraph(text))
-    step = step.select("*", para.alias("_para"))
-    chosen = F.when(F.col("_byh") != "", F.col("_byh")) \
-              .when(F.length("_para") > MIN_SUMMARY_CHARS, py_strip(F.col("_para"))) \
-              .otherwise(F.lit(""))
-    step = step.select("*", chosen.alias("_chosen")).drop("_byh", "_para")
-    summary = F.when(F.length("_chosen") < MIN_SUMMARY_CHARS, F.lit(PLACEHOLDER_SUMMARY)) \
-               .otherwise(F.col("_chosen"))
-    step = step.select("*", summary.alias(summary_col)).drop("_chosen")
-    # The detailed report.
-    step = step.select("*", locate(F.col(summary_col), text).alias("_sat"))
-    rest = F.when(F.col("_sat") > 0,
-                  py_strip(F.substring(text, F.col("_sat") + F.length(summary_col), F.lit(REST))))
-    step = step.select("*", rest.alias("_rest"))
-    detailed = F.when(F.length("_rest") >= MIN_DETAILED_CHARS, F.col("_rest")).otherwise(text)
-    return step.select("*", detailed.alias(detailed_col)).drop("_sat", "_rest")
+        starts = []
+        for m, w in zip(names, wins):
+            st = F.col("_at") + F.lit(len(p))
+            if m == "markdown":
+                ws = F.regexp_extract(F.substring(text, st, F.lit(REST)), rf"\A{PY_WHITESPACE}*", 0)
+                st = st + F.length(ws)
+            starts.append(F.when(F.col(w).isNull() & (F.col("_at") > 0), st).alias(f"_st_{m}"))
+        step = step.select(*keep, *starts)
+        stops = [F.when(F.col(f"_st_{m}").isNotNull(),
+                        first_positive(*[locate(mk, text, F.col(f"_st_{m}")) for mk in STOP_MARKS]))
+                  .alias(f"_sp_{m}") for m in names]
+        step = step.select(*keep, *[f"_st_{m}" for m in names], *stops)
+        wons = [F.coalesce(F.col(w), F.when(F.col(f"_sp_{m}").isNotNull(),
+                                             F.struct(F.col(f"_st_{m}").alias("st"),
+                                                      F.col(f"_sp_{m}").alias("sp")))).alias(w)
+                for m, w in zip(names, wins)]
+        step = step.select(*[c for c in keep if c not in wins], *wons)
+    base = [c for c in keep if c not in wins]
+    by_heading = [F.when(F.col(w).isNotNull(),
+                         py_strip(F.substring(text, F.col(f"{w}.st"), F.col(f"{w}.sp") - F.col(f"{w}.st"))))
+                   .otherwise(F.lit("")).alias(f"_byh_{m}") for m, w in zip(names, wins)]
+    step = step.select(*base, *by_heading)
+    need_para = F.lit(False)
+    for m in names:
+        need_para = need_para | (F.col(f"_byh_{m}") == "")
+    step = step.select("*", F.when(need_para, first_paragraph(text)).alias("_para"))
+    step = step.select("*", F.when(F.length("_para") > MIN_SUMMARY_CHARS, py_strip(F.col("_para")))
+                       .alias("_para_s"))
+    summaries = []
+    for m in names:
+        chosen = F.when(F.col(f"_byh_{m}") != "", F.col(f"_byh_{m}")) \
+                  .otherwise(F.coalesce(F.col("_para_s"), F.lit("")))
+        summaries.append(F.when(F.length(chosen) < MIN_SUMMARY_CHARS, F.lit(PLACEHOLDER_SUMMARY))
+                         .otherwise(chosen).alias(modes[m][0]))
+    step = step.select(*base, *summaries)
+    # The detailed report: the search is shared when the modes agree.
+    first = modes[names[0]][0]
+    outs = []
+    for i, m in enumerate(names):
+        s_col = modes[m][0]
+        at = locate(F.col(s_col), text)
+        if i > 0:
+            at = F.when(F.col(s_col) == F.col(first), F.col("_sat_0")).otherwise(at)
+        outs.append(at.alias(f"_sat_{i}"))
+        step = step.select("*", outs[-1])
+    rests = []
+    for i, m in enumerate(names):
+        s_col = modes[m][0]
+        rest = F.when(F.col(f"_sat_{i}") > 0,
+                      py_strip(F.substring(text, F.col(f"_sat_{i}") + F.length(s_col), F.lit(REST))))
+        if i > 0:
+            rest = F.when(F.col(s_col) == F.col(first), F.col("_rest_0")).otherwise(rest)
+        step = step.select("*", rest.alias(f"_rest_{i}"))
+        rests.append(f"_rest_{i}")
+    details = [F.when(F.length(f"_rest_{i}") >= MIN_DETAILED_CHARS, F.col(f"_rest_{i}")).otherwise(text)
+               .alias(modes[m][1]) for i, m in enumerate(names)]
+    temp = [f"_sat_{i}" for i in range(len(names))] + rests
+    return step.select("*", *details).drop(*temp)
 
 
 def split_markdown_sections(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:

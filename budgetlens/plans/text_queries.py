@@ -54,7 +54,10 @@ def text_functions(spark, sf_dir) -> DataFrame:
 
 
 def report_sections(spark, sf_dir) -> DataFrame:
-    """X1 in both modes over three report texts per document (Q21)."""
+    """X1 in both modes over three report texts per document (Q21).
+
+    The two modes run as two projection chains (a single chain computing
+    both produced generated code too large for the JIT and ran slower)."""
     d = Tables(spark, sf_dir).documents.select("doc_id", "text")
     texts = F.array(*[F.struct(F.lit(v).alias("variant"), variant_text(F.col("text"), v).alias("t"))
                       for v in VARIANTS])
