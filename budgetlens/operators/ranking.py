@@ -49,13 +49,16 @@ def flag_top_k(df: DataFrame, key: str, spec: list[tuple[str, str]], k: int,
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
-def close_polygon(ranked: DataFrame, rn: str = "rn") -> DataFrame:
+def close_polygon(ranked: DataFrame, rn: str = "rn", n: str | None = None) -> DataFrame:
     """Repeat the first point after the last one (W3); the repeated row gets
-    ordinal n + 1."""
-    n = ranked.agg(F.max(rn).alias("_n"))
-    first = ranked.filter(F.col(rn) == 1).crossJoin(F.broadcast(n)) \
-                  .withColumn(rn, F.col("_n") + 1).drop("_n")
-    return ranked.unionByName(first)
+    ordinal n + 1. ``n`` names a column holding the number of points; without
+    it the count comes from a window over the (bounded, top-k) input. The
+    input is read once: the first row is emitted twice by an explode."""
+    src = ranked if n else ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    n_col = F.col(n) if n else F.col("_n")
+    copies = F.when(F.col(rn) == 1, F.array(F.col(rn), n_col + 1)).otherwise(F.array(F.col(rn)))
+    out = src.select("*", F.explode(copies).alias("_rn")).drop(rn).withColumnRenamed("_rn", rn)
+    return out.select(*ranked.columns)
 
 
 def radar_angle(rn: str = "rn", n: str = "n_points") -> Column:

@@ -54,10 +54,12 @@ def ranked_within_group(df: DataFrame, group: str, value: str,
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str,
-                    probs: tuple[float, ...] = BOX_PROBS, few_groups: bool = True) -> DataFrame:
+                    probs: tuple[float, ...] = BOX_PROBS, few_groups: bool = True,
+                    ranked: DataFrame | None = None) -> DataFrame:
     """``(g, n, q_0, q_1, ...)``: linear-interpolation quantiles (numpy's
-    default, DuckDB's ``quantile_cont``) of ``value`` per ``group``."""
-    ranked = ranked_within_group(df, group, value, few_groups)
+    default, DuckDB's ``quantile_cont``) of ``value`` per ``group``.
+    ``ranked``: the output of :func:`ranked_within_group`, if already built."""
+    ranked = ranked if ranked is not None else ranked_within_group(df, group, value, few_groups)
     counts = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     # For each group and probability: h = (n-1)p, needs ranks floor(h), floor(h)+1.
     spark = df.sparkSession
@@ -95,18 +97,22 @@ def box_summary(df: DataFrame, group: str, value: str, exact: bool = True,
     Whiskers are the most extreme values inside ``[Q1 - 1.5 IQR, Q3 + 1.5
     IQR]`` (matplotlib's rule); outliers are the values outside. With
     ``few_groups`` (groups are caller-given bins) the per-group fences are
-    broadcast to the rows, so a hot group is never shuffled to one task.
+    broadcast to the rows, so a hot group is never shuffled to one task. In
+    exact mode the whiskers are computed from the same written (group,
+    value) slice the quantiles came from, so the input is evaluated once.
     """
     if exact:
-        qs = exact_quantiles(df, group, value, few_groups=few_groups)
+        ranked = ranked_within_group(df, group, value, few_groups)
+        qs = exact_quantiles(df, group, value, few_groups=few_groups, ranked=ranked)
+        d = ranked.select("g", "v")
     else:
         qs = approx_quantiles(df, group, value)
+        d = df.select(F.col(group).alias("g"), as_double(value).alias("v")).filter(F.col("v").isNotNull())
     qs = qs.select("g", "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
                    F.col("q_2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     fences = qs.select("g", (F.col("q1") - 1.5 * iqr).alias("lo_fence"),
                        (F.col("q3") + 1.5 * iqr).alias("hi_fence"))
-    d = df.select(F.col(group).alias("g"), as_double(value).alias("v")).filter(F.col("v").isNotNull())
     inside = (F.col("v") >= F.col("lo_fence")) & (F.col("v") <= F.col("hi_fence"))
     whiskers = (d.join(F.broadcast(fences) if few_groups else fences, "g")
                  .groupBy("g")

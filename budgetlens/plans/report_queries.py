@@ -20,16 +20,16 @@ caller decides the action.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetlens.functions.fmt import currency, int_text, num_text, pct_text, round1
 from budgetlens.functions.safe import as_double, exact_total, guarded_pct, row_pct
-from budgetlens.operators.aggregate import (argmax_key, attach_scalars, group_utilization,
-                                            normalise_to_max, share_of_total)
+from budgetlens.operators.aggregate import (argmax_key, group_utilization, normalise_to_max,
+                                            share_of_total)
 from budgetlens.operators.binning import COMPLETION_BINS, Bins, count_per_bin
 from budgetlens.operators.ranking import (close_polygon, every_nth, flag_top_k, radar_angle,
-                                          top_k, top_k_ranked, with_rank)
+                                          top_k_ranked, with_rank)
 from budgetlens.operators.series import drop_last, drop_last_if_summary, lookup_first
 from budgetlens.operators.stats import box_summary, correlation_pairs, with_trend
 from budgetlens.operators.totals import apply_totals, summary_or_sum
@@ -69,11 +69,12 @@ def q4_sector_radar(sectors: DataFrame, totals: str = "exclude", k: int = 8) ->
     sector, value, angle (the closing point repeats the first)."""
     s = apply_totals(sectors, "sector", totals)
     spec = [("implementation_percentage", "desc"), ("ord", "asc")]
-    top = top_k_ranked(s, spec, k, out="point")
-    n = top.agg(F.count(F.lit(1)).alias("n_points"))
-    pts = attach_scalars(top, n).withColumn("angle", radar_angle("point", "n_points"))
-    pts = pts.select("point", "sector", as_double("implementation_percentage").alias("value"), "angle")
-    return close_polygon(pts, "point")
+    # At most k rows from here on: the count is a window over the top-k.
+    top = top_k_ranked(s, spec, k, out="point") \
+        .withColumn("n_points", F.count(F.lit(1)).over(Window.partitionBy()))
+    pts = top.select("point", "sector", as_double("implementation_percentage").alias("value"),
+                     radar_angle("point", "n_points").alias("angle"), "n_points")
+    return close_polygon(pts, "point", "n_points").select("point", "sector", "value", "angle")
 
 
 def q5_monthly_budget_projects(months: DataFrame, totals: str = "exclude") -> DataFrame:

@@ -16,6 +16,7 @@ from budgetlens.functions.safe import as_double
 from budgetlens.operators.binning import Bins
 from budgetlens.plans import proxies
 from budgetlens.plans import report_queries as rq
+from budgetlens.session import materialize
 from budgetlens.sources.tables import Tables
 
 # Fixed values of the star-schema report: which part type plays the
@@ -119,7 +120,10 @@ def district_correlation(spark, sf_dir):
 
 
 def implementation_scatter(spark, sf_dir):
-    q = rq.q10_implementation_scatter(districts(_t(spark, sf_dir)))
+    # The fit, the points and the labels each read the district fact with
+    # different columns; written once, it is aggregated once.
+    d = materialize(districts(_t(spark, sf_dir)), "fact-districts")
+    q = rq.q10_implementation_scatter(d)
     return q.select("district", "x", "y", "bubble_size", "colour_value",
                     F.round("trend", 4).alias("trend"), F.round("residual", 4).alias("residual"),
                     "labelled")
@@ -130,7 +134,7 @@ def grievance_resolution(spark, sf_dir):
 
 
 def sector_treemap(spark, sf_dir):
-    q = rq.q12_sector_treemap(sectors(_t(spark, sf_dir)))
+    q = rq.q12_sector_treemap(materialize(sectors(_t(spark, sf_dir)), "fact-sectors"))
     return q.withColumn("share_pct", r6("share_pct"))
 
 
@@ -146,7 +150,8 @@ def kpi_projects(spark, sf_dir):
 
 def kpi_egov(spark, sf_dir):
     t = _t(spark, sf_dir)
-    q = rq.q15_kpi_egov(sectors(t), proxies.activity_series(t), items(t),
+    parts = materialize(proxies.part_fact(t), "fact-parts")
+    q = rq.q15_kpi_egov(sectors_from(parts), proxies.activity_series(t), items_from(parts),
                         EGOV_SECTOR, EGOV_SECTION, EOFFICE_ITEM, period_key="day")
     return q.withColumn("mean_hits", r6("mean_hits"))
 

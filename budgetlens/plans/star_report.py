@@ -18,9 +18,14 @@ KPI_JSON_FIELDS = ["allocated_text", "utilized_text", "utilization_text", "top_s
                    "avg_resolution_time"]
 
 
-def kpis(t: Tables) -> DataFrame:
-    sectors = star.sectors(t)
-    months = proxies.month_series(t)
+def kpis(t: Tables, parts: DataFrame | None = None) -> DataFrame:
+    """The KPI record. Its sector and month facts each feed several KPIs;
+    they are written once so the fact tables are aggregated once."""
+    from budgetlens.session import materialize
+
+    parts = parts if parts is not None else proxies.part_fact(t)
+    sectors = materialize(star.sectors_from(parts), "fact-sectors")
+    months = materialize(proxies.month_series(t), "fact-months")
     return report.kpi_record(rq.q13_kpi_budget(sectors), rq.q14_kpi_projects(sectors, months),
                              rq.q17_kpi_grievance(months))
 
@@ -30,8 +35,9 @@ def summary_context(spark, sf_dir) -> DataFrame:
     return report.summary_context(kpis(Tables(spark, sf_dir)))
 
 
-def section_table_text(t: Tables) -> DataFrame:
-    q1 = rq.q1_budget_by_section(star.items(t), star.ITEM_SCALES)
+def section_table_text(t: Tables, parts: DataFrame | None = None) -> DataFrame:
+    src = star.items_from(parts) if parts is not None else star.items(t)
+    q1 = rq.q1_budget_by_section(src, star.ITEM_SCALES)
     cells = q1.select("section",
                       F.format_string("%.2f", fixed("allocated", 2)).alias("allocated"),
                       F.format_string("%.2f", fixed("utilized", 2)).alias("utilized"),
@@ -39,16 +45,20 @@ def section_table_text(t: Tables) -> DataFrame:
     return report.table_text(cells, ["section", "allocated", "utilized", "utilization_pct"], ["section"])
 
 
-def kpi_json(t: Tables) -> DataFrame:
-    k = kpis(t)
+def kpi_json(t: Tables, parts: DataFrame | None = None) -> DataFrame:
+    k = kpis(t, parts)
     return k.select(F.to_json(F.struct(*[F.col(c) for c in KPI_JSON_FIELDS])).alias("json_text"))
 
 
 def report_prompt(spark, sf_dir) -> DataFrame:
     """Q22: one prompt per document (length and MD5 of the whole prompt)."""
+    from budgetlens.session import materialize
+
     t = Tables(spark, sf_dir)
+    parts = materialize(proxies.part_fact(t), "fact-parts")
     docs = t.documents.select("doc_id", "text")
-    p = report.report_prompt(docs, "text", section_table_text(t), kpi_json(t), DEPARTMENT, ["doc_id"])
+    p = report.report_prompt(docs, "text", section_table_text(t, parts), kpi_json(t, parts), DEPARTMENT,
+                             ["doc_id"])
     return p.select("doc_id", F.length("prompt").cast("long").alias("prompt_len"),
                     F.md5("prompt").alias("prompt_md5"))
 
