@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def drop_last(df: DataFrame, order: str) -> DataFrame:
+def drop_last(df: DataFrame, order: str, small: bool = False) -> DataFrame:
     """Drop the row with the largest ``order`` (``df[:-1]``) (P5).
 
-    The maximum is a one-row aggregate broadcast to all rows; no row is
-    moved to a single partition.
+    By default the maximum is a one-row aggregate broadcast to all rows, so
+    no row is moved to a single partition. ``small=True`` is for inputs that
+    are already aggregated series (one row per period): a window over them
+    reads the input once instead of twice.
     """
+    if small:
+        last = F.max(order).over(Window.partitionBy())
+        return df.withColumn("_last", last).filter(F.col(order) < F.col("_last")).drop("_last")
     last = df.agg(F.max(order).alias("_last"))
     return df.crossJoin(F.broadcast(last)).filter(F.col(order) < F.col("_last")).drop("_last")
 
 
-def drop_last_if_summary(df: DataFrame, key: str, order: str, marker: str = "Total") -> DataFrame:
+def drop_last_if_summary(df: DataFrame, key: str, order: str, marker: str = "Total",
+                         small: bool = False) -> DataFrame:
     """Drop the last row by position only when a summary row exists (the
-    reference's ``s[:-1] if 'Total' in keys else s``) (P5 + P6)."""
-    facts = df.agg(F.max(order).alias("_last"),
-                   F.coalesce(F.max((F.col(key) == F.lit(marker)).cast("int")), F.lit(0)).alias("_has"))
-    out = df.crossJoin(F.broadcast(facts))
+    reference's ``s[:-1] if 'Total' in keys else s``) (P5 + P6). ``small``
+    as in :func:`drop_last`."""
+    last = F.max(order)
+    is_summary = F.max((F.col(key) == F.lit(marker)).cast("int"))
+    if small:
+        w = Window.partitionBy()
+        out = df.withColumn("_last", last.over(w)) \
+                .withColumn("_has", F.coalesce(is_summary.over(w), F.lit(0)))
+    else:
+        facts = df.agg(last.alias("_last"), F.coalesce(is_summary, F.lit(0)).alias("_has"))
+        out = df.crossJoin(F.broadcast(facts))
     return out.filter((F.col("_has") == 0) | (F.col(order) < F.col("_last"))).drop("_last", "_has")
 
 

@@ -118,7 +118,8 @@ def q6_district_heatmap(districts: DataFrame, ratio_mode: str = "recompute") ->
 def q7_training_vs_online(activity: DataFrame, key: str) -> DataFrame:
     """Q7: per period training sessions and service hits, without the last
     period (the reference drops the last row by position)."""
-    return drop_last(activity, "ord").select(key, "training_sessions", "online_service_hits")
+    # One row per period: the window over the series is bounded by its length.
+    return drop_last(activity, "ord", small=True).select(key, "training_sessions", "online_service_hits")
 
 
 def q8_box_by_bin(df: DataFrame, x: str, value: str, bins: Bins, exact: bool = True) -> DataFrame:
@@ -225,7 +226,7 @@ def q15_kpi_egov(sectors: DataFrame, activity: DataFrame, items: DataFrame,
     when a summary row exists), one item's achievement (``N/A`` if absent)
     and the sessions total (under the totals policy)."""
     services = sectors.agg(lookup_first("sector", "projects_count", service_sector).alias("online_services"))
-    hits = drop_last_if_summary(activity, period_key, "ord") \
+    hits = drop_last_if_summary(activity, period_key, "ord", small=True) \
         .agg(F.avg(as_double("online_service_hits")).alias("mean_hits"))
     sessions = apply_totals(activity, period_key, totals) \
         .agg(F.coalesce(F.sum("training_sessions"), F.lit(0)).cast("long").alias("training_sessions"))

@@ -108,6 +108,9 @@ def test_series_helpers(spark):
     assert [r.k for r in series.drop_last(df, "ord").orderBy("ord").collect()] == ["m1", "m2"]
     assert series.drop_last_if_summary(df, "k", "ord").count() == 2
     assert series.drop_last_if_summary(df.filter("k <> 'Total'"), "k", "ord").count() == 2
+    assert series.drop_last_if_summary(df, "k", "ord", small=True).count() == 2
+    assert series.drop_last_if_summary(df.filter("k <> 'Total'"), "k", "ord", small=True).count() == 2
+    assert [r.k for r in series.drop_last(df, "ord", small=True).orderBy("ord").collect()] == ["m1", "m2"]
     got = df.agg(series.lookup_first("k", "v", "m2").alias("a"),
                  series.lookup_first("k", "v", "zz").alias("b")).collect()[0]
     assert (got.a, got.b) == ("2", "N/A")
