@@ -205,6 +205,17 @@ SELECT b.bin_ord, b.bin, cast(coalesce(q.n, 0) as bigint) AS n,
 FROM b LEFT JOIN q USING (bin_ord) LEFT JOIN w USING (bin_ord) ORDER BY b.bin_ord"""
 
 
+SQL["balance_outliers"] = f"""
+WITH pc AS (SELECT o_custkey, sum({dec('o_totalprice')}) AS spend FROM orders GROUP BY o_custkey),
+cv AS (SELECT c_acctbal, cast(coalesce(spend, 0) as double) AS v
+       FROM customer LEFT JOIN pc ON c_custkey = o_custkey),
+{bins_values(BALANCE_BINS)},
+x AS (SELECT bin_ord, v FROM cv JOIN b ON c_acctbal > lo AND c_acctbal <= hi),
+q AS (SELECT bin_ord, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY bin_ord)
+SELECT x.bin_ord, v AS order_value FROM x JOIN q USING (bin_ord)
+WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)"""
+
+
 def _corr_sql() -> str:
     cols = CORRELATION_MEASURES
     parts = []

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from budgetlens.functions.safe import as_double
 from budgetlens.operators.binning import Bins
+from budgetlens.operators.stats import box_outliers, box_summary
 from budgetlens.plans import proxies
 from budgetlens.plans import report_queries as rq
 from budgetlens.session import materialize
@@ -114,6 +115,16 @@ def balance_boxplot(spark, sf_dir):
                     "n_outliers")
 
 
+def balance_outliers(spark, sf_dir):
+    """The box plot's outlier points per balance band."""
+    values = materialize(proxies.customer_values(_t(spark, sf_dir)), "fact-customer-values")
+    binned = values.select(BALANCE_BINS.ordinal("c_acctbal").alias("bin_ord"), "order_value") \
+                   .filter(F.col("bin_ord").isNotNull())
+    summary = box_summary(binned, "bin_ord", "order_value")
+    out = box_outliers(binned, "bin_ord", "order_value", summary)
+    return out.select(F.col("g").alias("bin_ord"), F.col("v").alias("order_value"))
+
+
 def district_correlation(spark, sf_dir):
     q = rq.q9_district_correlation(districts(_t(spark, sf_dir)))
     return q.select("var_x", "var_y", r6("corr").alias("corr"))
@@ -181,6 +192,7 @@ QUERIES = {
     "district_heatmap": district_heatmap,
     "training_vs_online": training_vs_online,
     "balance_boxplot": balance_boxplot,
+    "balance_outliers": balance_outliers,
     "district_correlation": district_correlation,
     "implementation_scatter": implementation_scatter,
     "grievance_resolution": grievance_resolution,
