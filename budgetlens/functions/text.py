@@ -39,6 +39,9 @@ SUMMARY_PATTERNS = [
     "**Executive Summary**",
 ]
 STOP_MARKS = ["# ", "## ", "\n\n", "**", "Budget Performance", "Infrastructure Project"]
+# Substrings one of which every heading pattern contains (used to skip
+# searching for patterns that cannot occur).
+HEADING_PROBES = ["Executive Summary", "EXECUTIVE SUMMARY"]
 
 # Fixed value: the summary used when none can be extracted.
 PLACEHOLDER_SUMMARY = (
@@ -137,13 +140,21 @@ def add_report_sections_modes(df: DataFrame, text_col: str,
     text = F.col(text_col)
     win_type = "struct<st:int,sp:int>"
     wins = [f"_win_{m}" for m in names]
-    step = df.select("*", *[F.lit(None).cast(win_type).alias(w) for w in wins])
+    # Every heading pattern contains one of the probes: a text without the
+    # probe cannot contain the pattern, so most texts need two searches, not
+    # five; a pattern equal to its probe reuses the probe's position.
+    probes = {q: f"_probe{i}" for i, q in enumerate(HEADING_PROBES)}
+    step = df.select("*", *[F.lit(None).cast(win_type).alias(w) for w in wins],
+                     *[locate(q, text).alias(c) for q, c in probes.items()])
     keep = step.columns
     for p in SUMMARY_PATTERNS:
         undecided = F.lit(False)
         for w in wins:
             undecided = undecided | F.col(w).isNull()
-        step = step.select(*keep, F.when(undecided, locate(p, text)).alias("_at"))
+        probe = next(q for q in HEADING_PROBES if q in p)
+        found = F.col(probes[probe]) if p == probe else \
+            F.when(F.col(probes[probe]) > 0, locate(p, text)).otherwise(F.lit(0))
+        step = step.select(*keep, F.when(undecided, found).alias("_at"))
         starts = []
         for m, w in zip(names, wins):
             st = F.col("_at") + F.lit(len(p))
@@ -161,7 +172,7 @@ def add_report_sections_modes(df: DataFrame, text_col: str,
                                                       F.col(f"_sp_{m}").alias("sp")))).alias(w)
                 for m, w in zip(names, wins)]
         step = step.select(*[c for c in keep if c not in wins], *wons)
-    base = [c for c in keep if c not in wins]
+    base = [c for c in keep if c not in wins and c not in probes.values()]
     by_heading = [F.when(F.col(w).isNotNull(),
                          py_strip(F.substring(text, F.col(f"{w}.st"), F.col(f"{w}.sp") - F.col(f"{w}.st"))))
                    .otherwise(F.lit("")).alias(f"_byh_{m}") for m, w in zip(names, wins)]
