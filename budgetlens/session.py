@@ -51,14 +51,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised intermediate tables.
 
     On a cluster this is the folder named by ``spark.checkpoint.dir`` (a
-    shared file system every executor can reach). Only when that setting is
-    absent (a local test session) do we pick a fresh local folder and record
-    it in the session, so later calls agree.
+    shared file system every executor can reach); without it a cluster job
+    fails rather than write to a machine-local folder. Only a local session
+    (tests) without the setting gets a fresh local folder, recorded in the
+    session so later calls agree.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext._jsc.sc().conf().get("spark.checkpoint.dir", "") or None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="budgetlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
