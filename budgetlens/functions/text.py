@@ -233,13 +233,12 @@ def split_markdown_sections(df: DataFrame, text_col: str, keys: list[str]) -> Da
     return out.filter((F.col("ord") > 0) | (F.col("body") != ""))
 
 
-def missing_sections(sections: DataFrame, required: list[str], keys: list[str],
-                     spark=None) -> DataFrame:
+def missing_sections(sections: DataFrame, required: list[str], keys: list[str]) -> DataFrame:
     """Required section titles absent from each text (anti join, X7)."""
-    spark = spark or sections.sparkSession
-    req = spark.createDataFrame([(i, t) for i, t in enumerate(required)], "req_ord int, title string")
+    req = F.array(*[F.struct(F.lit(i).alias("req_ord"), F.lit(t).alias("title"))
+                    for i, t in enumerate(required)])
     docs = sections.select(*keys).distinct()
-    expected = docs.crossJoin(F.broadcast(req))
+    expected = docs.select(*keys, F.explode(req).alias("_r")).select(*keys, "_r.req_ord", "_r.title")
     return expected.join(sections.select(*keys, "title"), on=[*keys, "title"], how="left_anti")
 
 

@@ -3,8 +3,9 @@
 All grouped aggregates are hash aggregates with a map-side partial step, so
 a hot group key is collapsed to one row per task before the shuffle.
 Scalars that must meet every row (a maximum, a grand total) are computed as
-a one-row aggregate and attached with a broadcast cross join: the broadcast
-side is provably one row, and no row moves through a single partition.
+a one-row aggregate and attached as a scalar subquery: the aggregate runs
+once (partial aggregates meet in one task, rows never do) and its value is
+read by the projection, with no join.
 """
 
 from __future__ import annotations
@@ -72,10 +73,18 @@ def argmax_key(key: str, measure: str, tie: str = "ord") -> Column:
     return F.min_by(F.col(f"`{key}`"), rank)
 
 
+def scalar_row(one_row: DataFrame) -> Column:
+    """A one-row frame (a global aggregate) as a struct-valued scalar
+    subquery: it runs once, its value is injected into the consuming
+    projection, and no join is planned."""
+    return one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("_s")).scalar()
+
+
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (J2, J5). The one-row side
-    is broadcast; its size is fixed by construction."""
-    return df.crossJoin(F.broadcast(scalars))
+    """Attach the columns of a one-row aggregate to every row
+    through a scalar subquery (no cross join, no single-partition window)."""
+    s = scalar_row(scalars)
+    return df.withColumns({c: s[c] for c in scalars.columns})
 
 
 def normalise_to_max(df: DataFrame, measures: dict[str, str],

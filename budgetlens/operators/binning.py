@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from budgetlens.functions.safe import as_double, row_pct
+from budgetlens.operators.aggregate import attach_scalars
 
 
 @dataclass(frozen=True)
@@ -75,5 +76,5 @@ def count_per_bin(df: DataFrame, x: str, bins: Bins) -> DataFrame:
     table = bins.table(spark).select("bin_ord", "bin")
     full = table.join(counts, "bin_ord", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     total = full.agg(F.sum("n").alias("_total"))
-    out = full.crossJoin(F.broadcast(total)).withColumn("share_pct", row_pct("n", "_total"))
+    out = attach_scalars(full, total).withColumn("share_pct", row_pct("n", "_total"))
     return out.select("bin_ord", "bin", "n", "share_pct").orderBy("bin_ord")

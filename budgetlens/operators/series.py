@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from budgetlens.operators.aggregate import attach_scalars
+
 
 def drop_last(df: DataFrame, order: str, small: bool = False) -> DataFrame:
     """Drop the row with the largest ``order`` (``df[:-1]``) (P5).
 
-    By default the maximum is a one-row aggregate broadcast to all rows, so
-    no row is moved to a single partition. ``small=True`` is for inputs that
+    By default the maximum is a one-row aggregate read as a scalar
+    subquery, so no row is moved to a single partition. ``small=True`` is for inputs that
     are already aggregated series (one row per period): a window over them
     reads the input once instead of twice.
     """
@@ -18,7 +20,7 @@ def drop_last(df: DataFrame, order: str, small: bool = False) -> DataFrame:
         last = F.max(order).over(Window.partitionBy())
         return df.withColumn("_last", last).filter(F.col(order) < F.col("_last")).drop("_last")
     last = df.agg(F.max(order).alias("_last"))
-    return df.crossJoin(F.broadcast(last)).filter(F.col(order) < F.col("_last")).drop("_last")
+    return attach_scalars(df, last).filter(F.col(order) < F.col("_last")).drop("_last")
 
 
 def drop_last_if_summary(df: DataFrame, key: str, order: str, marker: str = "Total",
@@ -34,7 +36,7 @@ def drop_last_if_summary(df: DataFrame, key: str, order: str, marker: str = "Tot
                 .withColumn("_has", F.coalesce(is_summary.over(w), F.lit(0)))
     else:
         facts = df.agg(last.alias("_last"), F.coalesce(is_summary, F.lit(0)).alias("_has"))
-        out = df.crossJoin(F.broadcast(facts))
+        out = attach_scalars(df, facts)
     return out.filter((F.col("_has") == 0) | (F.col(order) < F.col("_last"))).drop("_last", "_has")
 
 

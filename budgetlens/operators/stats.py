@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetlens.functions.safe import as_double, safe_corr
+from budgetlens.operators.aggregate import attach_scalars
 
 BOX_PROBS = (0.25, 0.5, 0.75)
 
@@ -62,9 +63,9 @@ def exact_quantiles(df: DataFrame, group: str, value: str,
     ranked = ranked if ranked is not None else ranked_within_group(df, group, value, few_groups)
     counts = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     # For each group and probability: h = (n-1)p, needs ranks floor(h), floor(h)+1.
-    spark = df.sparkSession
-    prob_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "qi int, p double")
-    targets = (counts.crossJoin(F.broadcast(prob_df))
+    prob_list = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p"))
+                          for i, p in enumerate(probs)])
+    targets = (counts.select("*", F.explode(prob_list).alias("_q")).select("*", "_q.qi", "_q.p").drop("_q")
                      .withColumn("h", (F.col("n") - 1) * F.col("p"))
                      .withColumn("lo_rank", F.floor("h").cast("long"))
                      .withColumn("hi_rank", F.least(F.col("lo_rank") + 1, F.col("n") - 1))
@@ -159,9 +160,10 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def with_trend(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Fitted value and residual per row (A18); the one-row fit is broadcast."""
+    """Fitted value and residual per row (A18); the one-row fit is read as a
+    scalar subquery."""
     fit = linear_fit(df, x, y)
-    out = df.crossJoin(F.broadcast(fit))
+    out = attach_scalars(df, fit)
     trend = F.col("slope") * as_double(x) + F.col("intercept")
     return out.withColumn("trend", trend).withColumn("residual", as_double(y) - F.col("trend"))
 

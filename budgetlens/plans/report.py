@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from budgetlens.functions.fmt import ascii_cell, currency, int_text, pct_text
 from budgetlens.functions.text import add_report_sections, py_strip
+from budgetlens.operators.aggregate import attach_scalars
 
 # The report's instructions, required sections and fixed texts.
 REQUIRED_SECTIONS = [
@@ -77,7 +78,7 @@ def table_text(df: DataFrame, columns: list[str], order: list[str],
     widths = cells.groupBy(*group).agg(*[
         F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(c)), F.lit(0))).alias(f"_w_{i}")
         for i, c in enumerate(columns)])
-    joined = cells.join(widths, group, "inner") if group else cells.crossJoin(F.broadcast(widths))
+    joined = cells.join(widths, group, "inner") if group else attach_scalars(cells, widths)
 
     def line(parts: list[Column]) -> Column:
         return F.concat_ws("  ", *[F.lpad(p, F.col(f"_w_{i}"), " ") for i, p in enumerate(parts)])
@@ -111,7 +112,7 @@ def markdown_table(df: DataFrame, headers: list[str], columns: list[str], order:
 
 def kpi_record(budget: DataFrame, projects: DataFrame, grievance: DataFrame) -> DataFrame:
     """The one-row KPI record behind the narrative and the context."""
-    return budget.crossJoin(F.broadcast(projects)).crossJoin(F.broadcast(grievance))
+    return attach_scalars(attach_scalars(budget, projects), grievance)
 
 
 def summary_context(kpis: DataFrame) -> DataFrame:
@@ -175,8 +176,7 @@ def report_prompt(docs: DataFrame, text_col: str, table: DataFrame, json_text: D
     """Q22: one prompt per document: instructions, the tabular data as
     aligned text, the document's prose, the JSON data and the required
     sections (X2). ``table`` and ``json_text`` are one-row frames."""
-    ctx = table.crossJoin(F.broadcast(json_text))
-    joined = docs.crossJoin(F.broadcast(ctx))
+    joined = attach_scalars(attach_scalars(docs, table), json_text)
     prompt = F.concat_ws(
         "\n",
         F.lit(prompt_preamble(department)), F.lit(""), F.lit("DATA SOURCES:"), F.lit(""),

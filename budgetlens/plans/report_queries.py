@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from budgetlens.functions.fmt import currency, int_text, num_text, pct_text, round1
 from budgetlens.functions.safe import as_double, exact_total, guarded_pct, row_pct
-from budgetlens.operators.aggregate import (argmax_key, group_utilization, normalise_to_max,
-                                            share_of_total)
+from budgetlens.operators.aggregate import (argmax_key, attach_scalars, group_utilization,
+                                            normalise_to_max, share_of_total)
 from budgetlens.operators.binning import COMPLETION_BINS, Bins, count_per_bin
 from budgetlens.operators.ranking import (close_polygon, every_nth, flag_top_k, radar_angle,
                                           top_k_ranked, with_rank)
@@ -212,7 +212,7 @@ def q14_kpi_projects(sectors: DataFrame, months: DataFrame, totals: str = "exclu
               F.avg(as_double("implementation_percentage")).alias("avg_implementation"))
     b = m.agg(F.coalesce(F.sum("projects_completed"), F.lit(0)).cast("long").alias("completed_projects"),
               F.coalesce(F.sum("new_projects_started"), F.lit(0)).cast("long").alias("new_projects"))
-    out = a.crossJoin(F.broadcast(b))
+    out = attach_scalars(a, b)
     return out.select("total_projects", "completed_projects", "new_projects", "avg_implementation",
                       int_text("total_projects").alias("total_projects_text"),
                       pct_text("avg_implementation").alias("avg_implementation_text"))
@@ -232,8 +232,7 @@ def q15_kpi_egov(sectors: DataFrame, activity: DataFrame, items: DataFrame,
         .agg(F.coalesce(F.sum("training_sessions"), F.lit(0)).cast("long").alias("training_sessions"))
     section_items = items.filter(F.col("section") == F.lit(item_section))
     item = section_items.agg(lookup_first("item", "pct_achieved", item_name).alias("item_pct"))
-    out = services.crossJoin(F.broadcast(hits)).crossJoin(F.broadcast(sessions)) \
-                  .crossJoin(F.broadcast(item))
+    out = attach_scalars(attach_scalars(attach_scalars(services, hits), sessions), item)
     return out.select("online_services", "mean_hits",
                       num_text("mean_hits").alias("mean_hits_text"),
                       "item_pct", "training_sessions")
