@@ -22,7 +22,8 @@ BOX_PROBS = (0.25, 0.5, 0.75)
 
 def ranked_within_group(df: DataFrame, group: str, value: str,
                         few_groups: bool = True) -> DataFrame:
-    """``(g, v, rank)`` with rank 0..n-1 by value inside each group.
+    """``(g, v, rank, sort_partition)`` with rank 0..n-1 by value inside
+    each group, and the sort partition that held the row.
 
     The sort is global: rows of one group may span many partitions. The
     rank is the number of group rows in earlier partitions plus the row's
@@ -51,7 +52,8 @@ def ranked_within_group(df: DataFrame, group: str, value: str,
     slices = slices.withColumn("offset", F.coalesce(F.sum("slice_n").over(w), F.lit(0)))
     slices = slices.select("pid", "g", "first_row", "offset")
     ranked = s.join(F.broadcast(slices) if few_groups else slices, ["pid", "g"])
-    return ranked.select("g", "v", (F.col("offset") + F.col("row_in_part") - F.col("first_row")).alias("rank"))
+    return ranked.select("g", "v", (F.col("offset") + F.col("row_in_part") - F.col("first_row")).alias("rank"),
+                         F.col("pid").alias("sort_partition"))
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str,

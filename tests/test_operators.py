@@ -149,3 +149,29 @@ def test_in_period(spark):
     assert keep == ["Apr-2023", "Total"]
     strict = [r.m for r in df.filter(series.in_period("m", None, "2023-03-31", keep_unparsed=False)).collect()]
     assert strict == ["Mar-2023"]
+
+
+def test_hot_group_spans_partitions(spark):
+    """A group with a third of all rows is spread over several sort
+    partitions (never gathered into one task) and its quantiles stay exact."""
+    key, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old, old_c = spark.conf.get(key), spark.conf.get(coalesce)
+    spark.conf.set(key, "8")
+    # At this size AQE would merge all sort partitions into one; at scale
+    # they are large and stay separate.
+    spark.conf.set(coalesce, "false")
+    try:
+        n = 30000
+        df = spark.range(n).select(
+            F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 97).cast("string")).alias("g"),
+            ((F.col("id") * 7919) % 100003).cast("double").alias("v"))
+        ranked = stats.ranked_within_group(df, "g", "v")
+        spread = ranked.filter("g = 'hot'").select("sort_partition").distinct().count()
+        assert spread >= 2
+        hot = np.array([float((i * 7919) % 100003) for i in range(0, n, 3)])
+        q = {r.g: r for r in stats.exact_quantiles(df, "g", "v", few_groups=False).collect()}["hot"]
+        assert q.n == len(hot)
+        assert [q.q_0, q.q_1, q.q_2] == pytest.approx(list(np.percentile(hot, [25, 50, 75])), abs=1e-9)
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.set(coalesce, old_c)
