@@ -114,7 +114,7 @@ def district_fact(t: Tables) -> DataFrame:
 
 
 def part_fact(t: Tables) -> DataFrame:
-    """One row per part with its line measures (DECIMAL sums kept)."""
+    """One row per part with its line measures (money as exact integer units)."""
     part = t.part.select("p_partkey", "p_name", "p_type", "p_brand")
     return part.join(lines_by_part(t), F.col("p_partkey") == F.col("l_partkey"), "left")
 
