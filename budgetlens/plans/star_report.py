@@ -75,15 +75,22 @@ class ReportFacts:
     """
 
     def __init__(self, spark, sf_dir: str):
+        from concurrent.futures import ThreadPoolExecutor
+
         from budgetlens.session import materialize
 
         t = Tables(spark, sf_dir)
-        parts = materialize(proxies.part_fact(t), "fact-parts")
-        self.items = star.items_from(parts)
-        self.sectors = star.sectors_from(parts)
-        self.districts = materialize(star.districts(t), "fact-districts")
-        self.months = materialize(proxies.month_series(t), "fact-months")
-        self.activity = materialize(proxies.activity_series(t), "fact-activity")
+        plans = {"parts": proxies.part_fact(t), "districts": star.districts(t),
+                 "months": proxies.month_series(t), "activity": proxies.activity_series(t)}
+        # Independent jobs: submitted from separate threads, Spark runs them
+        # side by side when one alone does not use every core.
+        with ThreadPoolExecutor(max_workers=len(plans)) as pool:
+            done = dict(zip(plans, pool.map(lambda kv: materialize(kv[1], f"fact-{kv[0]}"), plans.items())))
+        self.items = star.items_from(done["parts"])
+        self.sectors = star.sectors_from(done["parts"])
+        self.districts = done["districts"]
+        self.months = done["months"]
+        self.activity = done["activity"]
 
     def parts(self) -> dict[str, DataFrame]:
         return {
