@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from budgetlens.functions.fmt import fixed
 from budgetlens.plans import proxies, report, star
+from budgetlens.session import spread_for_cpu
 from budgetlens.plans import report_queries as rq
 from budgetlens.sources.tables import Tables
 
@@ -56,7 +57,7 @@ def report_prompt(spark, sf_dir) -> DataFrame:
 
     t = Tables(spark, sf_dir)
     parts = materialize(proxies.part_fact(t), "fact-parts")
-    docs = t.documents.select("doc_id", "text")
+    docs = spread_for_cpu(t.documents.select("doc_id", "text"))
     p = report.report_prompt(docs, "text", section_table_text(t, parts), kpi_json(t, parts), DEPARTMENT,
                              ["doc_id"])
     return p.select("doc_id", F.length("prompt").cast("long").alias("prompt_len"),

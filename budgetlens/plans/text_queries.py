@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from budgetlens.functions import text as X
+from budgetlens.session import spread_for_cpu
 from budgetlens.sources.tables import Tables
 
 # How a report text is built around a document to exercise
@@ -35,7 +36,7 @@ def fingerprint(c: Column, name: str) -> list[Column]:
 
 def text_functions(spark, sf_dir) -> DataFrame:
     """F6-F14 and S9 on every document."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    d = spread_for_cpu(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     t = F.col("text")
     return d.select(
         "doc_id",
@@ -58,7 +59,7 @@ def report_sections(spark, sf_dir) -> DataFrame:
 
     The two modes run as two projection chains (a single chain computing
     both produced generated code too large for the JIT and ran slower)."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    d = spread_for_cpu(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     texts = F.array(*[F.struct(F.lit(v).alias("variant"), variant_text(F.col("text"), v).alias("t"))
                       for v in VARIANTS])
     v = d.select("doc_id", F.explode(texts).alias("x")).select("doc_id", "x.variant", "x.t")
@@ -72,8 +73,8 @@ def report_sections(spark, sf_dir) -> DataFrame:
 
 def markdown_sections(spark, sf_dir) -> DataFrame:
     """The ``## `` sections of each document's report text."""
-    d = Tables(spark, sf_dir).documents.select(
-        "doc_id", variant_text(F.col("text"), "heading").alias("md"))
+    d = spread_for_cpu(Tables(spark, sf_dir).documents.select("doc_id", "text")) \
+        .select("doc_id", variant_text(F.col("text"), "heading").alias("md"))
     s = X.split_markdown_sections(d, "md", ["doc_id"])
     return s.select("doc_id", F.col("ord").cast("long").alias("ord"), "title",
                     *fingerprint(F.col("body"), "body"))

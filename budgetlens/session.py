@@ -81,3 +81,14 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread_for_cpu(df, min_partitions: int | None = None):
+    """For CPU-heavy per-row work (whole-text operators): make sure the rows
+    are spread over every core. A scan's partition count does not show how
+    rows are placed (a file with one row group reports several partitions
+    but fills one), so inputs with fewer than twice the cluster's cores in
+    partitions are redistributed round-robin; large inputs, with thousands of
+    partitions, pass through without a shuffle."""
+    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
