@@ -152,15 +152,18 @@ def references(docs: DataFrame, top_words: int = 200, min_words: int = 2000,
     return {k: (c, w, np.array([*n, max(0, t - sum(n))])) for k, (c, w, n, t) in out.items()}
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.04,
-          max_word_divergence: float = 0.5, top_words: int = 200) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.03,
+          max_word_divergence: float = 0.2, class_noise: float = 2.0, word_noise: float = 6.0,
+          top_words: int = 200) -> DataFrame:
     """One row per document: base features, verdict and the divergences.
 
     ``base_failed``: fewer than ``min_words`` words, or more than half of the
     words in repeated three-word windows. The divergence test is the method's:
     a document with at least ``min_words`` words is compared with its
     language's references (the closest ones if its language is null or has
-    none) and kept when both divergences are within their limits.
+    none) and kept when both divergences are within their limits. The histogram
+    of a short text scatters about its source's: its expected divergence has a
+    part in proportion to 1 / n_words, which the ``noise`` terms allow for.
 
     Defined cases: a null text counts as empty (all features 0, base failed);
     rows come back as often as they occur; without any reference (an empty
@@ -193,7 +196,10 @@ def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.
             f = base_features(text)
             failed = f[0] < min_words or 100 * f[4] > 50 * f[0]
             a, b = verdict(text, lang, f[0])
-            out.append((*f, failed, not failed and a <= max_class_divergence and b <= max_word_divergence, a, b))
+            n = max(1, f[0])
+            kept = (not failed and a <= max_class_divergence + class_noise / n
+                    and b <= max_word_divergence + word_noise / n)
+            out.append((*f, failed, kept, a, b))
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  "base_failed", "kept", "class_divergence", "word_divergence")
         return {"doc_id": batch.column("doc_id")} | dict(zip(names, zip(*out, strict=True), strict=True))
