@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,8 +15,8 @@ from budgetlens.session import scratch_path
 
 #: Odd multiplier of the polynomial window hash (64-bit golden ratio).
 BASE = 0x9E3779B97F4A7C15
-#: Entries a task's word cache may hold before it starts afresh.
-CACHE_WORDS = 400_000
+#: Multiplier of the word hash; 3 modulo 4, so that its powers differ in low bits.
+BYTE_BASE = 0x9E6C63D0676A9A9B
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,19 +77,6 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-class WordHashes(dict):
-    """Cache of 64-bit word hashes; one per task."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that sums of word hashes order like random numbers."""
     h = h ^ (h >> np.uint64(31))
@@ -100,6 +86,77 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Bytes that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.
+BLANK = np.zeros(256, bool)
+BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that are hashed at once.
+BLOCK_BYTES = 1 << 20
+
+
+class WordHashes:
+    """64-bit hashes of all words of many texts by array arithmetic.
+
+    A word's hash is a polynomial over pseudo-random values of its bytes,
+    modulo 2**64, from differences of running sums; so it does not depend on
+    where the word stands.
+    """
+
+    def __init__(self) -> None:
+        self.value = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.power = np.ones(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            self.power = np.full(n, BYTE_BASE, np.uint64)
+            self.inverse = np.full(n, pow(BYTE_BASE, -1, 1 << 64), np.uint64)
+            self.power[0] = self.inverse[0] = 1
+            np.multiply.accumulate(self.power, out=self.power)
+            np.multiply.accumulate(self.inverse, out=self.inverse)
+
+    def of_bytes(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, first bytes) of the words in ``raw``."""
+        buf = np.frombuffer(raw, np.uint8)
+        gap = BLANK[buf]
+        edge = np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1))
+        first, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        out = np.empty(len(first), np.uint64)
+        at = 0
+        while at < len(first):
+            a = int(first[at])
+            upto = max(at + 1, int(np.searchsorted(end, a + BLOCK_BYTES, side="right")))
+            n = int(end[upto - 1]) - a
+            self._powers(n)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.value[buf[a:a + n]] * self.power[:n], out=sums[1:])
+            f, e = first[at:upto] - a, end[at:upto] - a
+            out[at:upto] = (sums[e] - sums[f]) * self.inverse[f]
+            at = upto
+        return mixed(out), first
+
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, where each text's words begin, and the end)."""
+        h, first = self.of_bytes(b"\n".join(texts))
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return h, np.searchsorted(first, begins)
+
+    def of_word(self, word: bytes) -> int:
+        return int(self.of_bytes(word)[0][0])
+
+
+def chunks(texts: list[str], change=None, size: int = 1 << 22):
+    """Runs of encoded texts of about ``size`` bytes: (number of the first, list)."""
+    run, begin, n = [], 0, 0
+    for i, t in enumerate(texts):
+        raw = t.encode("utf-8", "surrogatepass")
+        run.append(change(raw) if change else raw)
+        n += len(raw)
+        if n >= size:
+            yield begin, run
+            run, begin, n = [], i + 1, 0
+    if run:
+        yield begin, run
+
+
 def window_hashes(h: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """Hash of every run of ``width`` consecutive word hashes (empty if fewer)."""
     n = len(h) - width + 1

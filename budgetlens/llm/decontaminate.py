@@ -17,13 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from budgetlens.llm.common import BASE, WordHashes, texts_of, window_hashes
-from budgetlens.llm.licenses import folded_words
+from budgetlens.llm.common import BASE, WordHashes, chunks, texts_of, window_hashes
+from budgetlens.llm.licenses import fold
 
 #: Characters of test items that one pass over the documents carries.
 BLOCK_CHARS = 32 << 20
-#: Words of text that a task hashes at once.
-CHUNK_WORDS = 1 << 19
 
 
 class Items:
@@ -35,7 +33,7 @@ class Items:
         self.ids, self.tokens, keys, owner, place = [], [], [], [], []
         short: list[tuple[int, int]] = []
         for item_id, text in rows:
-            h = cache.of(folded_words(text or ""))
+            h, _ = cache.of_bytes(fold((text or "").encode("utf-8", "surrogatepass")))
             if not len(h):
                 continue
             k = len(self.ids)
@@ -142,29 +140,15 @@ def _blocks(benchmark: DataFrame):
 
 
 def _batched_hits(batch, items: Items, min_match: int, coverage: float):
-    """(row, item, covered, tiles) of a batch of texts. Documents are hashed
-    together until a chunk is full; a longer one makes a chunk of its own."""
-    cache = WordHashes()
-    words, rows, starts = [], [], [0]
-
-    def done():
-        h = cache.of(words)
-        ends = np.array(starts)
-        for d, k in sorted(items.candidates(h, ends)):
+    """(row, item, covered, tiles) of a batch of texts, several hashed at once."""
+    hashes = WordHashes()
+    for begin, texts in chunks(texts_of(batch), fold):
+        h, starts = hashes.of_texts(texts)
+        for d, k in sorted(items.candidates(h, starts)):
             item = items.tokens[k]
             covered, tiles = tile(h[starts[d]:starts[d + 1]], item, min_match)
             if covered >= coverage * len(item):
-                yield rows[d], k, covered, tiles
-
-    for row, text in enumerate(texts_of(batch)):
-        words += folded_words(text)
-        rows.append(row)
-        starts.append(len(words))
-        if len(words) >= CHUNK_WORDS:
-            yield from done()
-            words, rows, starts = [], [], [0]
-    if words:
-        yield from done()
+                yield begin + d, k, covered, tiles
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_match: int = 3,

@@ -27,16 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from budgetlens.llm.common import BASE, WordHashes, doc_bucket, map_batches, mixed, release, stored, texts_of
+from budgetlens.llm.common import BASE, WordHashes, chunks, doc_bucket, map_batches, mixed, release, stored, texts_of
 from budgetlens.session import scratch_path
 
 #: Tokens that one shard should hold on average.
 SHARD_TOKENS = 1 << 19
-#: Words of text that a task counts or scores at once.
-CHUNK_WORDS = 1 << 20
+#: Bytes of text that a task counts or scores at once.
+CHUNK_BYTES = 8 << 20
 #: Shards of one array that a task keeps mapped.
 OPEN_SHARDS = 128
-END, BEGIN = b"\x20end", b"\x20begin"  # white space: no word can equal them
+#: Hashes of the end token and of the begin mark.
+END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 
 
 def shared_folder(spark) -> str:
@@ -53,22 +54,19 @@ class Tokens:
     """Token hashes of texts: A-Z lower-cased words, then one end."""
 
     def __init__(self) -> None:
-        self.cache = WordHashes()
-        self.end, self.begin = self.cache[END], self.cache[BEGIN]
+        self.hashes = WordHashes()
+        self.end, self.begin = END, BEGIN
 
     def chunks(self, texts: list[str]):
         """(hashes, sizes): the tokens of several texts one after the other."""
-        words, sizes = [], []
-        for t in texts:
-            w = t.encode("utf-8", "surrogatepass").lower().split()
-            w.append(END)
-            words += w
-            sizes.append(len(w))
-            if len(words) >= CHUNK_WORDS:
-                yield self.cache.of(words), np.array(sizes)
-                words, sizes = [], []
-        if words:
-            yield self.cache.of(words), np.array(sizes)
+        for _, run in chunks(texts, bytes.lower, CHUNK_BYTES):
+            words, starts = self.hashes.of_texts(run)
+            sizes = np.diff(starts) + 1
+            h = np.full(len(words) + len(run), self.end, np.uint64)
+            inner = np.ones(len(h), bool)
+            inner[np.cumsum(sizes) - 1] = False
+            h[inner] = words
+            yield h, sizes
 
     def grams(self, h: np.ndarray, sizes: np.ndarray, n: int) -> list[np.ndarray]:
         """n columns: for every token the n - 1 tokens before it (begin marks
@@ -94,7 +92,16 @@ def chained(columns: list[np.ndarray]) -> np.ndarray:
 def unique_rows(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in order, with summed counts."""
     if len(columns) == 1:
-        order = np.argsort(columns[0], kind="stable")
+        order = np.argsort(columns[0])
+    elif len(columns) == 2:
+        # One fast sort by the upper halves; exact unless two different rows
+        # agree in both, which is seen and sorted again.
+        half = np.uint64(32)
+        order = np.argsort(columns[0] >> half << half | columns[1] >> half)
+        a, b = (c[order] for c in columns)
+        if ((a[1:] >> half == a[:-1] >> half) & (b[1:] >> half == b[:-1] >> half)
+                & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]))).any():
+            order = np.lexsort(columns[::-1])
     else:
         order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
@@ -138,9 +145,14 @@ class Layout:
         return (mixed(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(self.shards)).astype(np.int32)
 
 
+def by_shard(shard: np.ndarray) -> np.ndarray:
+    """A stable order by shard number."""
+    return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
+
+
 def _blobs(columns, counts, shard):
     """One packed row for each shard."""
-    order = np.argsort(shard, kind="stable")
+    order = by_shard(shard)
     shard = shard[order]
     edge = np.nonzero(np.diff(shard, prepend=-1))[0].tolist() + [len(shard)]
     columns, counts = [c[order] for c in columns], counts[order]
@@ -187,7 +199,7 @@ def merged(blobs: DataFrame, n: int, layout: Layout, below: Layout | None, folde
         if n > 1:
             context = chained(cols[:-1])
             hot = _contexts(f"{folder}/{tag}-{shard}", context, counts, layout)
-        order = np.argsort(whole, kind="stable")
+        order = np.argsort(whole)
         _write(f"{folder}/{tag}-{shard}-key", whole[order])
         _write(f"{folder}/{tag}-{shard}-n", counts[order].astype(np.min_scalar_type(int(counts.max()))))
         lower = []
@@ -228,7 +240,7 @@ def _contexts(base, context, counts, layout) -> bytes:
                       (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
     hot = np.isin(keys, layout.hot)
     _write(f"{base}-ctx", keys[~hot])
-    _write(f"{base}-sum", stats[~hot])
+    _write(f"{base}-sum", stats[~hot].astype(np.min_scalar_type(int(stats.max()))))
     return keys[hot].tobytes() + stats[hot].tobytes()
 
 
@@ -263,9 +275,9 @@ class Mapped:
         return self.open[shard]
 
     def get(self, shard: np.ndarray, key: np.ndarray, width: int = 0) -> np.ndarray:
-        """Values by key, 0 where it is not found."""
+        """Values by key, 0 where it is not found; quickest if keys come sorted."""
         out = np.zeros((len(key), width) if width else len(key), np.int64)
-        order = np.lexsort((key, shard))
+        order = by_shard(shard)
         s = shard[order]
         edge = np.nonzero(np.diff(s, prepend=-1))[0].tolist() + [len(s)]
         for a, b in zip(edge, edge[1:], strict=False):
@@ -419,13 +431,16 @@ def score(docs: DataFrame, model: Model, flag) -> DataFrame:
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         for h, sizes in tokens.chunks(texts_of(batch)):
             cols = tokens.grams(h, sizes, model.order)
-            # Score each distinct n-gram once.
-            rows, inverse = _distinct(cols)
-            p = np.log10(model.probabilities(maps, rows))[inverse]
-            word = chained([rows[-1]])
-            c = maps["raw"].get(model.layout[0].of(word, word), word) if model.tokens else np.zeros(len(word), np.int64)
-            base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.words + 1)))[inverse]
-            known = (c > 0)[inverse]
+            p, c = np.empty(len(h)), np.zeros(len(h), np.int64)
+            order = np.argsort(chained(cols))  # look-ups of sorted keys stay near each other
+            p[order] = np.log10(model.probabilities(maps, [v[order] for v in cols]))
+            if model.tokens:
+                word = chained([h])
+                order = np.argsort(word)
+                word = word[order]
+                c[order] = maps["raw"].get(model.layout[0].of(word, word), word)
+            base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
+            known = c > 0
             first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             out["n_tokens"] += sizes.tolist()
             out["n_known"] += np.add.reduceat(known.astype(np.int64), first).tolist()
@@ -440,12 +455,6 @@ def score(docs: DataFrame, model: Model, flag) -> DataFrame:
                        "base_score double, score double, perplexity double")
 
 
-def _distinct(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    key = chained(cols)
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return [c[first] for c in cols], inverse
-
-
 def held_out_scores(docs: DataFrame, order: int = 2, modulus: int = 10) -> DataFrame:
     """Train on the documents whose crc32(doc_id as text) modulo ``modulus`` is
     not 0 and score all of them.

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import WordHashes, map_batches, mixed, texts_of, window_hashes
+from budgetlens.llm.common import WordHashes, chunks, map_batches, mixed, texts_of, window_hashes
 
 #: Notices by license (fixed values, public standard wording).
 TEMPLATES = (
@@ -46,12 +46,11 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else
 
 
 def folded_words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    return fold(text.encode("utf-8", "surrogatepass")).split()
 
 
-def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Shingles of ``width`` words; a shorter sequence is one shingle."""
-    return window_hashes(h, min(width, len(h)) or 1) if len(h) else h
+def fold(raw: bytes) -> bytes:
+    return raw.translate(FOLD)
 
 
 class Class:
@@ -86,7 +85,7 @@ def classes(templates, shingle: int, containment: float, miss: float) -> list[Cl
     rest by powers of two of their shingle counts."""
     cache, groups = WordHashes(), {}
     for i, (_, text) in enumerate(templates):
-        h = cache.of(folded_words(text))
+        h, _ = cache.of_bytes(fold(text.encode()))
         if len(h):
             width = min(shingle, len(h))
             t = np.unique(window_hashes(h, width))
@@ -120,10 +119,9 @@ def retrieve(cls: Class, s: np.ndarray) -> set[tuple[int, int]]:
     return found
 
 
-def find(words: list[bytes], table: list[Class], cache: WordHashes, containment: float):
+def find(h: np.ndarray, table: list[Class], containment: float):
     """(template index, first word, end word, containment), the best window of
-    every run of overlapping windows."""
-    h = cache.of(words)
+    every run of overlapping windows. ``h``: the word hashes of a text."""
     out = []
     for cls in table:
         if len(h) < cls.words:
@@ -162,14 +160,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = 5, containment: fl
 
     def run(batch):
         cache, rows = WordHashes(), []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-            best: dict[str, list] = {}
-            for i, a, b, held in find(folded_words(text), table, cache, containment):
-                hit = best.setdefault(names[i], [0, 0.0, 0, 0])
-                hit[0] += 1
-                if held > hit[1]:
-                    hit[1:] = [held, a, b]
-            rows += [(doc_id, name, *hit) for name, hit in sorted(best.items())]
+        ids = batch.column("doc_id").to_pylist()
+        for begin, texts in chunks(texts_of(batch), fold):
+            h, starts = cache.of_texts(texts)
+            for d in range(len(texts)):
+                best: dict[str, list] = {}
+                for i, a, b, held in find(h[starts[d]:starts[d + 1]], table, containment):
+                    hit = best.setdefault(names[i], [0, 0.0, 0, 0])
+                    hit[0] += 1
+                    if held > hit[1]:
+                        hit[1:] = [held, a, b]
+                rows += [(ids[begin + d], name, *hit) for name, hit in sorted(best.items())]
         return dict(zip(columns, zip(*rows, strict=True) if rows else [()] * 6, strict=True))
 
     return map_batches(pick, run, "doc_id long, license string, n_hits long, containment double, "

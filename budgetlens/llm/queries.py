@@ -59,19 +59,17 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL: dict[str, str] = {
     "op6_substrings": r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
-  FROM documents),
-p AS (
-  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS pos FROM d),
-g AS (
-  SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS gram FROM p),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS pos FROM d),
+g AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS gram FROM p),
 f AS (SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram),
 hit AS (SELECT g.doc_id, g.pos FROM g JOIN f USING (gram) WHERE f.first_id < g.doc_id),
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS i FROM hit),
-cut AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-       CASE WHEN gone IS NULL THEN sha256(array_to_string(w, ' '))
-            ELSE sha256(coalesce(array_to_string(list_filter(w, (x, i) -> NOT list_contains(gone, i)), ' '), '')) END
-         AS kept_sha256
-FROM d LEFT JOIN cut USING (doc_id)""",
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+rest AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN rest USING (doc_id)""",
 }

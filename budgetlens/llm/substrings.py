@@ -4,7 +4,7 @@ Windows of a short length that occur in two documents are found first; only
 where they occur are windows of up to twice that length tried, and so on until
 the wanted length is reached or no candidate survives. At the first, shortest
 level not every window is needed: of the short windows inside a longer one the
-one with the smallest hash is taken (two equal longer windows take the same),
+one with the smallest hash is taken (two equal longer windows take the same one),
 which leaves about a quarter of all positions to shuffle. From then on windows
 carry 128-bit hashes.
 """
@@ -18,10 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetlens.llm.common import (
-    WordHashes, map_batches, signed, stored, texts_of, window_hashes)
+    WordHashes, chunks, map_batches, signed, stored, texts_of, window_hashes)
 
-#: Words of text that a task hashes at once.
-CHUNK_WORDS = 1 << 19
 #: Multiplier of the second window hash.
 BASE2 = 0xC2B2AE3D27D4EB4F
 #: A first level has at least this many words.
@@ -38,32 +36,14 @@ def levels(window: int) -> list[int]:
 
 
 def selected(h: np.ndarray, short: int, long: int) -> np.ndarray:
-    """For every window of ``long`` words: where its chosen short window starts
-    (the smallest hash, the first of equals)."""
-    s = window_hashes(h, short)
-    n = len(h) - long + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    best, at = s[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, long - short + 1):
-        smaller = s[j:j + n] < best
-        np.copyto(best, s[j:j + n], where=smaller)
-        at[smaller] = j
-    return at + np.arange(n)
-
-
-def chunks(texts: list[str]):
-    """(row numbers, words, starts) of runs of texts that are hashed together."""
-    words, rows, starts = [], [], [0]
-    for i, t in enumerate(texts):
-        words += t.encode("utf-8", "surrogatepass").split()
-        rows.append(i)
-        starts.append(len(words))
-        if len(words) >= CHUNK_WORDS:
-            yield rows, words, np.array(starts)
-            words, rows, starts = [], [], [0]
-    if rows:
-        yield rows, words, np.array(starts)
+    """For every window of ``long`` words the smallest hash among its short
+    windows, by minima over spans that double."""
+    low, span, want = window_hashes(h, short), 1, long - short + 1
+    while span < want and len(low):
+        step = min(span, want - span)
+        low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
+        span += step
+    return low
 
 
 def _whole(starts: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,20 +69,17 @@ def marks(pick: DataFrame) -> DataFrame:
 
 
 def anchors(pick: DataFrame, short: int, long: int) -> DataFrame:
-    """(a, doc_id, key): the distinct chosen short windows of every document."""
+    """(a, doc_id): the chosen short windows of every document."""
     def run(batch):
-        ids, cache = np.array(batch.column("doc_id").to_numpy(zero_copy_only=False)), WordHashes()
-        texts = texts_of(batch)
-        for rows, words, starts in chunks(texts):
-            h = cache.of(words)
+        ids, hashes = _ids(batch), WordHashes()
+        for begin, texts in chunks(texts_of(batch)):
+            h, starts = hashes.of_texts(texts)
             at, doc = _whole(starts, np.arange(max(0, len(h) - long + 1)), long)
-            if not len(at):
-                continue
-            a = window_hashes(h, short)[selected(h, short, long)[at]]
-            order = np.lexsort((a, doc))
-            a, doc = a[order], doc[order]
-            new = np.concatenate(([True], (np.diff(doc) != 0) | (a[1:] != a[:-1])))
-            yield {"a": signed(a[new]), "doc_id": ids[np.array(rows)[doc[new]]]}
+            if len(at):
+                a = selected(h, short, long)[at]
+                # Neighbours mostly choose the same short window.
+                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (a[1:] != a[:-1])))
+                yield {"a": signed(a[new]), "doc_id": ids[begin + doc[new]]}
 
     return map_batches(pick, run, "a long, doc_id long")
 
@@ -111,19 +88,20 @@ def first_windows(texts: DataFrame, short: int, long: int) -> DataFrame:
     """(h1, h2, doc_id, key, pos): windows of ``long`` words whose chosen short
     window is one of the document's ``alive`` hashes."""
     def run(batch):
-        ids, keys, cache = _ids(batch), batch.column("key").to_numpy(), WordHashes()
-        alive = batch.column("alive")
-        for rows, words, starts in chunks(texts_of(batch)):
-            h = cache.of(words)
+        ids, keys, hashes = _ids(batch), batch.column("key").to_numpy(), WordHashes()
+        alive, offset = _lists(batch)
+        for begin, texts in chunks(texts_of(batch)):
+            h, starts = hashes.of_texts(texts)
             at, doc = _whole(starts, np.arange(max(0, len(h) - long + 1)), long)
             if not len(at):
                 continue
-            a = signed(window_hashes(h, short)[selected(h, short, long)[at]])
+            a = signed(selected(h, short, long)[at])
             keep = np.zeros(len(at), bool)
-            edge = np.searchsorted(doc, np.arange(len(rows) + 1))
-            for d, row in enumerate(rows):
-                keep[edge[d]:edge[d + 1]] = np.isin(a[edge[d]:edge[d + 1]], alive[row].values.to_numpy())
-            yield _windows(h, long, at[keep], doc[keep], starts, ids[np.array(rows)], keys[np.array(rows)])
+            edge = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+            for d in range(len(texts)):
+                known = alive[offset[begin + d]:offset[begin + d + 1]]
+                keep[edge[d]:edge[d + 1]] = np.isin(a[edge[d]:edge[d + 1]], known)
+            yield _windows(h, long, at[keep], begin + doc[keep], at[keep] - starts[doc[keep]], ids, keys)
 
     return map_batches(texts, run, "h1 long, h2 long, doc_id long, key long, pos int")
 
@@ -132,17 +110,17 @@ def next_windows(texts: DataFrame, short: int, long: int) -> DataFrame:
     """As first_windows, but from the ``alive`` positions of repeated windows of
     ``short`` words: both ends of the longer window must be repeated."""
     def run(batch):
-        ids, keys, cache = _ids(batch), batch.column("key").to_numpy(), WordHashes()
-        alive = batch.column("alive")
-        for rows, words, starts in chunks(texts_of(batch)):
-            h = cache.of(words)
+        ids, keys, hashes = _ids(batch), batch.column("key").to_numpy(), WordHashes()
+        alive, offset = _lists(batch)
+        for begin, texts in chunks(texts_of(batch)):
+            h, starts = hashes.of_texts(texts)
             on = np.zeros(len(h) + long, bool)
-            for d, row in enumerate(rows):
-                on[starts[d] + alive[row].values.to_numpy()] = True
+            for d in range(len(texts)):
+                on[starts[d] + alive[offset[begin + d]:offset[begin + d + 1]]] = True
             at = np.nonzero(on[:len(h)] & on[long - short:long - short + len(h)])[0]
             at, doc = _whole(starts, at, long)
             if len(at):
-                yield _windows(h, long, at, doc, starts, ids[np.array(rows)], keys[np.array(rows)])
+                yield _windows(h, long, at, begin + doc, at - starts[doc], ids, keys)
 
     return map_batches(texts, run, "h1 long, h2 long, doc_id long, key long, pos int")
 
@@ -151,9 +129,15 @@ def _ids(batch) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)
 
 
-def _windows(h, width, at, doc, starts, ids, keys) -> dict:
+def _lists(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of the ``alive`` lists."""
+    lists = batch.column("alive")
+    return lists.values.to_numpy(), lists.offsets.to_numpy()
+
+
+def _windows(h, width, at, row, place, ids, keys) -> dict:
     return {"h1": signed(window_hashes(h, width)[at]), "h2": signed(window_hashes(h, width, BASE2)[at]),
-            "doc_id": ids[doc], "key": keys[doc], "pos": (at - starts[doc]).astype(np.int32)}
+            "doc_id": ids[row], "key": keys[row], "pos": place.astype(np.int32)}
 
 
 def repeated(windows: DataFrame) -> DataFrame:
