@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,6 +74,15 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def per_worker(key: str, make: Callable[[], object]):
+    """What ``make`` gives, made once in each Python worker and kept for its
+    later tasks (functions shipped by value have no globals that last)."""
+    kept = sys.modules.setdefault("budgetlens_worker", types.ModuleType("budgetlens_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column as Python strings; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
@@ -93,6 +104,12 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 BLOCK_BYTES = 1 << 20
 
 
+def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words in a buffer."""
+    edge = np.diff(BLANK[buf].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    return np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+
+
 class WordHashes:
     """64-bit hashes of all words of many texts by array arithmetic.
 
@@ -116,9 +133,11 @@ class WordHashes:
     def of_bytes(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, first bytes) of the words in ``raw``."""
         buf = np.frombuffer(raw, np.uint8)
-        gap = BLANK[buf]
-        edge = np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1))
-        first, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        first, end = spans(buf)
+        return self.of_spans(buf, first, end), first
+
+    def of_spans(self, buf: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the given runs of bytes, which are in order and do not overlap."""
         out = np.empty(len(first), np.uint64)
         at = 0
         while at < len(first):
@@ -131,7 +150,7 @@ class WordHashes:
             f, e = first[at:upto] - a, end[at:upto] - a
             out[at:upto] = (sums[e] - sums[f]) * self.inverse[f]
             at = upto
-        return mixed(out), first
+        return mixed(out)
 
     def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words, where each text's words begin, and the end)."""

@@ -13,17 +13,21 @@ import os
 import zlib
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import map_batches, texts_of
+from budgetlens.llm.common import WordHashes, chunks, map_batches, per_worker, spans, texts_of
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words and word parts whose ids a task remembers before it starts afresh.
-CACHE_PARTS = 600_000
-#: Letters or digits followed by signs: both encode on their own.
-TAIL = regex.compile(r"(.*[\p{L}\p{N}])([.,;:!?%*#$&|()\[\]\"/-]+)", regex.DOTALL)
+#: Bytes of text that are encoded at once, and word parts whose ids a task
+#: remembers before it starts afresh.
+CHUNK_BYTES, KNOWN_PARTS = 16 << 20, 2_000_000
+#: Parts that go through the tokenizer together.
+JOINED = 64
+#: ASCII signs that the tokenizer splits from a letter or digit before them.
+SIGN = np.zeros(256, bool)
+SIGN[list(b".,;:!?%*#$&|()[]\"/-")] = True
+ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 
 
 def tokenizer_path() -> str:
@@ -34,50 +38,102 @@ def tokenizer_path() -> str:
 
 class Encoder:
     """Ids of texts through a tokenizer whose tokens never cross white space.
-    Ids are remembered by word and by a word's stem and closing signs, which
-    the tokenizer's splitting keeps apart."""
+
+    Texts are cut into words, and words into a stem and closing signs, which
+    the tokenizer's splitting keeps apart. Each distinct part is encoded once,
+    and the ids of whole texts are gathered from the parts' ids.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.of: dict[bytes, tuple[int, ...]] = {}  # by word
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        parts, split, new = self.parts, {}, set()
-        if len(parts) > CACHE_PARTS:
-            parts.clear()
-        for word in words:
-            w = word.decode("utf-8", "replace")
-            m = TAIL.fullmatch(w)
-            split[word] = ps = m.groups() if m and "<|" not in w else (w,)
-            new.update(p for p in ps if p not in parts)
-        todo = list(new)
-        for k in range(0, len(todo), 20_000):
-            some = todo[k:k + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                parts[p] = tuple(e.ids)
-        for word, ps in split.items():
-            self.of[word] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.hashes = WordHashes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known parts
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store = np.zeros(0, np.uint32)
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each part's ids begin, how many they are)."""
+        plain = [k for k, p in enumerate(parts) if p.isalpha() and (p.isascii() or max(p) < "\u0100")]
+        first, size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        # Runs of plain letters are one word each, so several go in one text
+        # and are told apart by the ids that end a word.
+        alone = np.ones(len(parts), bool)
+        made, at = [], 0
+        for ks, several in ((plain, JOINED), (None, 1)):
+            ks = np.nonzero(alone)[0].tolist() if ks is None else ks
+            groups = [ks[k:k + several] for k in range(0, len(ks), several)]
+            texts = [" ".join([parts[k] for k in g]) for g in groups]
+            for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.nonzero(self.closes[ids])[0] + 1 if several > 1 else np.array([len(ids)])
+                if len(ends) == len(g) and ends[-1] == len(ids):
+                    size[g] = np.diff(ends, prepend=0)
+                    first[g] = at + ends - size[g]
+                    alone[g] = False
+                    made.append(ids)
+                    at += len(ids)
+        return (np.concatenate(made) if made else np.zeros(0, np.uint32)), first, size
+
+    def learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        store, first, size = self.encode(parts)
+        first += len(self.store)
+        self.store = np.concatenate((self.store, store))
+        keys = np.concatenate((self.keys, keys))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.first = np.concatenate((self.first, first))[order]
+        self.size = np.concatenate((self.size, size))[order]
 
     def ids(self, texts: list[str]):
         """The ids of each text, one text after the other."""
-        for k in range(0, len(texts), 512):
-            split = [t.encode("utf-8", "surrogatepass").split() for t in texts[k:k + 512]]
-            new = {w for ws in split for w in ws}.difference(self.of)
-            if new:
-                if len(self.of) + len(new) > CACHE_PARTS:
-                    self.of.clear()
-                    new = {w for ws in split for w in ws}
-                self.learn(new)
-            of = self.of
-            for words in split:
-                out: list[int] = []
-                for w in words:
-                    out += of[w]
-                yield out
+        for _, run in chunks(texts, None, CHUNK_BYTES):
+            raw = b"\n".join(run)
+            if b"<|" not in raw:  # special tokens are matched before letters are lower-cased
+                raw = raw.lower()
+            buf = np.frombuffer(raw, np.uint8)
+            first, end = self.cut(buf)
+            key = self.hashes.of_spans(buf, first, end)
+            some, where, back = np.unique(key, return_index=True, return_inverse=True)
+            if len(self.keys) + len(some) > KNOWN_PARTS:
+                self.forget()
+            new = np.ones(len(some), bool)
+            if len(self.keys):
+                new = self.keys[np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)] != some
+            if new.any():
+                w = where[new]
+                self.learn(some[new], [raw[a:b].decode("utf-8", "replace") for a, b in
+                                       zip(first[w].tolist(), end[w].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, some)[back]
+            size = self.size[at]
+            done = np.concatenate(([0], np.cumsum(size)))
+            ids = self.store[np.repeat(self.first[at] - done[:-1], size) + np.arange(done[-1])]
+            begins = np.cumsum([0, *(len(t) + 1 for t in run)])
+            edge = done[np.searchsorted(first, begins)].tolist()
+            for a, b in zip(edge, edge[1:], strict=False):
+                yield ids[a:b]
+
+    @staticmethod
+    def cut(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of the parts: words, cut before closing signs that follow an
+        ASCII letter or digit."""
+        first, end = spans(buf)
+        if not len(first):
+            return first, end
+        last = np.maximum.accumulate(np.where(SIGN[buf], -1, np.arange(len(buf))))  # the last byte that is no sign
+        tail = last[end - 1] + 1
+        has = (tail < end) & (tail > first)
+        has[has] = ALNUM[buf[tail[has] - 1]]
+        at = np.nonzero(has)[0]
+        return np.insert(first, at + 1, tail[at]), np.insert(end, at, tail[at])
 
 
 def pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -116,14 +172,10 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = 4096, end_id:
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket")
     if with_ids:
         schema, names = schema + ", ids array<int>", (*names, "ids")
-    held: list[Encoder] = []
-
     def run(batch):
-        if not held:
-            held.append(Encoder(path))
-        rows = []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), held[0].ids(texts_of(batch)), strict=True):
-            a = np.array([*ids, end_id], dtype="<u4")
+        encoder, rows = per_worker(f"encoder {path}", lambda: Encoder(path)), []
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(texts_of(batch)), strict=True):
+            a = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
             raw = memoryview(a).cast("B")
             for s, n in pieces(len(a), longest):
                 row = (doc_id, s, n, zlib.crc32(raw[4 * s:4 * (s + n)]), len(a), n.bit_length() - 1)
