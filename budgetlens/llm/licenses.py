@@ -94,54 +94,61 @@ def classes(templates, shingle: int, containment: float, miss: float) -> list[Cl
     return [Class(k, w, items, containment, miss) for (w, k), items in sorted(groups.items())]
 
 
-def retrieve(cls: Class, s: np.ndarray) -> set[tuple[int, int]]:
-    """(window start, item) pairs of which a band agrees; ``s``: all shingles."""
-    found: set[tuple[int, int]] = set()
+def retrieve(group: list[Class], s: np.ndarray):
+    """(class, window start, item) of the windows of which a band agrees;
+    ``group``: classes of one shingle width, ``s``: all shingles."""
     n = len(s)
+    found: set[tuple[int, int, int]] = set()
     if not n:
         return found
-    starts = np.arange(0, max(1, n - cls.span + cls.stride), cls.stride)
-    for b in range(cls.bands):
+    for b in range(max(c.bands for c in group)):
         p = permuted(s, b)
-        block = np.minimum.reduceat(p, np.arange(0, n, cls.stride))
-        low = block.copy()
-        for j in range(1, -(-cls.span // cls.stride)):
-            low[:-j or None] = np.minimum(low[:-j or None], block[j:]) if j < len(block) else low[:-j or None]
-        low = low[:len(starts)]
-        values, order = cls.tables[b]
-        at = np.searchsorted(values, low)
-        hit = np.nonzero(values[np.minimum(at, len(values) - 1)] == low)[0]
-        for w in hit.tolist():
-            j = int(at[w])
-            while j < len(values) and values[j] == low[w]:
-                found.add((int(starts[w]), int(order[j])))
-                j += 1
+        for k, cls in enumerate(group):
+            if b >= cls.bands:
+                continue
+            block = np.minimum.reduceat(p, np.arange(0, n, cls.stride)) if cls.stride > 1 else p
+            low = block.copy()
+            for j in range(1, min(-(-cls.span // cls.stride), len(block))):
+                np.minimum(low[:-j], block[j:], out=low[:-j])
+            values, order = cls.tables[b]
+            at = np.minimum(np.searchsorted(values, low), len(values) - 1)
+            for w in np.nonzero(values[at] == low)[0].tolist():
+                j = int(at[w])
+                while j < len(values) and values[j] == low[w]:
+                    found.add((k, w * cls.stride, int(order[j])))
+                    j += 1
     return found
 
 
-def find(h: np.ndarray, table: list[Class], containment: float):
-    """(template index, first word, end word, containment), the best window of
-    every run of overlapping windows. ``h``: the word hashes of a text."""
-    out = []
-    for cls in table:
-        if len(h) < cls.words:
-            continue
-        s = window_hashes(h, cls.words)
-        runs: dict[int, list] = {}
-        for start, item in sorted(retrieve(cls, s)):
+def find(h: np.ndarray, starts: np.ndarray, table: list[Class], containment: float):
+    """(text, template, first word, end word, containment), for every run of
+    overlapping windows the best one. ``h``: word hashes of several texts one
+    after the other; ``starts``: where each begins, and the end. A window that
+    reaches over several texts is verified in each of them."""
+    runs: dict[tuple[int, int], list] = {}
+    for width in sorted({c.words for c in table}):
+        group = [c for c in table if c.words == width]
+        s = window_hashes(h, width)
+        for k, start, item in sorted(retrieve(group, s), key=lambda x: (x[1], x[0], x[2])):
+            cls = group[k]
             i, t = cls.items[item]
             end = min(len(s), start + cls.span + cls.stride)
-            where = np.nonzero(np.isin(s[start:end], t))[0]
-            held = len(np.unique(s[start:end][where])) / len(t)
-            if held >= containment:
-                span = (start + int(where[0]), start + int(where[-1]) + cls.words, held)
-                last = runs.setdefault(i, [])
-                if last and span[0] < last[-1][1]:
-                    last[-1] = max(last[-1], span, key=lambda x: (x[2], -x[0]))
-                else:
-                    last.append(span)
-        out += [(i, *span) for i, spans in runs.items() for span in spans]
-    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+            d = int(np.searchsorted(starts, start, side="right")) - 1
+            while d < len(starts) - 1 and starts[d] < end:
+                a, b = max(start, int(starts[d])), min(end, int(starts[d + 1]) - width + 1)
+                if b > a:
+                    where = np.nonzero(np.isin(s[a:b], t))[0]
+                    held = len(np.unique(s[a:b][where])) / len(t)
+                    if held >= containment:
+                        base = int(starts[d])
+                        span = (a - base + int(where[0]), a - base + int(where[-1]) + width, held)
+                        last = runs.setdefault((d, i), [])
+                        if last and span[0] < last[-1][1]:
+                            last[-1] = max(last[-1], span, key=lambda x: (x[2], -x[0]))
+                        else:
+                            last.append(span)
+                d += 1
+    return sorted((d, i, *span) for (d, i), spans in runs.items() for span in spans)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = 5, containment: float = 0.8,
@@ -163,14 +170,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = 5, containment: fl
         ids = batch.column("doc_id").to_pylist()
         for begin, texts in chunks(texts_of(batch), fold):
             h, starts = cache.of_texts(texts)
-            for d in range(len(texts)):
-                best: dict[str, list] = {}
-                for i, a, b, held in find(h[starts[d]:starts[d + 1]], table, containment):
-                    hit = best.setdefault(names[i], [0, 0.0, 0, 0])
-                    hit[0] += 1
-                    if held > hit[1]:
-                        hit[1:] = [held, a, b]
-                rows += [(ids[begin + d], name, *hit) for name, hit in sorted(best.items())]
+            best: dict[tuple[int, str], list] = {}
+            for d, i, a, b, held in find(h, starts, table, containment):
+                hit = best.setdefault((d, names[i]), [0, 0.0, 0, 0])
+                hit[0] += 1
+                if (held, -a) > (hit[1], -hit[2]):
+                    hit[1:] = [held, a, b]
+            rows += [(ids[begin + d], name, *hit) for (d, name), hit in sorted(best.items())]
         return dict(zip(columns, zip(*rows, strict=True) if rows else [()] * 6, strict=True))
 
     return map_batches(pick, run, "doc_id long, license string, n_hits long, containment double, "
