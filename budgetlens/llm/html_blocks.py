@@ -181,7 +181,8 @@ def vectors(blocks: list[Block], names: dict[str, int]) -> np.ndarray:
         words = WORD.findall(b.text.lower())
         if words:
             at = [words_at[w] for w in words]
-            x[i, PATH_DIM:PATH_DIM + WORD_DIM] = np.bincount(at, minlength=WORD_DIM) / np.sqrt(len(words))
+            counts = np.bincount(at, minlength=WORD_DIM)
+            x[i, PATH_DIM:PATH_DIM + WORD_DIM] = counts / np.sqrt((counts * counts).sum())
         n = len(b.text)
         stops = b.text.count(".") + b.text.count(",")
         x[i, -N_RATIOS:] = (min(1.0, np.log1p(n) / 8), b.linked / n, min(1.0, 20 * stops / n), len(words) < 4,
@@ -376,7 +377,7 @@ class Composer:
         main = [self.leaf(MAIN_MARK, "h1", 2, 12)] if rng.random() < 0.85 else []
         for _ in range(n):
             tag = rng.choices(("p", "h2", "li", "blockquote", "td"), (20, 2, 2, 1, 1))[0]
-            low, high = rng.choice(((1, 3), (3, 20), (20, 120)))
+            low, high = rng.choice(((1, 3), (3, 20), (20, 120), (20, 120), (100, 500)))
             leaf = self.leaf(MAIN_MARK, tag, low, high)
             main.append({"li": f"<ul>{leaf}</ul>", "td": f"<table><tr>{leaf}</tr></table>"}.get(tag, leaf))
             if rng.random() < 0.04:
@@ -395,6 +396,10 @@ class Composer:
         after = [self.rest(k) for k in rng.sample(("comments", "side", "share", "advert", "menu"), rng.randint(0, 3))]
         if rng.random() < 0.75:
             after.append(self.rest("footer"))
+        if rng.random() < 0.1:  # nothing but main text, or next to nothing
+            before, after = [], after[:rng.randint(0, 1)]
+            if rng.random() < 0.4:
+                body = re.sub(r"<h1.*?</h1>", "", body, count=1)
         return "<html><body>" + "".join(before) + body + "".join(after) + "</body></html>"
 
 
@@ -407,12 +412,14 @@ def labelled(page: str) -> tuple[list[Block], np.ndarray]:
     return blocks, y
 
 
-def train(pages: DataFrame, sample: int = 200, composed: int = 700, epochs: int = 8) -> Lstm:
+def train(pages: DataFrame, sample: int = 200, composed: int = 1000, epochs: int = 12) -> Lstm:
     """A labeller from ``composed`` pages; their words come from the blocks of
     at most ``sample`` given pages, the ones whose page_id hashes lowest."""
-    rows = (pages.filter("html is not null").select(F.col("page_id").cast("long").alias("page_id"),
-                                                    F.substring("html", 1, 20_000).alias("html"))
-            .orderBy(F.xxhash64("page_id"), "html").limit(sample).collect())  # at most sample * 20,000 characters
+    ids = [r["id"] for r in pages.select(F.col("page_id").cast("long").alias("id")).filter("id is not null")
+           .distinct().orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    rows = (pages.filter(F.col("page_id").cast("long").isin(ids)).filter("html is not null")
+            .select(F.substring("html", 1, 20_000).alias("html"))
+            .orderBy(F.xxhash64("html"), "html").limit(sample).collect())  # at most sample * 20,000 characters
     words = sorted({w for r in rows for b in blocks_of(r["html"]) for w in b.text.split()[:60]})
     composer, names, data = Composer(words, 3), {}, []
     for _ in range(composed):

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import map_batches, texts_of
+from budgetlens.llm.common import map_batches, stored, texts_of
 
 #: Character classes: letter, digit, white space, sentence mark, symbol, upper case, other.
 N_CLASSES = 7
@@ -92,6 +92,13 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
     return float((a + b) / 2)
 
 
+def scatter(q: np.ndarray, n: int) -> float:
+    """About the divergence that ``n`` draws from the histogram ``q`` have from
+    it: an eighth of each bin's relative variance, at most half of its mass."""
+    q = q / q.sum()
+    return float(np.minimum((1 - q) / (8 * n * np.log(2)), q / 2).sum())
+
+
 def references(docs: DataFrame, top_words: int = 200, min_words: int = 2000,
                max_langs: int = 64) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
     """For every language with ``min_words`` words, the ``max_langs`` with most
@@ -136,6 +143,8 @@ def references(docs: DataFrame, top_words: int = 200, min_words: int = 2000,
             Window.partitionBy("lang", "kind"))) \
         .filter(F.col("rank") <= top_words) \
         .filter((F.col("kind") == "c") | (F.col("all_n") >= min_words))
+    # A row a language and common word; written, so that it is counted once.
+    final = stored(final.select("lang", "kind", "item", "n", "rank", "all_n"), "references")
     big = final.groupBy("lang").agg(F.max(F.when(F.col("kind") == "w", F.col("all_n"))).alias("size")) \
         .filter("size is not null").orderBy(F.desc("size"), "lang").limit(max_langs)
     rows = final.join(big, "lang").select("lang", "kind", "item", "n", "rank", "all_n") \
@@ -153,8 +162,7 @@ def references(docs: DataFrame, top_words: int = 200, min_words: int = 2000,
 
 
 def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.03,
-          max_word_divergence: float = 0.2, class_noise: float = 2.0, word_noise: float = 6.0,
-          top_words: int = 200) -> DataFrame:
+          max_word_divergence: float = 0.15, class_noise: float = 2.0, top_words: int = 200) -> DataFrame:
     """One row per document: base features, verdict and the divergences.
 
     ``base_failed``: fewer than ``min_words`` words, or more than half of the
@@ -162,8 +170,9 @@ def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.
     a document with at least ``min_words`` words is compared with its
     language's references (the closest ones if its language is null or has
     none) and kept when both divergences are within their limits. The histogram
-    of a short text scatters about its source's: its expected divergence has a
-    part in proportion to 1 / n_words, which the ``noise`` terms allow for.
+    of a short text scatters about its source's, so the limits grow by what
+    scatter alone gives: for classes ``class_noise`` / n_words, for words the
+    expected divergence of n_words draws from the reference itself.
 
     Defined cases: a null text counts as empty (all features 0, base failed);
     rows come back as often as they occur; without any reference (an empty
@@ -174,12 +183,13 @@ def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.
     pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").alias("text"))
 
-    def verdict(text: str, lang: str | None, n: int) -> tuple[float, float]:
+    def verdict(text: str, lang: str | None, n: int) -> tuple[float, float, float]:
+        """Class and word divergence, and the part of the latter that scatter gives."""
         if not refs or n < min_words:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         classes = char_classes(text)
         counts = Counter(text.lower().encode("utf-8", "surrogatepass").split())
-        best = (2.0, 0.0, 0.0)
+        best = (3.0, 0.0, 0.0, 0.0)
         for key in ([lang] if lang in refs else refs):
             ref_classes, ranks, ref_words = refs[key]
             seen = np.zeros(len(ref_words))
@@ -187,18 +197,17 @@ def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.
                 seen[r] = counts.get(w.encode("utf-8"), 0)
             seen[-1] = n - seen.sum()
             a, b = divergence(classes, ref_classes), divergence(seen, ref_words)
-            best = min(best, (a + b, a, b))
-        return best[1], best[2]
+            best = min(best, (a + b, a, b, scatter(ref_words, n)))
+        return best[1:]
 
     def run(batch):
         out = []
         for text, lang in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True):
             f = base_features(text)
             failed = f[0] < min_words or 100 * f[4] > 50 * f[0]
-            a, b = verdict(text, lang, f[0])
-            n = max(1, f[0])
-            kept = (not failed and a <= max_class_divergence + class_noise / n
-                    and b <= max_word_divergence + word_noise / n)
+            a, b, by_chance = verdict(text, lang, f[0])
+            kept = (not failed and a <= max_class_divergence + class_noise / max(1, f[0])
+                    and b <= max_word_divergence + by_chance)
             out.append((*f, failed, kept, a, b))
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  "base_failed", "kept", "class_divergence", "word_divergence")
