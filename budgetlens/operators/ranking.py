@@ -42,11 +42,19 @@ def top_k_ranked(df: DataFrame, spec: list[tuple[str, str]], k: int, out: str =
 
 def flag_top_k(df: DataFrame, key: str, spec: list[tuple[str, str]], k: int,
                out: str = "is_top") -> DataFrame:
-    """Mark the rows among the top ``k`` (T3 labels). The k keys are
-    broadcast back; their number is bounded by ``k``."""
-    top = top_k(df, spec, k).select(F.col(key).alias("_k"), F.lit(True).alias(out))
-    joined = df.join(F.broadcast(top), df[key] == F.col("_k"), "left").drop("_k")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    """Mark exactly the first ``k`` rows by ``spec`` (T3 labels); rows, not
+    keys: a key may occur several times. Rows that agree in the key and in all
+    sort columns are numbered, and as many of them are marked as the top ``k``
+    holds. The broadcast side has at most ``k`` rows."""
+    names = list(dict.fromkeys([key, *(name for name, _ in spec)]))
+    top = top_k(df, spec, k).groupBy(*[F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(names)]) \
+        .agg(F.count(F.lit(1)).alias("_marked"))
+    alike = Window.partitionBy(*[F.col(f"`{c}`") for c in names]).orderBy(F.lit(0))
+    numbered = df.withColumn("_nth", F.row_number().over(alike))
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(names)]
+    return numbered.join(F.broadcast(top), same, "left") \
+        .withColumn(out, F.coalesce(F.col("_nth") <= F.col("_marked"), F.lit(False))) \
+        .select(*df.columns, out)
 
 
 def close_polygon(ranked: DataFrame, rn: str = "rn", n: str | None = None) -> DataFrame:

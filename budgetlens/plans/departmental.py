@@ -39,7 +39,8 @@ def chart_data(src: Sources, totals: str = "exclude", ratio_mode: str = "recompu
         "sector_radar": rq.q4_sector_radar(D.sectors(src), totals),
         "monthly_budget_projects": rq.q5_monthly_budget_projects(months, totals),
         "district_heatmap": rq.q6_district_heatmap(D.districts(src), ratio_mode),
-        "training_vs_online": rq.q7_training_vs_online(months, "month"),
+        "training_vs_online": rq.q7_training_vs_online(
+            months, "month", totals if period in (None, (None, None)) else "exclude"),
         "district_boxplot": rq.q8_box_by_bin(D.districts(src), "implementation_percentage",
                                              "budget_allocation", IMPLEMENTATION_BINS),
         "district_correlation": rq.q9_district_correlation(D.districts(src)),

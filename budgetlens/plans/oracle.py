@@ -183,7 +183,7 @@ FROM d"""
 
 SQL["training_vs_online"] = f"""
 WITH {DAYS}
-SELECT day, training_sessions, online_service_hits FROM a WHERE day < (SELECT max(day) FROM a)"""
+SELECT day, training_sessions, online_service_hits FROM a"""
 
 SQL["balance_boxplot"] = f"""
 WITH pc AS (SELECT o_custkey, sum({dec('o_totalprice')}) AS spend FROM orders GROUP BY o_custkey),
@@ -496,13 +496,11 @@ SQL["report_prompt"] = _report_prompt_sql()
 # ------------------------------------------------------------- streaming
 
 SQL["activity_windows_stream"] = """
-WITH e AS (SELECT date_trunc('day', ts) AS ws, event_type, value FROM events),
-m AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events)
+WITH e AS (SELECT date_trunc('day', ts) AS ws, event_type, value FROM events)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
        event_type, count(*) AS n, cast(sum(cast(value as decimal(18,2))) as double) AS value_sum
-FROM e, m WHERE ws + INTERVAL 1 DAY <= wm
-GROUP BY ws, event_type"""
+FROM e GROUP BY ws, event_type"""
 
 SQL["events_bronze"] = """
 SELECT event_type, count(*) AS n, cast(sum(cast(value as decimal(18,2))) as double) AS value_sum

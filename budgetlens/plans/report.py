@@ -160,13 +160,10 @@ def fallback_narrative(kpis: DataFrame) -> DataFrame:
     return kpis.select(text.alias("report_text"))
 
 
-def json_context(doc: DataFrame, limit: int = 500, indent_note: str = "JSON data available") -> DataFrame:
-    """The JSON document as prompt text (S11): pretty-printed when its compact
-    form is shorter than ``limit`` characters, else a fixed note."""
-    compact = F.to_json(F.struct(*[F.col(f"`{c}`") for c in doc.columns]))
+def json_context(doc: DataFrame) -> DataFrame:
+    """The whole JSON document as prompt text (S11), pretty-printed."""
     pretty = F.to_json(F.struct(*[F.col(f"`{c}`") for c in doc.columns]), {"pretty": "true"})
-    return doc.select(F.when(F.length(compact) < limit, pretty).otherwise(F.lit(indent_note))
-                      .alias("json_text"))
+    return doc.select(pretty.alias("json_text"))
 
 
 # ------------------------------------------------------------- X2, Q22

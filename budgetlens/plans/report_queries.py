@@ -32,7 +32,7 @@ from budgetlens.operators.ranking import (close_polygon, every_nth, flag_top_k,
                                           top_k_ranked, with_rank)
 from budgetlens.operators.series import drop_last, drop_last_if_summary, lookup_first
 from budgetlens.operators.stats import box_summary, correlation_pairs, with_trend
-from budgetlens.operators.totals import apply_totals, summary_or_sum
+from budgetlens.operators.totals import TOTAL, apply_totals, check_mode, summary_or_sum
 
 RATIO_MODES = ("recompute", "sum")
 
@@ -115,11 +115,16 @@ def q6_district_heatmap(districts: DataFrame, ratio_mode: str = "recompute") ->
                .orderBy(F.col("budget_allocation").desc(), "district")
 
 
-def q7_training_vs_online(activity: DataFrame, key: str) -> DataFrame:
-    """Q7: per period training sessions and service hits, without the last
-    period (the reference drops the last row by position)."""
-    # One row per period: the window over the series is bounded by its length.
-    return drop_last(activity, "ord", small=True).select(key, "training_sessions", "online_service_hits")
+def q7_training_vs_online(activity: DataFrame, key: str, totals: str = "exclude") -> DataFrame:
+    """Q7: per period training sessions and service hits. A summary row is
+    dropped by its name, so no real period is lost; ``as_is`` drops the last
+    row by position, whatever it is."""
+    if check_mode(totals) == "as_is":
+        # One row per period: the window over the series is bounded by its length.
+        activity = drop_last(activity, "ord", small=True)
+    else:
+        activity = activity.filter(~F.col(key).cast("string").eqNullSafe(F.lit(TOTAL)))
+    return activity.select(key, "training_sessions", "online_service_hits")
 
 
 def q8_box_by_bin(df: DataFrame, x: str, value: str, bins: Bins, exact: bool = True) -> DataFrame:

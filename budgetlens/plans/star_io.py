@@ -15,7 +15,7 @@ def table_files(spark, sf_dir) -> DataFrame:
 
 
 def activity_windows_stream(spark, sf_dir) -> DataFrame:
-    """R2: closed daily windows per event type from a stream over events."""
+    """R2: daily windows per event type from a stream over events."""
     return activity_windows(spark, sf_dir)
 
 
@@ -25,7 +25,6 @@ def events_bronze(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "table_files": table_files,
     "activity_windows_stream": activity_windows_stream,
     "events_bronze": events_bronze,
 }

@@ -83,12 +83,15 @@ def materialize(df, name: str):
     return df.sparkSession.read.parquet(path)
 
 
-def spread_for_cpu(df, min_partitions: int | None = None):
-    """For CPU-heavy per-row work (whole-text operators): make sure the rows
-    are spread over every core. A scan's partition count does not show how
-    rows are placed (a file with one row group reports several partitions
-    but fills one), so inputs with fewer than twice the cluster's cores in
-    partitions are redistributed round-robin; large inputs, with thousands of
-    partitions, pass through without a shuffle."""
-    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+#: Session setting: partitions over which whole-text queries deal their rows.
+TEXT_PARTITIONS = "budgetlens.text.partitions"
+
+
+def spread_for_cpu(df, partitions: int | None = None):
+    """For CPU-heavy per-row work (whole-text operators): deal the rows round-robin
+    over ``partitions``, or over the number in the session setting
+    ``budgetlens.text.partitions``. Without either the scan's own partitions
+    stay. The choice is the caller's, never the input's size: it pays where a
+    few files with one row group each would leave cores idle."""
+    n = partitions or int(df.sparkSession.conf.get(TEXT_PARTITIONS, "0"))
+    return df.repartition(n) if n else df

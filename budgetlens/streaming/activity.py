@@ -5,9 +5,9 @@ table; rows that fail to parse go to a quarantine table. Each micro-batch is
 written with ``foreachBatch`` into its own ``batch_id`` partition (dynamic
 overwrite), so together with the checkpoint a re-run batch is idempotent.
 
-R2 ``activity_windows``: tumbling event-time windows per event type with a
-watermark bounding late data; in append mode a window is emitted once the
-watermark passes its end, so the still-open last windows are not emitted.
+R2 ``activity_windows``: tumbling event-time windows per event type. All
+windows are kept (one row a window and type), each run rewrites the table
+with every window so far, and a late row of any age still counts.
 
 Checkpoints and outputs live under the shared checkpoint folder
 (``spark.checkpoint.dir``), never on a machine-local path of a cluster.
@@ -49,10 +49,10 @@ def utc_wall_clock_text(c):
     return F.date_format(ntz, "yyyy-MM-dd HH:mm:ss")
 
 
-def window_counts(events: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
+def window_counts(events: DataFrame, window: str = "1 day") -> DataFrame:
     """Per (window, event type): events and summed value (exact, DECIMAL).
     ``ts`` must be a TIMESTAMP."""
-    w = events.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "event_type")
+    w = events.groupBy(F.window("ts", window).alias("w"), "event_type")
     return w.agg(F.count(F.lit(1)).alias("n"),
                  F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"))
 
@@ -71,19 +71,27 @@ def _start_with_state_partitions(spark: SparkSession, writer, n: int | None):
 
 
 def activity_windows(spark: SparkSession, source_dir: str, glob: str = "events.parquet",
-                     window: str = "1 day", watermark: str = "1 day",
-                     state_partitions: int | None = None) -> DataFrame:
-    """Run R2 over the files present now (``availableNow``) into Parquet
-    and return the closed windows as a DataFrame."""
+                     window: str = "1 day", state_partitions: int | None = None,
+                     files_per_batch: int | None = None) -> DataFrame:
+    """Run R2 over the files present now (``availableNow``) into Parquet and
+    return all windows. ``files_per_batch`` only cuts the work into smaller
+    batches: in complete mode no row is late, so the result does not depend
+    on how files fall into batches."""
     out, ckpt = scratch_path(spark, "activity-windows"), scratch_path(spark, "activity-windows-ckpt")
-    stream = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", 1000).parquet(source_dir))
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(source_dir)
     stream = stream.withColumn("ts", wall_clock_as_utc("ts"))
-    agg = window_counts(stream, window, watermark).select(
+    agg = window_counts(stream, window).select(
         utc_wall_clock_text(F.col("w.start")).alias("window_start"),
         utc_wall_clock_text(F.col("w.end")).alias("window_end"),
         "event_type", "n", F.col("value_sum").cast("double").alias("value_sum"))
-    writer = (agg.writeStream.outputMode("append").format("parquet").option("path", out)
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    writer = (agg.writeStream.outputMode("complete").foreachBatch(replace)
               .option("checkpointLocation", ckpt).trigger(availableNow=True))
     q = _start_with_state_partitions(spark, writer, state_partitions)
     q.awaitTermination()
@@ -93,13 +101,17 @@ def activity_windows(spark: SparkSession, source_dir: str, glob: str = "events.p
 
 def ingest_files(spark: SparkSession, source_dir: str, schema: T.StructType, fmt: str = "csv",
                  bronze: str | None = None, quarantine: str | None = None,
-                 options: dict[str, str] | None = None) -> tuple[str, str]:
+                 options: dict[str, str] | None = None, checkpoint: str | None = None) -> tuple[str, str]:
     """Append every new file of ``source_dir`` to ``bronze``; records
     that fail to parse go to ``quarantine`` with their raw text. Runs the
-    files available now and returns the two table paths."""
+    files available now and returns the two table paths.
+
+    The checkpoint belongs to the bronze table (beside it, unless another is
+    given): a later run into the same table takes only new files and goes on
+    numbering its batches, so earlier partitions stay."""
     bronze = bronze or scratch_path(spark, "bronze")
-    quarantine = quarantine or scratch_path(spark, "quarantine")
-    ckpt = scratch_path(spark, "ingest-ckpt")
+    quarantine = quarantine or f"{bronze.rstrip('/')}-quarantine"
+    ckpt = checkpoint or f"{bronze.rstrip('/')}-checkpoint"
     full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     reader = spark.readStream.schema(full).format(fmt).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -113,10 +125,13 @@ def ingest_files(spark: SparkSession, source_dir: str, schema: T.StructType, fmt
         # appending them twice.
         batch = batch.withColumn("batch_id", F.lit(batch_id))
         bad = F.col("_corrupt_record").isNotNull()
+        # Read the batch's files once for both tables.
+        batch = batch.persist()
         for df, path in ((batch.filter(~bad).drop("_corrupt_record"), bronze),
                          (batch.filter(bad).select("source_file", "batch_id", "_corrupt_record"), quarantine)):
             (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy("batch_id").parquet(path))
+        batch.unpersist()
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

@@ -167,7 +167,9 @@ def test_departmental_report(spark):
     g = out["blocks"].filter("title = 'kpi_grievance'").collect()[0].body
     assert "| 128 | 126 |" in g           # received / resolved of Apr-Sep
     p = out["prompt"].collect()[0].prompt
-    assert "JSON data available" in p and "REQUIRED REPORT SECTIONS:" in p
+    assert "JSON data available" not in p and "REQUIRED REPORT SECTIONS:" in p
+    assert p.split("JSON Data:")[1].lstrip().startswith("{") and "KeyAchievements" in p
+    assert [r.month for r in out["training_vs_online"].collect()][-1] == "Sep-2023"
     assert "Budget Announcements" in p
     s = out["sections"].collect()[0]
     assert len(s.executive_summary) >= 50

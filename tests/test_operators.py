@@ -175,3 +175,13 @@ def test_hot_group_spans_partitions(spark):
     finally:
         spark.conf.set(key, old)
         spark.conf.set(coalesce, old_c)
+
+
+def test_flag_top_k_marks_rows_not_keys(spark):
+    rows = [("x", 9), ("x", 1), ("x", 8), ("y", 8), ("y", 8), (None, None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    for k in range(7):
+        got = ranking.flag_top_k(df, "k", [("v", "desc"), ("k", "asc")], k).collect()
+        assert len(got) == len(rows) and sum(r.is_top for r in got) == min(k, len(rows))
+    got = ranking.flag_top_k(df, "k", [("v", "desc"), ("k", "asc")], 2).collect()
+    assert sorted((r.k, r.v) for r in got if r.is_top) == [("x", 8), ("x", 9)]
