@@ -83,23 +83,24 @@ def scalar_row(one_row: DataFrame) -> Column:
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row
     through a scalar subquery (no cross join, no single-partition window)."""
-    s = scalar_row(scalars)
-    return df.withColumns({c: s[c] for c in scalars.columns})
+    # Two projections: the subquery is planned once, not once per column.
+    step = df.select("*", scalar_row(scalars).alias("_s"))
+    return step.withColumns({c: F.col("_s")[c] for c in scalars.columns}).drop("_s")
 
 
 def normalise_to_max(df: DataFrame, measures: dict[str, str],
-                     group: list[str] | None = None, few_groups: bool = False) -> DataFrame:
+                     group: list[str] | None = None) -> DataFrame:
     """``out = measure / max(measure) * 100`` for each ``{measure: out}``
     (A11, W2), over the whole frame or per ``group``.
 
     The maxima are an aggregate, not a window: a window partitioned by the
     group would move each group, however large, into one task. Per-group
-    maxima are joined back on the group key (broadcast only when the caller
-    states the groups are few)."""
+    maxima are joined back on the group key (Catalyst broadcasts them when
+    they are small)."""
     aggs = [F.max(as_double(m)).alias(f"_max_{i}") for i, m in enumerate(measures)]
     if group:
         maxes = df.groupBy(*group).agg(*aggs)
-        joined = df.join(F.broadcast(maxes) if few_groups else maxes, group)
+        joined = df.join(maxes, group)
     else:
         joined = attach_scalars(df, df.agg(*aggs))
     for i, (m, out) in enumerate(measures.items()):

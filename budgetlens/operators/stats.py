@@ -2,10 +2,10 @@
 
 Exact quantiles are computed by rank, not with the ``percentile`` aggregate:
 ``percentile`` keeps every distinct value of a group in one task, which a
-group holding a third of all rows would not survive. Instead the values are
-sorted globally (range partitioning spreads even a single hot group over
-many tasks), each row gets its rank inside its group from per-partition
-counts, and only the two rows around each requested rank are kept.
+group holding a third of all rows would not survive. Instead equal values are
+counted first (the partial aggregate collapses a hot value in every task), the
+distinct (group, value) pairs are range-partitioned (a hot group spreads over
+many tasks), and only the slices that hold a requested rank are numbered.
 ``percentile_approx`` is offered for a bounded-memory sketch.
 """
 
@@ -19,68 +19,68 @@ from budgetlens.operators.aggregate import attach_scalars
 
 BOX_PROBS = (0.25, 0.5, 0.75)
 
+#: Rows that one array holds when counted values are written out again.
+EXPAND_CHUNK = 4096
 
-def ranked_within_group(df: DataFrame, group: str, value: str,
-                        few_groups: bool = True) -> DataFrame:
-    """``(g, v, rank, sort_partition)`` with rank 0..n-1 by value inside
-    each group, and the sort partition that held the row.
 
-    The sort is global: rows of one group may span many partitions. The
-    rank is the number of group rows in earlier partitions plus the row's
-    position inside its partition. ``monotonically_increasing_id`` gives that
-    position (its lower 33 bits count rows within the partition, in sorted
-    order, as it is evaluated right after the sort). The sorted slice (group,
-    value, partition, position) is written once to the shared checkpoint
-    folder, so both of its readers see the same positions and a lost
-    executor does not force a re-sort.
+def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``(g, v, c)``: the occurrences of each non-null value in each non-null group."""
+    return (df.select(F.col(group).alias("g"), as_double(value).alias("v"))
+              .filter(F.col("g").isNotNull() & F.col("v").isNotNull())
+              .groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
 
-    The per-(partition, group) table has at most partitions + groups rows;
-    with ``few_groups`` (groups are bins given by the caller) it is broadcast.
+
+def sorted_value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``(g, v, c, pid)``: how often each value occurs in each group, and the
+    range partition (by group, then value) that holds the pair.
+
+    Null groups and values are left out. A repeated value is one row however
+    often it occurs, so no value and no group can fill a partition. The table is
+    written once to the shared checkpoint folder: all its readers see the
+    same partitions, and a lost executor does not force another sort.
     """
     from budgetlens.session import materialize
 
-    d = (df.select(F.col(group).alias("g"), as_double(value).alias("v"))
-           .filter(F.col("g").isNotNull() & F.col("v").isNotNull()))
-    s = (d.repartitionByRange("g", "v").sortWithinPartitions("g", "v")
-          .withColumn("pid", F.spark_partition_id())
-          .withColumn("row_in_part", F.monotonically_increasing_id()
-                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    s = materialize(s, "quantile-ranks")
-    slices = s.groupBy("pid", "g").agg(F.min("row_in_part").alias("first_row"),
-                                       F.count(F.lit(1)).alias("slice_n"))
-    w = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("offset", F.coalesce(F.sum("slice_n").over(w), F.lit(0)))
-    slices = slices.select("pid", "g", "first_row", "offset")
-    ranked = s.join(F.broadcast(slices) if few_groups else slices, ["pid", "g"])
-    return ranked.select("g", "v", (F.col("offset") + F.col("row_in_part") - F.col("first_row")).alias("rank"),
-                         F.col("pid").alias("sort_partition"))
-
-
-def exact_quantiles(df: DataFrame, group: str, value: str,
-                    probs: tuple[float, ...] = BOX_PROBS, few_groups: bool = True,
-                    ranked: DataFrame | None = None) -> DataFrame:
+    placed = _counted(df, group, value).repartitionByRange("g", "v").withColumn("pid", F.spark_partition_id())
+    return materialize(placed, "value-counts")
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, probs: tuple[float, ...] = BOX_PROBS,
+                    counts: DataFrame | None = None) -> DataFrame:
     """``(g, n, q_0, q_1, ...)``: linear-interpolation quantiles (numpy's
     default, DuckDB's ``quantile_cont``) of ``value`` per ``group``.
-    ``ranked``: the output of :func:`ranked_within_group`, if already built."""
-    ranked = ranked if ranked is not None else ranked_within_group(df, group, value, few_groups)
-    counts = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    # For each group and probability: h = (n-1)p, needs ranks floor(h), floor(h)+1.
-    prob_list = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p"))
-                          for i, p in enumerate(probs)])
-    targets = (counts.select("*", F.explode(prob_list).alias("_q")).select("*", "_q.qi", "_q.p").drop("_q")
-                     .withColumn("h", (F.col("n") - 1) * F.col("p"))
-                     .withColumn("lo_rank", F.floor("h").cast("long"))
-                     .withColumn("hi_rank", F.least(F.col("lo_rank") + 1, F.col("n") - 1))
-                     .withColumn("frac", F.col("h") - F.col("lo_rank")))
-    needed = targets.select("g", F.explode(F.array("lo_rank", "hi_rank")).alias("rank")).distinct()
-    picked = ranked.join(needed, ["g", "rank"], "left_semi")
-    lo = picked.select("g", F.col("rank").alias("lo_rank"), F.col("v").alias("v_lo"))
-    hi = picked.select("g", F.col("rank").alias("hi_rank"), F.col("v").alias("v_hi"))
-    q = (targets.join(lo, ["g", "lo_rank"]).join(hi, ["g", "hi_rank"])
-                .withColumn("q", F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))))
-    wide = q.groupBy("g", "n").agg(*[F.max(F.when(F.col("qi") == i, F.col("q"))).alias(f"q_{i}")
-                                     for i in range(len(probs))])
-    return wide
+    ``counts``: the output of :func:`sorted_value_counts`, if already built."""
+    counts = counts if counts is not None else sorted_value_counts(df, group, value)
+    # One row per (group, partition): the ranks before it and the group's size.
+    by_group = Window.partitionBy("g")
+    before = by_group.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (counts.groupBy("g", "pid").agg(F.sum("c").alias("slice_n"))
+              .select("g", "pid", "slice_n", F.sum("slice_n").over(by_group).alias("n"),
+                      F.coalesce(F.sum("slice_n").over(before), F.lit(0)).alias("first")))
+
+    def ranks(p: float):
+        h = (F.col("n") - 1) * F.lit(float(p))
+        low = F.floor(h).cast("long")
+        return h - low, low, F.least(low + 1, F.col("n") - 1)
+
+    needed = F.lit(False)
+    for p in probs:
+        for r in ranks(p)[1:]:
+            needed = needed | ((r >= F.col("first")) & (r < F.col("first") + F.col("slice_n")))
+    # Only these slices are numbered: two a probability at most.
+    within = Window.partitionBy("g", "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = (counts.join(slices.filter(needed), ["g", "pid"])
+            .withColumn("end", F.col("first") + F.sum("c").over(within))
+            .withColumn("start", F.col("end") - F.col("c")))
+
+    def at(r):
+        return F.max(F.when((r >= F.col("start")) & (r < F.col("end")), F.col("v")))
+
+    picked = rows.groupBy("g", "n").agg(*[at(r).alias(f"_{side}_{i}") for i, p in enumerate(probs)
+                                          for side, r in zip(("lo", "hi"), ranks(p)[1:])])
+    return picked.select("g", "n", *[
+        (F.col(f"_lo_{i}") + ranks(p)[0] * (F.col(f"_hi_{i}") - F.col(f"_lo_{i}"))).alias(f"q_{i}")
+        for i, p in enumerate(probs)])
 
 
 def approx_quantiles(df: DataFrame, group: str, value: str,
@@ -93,46 +93,54 @@ def approx_quantiles(df: DataFrame, group: str, value: str,
     return out.select("g", "n", *[F.col("_q")[i].alias(f"q_{i}") for i in range(len(probs))])
 
 
+def _fences(summary: DataFrame) -> DataFrame:
+    iqr = F.col("q3") - F.col("q1")
+    return summary.select("g", (F.col("q1") - 1.5 * iqr).alias("lo_fence"),
+                          (F.col("q3") + 1.5 * iqr).alias("hi_fence"))
+
+
 def box_summary(df: DataFrame, group: str, value: str, exact: bool = True,
-                few_groups: bool = True) -> DataFrame:
+                counts: DataFrame | None = None) -> DataFrame:
     """Per group: n, Q1, median, Q3, whiskers and outlier count.
 
     Whiskers are the most extreme values inside ``[Q1 - 1.5 IQR, Q3 + 1.5
-    IQR]`` (matplotlib's rule); outliers are the values outside. With
-    ``few_groups`` (groups are caller-given bins) the per-group fences are
-    broadcast to the rows, so a hot group is never shuffled to one task. In
-    exact mode the whiskers are computed from the same written (group,
-    value) slice the quantiles came from, so the input is evaluated once.
+    IQR]`` (matplotlib's rule); outliers are the values outside. In exact
+    mode quantiles and whiskers come from the same written value counts
+    (``counts``, if the caller has them), so the input is evaluated once.
+    The join with the per-group fences is left to Catalyst, which broadcasts
+    them when they are small.
     """
     if exact:
-        ranked = ranked_within_group(df, group, value, few_groups)
-        qs = exact_quantiles(df, group, value, few_groups=few_groups, ranked=ranked)
-        d = ranked.select("g", "v")
+        d = counts if counts is not None else sorted_value_counts(df, group, value)
+        qs = exact_quantiles(df, group, value, counts=d)
     else:
+        d = _counted(df, group, value)
         qs = approx_quantiles(df, group, value)
-        d = df.select(F.col(group).alias("g"), as_double(value).alias("v")).filter(F.col("v").isNotNull())
     qs = qs.select("g", "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
                    F.col("q_2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    fences = qs.select("g", (F.col("q1") - 1.5 * iqr).alias("lo_fence"),
-                       (F.col("q3") + 1.5 * iqr).alias("hi_fence"))
-    inside = (F.col("v") >= F.col("lo_fence")) & (F.col("v") <= F.col("hi_fence"))
-    whiskers = (d.join(F.broadcast(fences) if few_groups else fences, "g")
-                 .groupBy("g")
-                 .agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-                      F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-                      F.count(F.when(~inside, F.lit(1))).alias("n_outliers")))
-    return qs.join(whiskers, "g", "left")
-
-
-def box_outliers(df: DataFrame, group: str, value: str, summary: DataFrame) -> DataFrame:
-    """The outlying values themselves: ``(g, v)``."""
-    iqr = F.col("q3") - F.col("q1")
-    fences = summary.select("g", (F.col("q1") - 1.5 * iqr).alias("lo_fence"),
-                            (F.col("q3") + 1.5 * iqr).alias("hi_fence"))
-    d = df.select(F.col(group).alias("g"), as_double(value).alias("v")).filter(F.col("v").isNotNull())
-    out = d.join(F.broadcast(fences), "g")
-    return out.filter((F.col("v") < F.col("lo_fence")) | (F.col("v") > F.col("hi_fence"))).select("g", "v")
+    inside = (F.col("v") >= F.col("q1") - 1.5 * iqr) & (F.col("v") <= F.col("q3") + 1.5 * iqr)
+    # The statistics ride along, so no second join brings them back.
+    stats = ("n", "q1", "median", "q3")
+    return (d.select("g", "v", "c").join(qs, "g").groupBy("g", *stats)
+             .agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
+                  F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+                  F.coalesce(F.sum(F.when(~inside, F.col("c"))), F.lit(0)).alias("n_outliers")))
+
+
+def box_outliers(df: DataFrame, group: str, value: str, summary: DataFrame,
+                 counts: DataFrame | None = None) -> DataFrame:
+    """The outlying values themselves, one row for each occurrence:
+    ``(g, v)`` (A14). ``counts`` as in :func:`box_summary`."""
+    d = counts if counts is not None else _counted(df, group, value)
+    out = d.join(_fences(summary), "g").filter((F.col("v") < F.col("lo_fence")) |
+                                               (F.col("v") > F.col("hi_fence")))
+    # A count becomes rows again in two steps, so no array is long.
+    chunk = F.lit(EXPAND_CHUNK)
+    parts = out.select("g", "v", F.col("c"), F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / chunk)))
+                       .alias("part"))
+    size = F.least(chunk, F.col("c") - F.col("part") * chunk)
+    return parts.select("g", "v", F.explode(F.array_repeat(F.lit(0), size.cast("int"))).alias("_")).drop("_")
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], names: list[str] | None = None,

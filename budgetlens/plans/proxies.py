@@ -32,7 +32,7 @@ on actual sizes).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from budgetlens.functions.safe import cents, row_pct, units_sum, units_to_double
@@ -64,8 +64,12 @@ def lines_by_order(t: Tables) -> DataFrame:
     )
 
 
-def lines_by_part(t: Tables) -> DataFrame:
+def lines_by_part(t: Tables, parts: DataFrame | None = None) -> DataFrame:
+    """Line measures per part; with ``parts`` only lines of those parts are
+    aggregated (a semi join below the aggregate)."""
     li = t.lineitem
+    if parts is not None:
+        li = li.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     return li.groupBy("l_partkey").agg(
         units_sum(cents("l_extendedprice")).alias("alloc"),
         units_sum(line_utilization_units()).alias("util"),
@@ -113,10 +117,15 @@ def district_fact(t: Tables) -> DataFrame:
     )
 
 
-def part_fact(t: Tables) -> DataFrame:
-    """One row per part with its line measures (money as exact integer units)."""
+def part_fact(t: Tables, where: Column | None = None) -> DataFrame:
+    """One row per part with its line measures (money as exact integer units);
+    ``where`` keeps some parts and reaches the lines as a semi join."""
     part = t.part.select("p_partkey", "p_name", "p_type", "p_brand")
-    return part.join(lines_by_part(t), F.col("p_partkey") == F.col("l_partkey"), "left")
+    lines = lines_by_part(t)
+    if where is not None:
+        part = part.filter(where)
+        lines = lines_by_part(t, part.select("p_partkey"))
+    return part.join(lines, F.col("p_partkey") == F.col("l_partkey"), "left")
 
 
 def group_fact(parts: DataFrame, key: str, out_key: str) -> DataFrame:

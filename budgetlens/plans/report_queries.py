@@ -133,7 +133,7 @@ def q8_box_by_bin(df: DataFrame, x: str, value: str, bins: Bins, exact: bool = T
     pairing)."""
     binned = df.select(bins.ordinal(x).alias("bin_ord"), F.col(value).alias("_v")) \
                .filter(F.col("bin_ord").isNotNull())
-    stats = box_summary(binned, "bin_ord", "_v", exact=exact, few_groups=True) \
+    stats = box_summary(binned, "bin_ord", "_v", exact=exact) \
         .withColumnRenamed("g", "bin_ord")
     table = bins.table(df.sparkSession).select("bin_ord", "bin")
     out = table.join(stats, "bin_ord", "left")

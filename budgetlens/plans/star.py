@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from budgetlens.functions.safe import as_double
 from budgetlens.operators.binning import Bins
-from budgetlens.operators.stats import box_outliers, box_summary
+from budgetlens.operators.stats import box_outliers, box_summary, sorted_value_counts
 from budgetlens.plans import proxies
 from budgetlens.plans import report_queries as rq
 from budgetlens.session import materialize
@@ -83,7 +83,8 @@ def completion_status(spark, sf_dir):
 
 
 def egov_progress(spark, sf_dir):
-    q = rq.q3_item_progress(items(_t(spark, sf_dir)), EGOV_SECTION)
+    section = proxies.part_fact(_t(spark, sf_dir), F.col("p_type") == EGOV_SECTION)
+    q = rq.q3_item_progress(items_from(section), EGOV_SECTION)
     return q.withColumnRenamed("ord", "item_key")
 
 
@@ -117,11 +118,11 @@ def balance_boxplot(spark, sf_dir):
 
 def balance_outliers(spark, sf_dir):
     """The box plot's outlier points per balance band."""
-    values = materialize(proxies.customer_values(_t(spark, sf_dir)), "fact-customer-values")
-    binned = values.select(BALANCE_BINS.ordinal("c_acctbal").alias("bin_ord"), "order_value") \
-                   .filter(F.col("bin_ord").isNotNull())
-    summary = box_summary(binned, "bin_ord", "order_value")
-    out = box_outliers(binned, "bin_ord", "order_value", summary)
+    values = proxies.customer_values(_t(spark, sf_dir))
+    binned = values.select(BALANCE_BINS.ordinal("c_acctbal").alias("bin_ord"), "order_value")
+    counts = sorted_value_counts(binned, "bin_ord", "order_value")
+    summary = box_summary(binned, "bin_ord", "order_value", counts=counts)
+    out = box_outliers(binned, "bin_ord", "order_value", summary, counts)
     return out.select(F.col("g").alias("bin_ord"), F.col("v").alias("order_value"))
 
 
@@ -161,9 +162,12 @@ def kpi_projects(spark, sf_dir):
 
 def kpi_egov(spark, sf_dir):
     t = _t(spark, sf_dir)
-    parts = materialize(proxies.part_fact(t), "fact-parts")
-    q = rq.q15_kpi_egov(sectors_from(parts), proxies.activity_series(t), items_from(parts),
-                        EGOV_SECTOR, EGOV_SECTION, EOFFICE_ITEM, period_key="day")
+    sector = F.col("p_brand") == EGOV_SECTOR
+    item = (F.col("p_type") == EGOV_SECTION) & (F.col("p_name") == EOFFICE_ITEM)
+    parts = materialize(proxies.part_fact(t, sector | item), "fact-egov-parts")
+    q = rq.q15_kpi_egov(sectors_from(parts.filter(sector)), proxies.activity_series(t),
+                        items_from(parts.filter(item)), EGOV_SECTOR, EGOV_SECTION, EOFFICE_ITEM,
+                        period_key="day")
     return q.withColumn("mean_hits", r6("mean_hits"))
 
 

@@ -60,7 +60,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext._jsc.sc().conf().get("spark.checkpoint.dir", "") or None
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="budgetlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)

@@ -151,9 +151,9 @@ def test_in_period(spark):
     assert strict == ["Mar-2023"]
 
 
-def test_hot_group_spans_partitions(spark):
-    """A group with a third of all rows is spread over several sort
-    partitions (never gathered into one task) and its quantiles stay exact."""
+def test_hot_group_and_hot_value_span_partitions(spark):
+    """A group with a third of all rows, and a value that fills a third of
+    them, are spread evenly over the sort partitions; quantiles stay exact."""
     key, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
     old, old_c = spark.conf.get(key), spark.conf.get(coalesce)
     spark.conf.set(key, "8")
@@ -162,14 +162,16 @@ def test_hot_group_spans_partitions(spark):
     spark.conf.set(coalesce, "false")
     try:
         n = 30000
+        v = F.when(F.col("id") % 9 < 3, F.lit(50000)).otherwise((F.col("id") * 7919) % 100003)
         df = spark.range(n).select(
             F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 97).cast("string")).alias("g"),
-            ((F.col("id") * 7919) % 100003).cast("double").alias("v"))
-        ranked = stats.ranked_within_group(df, "g", "v")
-        spread = ranked.filter("g = 'hot'").select("sort_partition").distinct().count()
-        assert spread >= 2
-        hot = np.array([float((i * 7919) % 100003) for i in range(0, n, 3)])
-        q = {r.g: r for r in stats.exact_quantiles(df, "g", "v", few_groups=False).collect()}["hot"]
+            v.cast("double").alias("v"))
+        counts = stats.sorted_value_counts(df, "g", "v")
+        assert counts.filter("g = 'hot'").select("pid").distinct().count() >= 2
+        sizes = [r["count"] for r in counts.groupBy("pid").count().collect()]
+        assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+        hot = np.array([50000.0 if i % 9 < 3 else float((i * 7919) % 100003) for i in range(0, n, 3)])
+        q = {r.g: r for r in stats.exact_quantiles(df, "g", "v").collect()}["hot"]
         assert q.n == len(hot)
         assert [q.q_0, q.q_1, q.q_2] == pytest.approx(list(np.percentile(hot, [25, 50, 75])), abs=1e-9)
     finally:
@@ -177,6 +179,18 @@ def test_hot_group_spans_partitions(spark):
         spark.conf.set(coalesce, old_c)
 
 
+def test_outliers_keep_every_occurrence(spark):
+    """Repeated outlying values come back as often as they occur, beyond one chunk."""
+    n = stats.EXPAND_CHUNK + 5
+    df = (spark.range(10 * n).select(F.lit(1).alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+          .union(spark.range(n).select(F.lit(1), F.lit(1000.0))))
+    counts = stats.sorted_value_counts(df, "g", "v")
+    s = stats.box_summary(df, "g", "v", counts=counts)
+    assert s.collect()[0].n_outliers == n
+    out = stats.box_outliers(df, "g", "v", s, counts)
+    assert [(r.v, r["count"]) for r in out.groupBy("v").count().collect()] == [(1000.0, n)]
+
+
 def test_flag_top_k_marks_rows_not_keys(spark):
     rows = [("x", 9), ("x", 1), ("x", 8), ("y", 8), ("y", 8), (None, None)]
     df = spark.createDataFrame(rows, "k string, v int")
