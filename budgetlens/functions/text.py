@@ -49,8 +49,12 @@ PLACEHOLDER_SUMMARY = (
     "Department across key areas including budget utilization, project status, "
     "e-governance initiatives, and district-wise achievements for the reporting period."
 )
+# Fixed values of ``compat``: a shorter summary becomes the placeholder, a first
+# paragraph must be longer to count, a shorter rest gives way to the whole text.
 MIN_SUMMARY_CHARS = 50
 MIN_DETAILED_CHARS = 200
+# Both limits by mode: ``markdown`` keeps every real text, however short.
+MIN_CHARS = {"compat": (MIN_SUMMARY_CHARS, MIN_DETAILED_CHARS), "markdown": (1, 1)}
 
 
 def py_strip(c: str | Column) -> Column:
@@ -117,9 +121,11 @@ def add_report_sections(df: DataFrame, text_col: str, mode: str = "compat",
     than 50 characters; then a fixed placeholder when the summary is shorter
     than 50. ``markdown`` skips the blank lines right after the heading
     before looking for the stop mark, which a normal ``## Executive
-    Summary`` section needs. The detailed report is the text after the
-    first occurrence of the summary, stripped, or the whole text when the
-    summary does not occur or the rest is under 200 characters.
+    Summary`` section needs, and keeps short texts: the placeholder stands
+    only for a summary that is missing. The detailed report is the text after
+    the first occurrence of the summary, stripped, or the whole text when the
+    summary does not occur or the rest is under 200 characters (``compat``)
+    or empty (``markdown``).
     """
     return add_report_sections_modes(df, text_col, {mode: (summary_col, detailed_col)})
 
@@ -181,13 +187,13 @@ def add_report_sections_modes(df: DataFrame, text_col: str,
     for m in names:
         need_para = need_para | (F.col(f"_byh_{m}") == "")
     step = step.select("*", F.when(need_para, first_paragraph(text)).alias("_para"))
-    step = step.select("*", F.when(F.length("_para") > MIN_SUMMARY_CHARS, py_strip(F.col("_para")))
-                       .alias("_para_s"))
+    step = step.select("*", py_strip(F.col("_para")).alias("_para_s"))
     summaries = []
     for m in names:
-        chosen = F.when(F.col(f"_byh_{m}") != "", F.col(f"_byh_{m}")) \
-                  .otherwise(F.coalesce(F.col("_para_s"), F.lit("")))
-        summaries.append(F.when(F.length(chosen) < MIN_SUMMARY_CHARS, F.lit(PLACEHOLDER_SUMMARY))
+        least = MIN_CHARS[m][0]
+        para = F.when(F.length("_para") > (least if m == "compat" else 0), F.col("_para_s"))
+        chosen = F.when(F.col(f"_byh_{m}") != "", F.col(f"_byh_{m}")).otherwise(F.coalesce(para, F.lit("")))
+        summaries.append(F.when(F.length(chosen) < least, F.lit(PLACEHOLDER_SUMMARY))
                          .otherwise(chosen).alias(modes[m][0]))
     step = step.select(*base, *summaries)
     # The detailed report: the search is shared when the modes agree.
@@ -209,7 +215,7 @@ def add_report_sections_modes(df: DataFrame, text_col: str,
             rest = F.when(F.col(s_col) == F.col(first), F.col("_rest_0")).otherwise(rest)
         step = step.select("*", rest.alias(f"_rest_{i}"))
         rests.append(f"_rest_{i}")
-    details = [F.when(F.length(f"_rest_{i}") >= MIN_DETAILED_CHARS, F.col(f"_rest_{i}")).otherwise(text)
+    details = [F.when(F.length(f"_rest_{i}") >= MIN_CHARS[m][1], F.col(f"_rest_{i}")).otherwise(text)
                .alias(modes[m][1]) for i, m in enumerate(names)]
     temp = [f"_sat_{i}" for i in range(len(names))] + rests
     return step.select("*", *details).drop(*temp)

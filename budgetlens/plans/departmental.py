@@ -75,18 +75,18 @@ def departmental_report(spark: SparkSession, folder: str,
     }
     kpis = report.kpi_record(parts["kpi_budget"], parts["kpi_projects"], parts["kpi_grievance"])
     text = report_text if report_text is not None else report.fallback_narrative(kpis)
-    items = D.items(src)
-    cells = rq.q1_budget_by_section(items).select(
-        "section", F.format_string("%.2f", "allocated").alias("allocated"),
-        F.format_string("%.2f", "utilized").alias("utilized"),
-        F.format_string("%.1f", F.bround("utilization_pct", 1)).alias("utilization_pct"))
-    table = report.table_text(cells, ["section", "allocated", "utilized", "utilization_pct"], ["section"])
-    prompt = report.report_prompt(src.text, "text", table, report.json_context(src.json), department, ["path"])
+    # The whole item table: every row, every column of the file, in file order.
+    columns = [c for c in src.items.columns if c != "ord"]
+    table = report.table_text(src.items, columns, ["ord"])
+    json_text = report.json_context(src.json)
+    prompt = report.report_prompt(src.text, "text", table, json_text, department, ["path"])
+    sections = add_report_sections(text, "report_text", "compat")
     return {
         "blocks": report.report_blocks(spark, parts, text, src.has_additional_data, include),
-        "sections": add_report_sections(text, "report_text", "compat"),
+        "sections": sections,
         "prompt": prompt,
-        "summary_context": report.summary_context(kpis),
+        "summary_context": report.summary_context(sections, kpis, table, json_text),
+        "rejected_cells": src.rejected_cells,
         "quick_stats": rq.q18_quick_stats(sectors, totals),
         **chart_data(src, totals, ratio_mode, period),
     }

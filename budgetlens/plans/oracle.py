@@ -10,11 +10,50 @@ aggregates are rounded to 6 decimals.
 
 from __future__ import annotations
 
-from budgetlens.functions.text import (MIN_DETAILED_CHARS, MIN_SUMMARY_CHARS, PLACEHOLDER_SUMMARY,
-                                       PY_WHITESPACE, STOP_MARKS, SUMMARY_PATTERNS)
-from budgetlens.plans.report_queries import AVG_RESOLUTION_TIME, CORRELATION_MEASURES
-from budgetlens.plans.star import BALANCE_BINS, EGOV_SECTION, EGOV_SECTOR, EOFFICE_ITEM
-from budgetlens.plans.text_queries import DETAILS_HEADING, SUMMARY_HEADING, VARIANTS
+# Fixed values, stated here on their own so that a wrong constant in the
+# library shows as a difference.
+PY_WHITESPACE = (r"[\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                 r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+SUMMARY_HEADINGS = ["# Executive Summary", "## Executive Summary", "Executive Summary", "EXECUTIVE SUMMARY",
+                    "**Executive Summary**"]
+SUMMARY_ENDS = ["# ", "## ", "\n\n", "**", "Budget Performance", "Infrastructure Project"]
+NO_SUMMARY = ("This comprehensive report analyzes the performance of the Panchayati Raj Department across key areas "
+              "including budget utilization, project status, e-governance initiatives, and district-wise "
+              "achievements for the reporting period.")
+RESOLUTION_TIME = "5 days"
+MEASURES = ["budget_allocation", "budget_utilization", "projects_count", "implementation_percentage",
+            "population_covered", "grievances_resolved"]
+SECTION, SECTOR, ITEM = "SMALL", "Brand#13", "red widget"
+BALANCE = [(0, "Low (<=3000)", -1000, 3000), (1, "Medium (3000-6000]", 3000, 6000),
+           (2, "High (6000-9000]", 6000, 9000), (3, "Very High (>9000)", 9000, 12000)]
+COMPLETION = [(0, "0-25%", 0, 25), (1, "26-50%", 25, 50), (2, "51-75%", 50, 75), (3, "76-100%", 75, 100)]
+VARIANTS = ["raw", "heading", "heading_blank"]
+REQUIRED = ["Executive Summary", "Budget Performance Analysis", "Infrastructure Project Status",
+            "E-Governance Implementation Progress", "Key Government Programs", "Public Grievance Redressal",
+            "Health and Education Initiatives", "Challenges and Mitigation Strategies",
+            "District-wise Performance Analysis", "Recommendations for the Next Quarter",
+            "Future Outlook and Strategic Plan"]
+PROMPT_START = """Using the following data, generate a comprehensive, insightful monthly departmental report for the \
+Panchayati Raj Department of Arunachal Pradesh.
+
+FORMAT INSTRUCTIONS:
+1. Start with an "Executive Summary" section that provides a concise overview (150-200 words)
+2. Use clear section headers preceded by '##' for each section
+3. Include relevant data points and metrics in your analysis
+4. Format key statistics in bulleted lists where appropriate
+5. Include specific numerical values from the data"""
+PROMPT_END = ("The report should include data-driven insights, highlight achievements, identify challenges, and "
+              "provide actionable recommendations based on current metrics.")
+SUMMARY_START = """Generate a concise executive summary for a government department's performance report.
+The summary should highlight key achievements, challenges, budget utilization, project status, and future focus areas.
+Keep it professional, data-driven, and suitable for an official report. Length should be around 150-200 words."""
+SUMMARY_END = ("IMPORTANT: Don't mention \"this report\" or refer to the above context directly. Write as if you are "
+               "summarizing the department's performance for the period.")
+CORRELATION_TEXT = (
+    "The correlation analysis reveals the relationship between key performance indicators. Strong positive "
+    "correlations indicate metrics that tend to increase together, while negative correlations indicate inverse "
+    "relationships. The scatter plot demonstrates how implementation progress relates to population coverage, with "
+    "bubble size representing project count and color intensity showing budget allocation.")
 
 
 def lit(s: str) -> str:
@@ -113,8 +152,7 @@ a AS (
 
 
 def bins_values(bins) -> str:
-    rows = ", ".join(f"({i}, {lit(lab)}, {float(lo)}::DOUBLE, {float(hi)}::DOUBLE)"
-                     for i, lab, lo, hi in bins.rows())
+    rows = ", ".join(f"({i}, {lit(lab)}, {float(lo)}::DOUBLE, {float(hi)}::DOUBLE)" for i, lab, lo, hi in bins)
     return f"b(bin_ord, bin, lo, hi) AS (VALUES {rows})"
 
 
@@ -139,7 +177,7 @@ SELECT p_type AS section, cast(coalesce(sum(alloc), 0) as double) AS allocated,
 FROM pf WHERE p_type IS NOT NULL GROUP BY p_type ORDER BY section"""
 
 SQL["completion_status"] = f"""
-WITH {bins_values(__import__('budgetlens.operators.binning', fromlist=['x']).COMPLETION_BINS)},
+WITH {bins_values(COMPLETION)},
 x AS (SELECT l_quantity * 2 - 4 AS v FROM lineitem),
 c AS (SELECT bin_ord, count(*) AS n FROM x JOIN b ON v > lo AND v <= hi GROUP BY bin_ord),
 f AS (SELECT b.bin_ord, b.bin, cast(coalesce(c.n, 0) as bigint) AS n FROM b LEFT JOIN c USING (bin_ord))
@@ -150,7 +188,7 @@ SQL["egov_progress"] = f"""
 WITH {PART_FACT}
 SELECT p_name AS item, {ratio('finished_lines', 'lines')} AS pct_achieved,
        {num_text(ratio('finished_lines', 'lines'))} || '%' AS label, p_partkey AS item_key
-FROM pf WHERE p_type = {lit(EGOV_SECTION)}"""
+FROM pf WHERE p_type = {lit(SECTION)}"""
 
 SQL["sector_radar"] = f"""
 WITH {SECTOR_FACT},
@@ -189,7 +227,7 @@ SQL["balance_boxplot"] = f"""
 WITH pc AS (SELECT o_custkey, sum({dec('o_totalprice')}) AS spend FROM orders GROUP BY o_custkey),
 cv AS (SELECT c_acctbal, cast(coalesce(spend, 0) as double) AS v
        FROM customer LEFT JOIN pc ON c_custkey = o_custkey),
-{bins_values(BALANCE_BINS)},
+{bins_values(BALANCE)},
 x AS (SELECT bin_ord, v FROM cv JOIN b ON c_acctbal > lo AND c_acctbal <= hi),
 q AS (SELECT bin_ord, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
              quantile_cont(v, 0.75) AS q3 FROM x GROUP BY bin_ord),
@@ -209,7 +247,7 @@ SQL["balance_outliers"] = f"""
 WITH pc AS (SELECT o_custkey, sum({dec('o_totalprice')}) AS spend FROM orders GROUP BY o_custkey),
 cv AS (SELECT c_acctbal, cast(coalesce(spend, 0) as double) AS v
        FROM customer LEFT JOIN pc ON c_custkey = o_custkey),
-{bins_values(BALANCE_BINS)},
+{bins_values(BALANCE)},
 x AS (SELECT bin_ord, v FROM cv JOIN b ON c_acctbal > lo AND c_acctbal <= hi),
 q AS (SELECT bin_ord, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY bin_ord)
 SELECT x.bin_ord, v AS order_value FROM x JOIN q USING (bin_ord)
@@ -217,7 +255,7 @@ WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)"""
 
 
 def _corr_sql() -> str:
-    cols = CORRELATION_MEASURES
+    cols = MEASURES
     parts = []
     for i in range(len(cols)):
         for j in range(i):
@@ -289,12 +327,12 @@ FROM k, o"""
 
 SQL["kpi_egov"] = f"""
 WITH {SECTOR_FACT}, {DAYS},
-s1 AS (SELECT coalesce((SELECT cast(projects_count as varchar) FROM sf WHERE sector = {lit(EGOV_SECTOR)}
+s1 AS (SELECT coalesce((SELECT cast(projects_count as varchar) FROM sf WHERE sector = {lit(SECTOR)}
                         LIMIT 1), 'N/A') AS online_services),
 h AS (SELECT avg(cast(online_service_hits as double)) AS mean_hits FROM a),
 t AS (SELECT cast(coalesce(sum(training_sessions), 0) as bigint) AS training_sessions FROM a),
 i AS (SELECT coalesce((SELECT cast({ratio('finished_lines', 'lines')} as varchar) FROM pf
-                        WHERE p_type = {lit(EGOV_SECTION)} AND p_name = {lit(EOFFICE_ITEM)}
+                        WHERE p_type = {lit(SECTION)} AND p_name = {lit(ITEM)}
                         ORDER BY p_partkey LIMIT 1), 'N/A') AS item_pct)
 SELECT online_services, round(mean_hits, 6) AS mean_hits, {num_text('mean_hits')} AS mean_hits_text,
        item_pct, training_sessions
@@ -316,7 +354,7 @@ _GRIEVANCE = f"""
 WITH g AS (SELECT count(*) AS r, count(*) FILTER (WHERE o_orderstatus <> 'O') AS s FROM orders)
 SELECT cast(r as bigint) AS total_received, cast(s as bigint) AS total_resolved,
        {guarded('s', 'r')} AS resolution_rate, {pct_text(guarded('s', 'r'))} AS resolution_rate_text,
-       {lit(AVG_RESOLUTION_TIME)} AS avg_resolution_time
+       {lit(RESOLUTION_TIME)} AS avg_resolution_time
 FROM g"""
 SQL["kpi_grievance"] = _GRIEVANCE
 SQL["kpi_grievance_no_total"] = _GRIEVANCE
@@ -352,27 +390,28 @@ FROM documents"""
 def _variant_sql(variant: str) -> str:
     if variant == "raw":
         return "text"
-    head = SUMMARY_HEADING + ("\n" if variant == "heading_blank" else "")
-    return f"{lit(head)} || text || {lit(DETAILS_HEADING)} || text"
+    head = "## Executive Summary\n" + ("\n" if variant == "heading_blank" else "")
+    return f"{lit(head)} || text || {lit(chr(10) * 2 + '## Details' + chr(10))} || text"
 
 
 def _summary_sql(t: str, mode: str) -> str:
     cands = []
-    for p in SUMMARY_PATTERNS:
+    for p in SUMMARY_HEADINGS:
         at = f"strpos({t}, {lit(p)})"
         start = f"({at} + {len(p)})"
         if mode == "markdown":
             ws = f"length(regexp_extract(substr({t}, {start}), '\\A{PY_WHITESPACE}*', 0))"
             start = f"({start} + {ws})"
-        stops = ", ".join(locate_from(lit(m), t, start) for m in STOP_MARKS)
+        stops = ", ".join(locate_from(lit(m), t, start) for m in SUMMARY_ENDS)
         stop = f"list_min(list_filter([{stops}], lambda x: x > 0))"
         piece = strip(f"substr({t}, {start}, {stop} - {start})")
         cands.append(f"CASE WHEN {at} > 0 AND {stop} IS NOT NULL THEN {piece} END")
     by_heading = f"coalesce({', '.join(cands)}, '')"
     para = f"split_part({t}, chr(10) || chr(10), 1)"
+    more_than, least = (50, 50) if mode == "compat" else (0, 1)
     chosen = (f"(CASE WHEN {by_heading} <> '' THEN {by_heading} "
-              f"WHEN length({para}) > {MIN_SUMMARY_CHARS} THEN {strip(para)} ELSE '' END)")
-    return f"(CASE WHEN length({chosen}) < {MIN_SUMMARY_CHARS} THEN {lit(PLACEHOLDER_SUMMARY)} ELSE {chosen} END)"
+              f"WHEN length({para}) > {more_than} THEN {strip(para)} ELSE '' END)")
+    return f"(CASE WHEN length({chosen}) < {least} THEN {lit(NO_SUMMARY)} ELSE {chosen} END)"
 
 
 def _sections_sql() -> str:
@@ -390,7 +429,7 @@ WITH x AS ({texts}),
 y AS (SELECT doc_id, variant, mode, t,
              CASE WHEN mode = 'compat' THEN {summary_c} ELSE {summary_m} END AS s FROM x),
 z AS (SELECT doc_id, variant, mode, s,
-             CASE WHEN strpos(t, s) > 0 AND length({rest}) >= {MIN_DETAILED_CHARS} THEN {rest} ELSE t END AS dr
+             CASE WHEN strpos(t, s) > 0 AND length({rest}) >= CASE mode WHEN 'compat' THEN 200 ELSE 1 END THEN {rest} ELSE t END AS dr
       FROM y)
 SELECT doc_id, variant, mode, cast(length(s) as bigint) AS summary_len, md5(s) AS summary_md5,
        cast(length(dr) as bigint) AS detailed_len, md5(dr) AS detailed_md5
@@ -416,14 +455,8 @@ WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS path FROM events)
 SELECT event_id, path, TRY_CAST(json_extract_string(props, '$."' || path || '"') AS BIGINT) AS value FROM k"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
 # -------------------------------------------------------------- assembly
 
-from budgetlens.plans.report import PROMPT_TAIL, prompt_preamble, prompt_sections_text  # noqa: E402
-from budgetlens.plans.star_report import DEPARTMENT, KPI_JSON_FIELDS  # noqa: E402
-
 KPI_RECORD = f"""{KPI_SECTORS},
 o AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS completed_projects,
              count(*) FILTER (WHERE o_orderstatus = 'O') AS new_projects,
@@ -434,9 +467,7 @@ kr AS (SELECT k.*, o.*,
               {guarded('total_resolved', 'total_received')} AS resolution_rate
        FROM k, o)"""
 
-SQL["summary_context"] = f"""
-WITH {KPI_RECORD}
-SELECT concat_ws(chr(10),
+BULLETS = f"""concat_ws(chr(10),
   'Key Metrics:',
   '- Budget: Total allocation ' || {money_text('total_allocated')} || ', Utilization '
     || {money_text('total_utilized')} || ' (' || {pct_text('overall_utilization_pct')} || ')',
@@ -444,8 +475,27 @@ SELECT concat_ws(chr(10),
     || cast(completed_projects as varchar) || ', Average implementation ' || {pct_text('avg_impl')},
   '- Top performing sector: ' || top_sector,
   '- Grievances: Received ' || cast(total_received as varchar) || ', Resolved '
-    || cast(total_resolved as varchar) || ' (' || {pct_text('resolution_rate')} || ' resolution rate)'
-) AS summary_context
+    || cast(total_resolved as varchar) || ' (' || {pct_text('resolution_rate')} || ' resolution rate)')"""
+
+NARRATIVE_PARTS = [
+    f"""'The department has reported its performance across key metrics during the reporting period. Budget '
+    || 'utilization stands at ' || {pct_text('overall_utilization_pct')} || ' of an allocation of '
+    || {money_text('total_allocated')} || ', and ' || {pct_text('resolution_rate')}
+    || ' of public grievances have been resolved. The top performing sector is ' || top_sector || '.'""",
+    f"""'Budget utilization is ' || {money_text('total_utilized')} || ' against ' || {money_text('total_allocated')}
+    || ' allocated.'""",
+    f"""'There are ' || cast(total_projects as varchar) || ' projects, ' || cast(completed_projects as varchar)
+    || ' completed and ' || cast(new_projects as varchar) || ' newly started; average implementation is '
+    || {pct_text('avg_impl')} || '.'""",
+    """'Of ' || cast(total_received as varchar) || ' grievances received, ' || cast(total_resolved as varchar)
+    || ' were resolved.'""",
+]
+NARRATIVE_REST = f"""concat_ws(chr(10), '## Budget Performance Analysis', '', {NARRATIVE_PARTS[1]}, '',
+  '## Project Status', '', {NARRATIVE_PARTS[2]}, '', '## Public Grievance Redressal', '', {NARRATIVE_PARTS[3]})"""
+
+SQL["narrative_text"] = f"""
+WITH {KPI_RECORD}
+SELECT concat_ws(chr(10), '## Executive Summary', '', {NARRATIVE_PARTS[0]}, '', {NARRATIVE_REST}) AS report_text
 FROM kr"""
 
 
@@ -458,13 +508,14 @@ def _kpi_json_sql() -> str:
         "total_projects_text": "cast(total_projects as varchar)",
         "avg_implementation_text": pct_text("avg_impl"),
         "resolution_rate_text": pct_text("resolution_rate"),
-        "avg_resolution_time": lit(AVG_RESOLUTION_TIME),
+        "avg_resolution_time": lit(RESOLUTION_TIME),
     }
-    args = ", ".join(f"{lit(k)}, {exprs[k]}" for k in KPI_JSON_FIELDS)
+    args = ", ".join(f"{lit(k)}, {e}" for k, e in exprs.items())
     return f"json_object({args})"
 
 
-def _report_prompt_sql() -> str:
+def _section_table_sql() -> str:
+    """CTEs up to ``tt``: the sections as aligned text."""
     cols = ["section", "allocated", "utilized", "utilization_pct"]
     widths = ", ".join(f"cast(greatest({len(c)}, max(length({c}))) as integer) AS w{i}"
                        for i, c in enumerate(cols))
@@ -472,7 +523,6 @@ def _report_prompt_sql() -> str:
     line = " || '  ' || ".join(f"lpad({c}, w{i}, ' ')" for i, c in enumerate(cols))
     util = guarded('coalesce(sum(util), 0)', 'coalesce(sum(alloc), 0)')
     return f"""
-WITH {KPI_RECORD},
 q1 AS (SELECT p_type AS section,
               printf('%.2f', round_even(cast(coalesce(sum(alloc), 0) as double), 2)) AS allocated,
               printf('%.2f', round_even(cast(coalesce(sum(util), 0) as double), 2)) AS utilized,
@@ -482,17 +532,149 @@ w AS (SELECT {widths} FROM q1),
 tb AS (SELECT w0, w1, w2, w3, string_agg({line}, chr(10) ORDER BY section) AS body
        FROM q1, w GROUP BY w0, w1, w2, w3),
 tt AS (SELECT {head} || chr(10) || body AS table_text FROM tb),
-js AS (SELECT {_kpi_json_sql()} AS json_text FROM kr),
+js AS (SELECT {_kpi_json_sql()} AS json_text FROM kr)"""
+
+
+SQL["summary_context"] = f"""
+WITH {KPI_RECORD}, {_section_table_sql()}
+SELECT concat_ws(chr(10), {lit(SUMMARY_START)}, '', 'Report Content:', {NARRATIVE_REST}, '', {BULLETS}, '',
+  'Additional Data:', json_text, '', 'Tabular Data Sample:', table_text, '', {lit(SUMMARY_END)}) AS summary_context
+FROM kr, tt, js"""
+
+
+def _report_prompt_sql() -> str:
+    sections = "REQUIRED REPORT SECTIONS:\n" + "\n".join(f"## {x}" for x in REQUIRED)
+    return f"""
+WITH {KPI_RECORD}, {_section_table_sql()},
 p AS (SELECT doc_id, concat_ws(chr(10),
-        {lit(prompt_preamble(DEPARTMENT))}, '', 'DATA SOURCES:', '', 'Structured Data:', table_text, '',
+        {lit(PROMPT_START)}, '', 'DATA SOURCES:', '', 'Structured Data:', table_text, '',
         'Unstructured Data:', {strip('text')}, '', 'JSON Data:', json_text, '',
-        {lit(prompt_sections_text())}, '', {lit(PROMPT_TAIL)}) AS prompt
+        {lit(sections)}, '', {lit(PROMPT_END)}) AS prompt
       FROM documents, tt, js)
 SELECT doc_id, cast(length(prompt) as bigint) AS prompt_len, md5(prompt) AS prompt_md5 FROM p"""
 
 
 SQL["report_prompt"] = _report_prompt_sql()
 
+
+def _table_sql(headers: list[str], cells: str) -> str:
+    """The Markdown of a one-row table."""
+    head = "| " + " | ".join(headers) + " |\n|" + "|".join(["---"] * len(headers)) + "|\n| "
+    return f"{lit(head)} || concat_ws(' | ', {cells}) || ' |'"
+
+
+TOP_TABLE = """| District | Budget Allocated (Cr) | Budget Utilized (Cr) | Implementation % | Population Covered |
+|---|---|---|---|---|"""
+SQL["top_districts_table"] = f"""
+WITH td AS ({SQL["top_districts"]})
+SELECT {lit(TOP_TABLE)} || chr(10) || string_agg('| ' || concat_ws(' | ', district, allocated_text, utilized_text,
+         implementation_text, population_text) || ' |', chr(10) ORDER BY rank) AS body FROM td"""
+
+
+def _blocks_sql() -> str:
+    budget = _table_sql(["Total Budget Allocated", "Total Budget Utilized", "Overall Utilization",
+                         "Top Performing Sector"],
+                        f"{money_text('total_allocated')}, {money_text('total_utilized')}, "
+                        f"{pct_text('overall_utilization_pct')}, top_sector")
+    projects = _table_sql(["Total Projects", "Completed Projects", "New Projects Initiated", "Avg Implementation"],
+                          "cast(total_projects as varchar), cast(completed_projects as varchar), "
+                          f"cast(new_projects as varchar), {pct_text('avg_impl')}")
+    grievance = _table_sql(["Total Grievances Received", "Total Grievances Resolved", "Overall Resolution Rate",
+                            "Avg Resolution Time"],
+                           "cast(total_received as varchar), cast(total_resolved as varchar), "
+                           f"{pct_text('resolution_rate')}, {lit(RESOLUTION_TIME)}")
+    egov = _table_sql(["Online Services Available", "Monthly Portal Hits (Avg)", "E-Office Implementation",
+                       "Training Sessions Conducted"],
+                      "online_services, mean_hits_text, item_pct, cast(training_sessions as varchar)")
+    titles = [(10, "Executive Summary", "Executive Summary"), (20, "Detailed Analysis", "Detailed Analysis"),
+              (30, "Key Performance Metrics", "Key Performance Metrics"),
+              (40, "Budget Performance Analysis", "Budget Performance Analysis"),
+              (50, "Project Status", "Project Status"),
+              (60, "E-Governance Implementation", "E-Governance Implementation"),
+              (70, "District-wise Performance", "District-wise Performance"),
+              (73, "District-wise Performance", "Top 5 Performing Districts"),
+              (80, "Performance Correlation Analysis", "Performance Correlation Analysis"),
+              (90, "Public Grievance Analysis", "Public Grievance Analysis")]
+    charts = [(41, "Budget Performance Analysis", "Budget Allocation vs Utilization by Section", "budget_by_section"),
+              (43, "Budget Performance Analysis", "Monthly Budget Allocation and Utilization Trends",
+               "monthly_budget_projects"),
+              (44, "Budget Performance Analysis", "Budget Allocation by Sector", "sector_treemap"),
+              (51, "Project Status", "Overall Project Completion Status", "completion_status"),
+              (53, "Project Status", "Implementation Progress by Sector", "sector_radar"),
+              (61, "E-Governance Implementation", "E-Governance Implementation Progress", "egov_progress"),
+              (62, "E-Governance Implementation", "Training Sessions and Portal Usage", "training_vs_online"),
+              (71, "District-wise Performance", "District Budget Heatmap", "district_heatmap"),
+              (72, "District-wise Performance", "Budget Distribution by Groups", "balance_boxplot"),
+              (81, "Performance Correlation Analysis", "Correlation Between Key Metrics", "district_correlation"),
+              (82, "Performance Correlation Analysis", "Implementation vs Population", "implementation_scatter"),
+              (91, "Public Grievance Analysis", "Monthly Grievance Resolution", "grievance_resolution")]
+    bodies = [(11, "Executive Summary", "text", "NULL", NARRATIVE_PARTS[0], "kr"),
+              (21, "Detailed Analysis", "text", "NULL", NARRATIVE_REST, "kr"),
+              (42, "Budget Performance Analysis", "table", "'kpi_budget'", budget, "kr"),
+              (52, "Project Status", "table", "'kpi_projects'", projects, "kr"),
+              (63, "E-Governance Implementation", "table", "'kpi_egov'", egov, f"({SQL['kpi_egov']})"),
+              (74, "District-wise Performance", "table", "'top_districts'", "body",
+               f"({SQL['top_districts_table']})"),
+              (83, "Performance Correlation Analysis", "text", "NULL", lit(CORRELATION_TEXT), "kr"),
+              (92, "Public Grievance Analysis", "table", "'kpi_grievance'", grievance, "kr")]
+    rows = [f"SELECT {o} AS ord, {lit(sec)} AS section, 'title' AS kind, {lit(t)} AS title, "
+            "cast(NULL as varchar) AS body" for o, sec, t in titles]
+    rows += [f"SELECT {o}, {lit(sec)}, 'chart', {lit(t)}, {lit(b)}" for o, sec, t, b in charts]
+    rows += [f"SELECT {o}, {lit(sec)}, '{kind}', {t}, {body} FROM {src}" for o, sec, kind, t, body, src in bodies]
+    return f"WITH {KPI_RECORD}\n" + "\nUNION ALL\n".join(rows)
+
+
+SQL["report_blocks"] = _blocks_sql()
+
+SQL["missing_sections"] = f"""
+WITH r(req_ord, title) AS (VALUES {", ".join(f"({i}, {lit(x)})" for i, x in enumerate(REQUIRED))}),
+f AS (SELECT doc_id, title FROM ({SQL["markdown_sections"]}) WHERE title IS NOT NULL)
+SELECT doc_id, cast(req_ord as bigint) AS req_ord, title
+FROM (SELECT DISTINCT doc_id FROM documents) AS d, r
+WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = d.doc_id AND f.title = r.title)"""
+
+SQL["cell_functions"] = """
+SELECT doc_id, md5(replace(text, chr(65533), '')) AS utf8_md5,
+       md5(regexp_replace(text, '[^\\x00-\\x7F]+', '', 'g')) AS cell_md5, cast(n_chars as varchar) AS n_chars_cell
+FROM documents"""
+
+SQL["district_heatmap_tidy"] = f"""
+WITH h AS ({SQL["district_heatmap"]})
+SELECT district, 'allocation_pct' AS measure, allocation_pct AS value FROM h
+UNION ALL SELECT district, 'utilization_pct', utilization_pct FROM h
+UNION ALL SELECT district, 'utilization_ratio', utilization_ratio FROM h"""
+
+SQL["event_types"] = "SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL"
+
+SQL["section_aggregates"] = f"""
+WITH {PART_FACT}
+SELECT p_type AS section, cast(sum(alloc) as double) AS allocated, max(lines) AS most_lines,
+       min(finished_lines) AS least_finished, count(p_partkey) AS n_items
+FROM pf GROUP BY p_type"""
+
+SQL["period_labels"] = """
+SELECT strftime(ts, '%B %Y') AS period,
+       strftime(date_trunc('month', ts) - INTERVAL 1 MONTH, '%Y-%m-%d') AS previous_month, count(*) AS n,
+       min(strftime(ts, '%Y%m%d_%H%M%S')) AS first_id, max(strftime(ts, '%Y%m%d_%H%M%S')) AS last_id
+FROM events GROUP BY 1, 2"""
+
+SQL["month_weights"] = f"""
+WITH {MONTHS},
+t AS (SELECT *, cast(projects_completed + new_projects_started + grievances_received as double) AS s FROM m)
+SELECT month, round(projects_completed / s, 6) AS w_projects_completed,
+       round(new_projects_started / s, 6) AS w_new_projects_started,
+       round(grievances_received / s, 6) AS w_grievances_received
+FROM t"""
+
+SQL["document_facts"] = f"""
+WITH {SECTOR_FACT},
+f AS (
+SELECT sector, 'Budget.Allocated' AS path, {money_text('budget_allocation')} AS value FROM sf
+UNION ALL SELECT sector, 'Budget.Utilized', {money_text('budget_utilization')} FROM sf
+UNION ALL SELECT sector, 'Status.Projects.Progress', {pct_text('implementation_percentage')} FROM sf
+UNION ALL SELECT sector, 'Status.Projects.Count', cast(projects_count as varchar) FROM sf)
+SELECT sector, path, value, try_cast(regexp_extract(value, '-?[0-9]+([.][0-9]+)?') as double) AS number FROM f"""
+
 # ------------------------------------------------------------- streaming
 
 SQL["activity_windows_stream"] = """
@@ -505,3 +687,7 @@ FROM e GROUP BY ws, event_type"""
 SQL["events_bronze"] = """
 SELECT event_type, count(*) AS n, cast(sum(cast(value as decimal(18,2))) as double) AS value_sum
 FROM events GROUP BY event_type"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

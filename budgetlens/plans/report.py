@@ -115,8 +115,19 @@ def kpi_record(budget: DataFrame, projects: DataFrame, grievance: DataFrame) ->
     return attach_scalars(attach_scalars(budget, projects), grievance)
 
 
-def summary_context(kpis: DataFrame) -> DataFrame:
-    """Q19: the KPI bullet text given to the summary writer."""
+SUMMARY_REQUEST = (
+    "Generate a concise executive summary for a government department's performance report.\n"
+    "The summary should highlight key achievements, challenges, budget utilization, project status, and "
+    "future focus areas.\n"
+    "Keep it professional, data-driven, and suitable for an official report. Length should be around "
+    "150-200 words.")
+SUMMARY_CLOSE = (
+    "IMPORTANT: Don't mention \"this report\" or refer to the above context directly. Write as if you are "
+    "summarizing the department's performance for the period.")
+
+
+def kpi_bullets(kpis: DataFrame) -> DataFrame:
+    """The KPI bullet text of the summary context: one column ``bullets``."""
     text = F.concat_ws(
         "\n",
         F.lit("Key Metrics:"),
@@ -131,7 +142,26 @@ def summary_context(kpis: DataFrame) -> DataFrame:
                  F.lit(", Resolved "), int_text("total_resolved"),
                  F.lit(" ("), pct_text("resolution_rate"), F.lit(" resolution rate)")),
     )
-    return kpis.select(text.alias("summary_context"))
+    return kpis.select(text.alias("bullets"))
+
+
+def summary_context(detailed: DataFrame, kpis: DataFrame, table: DataFrame, json_text: DataFrame,
+                    detailed_col: str = "detailed_report", keys: list[str] | None = None) -> DataFrame:
+    """Q19: the context given to the summary writer (X3), one per row of
+    ``detailed``: the request, the report's detailed text, the KPI bullets,
+    the whole JSON document and the whole table. ``kpis``, ``table`` and
+    ``json_text`` are one-row frames; a missing one leaves its place empty."""
+    d = attach_scalars(attach_scalars(attach_scalars(detailed, kpi_bullets(kpis)), table), json_text)
+
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(""))
+
+    body = F.concat_ws(
+        "\n",
+        F.lit(SUMMARY_REQUEST), F.lit(""), F.lit("Report Content:"), text(detailed_col), F.lit(""),
+        text("bullets"), F.lit(""), F.lit("Additional Data:"), text("json_text"), F.lit(""),
+        F.lit("Tabular Data Sample:"), text("table_text"), F.lit(""), F.lit(SUMMARY_CLOSE))
+    return d.select(*(keys or []), body.alias("summary_context"))
 
 
 def fallback_narrative(kpis: DataFrame) -> DataFrame:
@@ -186,12 +216,63 @@ def report_prompt(docs: DataFrame, text_col: str, table: DataFrame, json_text: D
 
 # ----------------------------------------------------------- X5, Q20
 
-def _block(spark, ord_: int, section: str, kind: str, title: str | None, body: Column | str | None,
-           src: DataFrame | None = None) -> DataFrame:
-    b = body if isinstance(body, Column) else F.lit(body).cast("string")
-    base = src if src is not None else spark.range(1, numPartitions=1)
-    return base.select(F.lit(ord_).alias("ord"), F.lit(section).alias("section"), F.lit(kind).alias("kind"),
-                       F.lit(title).cast("string").alias("title"), b.alias("body"))
+# Headers of the report's tables and the columns under them.
+TABLES = {
+    "kpi_budget": (["Total Budget Allocated", "Total Budget Utilized", "Overall Utilization",
+                    "Top Performing Sector"],
+                   ["allocated_text", "utilized_text", "utilization_text", "top_sector"], ["top_sector"]),
+    "kpi_projects": (["Total Projects", "Completed Projects", "New Projects Initiated", "Avg Implementation"],
+                     ["total_projects_text", "completed_projects", "new_projects",
+                      "avg_implementation_text"], ["total_projects"]),
+    "kpi_egov": (["Online Services Available", "Monthly Portal Hits (Avg)", "E-Office Implementation",
+                  "Training Sessions Conducted"],
+                 ["online_services", "mean_hits_text", "item_pct", "training_sessions"],
+                 ["training_sessions"]),
+    "top_districts": (["District", "Budget Allocated (Cr)", "Budget Utilized (Cr)", "Implementation %",
+                       "Population Covered"],
+                      ["district", "allocated_text", "utilized_text", "implementation_text",
+                       "population_text"], ["rank"]),
+    "kpi_grievance": (["Total Grievances Received", "Total Grievances Resolved", "Overall Resolution Rate",
+                       "Avg Resolution Time"],
+                      ["total_received", "total_resolved", "resolution_rate_text", "avg_resolution_time"],
+                      ["total_received"]),
+}
+# The report's sections in order, as (switch, section, blocks); a
+# block is (number, kind, title, body), marked "+" if it needs the optional
+# tables. A chart's body names its data, a table's title names its result.
+LAYOUT = [
+    ("budget", "Budget Performance Analysis", [
+        (40, "title", "Budget Performance Analysis", None),
+        (41, "chart", "Budget Allocation vs Utilization by Section", "budget_by_section"),
+        (42, "table+", "kpi_budget", None),
+        (43, "chart+", "Monthly Budget Allocation and Utilization Trends", "monthly_budget_projects"),
+        (44, "chart+", "Budget Allocation by Sector", "sector_treemap")]),
+    ("projects", "Project Status", [
+        (50, "title", "Project Status", None),
+        (51, "chart", "Overall Project Completion Status", "completion_status"),
+        (52, "table+", "kpi_projects", None),
+        (53, "chart+", "Implementation Progress by Sector", "sector_radar")]),
+    ("egov", "E-Governance Implementation", [
+        (60, "title", "E-Governance Implementation", None),
+        (61, "chart", "E-Governance Implementation Progress", "egov_progress"),
+        (62, "chart+", "Training Sessions and Portal Usage", "training_vs_online"),
+        (63, "table+", "kpi_egov", None)]),
+    ("district", "District-wise Performance", [
+        (70, "title+", "District-wise Performance", None),
+        (71, "chart+", "District Budget Heatmap", "district_heatmap"),
+        (72, "chart+", "Budget Distribution by Groups", "balance_boxplot"),
+        (73, "title+", "Top 5 Performing Districts", None),
+        (74, "table+", "top_districts", None)]),
+    ("correlation", "Performance Correlation Analysis", [
+        (80, "title+", "Performance Correlation Analysis", None),
+        (81, "chart+", "Correlation Between Key Metrics", "district_correlation"),
+        (82, "chart+", "Implementation vs Population", "implementation_scatter"),
+        (83, "text+", None, CORRELATION_NOTE)]),
+    ("grievance", "Public Grievance Analysis", [
+        (90, "title+", "Public Grievance Analysis", None),
+        (91, "chart+", "Monthly Grievance Resolution", "grievance_resolution"),
+        (92, "table+", "kpi_grievance", None)]),
+]
 
 
 def report_blocks(spark, parts: dict[str, DataFrame], narrative: DataFrame,
@@ -201,92 +282,39 @@ def report_blocks(spark, parts: dict[str, DataFrame], narrative: DataFrame,
     """Q20: the report as ordered blocks ``(ord, section, kind, title, body)``
     (X5). ``kind`` is ``title``, ``text``, ``chart`` (body = the chart-data
     query name) or ``table`` (body = Markdown). ``parts`` maps table names
-    (``kpi_budget``, ``kpi_projects``, ``kpi_egov``, ``top_districts``,
-    ``kpi_grievance``) to their query results; ``include`` selects sections
-    (the UI's data-source switches)."""
-    sec = add_report_sections(narrative, "report_text", "markdown", "summary", "detailed")
-    blocks = [
-        _block(spark, 10, "Executive Summary", "title", "Executive Summary", None),
-        _block(spark, 11, "Executive Summary", "text", None, F.col("summary"), sec),
-        _block(spark, 20, "Detailed Analysis", "title", "Detailed Analysis", None),
-        _block(spark, 21, "Detailed Analysis", "text", None,
-               F.when(F.length(py_strip(F.col("detailed"))) > 200, F.col("detailed"))
-                .otherwise(F.lit(BASIC_ANALYSIS)), sec),
-    ]
+    (the keys of ``TABLES``) to their query results; ``include`` selects
+    sections (the UI's data-source switches). ``narrative`` has one row.
+
+    One row holds the narrative's two texts and the Markdown of each table (one
+    scalar subquery a table); its array of blocks is exploded once.
+    """
+    row = add_report_sections(narrative, "report_text", "markdown", "summary", "detailed") \
+        .select("summary", "detailed")
+    detailed = F.when(py_strip(F.col("detailed")) != "", F.col("detailed")).otherwise(F.lit(BASIC_ANALYSIS))
+    blocks = [(10, "Executive Summary", "title", "Executive Summary", None),
+              (11, "Executive Summary", "text", None, F.col("summary")),
+              (20, "Detailed Analysis", "title", "Detailed Analysis", None),
+              (21, "Detailed Analysis", "text", None, detailed)]
     if has_additional_data:
-        blocks.append(_block(spark, 30, "Key Performance Metrics", "title", "Key Performance Metrics", None))
-
-    def table(ord_, section, name, headers, columns, order):
-        body = markdown_table(parts[name], headers, columns, order)
-        return _block(spark, ord_, section, "table", name, F.col("body"), body)
-
-    if "budget" in include:
-        s = "Budget Performance Analysis"
-        blocks += [_block(spark, 40, s, "title", s, None),
-                   _block(spark, 41, s, "chart", "Budget Allocation vs Utilization by Section",
-                          "budget_by_section")]
-        if has_additional_data:
-            blocks += [table(42, s, "kpi_budget",
-                             ["Total Budget Allocated", "Total Budget Utilized", "Overall Utilization",
-                              "Top Performing Sector"],
-                             ["allocated_text", "utilized_text", "utilization_text", "top_sector"],
-                             ["top_sector"]),
-                       _block(spark, 43, s, "chart", "Monthly Budget Allocation and Utilization Trends",
-                              "monthly_budget_projects"),
-                       _block(spark, 44, s, "chart", "Budget Allocation by Sector", "sector_treemap")]
-    if "projects" in include:
-        s = "Project Status"
-        blocks += [_block(spark, 50, s, "title", s, None),
-                   _block(spark, 51, s, "chart", "Overall Project Completion Status", "completion_status")]
-        if has_additional_data:
-            blocks += [table(52, s, "kpi_projects",
-                             ["Total Projects", "Completed Projects", "New Projects Initiated",
-                              "Avg Implementation"],
-                             ["total_projects_text", "completed_projects", "new_projects",
-                              "avg_implementation_text"], ["total_projects"]),
-                       _block(spark, 53, s, "chart", "Implementation Progress by Sector", "sector_radar")]
-    if "egov" in include:
-        s = "E-Governance Implementation"
-        blocks += [_block(spark, 60, s, "title", s, None),
-                   _block(spark, 61, s, "chart", "E-Governance Implementation Progress", "egov_progress")]
-        if has_additional_data:
-            blocks += [_block(spark, 62, s, "chart", "Training Sessions and Portal Usage",
-                              "training_vs_online"),
-                       table(63, s, "kpi_egov",
-                             ["Online Services Available", "Monthly Portal Hits (Avg)",
-                              "E-Office Implementation", "Training Sessions Conducted"],
-                             ["online_services", "mean_hits_text", "item_pct", "training_sessions"],
-                             ["training_sessions"])]
-    if has_additional_data and "district" in include:
-        s = "District-wise Performance"
-        blocks += [_block(spark, 70, s, "title", s, None),
-                   _block(spark, 71, s, "chart", "District Budget Heatmap", "district_heatmap"),
-                   _block(spark, 72, s, "chart", "Budget Distribution by Groups", "balance_boxplot"),
-                   _block(spark, 73, s, "title", "Top 5 Performing Districts", None),
-                   table(74, s, "top_districts",
-                         ["District", "Budget Allocated (Cr)", "Budget Utilized (Cr)", "Implementation %",
-                          "Population Covered"],
-                         ["district", "allocated_text", "utilized_text", "implementation_text",
-                          "population_text"], ["rank"])]
-    if has_additional_data and "correlation" in include:
-        s = "Performance Correlation Analysis"
-        blocks += [_block(spark, 80, s, "title", s, None),
-                   _block(spark, 81, s, "chart", "Correlation Between Key Metrics", "district_correlation"),
-                   _block(spark, 82, s, "chart", "Implementation vs Population", "implementation_scatter"),
-                   _block(spark, 83, s, "text", None, CORRELATION_NOTE)]
-    if has_additional_data and "grievance" in include:
-        s = "Public Grievance Analysis"
-        blocks += [_block(spark, 90, s, "title", s, None),
-                   _block(spark, 91, s, "chart", "Monthly Grievance Resolution", "grievance_resolution"),
-                   table(92, s, "kpi_grievance",
-                         ["Total Grievances Received", "Total Grievances Resolved", "Overall Resolution Rate",
-                          "Avg Resolution Time"],
-                         ["total_received", "total_resolved", "resolution_rate_text", "avg_resolution_time"],
-                         ["total_received"])]
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    return out
+        blocks.append((30, "Key Performance Metrics", "title", "Key Performance Metrics", None))
+    for switch, section, entries in LAYOUT:
+        if switch not in include:
+            continue
+        for ord_, kind, title, body in entries:
+            if kind.endswith("+") and not has_additional_data:
+                continue
+            kind = kind.rstrip("+")
+            if kind == "table":
+                row = attach_scalars(row, markdown_table(parts[title], *TABLES[title], out=f"table_{title}"))
+                body = F.col(f"table_{title}")
+            blocks.append((ord_, section, kind, title, body))
+
+    def struct(ord_, section, kind, title, body):
+        return F.struct(F.lit(ord_).alias("ord"), F.lit(section).alias("section"), F.lit(kind).alias("kind"),
+                        F.lit(title).cast("string").alias("title"),
+                        (body if isinstance(body, Column) else F.lit(body)).cast("string").alias("body"))
+
+    return row.select(F.explode(F.array(*[struct(*b) for b in blocks])).alias("b")).select("b.*")
 
 
 def render_markdown(blocks: DataFrame) -> DataFrame:

@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from budgetlens.functions.safe import as_double
+from budgetlens.functions import fmt
+from budgetlens.functions.safe import as_double, units_to_double
+from budgetlens.functions.text import flatten_document, money_text_value
+from budgetlens.operators.aggregate import agg_map, distinct_values
 from budgetlens.operators.binning import Bins
 from budgetlens.operators.stats import box_outliers, box_summary, sorted_value_counts
 from budgetlens.plans import proxies
@@ -187,7 +190,67 @@ def quick_stats(spark, sf_dir):
     return rq.q18_quick_stats(sectors(_t(spark, sf_dir)))
 
 
+def district_heatmap_tidy(spark, sf_dir):
+    """A12 in tidy form: one row per district and measure."""
+    measures = ["allocation_pct", "utilization_pct", "utilization_ratio"]
+    return district_heatmap(spark, sf_dir).select("district", *measures) \
+        .unpivot("district", measures, "measure", "value")
+
+
+def event_types(spark, sf_dir):
+    """The distinct event types."""
+    return distinct_values(_t(spark, sf_dir).events, "event_type")
+
+
+def section_aggregates(spark, sf_dir):
+    """The aggregate map: measures and functions named as data."""
+    spec = {"alloc": "sum", "lines": "max", "finished_lines": "min", "p_partkey": "count"}
+    g = proxies.part_fact(_t(spark, sf_dir)).groupBy("p_type").agg(*agg_map(spec))
+    return g.select(F.col("p_type").alias("section"),
+                    units_to_double("alloc", proxies.ALLOC_SCALE).alias("allocated"),
+                    F.col("lines").alias("most_lines"), F.col("finished_lines").alias("least_finished"),
+                    F.col("p_partkey").alias("n_items"))
+
+
+def period_labels(spark, sf_dir):
+    """Events per period text, with the month before and the ids of
+    the first and last event."""
+    e = _t(spark, sf_dir).events.select(fmt.period_text("ts").alias("period"),
+                                        fmt.previous_month("ts").cast("string").alias("previous_month"),
+                                        fmt.report_id("ts").alias("id"))
+    return e.groupBy("period", "previous_month").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"),
+                                                     F.max("id").alias("last_id"))
+
+
+def month_weights(spark, sf_dir):
+    """each month's completed, started and received counts as weights."""
+    m = proxies.month_series(_t(spark, sf_dir), with_total=False)
+    counts = ("projects_completed", "new_projects_started", "grievances_received")
+    w = m.select("month", fmt.normalise_weights(F.array(*counts)).alias("w"))
+    return w.select("month", *[r6(F.col("w")[i]).alias(f"w_{c}") for i, c in enumerate(counts)])
+
+
+def document_facts(spark, sf_dir):
+    """X8 on nested documents: each sector as a JSON document with texts of
+    money and percent, flattened to paths, with the number in each text."""
+    s = sectors(_t(spark, sf_dir))
+    doc = F.struct(F.struct(fmt.currency("budget_allocation").alias("Allocated"),
+                            fmt.currency("budget_utilization").alias("Utilized")).alias("Budget"),
+                   F.struct(F.struct(fmt.pct_text("implementation_percentage").alias("Progress"),
+                                     F.col("projects_count").alias("Count")).alias("Projects")).alias("Status"))
+    parsed = s.select("sector", F.to_json(doc).alias("json"))
+    schema = s.select(doc.alias("d")).schema["d"].dataType
+    facts = flatten_document(parsed.select("sector", F.from_json("json", schema).alias("d")), "d", ["sector"])
+    return facts.withColumn("number", money_text_value("value"))
+
+
 QUERIES = {
+    "district_heatmap_tidy": district_heatmap_tidy,
+    "event_types": event_types,
+    "section_aggregates": section_aggregates,
+    "period_labels": period_labels,
+    "month_weights": month_weights,
+    "document_facts": document_facts,
     "budget_by_section": budget_by_section,
     "completion_status": completion_status,
     "egov_progress": egov_progress,

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetlens.functions.fmt import fixed
-from budgetlens.plans import proxies, report, star
-from budgetlens.session import spread_for_cpu
+from budgetlens.functions.text import add_report_sections, split_markdown_sections
+from budgetlens.functions.text import missing_sections as lacking_sections
+from budgetlens.plans import proxies, report, star, text_queries
 from budgetlens.plans import report_queries as rq
+from budgetlens.session import materialize, spread_for_cpu
 from budgetlens.sources.tables import Tables
 
-# Fixed value: the department named in the prompt.
+# Default of the department named in the prompt.
 DEPARTMENT = "Panchayati Raj Department of Arunachal Pradesh"
 
 KPI_JSON_FIELDS = ["allocated_text", "utilized_text", "utilization_text", "top_sector",
@@ -22,18 +24,27 @@ KPI_JSON_FIELDS = ["allocated_text", "utilized_text", "utilization_text", "top_s
 def kpis(t: Tables, parts: DataFrame | None = None) -> DataFrame:
     """The KPI record. Its sector and month facts each feed several KPIs;
     they are written once so the fact tables are aggregated once."""
-    from budgetlens.session import materialize
-
     parts = parts if parts is not None else proxies.part_fact(t)
     sectors = materialize(star.sectors_from(parts), "fact-sectors")
     months = materialize(proxies.month_series(t), "fact-months")
-    return report.kpi_record(rq.q13_kpi_budget(sectors), rq.q14_kpi_projects(sectors, months),
-                             rq.q17_kpi_grievance(months))
+    return kpi_row(sectors, months)
+
+
+def kpi_row(sectors: DataFrame, months: DataFrame) -> DataFrame:
+    """The KPI record as a written table of one row, so that every text that
+    quotes it reads the same row."""
+    return materialize(report.kpi_record(rq.q13_kpi_budget(sectors), rq.q14_kpi_projects(sectors, months),
+                                         rq.q17_kpi_grievance(months)), "kpi-record")
 
 
 def summary_context(spark, sf_dir) -> DataFrame:
-    """Q19: the KPI context text (one row)."""
-    return report.summary_context(kpis(Tables(spark, sf_dir)))
+    """Q19: the summary writer's context for the report's narrative (one row):
+    detailed text, KPI bullets, JSON and the section table, all whole."""
+    t = Tables(spark, sf_dir)
+    parts = materialize(proxies.part_fact(t), "fact-parts")
+    k = kpis(t, parts)
+    detailed = add_report_sections(report.fallback_narrative(k), "report_text", "markdown")
+    return report.summary_context(detailed, k, section_table_text(t, parts), kpi_json(k))
 
 
 def section_table_text(t: Tables, parts: DataFrame | None = None) -> DataFrame:
@@ -46,20 +57,17 @@ def section_table_text(t: Tables, parts: DataFrame | None = None) -> DataFrame:
     return report.table_text(cells, ["section", "allocated", "utilized", "utilization_pct"], ["section"])
 
 
-def kpi_json(t: Tables, parts: DataFrame | None = None) -> DataFrame:
-    k = kpis(t, parts)
+def kpi_json(k: DataFrame) -> DataFrame:
     return k.select(F.to_json(F.struct(*[F.col(c) for c in KPI_JSON_FIELDS])).alias("json_text"))
 
 
-def report_prompt(spark, sf_dir) -> DataFrame:
+def report_prompt(spark, sf_dir, department: str = DEPARTMENT) -> DataFrame:
     """Q22: one prompt per document (length and MD5 of the whole prompt)."""
-    from budgetlens.session import materialize
-
     t = Tables(spark, sf_dir)
     parts = materialize(proxies.part_fact(t), "fact-parts")
     docs = spread_for_cpu(t.documents.select("doc_id", "text"))
-    p = report.report_prompt(docs, "text", section_table_text(t, parts), kpi_json(t, parts), DEPARTMENT,
-                             ["doc_id"])
+    p = report.report_prompt(docs, "text", section_table_text(t, parts), kpi_json(kpis(t, parts)),
+                             department, ["doc_id"])
     return p.select("doc_id", F.length("prompt").cast("long").alias("prompt_len"),
                     F.md5("prompt").alias("prompt_md5"))
 
@@ -76,36 +84,58 @@ class ReportFacts:
     """
 
     def __init__(self, spark, sf_dir: str):
-        from budgetlens.session import materialize
-
         t = Tables(spark, sf_dir)
         parts = materialize(proxies.part_fact(t), "fact-parts")
         self.items = star.items_from(parts)
-        self.sectors = star.sectors_from(parts)
+        self.sectors = materialize(star.sectors_from(parts), "fact-sectors")
         self.districts = materialize(star.districts(t), "fact-districts")
         self.months = materialize(proxies.month_series(t), "fact-months")
         self.activity = materialize(proxies.activity_series(t), "fact-activity")
 
-    def parts(self) -> dict[str, DataFrame]:
+    def parts(self, kpi: DataFrame) -> dict[str, DataFrame]:
+        """The report's table results; three of them read the KPI record."""
         return {
-            "kpi_budget": rq.q13_kpi_budget(self.sectors),
-            "kpi_projects": rq.q14_kpi_projects(self.sectors, self.months),
+            "kpi_budget": kpi,
+            "kpi_projects": kpi,
+            "kpi_grievance": kpi,
             "kpi_egov": rq.q15_kpi_egov(self.sectors, self.activity, self.items, star.EGOV_SECTOR,
                                         star.EGOV_SECTION, star.EOFFICE_ITEM, period_key="day"),
             "top_districts": rq.q16_top_districts(self.districts),
-            "kpi_grievance": rq.q17_kpi_grievance(self.months),
         }
 
 
 def report_blocks(spark, sf_dir) -> DataFrame:
     """Q20: the ordered report blocks, assembled from facts built once."""
     facts = ReportFacts(spark, sf_dir)
-    parts = facts.parts()
-    kpi = report.kpi_record(parts["kpi_budget"], parts["kpi_projects"], parts["kpi_grievance"])
-    return report.report_blocks(spark, parts, report.fallback_narrative(kpi))
+    kpi = kpi_row(facts.sectors, facts.months)
+    return report.report_blocks(spark, facts.parts(kpi), report.fallback_narrative(kpi))
+
+
+def narrative_text(spark, sf_dir) -> DataFrame:
+    """The deterministic report text filled from the KPI record."""
+    return report.fallback_narrative(kpis(Tables(spark, sf_dir)))
+
+
+def top_districts_table(spark, sf_dir) -> DataFrame:
+    """The top districts as a Markdown table block."""
+    return report.markdown_table(star.top_districts(spark, sf_dir), *report.TABLES["top_districts"])
+
+
+def missing_sections(spark, sf_dir) -> DataFrame:
+    """The required report sections that each document lacks, when read as
+    a report with a summary heading."""
+    md = text_queries.headed_documents(spark, sf_dir)
+    found = split_markdown_sections(md, "md", ["doc_id"]).filter("title is not null")
+    docs = md.select("doc_id", F.lit(None).cast("string").alias("title"))
+    lacking = lacking_sections(docs.unionByName(found.select("doc_id", "title")), report.REQUIRED_SECTIONS,
+                               ["doc_id"])
+    return lacking.select("doc_id", F.col("req_ord").cast("long").alias("req_ord"), "title")
 
 
 QUERIES = {
+    "narrative_text": narrative_text,
+    "top_districts_table": top_districts_table,
+    "missing_sections": missing_sections,
     "summary_context": summary_context,
     "report_prompt": report_prompt,
     "report_blocks": report_blocks,

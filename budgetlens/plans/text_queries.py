@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from budgetlens.functions import text as X
+from budgetlens.functions.fmt import ascii_cell
 from budgetlens.session import spread_for_cpu
 from budgetlens.sources.tables import Tables
 
@@ -71,15 +72,28 @@ def report_sections(spark, sf_dir) -> DataFrame:
                       *fingerprint(F.col("s"), "summary"), *fingerprint(F.col("dr"), "detailed"))
 
 
+def headed_documents(spark, sf_dir) -> DataFrame:
+    """Each document as a report with a summary and a details heading: (doc_id, md)."""
+    return spread_for_cpu(Tables(spark, sf_dir).documents.select("doc_id", "text")) \
+        .select("doc_id", variant_text(F.col("text"), "heading").alias("md"))
+
+
 def markdown_sections(spark, sf_dir) -> DataFrame:
     """The ``## `` sections of each document's report text."""
-    d = spread_for_cpu(Tables(spark, sf_dir).documents.select("doc_id", "text")) \
-        .select("doc_id", variant_text(F.col("text"), "heading").alias("md"))
-    s = X.split_markdown_sections(d, "md", ["doc_id"])
+    s = X.split_markdown_sections(headed_documents(spark, sf_dir), "md", ["doc_id"])
     return s.select("doc_id", F.col("ord").cast("long").alias("ord"), "title",
                     *fingerprint(F.col("body"), "body"))
 
 
+def cell_functions(spark, sf_dir) -> DataFrame:
+    """F9 and F18 on every document: the text's bytes after two that are not
+    UTF-8, and the table cell made of the text and of its length."""
+    d = spread_for_cpu(Tables(spark, sf_dir).documents.select("doc_id", "text", "n_chars"))
+    raw = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-8")).cast("string")
+    return d.select("doc_id", F.md5(X.utf8_ignore(raw)).alias("utf8_md5"),
+                    F.md5(ascii_cell("text")).alias("cell_md5"), ascii_cell("n_chars").alias("n_chars_cell"))
+
+
 def json_facts(spark, sf_dir) -> DataFrame:
     """Event properties as long facts ``(event_id, path, value)``."""
     e = Tables(spark, sf_dir).events.select("event_id", "props")
@@ -87,6 +101,7 @@ def json_facts(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
+    "cell_functions": cell_functions,
     "text_functions": text_functions,
     "report_sections": report_sections,
     "markdown_sections": markdown_sections,

@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +46,27 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
     return with_file_order(df) if keep_order else df
 
 
+def has_header(spark: SparkSession, path: str, schema: T.StructType) -> bool:
+    """Whether the file's header names the schema's columns, in order (reads
+    the first line only)."""
+    found = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    return [c.strip().lower() for c in found] == [c.lower() for c in schema.names]
+
+
+def rejected_cells(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The cells of a CSV table that are not of their declared type (S7):
+    ``(path, ord, column, value)``. The typed table holds NULL there, so a
+    report made from it is incomplete by these cells."""
+    raw_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    raw = read_csv_table(spark, path, raw_schema)
+    checks = [F.when(F.col(f"`{f.name}`").isNotNull()
+                     & F.col(f"`{f.name}`").try_cast(f.dataType).isNull(),
+                     F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("value")))
+              for f in schema if not isinstance(f.dataType, T.StringType)]
+    bad = raw.select(F.lit(path).alias("path"), ORD, F.explode(F.array_compact(F.array(*checks))).alias("b"))
+    return bad.select("path", ORD, "b.column", "b.value")
+
+
 def read_text_document(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``path``, ``text`` (whole file, stripped)."""
     df = spark.read.text(path, wholetext=True)
@@ -86,6 +106,7 @@ class Sources:
     sectors: DataFrame
     districts: DataFrame
     has_additional_data: bool
+    rejected_cells: DataFrame
 
 
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -96,7 +117,9 @@ def load_sources(spark: SparkSession, folder: str) -> Sources:
     """Load the six sources of a departmental report from ``folder``.
 
     The three optional tables (months, sectors, districts) are taken
-    together: if any is missing, all three are empty and the flag is off.
+    together: if any is missing or has another header, all three are empty and
+    the flag is off. Cells that are not of their declared type are listed in
+    ``rejected_cells``.
     """
     def p(role: str) -> str:
         return os.path.join(folder, SOURCE_FILES[role])
@@ -105,19 +128,14 @@ def load_sources(spark: SparkSession, folder: str) -> Sources:
     text = read_text_document(spark, p("text"))
     doc = read_json_document(spark, p("json"))
     optional = ("months", "sectors", "districts")
-    has_all = all(_exists(spark, p(r)) for r in optional)
-    frames = {}
-    for role in optional:
-        if has_all:
-            try:
-                frames[role] = read_csv_table(spark, p(role), CSV_SCHEMAS[role])
-                continue
-            except AnalysisException:
-                has_all = False
-        frames[role] = empty_like(spark, CSV_SCHEMAS[role])
-    if not has_all:
-        frames = {r: empty_like(spark, CSV_SCHEMAS[r]) for r in optional}
-    return Sources(items=items, text=text, json=doc, has_additional_data=has_all, **frames)
+    has_all = all(_exists(spark, p(r)) and has_header(spark, p(r), CSV_SCHEMAS[r]) for r in optional)
+    frames = {r: read_csv_table(spark, p(r), CSV_SCHEMAS[r]) if has_all else
+              empty_like(spark, CSV_SCHEMAS[r]) for r in optional}
+    rejected = rejected_cells(spark, p("items"), CSV_SCHEMAS["items"])
+    for role in optional if has_all else ():
+        rejected = rejected.unionByName(rejected_cells(spark, p(role), CSV_SCHEMAS[role]))
+    return Sources(items=items, text=text, json=doc, has_additional_data=has_all,
+                   rejected_cells=rejected, **frames)
 
 
 def month_date(month: Column) -> Column:
