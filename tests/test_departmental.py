@@ -173,4 +173,4 @@ def test_departmental_report(spark):
     assert "Budget Announcements" in p
     s = out["sections"].collect()[0]
     assert len(s.executive_summary) >= 50
-    assert len(out) == 17
+    assert len(out) == 18
