@@ -10,21 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+#: Decimals that sums of money given as doubles keep.
+MONEY_SCALE = 6
 
 
 def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c: str | Column) -> Column:
-    """Money values carry at most two decimals; sum them exactly."""
-    return col_(c).cast(MONEY)
-
-
-def money_sum(c: str | Column) -> Column:
-    """Exact sum of a money column; an empty or all-null group gives 0."""
-    return F.coalesce(F.sum(money(c)), F.lit(0).cast(MONEY))
+def money_sum(c: str | Column, scale: int = MONEY_SCALE) -> Column:
+    """Order-independent sum of a money column, exact to ``scale`` decimals; an
+    empty or all-null group gives 0."""
+    kind = f"decimal(38,{scale})"
+    return F.coalesce(F.sum(col_(c).cast(kind)), F.lit(0).cast(kind))
 
 
 def as_double(c: str | Column) -> Column:
@@ -62,7 +60,7 @@ def safe_corr(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def exact_total(c: str | Column, scale: int = 4) -> Column:
+def exact_total(c: str | Column, scale: int = MONEY_SCALE) -> Column:
     """Order-independent sum of a DOUBLE column whose values carry at most
     ``scale`` decimals (money and its products): summed as DECIMAL, so the
     result does not depend on how rows are spread over tasks."""
@@ -85,5 +83,6 @@ def units_sum(c: Column) -> Column:
 
 def units_to_double(c: str | Column, scale: int) -> Column:
     """Integer units -> DOUBLE value: exact integer divided by ``10**scale``,
-    i.e. the correctly rounded double of the decimal value."""
+    the correctly rounded double of the decimal value up to 2**53 units, within
+    one unit in the last place beyond."""
     return col_(c).cast("double") / F.lit(float(10 ** scale))

@@ -250,10 +250,19 @@ def missing_sections(sections: DataFrame, required: list[str], keys: list[str])
 
 def json_facts(df: DataFrame, json_col: str, keys: list[str],
                value_type: str = "bigint") -> DataFrame:
-    """Flat JSON objects -> long facts ``(keys, path, value)``."""
-    m = F.from_json(F.col(json_col), T.MapType(T.StringType(), T.StringType()))
-    exploded = df.select(*keys, F.explode(m).alias("path", "raw"))
-    return exploded.select(*keys, "path", F.col("raw").try_cast(value_type).alias("value"))
+    """Flat JSON objects -> long facts ``(keys, path, raw, value)``.
+
+    ``raw`` is the value's text (JSON text of a nested one), ``value`` its
+    ``value_type`` or NULL. A text that is no JSON object is one row with a NULL
+    path and the whole text as ``raw``; a NULL text has no rows.
+    """
+    text = F.col(json_col)
+    m = F.from_json(text, T.MapType(T.StringType(), T.StringType()))
+    entry = "array<struct<path:string,raw:string>>"
+    entries = F.when(F.col("_m").isNotNull(), F.map_entries("_m").cast(entry)) \
+               .when(text.isNotNull(), F.array(F.struct(F.lit(None).cast("string"), text)).cast(entry))
+    parsed = df.select(*keys, json_col, m.alias("_m")).select(*keys, F.explode(entries).alias("_e"))
+    return parsed.select(*keys, "_e.path", "_e.raw", F.col("_e.raw").try_cast(value_type).alias("value"))
 
 
 def _leaves(dtype: T.DataType, path: list[str]):

@@ -45,7 +45,7 @@ def group_utilization(df: DataFrame, key: str, allocated: str, utilized: str,
     Null keys are dropped (pandas ``groupby`` does the same); money is
     summed exactly and returned as DOUBLE. With ``scales`` the two columns
     hold exact integer units of ``10**-scale`` (pre-aggregated facts);
-    otherwise they are money values with at most two decimals.
+    otherwise they are values whose sum is exact to ``MONEY_SCALE`` decimals.
     """
     out_key = out_key or key
 

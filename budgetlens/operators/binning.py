@@ -78,3 +78,12 @@ def count_per_bin(df: DataFrame, x: str, bins: Bins) -> DataFrame:
     total = full.agg(F.sum("n").alias("_total"))
     out = attach_scalars(full, total).withColumn("share_pct", row_pct("n", "_total"))
     return out.select("bin_ord", "bin", "n", "share_pct").orderBy("bin_ord")
+
+
+def count_outside(df: DataFrame, x: str, bins: Bins) -> DataFrame:
+    """One row ``(n_below, n_above, n_null)``: what :func:`count_per_bin` leaves
+    uncounted."""
+    v = as_double(x)
+    return df.agg(F.count_if(v <= F.lit(float(bins.edges[0]))).alias("n_below"),
+                  F.count_if(v > F.lit(float(bins.edges[-1]))).alias("n_above"),
+                  F.count_if(v.isNull()).alias("n_null"))

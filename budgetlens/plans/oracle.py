@@ -184,6 +184,11 @@ f AS (SELECT b.bin_ord, b.bin, cast(coalesce(c.n, 0) as bigint) AS n FROM b LEFT
 SELECT bin_ord, bin, n, cast(n as double) / cast(sum(n) OVER () as double) * 100.0 AS share_pct
 FROM f ORDER BY bin_ord"""
 
+SQL["completion_outside"] = """
+WITH x AS (SELECT l_quantity * 2 - 4 AS v FROM lineitem)
+SELECT count(*) FILTER (WHERE v <= 0) AS n_below, count(*) FILTER (WHERE v > 100) AS n_above,
+       count(*) FILTER (WHERE v IS NULL) AS n_null FROM x"""
+
 SQL["egov_progress"] = f"""
 WITH {PART_FACT}
 SELECT p_name AS item, {ratio('finished_lines', 'lines')} AS pct_achieved,
@@ -452,7 +457,8 @@ FROM z WHERE ord > 0 OR body <> ''"""
 
 SQL["json_facts"] = """
 WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS path FROM events)
-SELECT event_id, path, TRY_CAST(json_extract_string(props, '$."' || path || '"') AS BIGINT) AS value FROM k"""
+SELECT event_id, path, json_extract_string(props, '$."' || path || '"') AS raw,
+       TRY_CAST(json_extract_string(props, '$."' || path || '"') AS BIGINT) AS value FROM k"""
 
 
 # -------------------------------------------------------------- assembly

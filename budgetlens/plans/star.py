@@ -16,7 +16,7 @@ from budgetlens.functions import fmt
 from budgetlens.functions.safe import as_double, units_to_double
 from budgetlens.functions.text import flatten_document, money_text_value
 from budgetlens.operators.aggregate import agg_map, distinct_values
-from budgetlens.operators.binning import Bins
+from budgetlens.operators.binning import COMPLETION_BINS, Bins, count_outside
 from budgetlens.operators.stats import box_outliers, box_summary, sorted_value_counts
 from budgetlens.plans import proxies
 from budgetlens.plans import report_queries as rq
@@ -79,10 +79,18 @@ def budget_by_section(spark, sf_dir):
     return rq.q1_budget_by_section(items(_t(spark, sf_dir)), ITEM_SCALES)
 
 
-def completion_status(spark, sf_dir):
+def _line_completion(spark, sf_dir):
     li = _t(spark, sf_dir).lineitem
-    pct = li.select((F.col("l_quantity") * 2 - 4).alias("pct_achieved"))
-    return rq.q2_completion_status(pct)
+    return li.select((F.col("l_quantity") * 2 - 4).alias("pct_achieved"))
+
+
+def completion_status(spark, sf_dir):
+    return rq.q2_completion_status(_line_completion(spark, sf_dir))
+
+
+def completion_outside(spark, sf_dir):
+    """The lines that no completion band counts."""
+    return count_outside(_line_completion(spark, sf_dir), "pct_achieved", COMPLETION_BINS)
 
 
 def egov_progress(spark, sf_dir):
@@ -253,6 +261,7 @@ QUERIES = {
     "document_facts": document_facts,
     "budget_by_section": budget_by_section,
     "completion_status": completion_status,
+    "completion_outside": completion_outside,
     "egov_progress": egov_progress,
     "sector_radar": sector_radar,
     "monthly_budget_projects": monthly_budget_projects,

@@ -88,7 +88,7 @@ def preview_csv_files(spark: SparkSession, folder: str, glob: str = "*.csv", n:
         F.input_file_name().alias("path"), "value",
         F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("pos"))
     first = df.groupBy("path").agg(F.min(F.struct("pid", "pos")).alias("f"))
-    j = df.join(F.broadcast(first), "path") \
+    j = df.join(first, "path") \
           .filter((F.col("pid") == F.col("f.pid")) & (F.col("pos") - F.col("f.pos") <= n))
     name, _ = _name_ext("path")
     return j.select(name.alias("name"), (F.col("pos") - F.col("f.pos")).alias("line_no"),

@@ -34,6 +34,13 @@ def test_bins_right_closed_and_empty(spark):
     rows = binning.count_per_bin(df, "x", binning.COMPLETION_BINS).collect()
     assert [r.n for r in rows] == [1, 1, 0, 1]     # 0 and 101 fall in no bin
     assert sum(r.share_pct for r in rows) == pytest.approx(100.0)
+    assert tuple(binning.count_outside(df, "x", binning.COMPLETION_BINS).collect()[0]) == (1, 1, 0)
+
+
+def test_small_amounts_are_not_rounded_away(spark):
+    df = spark.createDataFrame([("a", 0.004, 0.001)] * 3, "k string, a double, u double")
+    r = aggregate.group_utilization(df, "k", "a", "u").collect()[0]
+    assert (r.allocated, r.utilized) == (0.012, 0.003)
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

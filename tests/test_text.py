@@ -105,9 +105,10 @@ def test_markdown_sections(spark):
 
 
 def test_json_facts_and_document(spark, tmp_path):
-    ev = spark.createDataFrame([(1, '{"k": 5, "j": 7}'), (2, "not json")], "id int, p string")
-    facts = sorted((r.id, r.path, r.value) for r in X.json_facts(ev, "p", ["id"]).collect())
-    assert facts == [(1, "j", 7), (1, "k", 5)]
+    ev = spark.createDataFrame([(1, '{"k": 5, "j": 1.5, "n": {"a": 1}}'), (2, "not json"), (3, None), (4, "{}")],
+                               "id int, p string")
+    facts = sorted(((r.id, r.path or "", r.raw, r.value) for r in X.json_facts(ev, "p", ["id"]).collect()))
+    assert facts == [(1, "j", "1.5", None), (1, "k", "5", 5), (1, "n", '{"a":1}', None), (2, "", "not json", None)]
     doc = load_sources(spark, departmental_files.write(tmp_path)).json
     got = {r.path: (r.value, r.number)
            for r in X.flatten_document(doc).withColumn("number", X.money_text_value("value")).collect()}
