@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from budgetlens.llm.common import WordHashes, chunks, map_batches, per_worker, spans, texts_of
 
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of text that are encoded at once, and word parts whose ids a task
-#: remembers before it starts afresh.
-CHUNK_BYTES, KNOWN_PARTS = 16 << 20, 2_000_000
+#: Bytes of text that are encoded at once (its arrays take many times as
+#: much), word parts whose ids a task remembers before it starts afresh, and
+#: pieces that are handed on together.
+CHUNK_BYTES, KNOWN_PARTS, ROWS_OUT = 4 << 20, 1_000_000, 20_000
 #: Parts that go through the tokenizer together.
 JOINED = 64
 #: ASCII signs that the tokenizer splits from a letter or digit before them.
@@ -88,7 +89,7 @@ class Encoder:
         first += len(self.store)
         self.store = np.concatenate((self.store, store))
         keys = np.concatenate((self.keys, keys))
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # two sorted runs: one merge
         self.keys = keys[order]
         self.first = np.concatenate((self.first, first))[order]
         self.size = np.concatenate((self.size, size))[order]
@@ -128,7 +129,8 @@ class Encoder:
         first, end = spans(buf)
         if not len(first):
             return first, end
-        last = np.maximum.accumulate(np.where(SIGN[buf], -1, np.arange(len(buf))))  # the last byte that is no sign
+        last = np.maximum.accumulate(np.where(  # the last byte that is no sign
+            SIGN[buf], np.int32(-1), np.arange(len(buf), dtype=np.int32)))
         tail = last[end - 1] + 1
         has = (tail < end) & (tail > first)
         has[has] = ALNUM[buf[tail[has] - 1]]
@@ -180,6 +182,13 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = 4096, end_id:
             for s, n in pieces(len(a), longest):
                 row = (doc_id, s, n, zlib.crc32(raw[4 * s:4 * (s + n)]), len(a), n.bit_length() - 1)
                 rows.append((*row, a[s:s + n].tolist()) if with_ids else row)
+            if len(rows) >= ROWS_OUT:
+                yield columns(rows)
+                rows = []
+        if rows:
+            yield columns(rows)
+
+    def columns(rows):
         return dict(zip(names, zip(*rows, strict=True), strict=True))
 
     made = map_batches(pick, run, schema)
