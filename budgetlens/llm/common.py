@@ -88,6 +88,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def each_text(batch: pa.RecordBatch, name: str = "text", rows: int = 64) -> Iterator[str]:
+    """The same strings one by one, of which only ``rows`` exist at a time."""
+    column = batch.column(name)
+    for k in range(0, len(column), rows):
+        for t in column.slice(k, rows).to_pylist():
+            yield t or ""
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that sums of word hashes order like random numbers."""
     h = h ^ (h >> np.uint64(31))

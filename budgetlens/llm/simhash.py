@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import map_batches, signed, stored, texts_of
+from budgetlens.llm.common import each_text, map_batches, signed, stored
 from budgetlens.llm.graph import components
 
 BITS = 64
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batch):
-        made = np.array([fingerprint(t, shingle) for t in texts_of(batch)], dtype=np.uint64)
+        made = np.array([fingerprint(t, shingle) for t in each_text(batch)], dtype=np.uint64)
         return {"doc_id": batch.column("doc_id"), "fp": signed(made)}
 
     return map_batches(pick, run, "doc_id long, fp long")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import doc_bucket, map_batches, stored, texts_of
+from budgetlens.llm.common import doc_bucket, each_text, map_batches, stored, texts_of
 
 #: Word classes.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LINK, BREAK = range(8)
@@ -282,8 +282,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 5) -> DataFrame:
                        (doc_bucket("doc_id", modulus) == 0).alias("held_out"), F.col("text").alias("text"))
 
     def run(batch):
-        texts = texts_of(batch)
-        s = [model.score(t) for t in texts]
+        s = [model.score(t) for t in each_text(batch)]
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s,
                 "predicted": [int(v >= 0.5) for v in s]}
 
@@ -296,6 +295,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t) < 0.5 for t in texts_of(batch)], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t) < 0.5 for t in each_text(batch)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
