@@ -47,6 +47,17 @@ def test_novelty_reports_random_strings_in_context_only(spark):
     assert got[1] == got[2] == got[3] == ""
 
 
+@pytest.mark.parametrize("n", [20, 32, 64])
+def test_copies_of_a_random_secret_are_all_reported(n):
+    rng = random.Random(n)
+    rand = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz", k=n - 1)) + "7"
+    pad = "plain words of a text " * 23
+    for text in (f"bearer {rand} and again bearer {rand} end", f"credential {rand}\n" * 5,
+                 f"auth old={rand}\nauth new={rand}\n", f"bearer {rand} {pad[:500 - n // 2]} bearer {rand} end"):
+        spans = secrets.novel_spans(text, secrets.base_spans(text), secrets.Novelty(), 0.6)
+        assert len(spans) == text.count(rand) and rand not in secrets.masked(text, spans)
+
+
 def test_redact_masks_spans_and_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "x token=abcdefghijklmnop1 y", 27), (2, "clean", 5), (3, None, None)],
                                "doc_id long, text string, n_chars long")
