@@ -9,6 +9,7 @@ common ones.
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -22,6 +23,8 @@ N_CLASSES = 7
 SYMBOLS = "#*$%&|<>"
 #: Distinct (language, word) pairs a task holds before it hands its counts on.
 FLUSH_WORDS = 200_000
+#: Languages whose references one pass over the documents of no language carries.
+BLOCK_LANGS = 1024
 
 
 def char_classes(text: str) -> np.ndarray:
@@ -99,12 +102,11 @@ def scatter(q: np.ndarray, n: int) -> float:
     return float(np.minimum((1 - q) / (8 * n * np.log(2)), q / 2).sum())
 
 
-def references(docs: DataFrame, top_words: int = 200, min_words: int = 2000,
-               max_langs: int = 64) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """For every language with ``min_words`` words, the ``max_langs`` with most
-    words: character-class counts, common words (rank by word), and their
-    counts with the rest as a last entry. Counted in Spark over all documents;
-    only this bounded table reaches the driver."""
+def references(docs: DataFrame, top_words: int = 200, min_words: int = 2000) -> DataFrame:
+    """(lang, ref): one row for every language with ``min_words`` words, its
+    character-class counts, common words with their counts, and the count of
+    all its words as JSON (``Reference`` reads it). Counted in Spark over all
+    documents; a null language counts as the empty one."""
     pick = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                        F.col("text"))
 
@@ -145,20 +147,66 @@ def references(docs: DataFrame, top_words: int = 200, min_words: int = 2000,
         .filter((F.col("kind") == "c") | (F.col("all_n") >= min_words))
     # A row a language and common word; written, so that it is counted once.
     final = stored(final.select("lang", "kind", "item", "n", "rank", "all_n"), "references")
-    big = final.groupBy("lang").agg(F.max(F.when(F.col("kind") == "w", F.col("all_n"))).alias("size")) \
-        .filter("size is not null").orderBy(F.desc("size"), "lang").limit(max_langs)
-    rows = final.join(big, "lang").select("lang", "kind", "item", "n", "rank", "all_n") \
-        .orderBy("lang", "kind", "rank").collect()  # at most max_langs * (top_words + classes)
-    out: dict = {}
-    for r in rows:
-        ref = out.setdefault(r["lang"], (np.zeros(N_CLASSES, np.int64), {}, []))
-        if r["kind"] == "c":
-            ref[0][int(r["item"])] = r["n"]
-        else:
-            ref[1][r["item"]] = len(ref[2])
-            ref[2].append(r["n"])
-            out[r["lang"]] = (*ref, r["all_n"]) if len(ref) == 3 else ref
-    return {k: (c, w, np.array([*n, max(0, t - sum(n))])) for k, (c, w, n, t) in out.items()}
+    of_kind = lambda k: F.sort_array(F.collect_list(  # noqa: E731  (top_words or classes at most)
+        F.when(F.col("kind") == k, F.struct("rank", "item", "n"))))
+    rows = final.groupBy("lang").agg(
+        of_kind("c").alias("classes"), of_kind("w").alias("words"),
+        F.max(F.when(F.col("kind") == "w", F.col("all_n"))).alias("size")).filter("size is not null")
+    return stored(rows.select("lang", F.to_json(F.struct("classes", "words", "size")).alias("ref")), "reference-rows")
+
+
+class Reference:
+    """A language's class counts, common words (rank by word), and their counts
+    with the rest as a last entry."""
+
+    def __init__(self, ref: str):
+        made = json.loads(ref)
+        self.classes = np.zeros(N_CLASSES, np.int64)
+        for r in made["classes"]:
+            self.classes[int(r["item"])] = r["n"]
+        self.ranks = {r["item"].encode("utf-8"): k for k, r in enumerate(made["words"])}
+        n = [r["n"] for r in made["words"]]
+        self.words = np.array([*n, max(0, made["size"] - sum(n))])
+
+
+def closest(text: str, n: int, refs: list[Reference]) -> tuple[float, float, float, float]:
+    """Least sum of the class and word divergences of a text of ``n`` words from
+    the references, both, and the part of the latter that scatter gives."""
+    classes = char_classes(text)
+    counts = Counter(text.lower().encode("utf-8", "surrogatepass").split())
+    best = (3.0, 0.0, 0.0, 0.0)
+    for ref in refs:
+        seen = np.zeros(len(ref.words))
+        for w, r in ref.ranks.items():
+            seen[r] = counts.get(w, 0)
+        seen[-1] = n - seen.sum()
+        a, b = divergence(classes, ref.classes), divergence(seen, ref.words)
+        best = min(best, (a + b, a, b, scatter(ref.words, n)))
+    return best
+
+
+def without_language(docs: DataFrame, refs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text, best): documents of no language with what ``closest`` gives
+    over all references, which go round in blocks of ``BLOCK_LANGS``."""
+    schema = "doc_id long, text string, best array<double>"
+    out = docs.select("doc_id", "text", F.lit(None).cast("array<double>").alias("best"))
+    if docs.isEmpty():
+        return out
+    blocks = -(-refs.count() // BLOCK_LANGS)
+    for k in range(blocks):
+        block = [r["ref"] for r in refs.filter(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == k).collect()]
+
+        def run(batch, block=block):
+            made, found = [Reference(r) for r in block], []
+            for text, best in zip(texts_of(batch), batch.column("best").to_pylist(), strict=True):
+                n = len(text.encode("utf-8", "surrogatepass").split())
+                if n >= min_words and made:
+                    best = min(tuple(best or (3.0, 0.0, 0.0, 0.0)), closest(text, n, made))
+                found.append(best)
+            return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "best": found}
+
+        out = map_batches(out, run, schema)
+    return out
 
 
 def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.03,
@@ -168,44 +216,39 @@ def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.
     ``base_failed``: fewer than ``min_words`` words, or more than half of the
     words in repeated three-word windows. The divergence test is the method's:
     a document with at least ``min_words`` words is compared with its
-    language's references (the closest ones if its language is null or has
-    none) and kept when both divergences are within their limits. The histogram
+    language's references (the closest ones of all if its language is null) and
+    kept when both divergences are within their limits. The histogram
     of a short text scatters about its source's, so the limits grow by what
     scatter alone gives: for classes ``class_noise`` / n_words, for words the
     expected divergence of n_words draws from the reference itself.
 
     Defined cases: a null text counts as empty (all features 0, base failed);
-    rows come back as often as they occur; without any reference (an empty
-    table or too few words) nothing diverges; null ids stay null; other columns
+    rows come back as often as they occur; a language with too few words for a
+    reference is undecided, and nothing of it diverges; null ids stay null; other columns
     are not read.
     """
     refs = references(docs, top_words)
     pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").alias("text"))
-
-    def verdict(text: str, lang: str | None, n: int) -> tuple[float, float, float]:
-        """Class and word divergence, and the part of the latter that scatter gives."""
-        if not refs or n < min_words:
-            return 0.0, 0.0, 0.0
-        classes = char_classes(text)
-        counts = Counter(text.lower().encode("utf-8", "surrogatepass").split())
-        best = (3.0, 0.0, 0.0, 0.0)
-        for key in ([lang] if lang in refs else refs):
-            ref_classes, ranks, ref_words = refs[key]
-            seen = np.zeros(len(ref_words))
-            for w, r in ranks.items():
-                seen[r] = counts.get(w.encode("utf-8"), 0)
-            seen[-1] = n - seen.sum()
-            a, b = divergence(classes, ref_classes), divergence(seen, ref_words)
-            best = min(best, (a + b, a, b, scatter(ref_words, n)))
-        return best[1:]
+    # Catalyst broadcasts the references or deals both sides by language, where
+    # AQE splits a hot one.
+    own = pick.filter("lang is not null").join(refs, "lang", "left").select(
+        "doc_id", "text", "ref", F.lit(None).cast("array<double>").alias("best"))
+    none = without_language(pick.filter("lang is null"), refs, min_words).select(
+        "doc_id", "text", F.lit(None).cast("string").alias("ref"), "best")
 
     def run(batch):
-        out = []
-        for text, lang in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True):
+        out, made = [], {}
+        column = batch.column("ref").dictionary_encode()
+        kinds, which = column.dictionary.to_pylist(), column.indices.to_pylist()
+        for text, k, best in zip(texts_of(batch), which, batch.column("best").to_pylist(), strict=True):
             f = base_features(text)
             failed = f[0] < min_words or 100 * f[4] > 50 * f[0]
-            a, b, by_chance = verdict(text, lang, f[0])
+            if f[0] >= min_words and k is not None:
+                if k not in made:
+                    made[k] = Reference(kinds[k])
+                best = closest(text, f[0], [made[k]])
+            _, a, b, by_chance = best or (0.0, 0.0, 0.0, 0.0)
             kept = (not failed and a <= max_class_divergence + class_noise / max(1, f[0])
                     and b <= max_word_divergence + by_chance)
             out.append((*f, failed, kept, a, b))
@@ -213,6 +256,6 @@ def judge(docs: DataFrame, min_words: int = 50, max_class_divergence: float = 0.
                  "base_failed", "kept", "class_divergence", "word_divergence")
         return {"doc_id": batch.column("doc_id")} | dict(zip(names, zip(*out, strict=True), strict=True))
 
-    return map_batches(pick, run, "doc_id long, n_words long, word_chars long, n_symbols long, "
+    return map_batches(own.unionByName(none), run, "doc_id long, n_words long, word_chars long, n_symbols long, "
                        "n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
                        "class_divergence double, word_divergence double")

@@ -194,6 +194,24 @@ def test_divergence_tells_symbols_from_prose(spark, words):
     assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(4))
 
 
+def test_every_language_has_its_reference(spark, monkeypatch):
+    rng = random.Random(9)
+    rows, letters = [], "abcdefghijklmnopqrstuvwxyz"
+    for lang in range(70):
+        own = ["".join(rng.choices(letters, k=5)) for _ in range(40)]
+        rows += [(100 * lang + i, " ".join(rng.choices(own, k=150)), f"l{lang:02}") for i in range(15 + lang % 3)]
+        if lang == 69:  # no language of its own, one of the last language's texts
+            rows.append((9000, " ".join(rng.choices(own, k=150)), None))
+            rows.append((9003, " ".join(rng.choices([w.upper() for w in own], k=150)), "l69"))
+    rows += [(9001, " ".join("".join(rng.choices(letters, k=5)) for _ in range(150)), "rare"),
+             (9002, " ".join("".join(rng.choices("%&#", k=5)) for _ in range(150)), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for block in (1024, 20):
+        monkeypatch.setattr(quality, "BLOCK_LANGS", block)
+        got = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+        assert len(got) == len(rows) and {i for i, kept in got.items() if not kept} == {9002, 9003}
+
+
 def test_divergence_bounds():
     p, q = np.array([1.0, 0, 2]), np.array([0, 3.0, 0])
     assert quality.divergence(p, p) == 0 and quality.divergence(p, q) == pytest.approx(1)
