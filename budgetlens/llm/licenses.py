@@ -10,6 +10,7 @@ template's shingles.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,6 +18,12 @@ from pyspark.sql import functions as F
 
 from budgetlens.llm.common import WordHashes, chunks, map_batches, mixed, texts_of, window_hashes
 
+#: What the notices of BSD-2-Clause and BSD-3-Clause have in common.
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+       "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+       "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+       "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+       "other materials provided with the distribution.")
 #: Notices by license (fixed values, public standard wording).
 TEMPLATES = (
     ("MIT", "Released under the MIT License"),
@@ -40,6 +47,56 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "All rights reserved"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the "
+                "License, or (at your option) any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+                 "the License, or (at your option) any later version"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, either version 3 of "
+                 "the License, or (at your option) any later version"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of "
+                 "the License, or (at your option) any later version"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", BSD + " Neither the name of the copyright holder nor the names of its contributors may be used "
+                     "to endorse or promote products derived from this software without specific prior written "
+                     "permission"),
+    ("BSD-3-Clause", "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software without specific prior written "
+                     "permission"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+             "hereby granted"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License v1.0 which accompanies this distribution"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, "
+                  "modify, publish, use, compile, sell, or distribute this software, either in source code form or "
+                  "as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at "
+                "http://mozilla.org/MPL/2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+             "be held liable for any damages arising from the use of this software"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and "
+                "neighboring rights to this software to the public domain worldwide"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
 )
 #: A-Z to a-z; ASCII punctuation and controls to blanks; everything else stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -151,17 +208,41 @@ def find(h: np.ndarray, starts: np.ndarray, table: list[Class], containment: flo
     return sorted((d, i, *span) for (d, i), spans in runs.items() for span in spans)
 
 
+def clearest(hits: list[tuple], names: list[str], sizes: list[int]) -> list[tuple]:
+    """The hits without those whose run of words another license's hit shares
+    (half of the shorter run) while it holds more shingles of its template, or
+    as many and with a higher containment."""
+    out, begin = [], 0
+    for k in range(1, len(hits) + 1):
+        if k < len(hits) and hits[k][0] == hits[begin][0]:
+            continue
+        rank = [(round(held * sizes[i]), held, names[i], a, b) for _, i, a, b, held in hits[begin:k]]
+        by_place = sorted(rank, key=lambda r: r[3])
+        longest = max(r[4] - r[3] for r in rank)
+        at = [r[3] for r in by_place]
+        for hit, (n, held, name, a, b) in zip(hits[begin:k], rank, strict=True):
+            beside = by_place[bisect_left(at, a - longest):bisect_left(at, b)]
+            if not any((m, other) > (n, held) and who != name and 2 * (min(b, y) - max(a, x)) >= min(b - a, y - x)
+                       for m, other, who, x, y in beside):
+                out.append(hit)
+        begin = k
+    return out
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = 5, containment: float = 0.8,
          miss: float = 1e-4) -> DataFrame:
     """One row per document and license found: (doc_id, license, n_hits,
     containment, first_word, end_word); the words of the best hit, counted over
     the folded text (letters and digits of ASCII, everything beyond ASCII).
+    Of licenses that match the same run of words the clearest is reported.
 
     Defined cases: null and empty texts have no rows; a null id stays null; a
     repeated row repeats its findings; templates without words are ignored;
     equally good hits: the first; other columns are not read.
     """
     table, names = classes(templates, shingle, containment, miss), [n for n, _ in templates]
+    found = {i: len(t) for c in table for i, t in c.items}
+    sizes = [found.get(i, 0) for i in range(len(names))]
     pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     columns = ("doc_id", "license", "n_hits", "containment", "first_word", "end_word")
 
@@ -171,7 +252,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = 5, containment: fl
         for begin, texts in chunks(texts_of(batch), fold):
             h, starts = cache.of_texts(texts)
             best: dict[tuple[int, str], list] = {}
-            for d, i, a, b, held in find(h, starts, table, containment):
+            for d, i, a, b, held in clearest(find(h, starts, table, containment), names, sizes):
                 hit = best.setdefault((d, names[i]), [0, 0.0, 0, 0])
                 hit[0] += 1
                 if (held, -a) > (hit[1], -hit[2]):

@@ -118,6 +118,28 @@ def test_licenses_found_where_they_stand(spark, words):
     assert len(got - want) <= 10  # notices that hold another template
 
 
+def test_look_alike_licenses_are_told_apart(spark):
+    gnu = ("This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1} "
+           "as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any "
+           "later version.")
+    texts = {"GPL-2.0": gnu.format(";", "General Public License", ";", 2),
+             "GPL-3.0": gnu.format(":", "General Public License", ",", 3),
+             "LGPL-3.0": gnu.format(":", "Lesser General Public License", ",", 3),
+             "AGPL-3.0": gnu.format(":", "Affero General Public License", ",", 3),
+             "LGPL-2.1": gnu.replace("program", "library").format(";", "Lesser General Public License", ";", 2.1),
+             "BSD-2-Clause": licenses.BSD + " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS",
+             "BSD-3-Clause": licenses.BSD + " 3. Neither the name of the copyright holder nor the names of its "
+             "contributors may be used to endorse or promote products derived from this software without specific "
+             "prior written permission.",
+             "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+             "fee is hereby granted, provided that the above copyright notice and this permission notice appear in "
+             "all copies."}
+    rows = [(k, f"Some words before. {t} And after.") for k, t in enumerate(texts.values())]
+    got = sorted((r["doc_id"], r["license"]) for r in licenses.scan(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == list(enumerate(texts))
+
+
 def test_license_windows_lose_no_template_at_full_containment():
     table = licenses.classes(licenses.TEMPLATES, 5, 0.8, 1e-4)
     assert all(c.span >= c.m + c.stride - 1 and c.bands >= 1 for c in table)
