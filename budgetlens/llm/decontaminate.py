@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and test items meet through shared token seeds. For every document
-and item that share one, the longest common token run is marked again and
+Documents and test items meet through shared token seeds, as long as the
+shortest tile. For every document and item whose shared seeds could cover
+enough of the item, the longest common token run is marked again and
 again, without overlap, until no run of the minimum length is left; runs are
 found by running Karp-Rabin hashes. The share of the item's tokens that the
 tiles cover does not depend on their order, so reordered passages count.
@@ -22,6 +23,8 @@ from budgetlens.llm.licenses import fold
 
 #: Characters of test items that one pass over the documents carries.
 BLOCK_CHARS = 32 << 20
+#: Places of shared seeds that are looked at together; one document's are never parted.
+POSTINGS = 1 << 20
 
 
 class Items:
@@ -29,52 +32,69 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], seed: int):
         cache = WordHashes()
-        self.seed = seed
-        self.ids, self.tokens, keys, owner, place = [], [], [], [], []
-        short: list[tuple[int, int]] = []
+        self.ids, self.tokens, by_width = [], [], {}
         for item_id, text in rows:
             h, _ = cache.of_bytes(fold((text or "").encode("utf-8", "surrogatepass")))
             if not len(h):
                 continue
-            k = len(self.ids)
+            width = min(seed, len(h))
+            s = window_hashes(h, width)
+            by_width.setdefault(width, []).append((s, np.full(len(s), len(self.ids)), np.arange(len(s))))
             self.ids.append(item_id)
             self.tokens.append(h)
-            if len(h) < seed:
-                short.append((len(h), k))
-            else:
-                s = window_hashes(h, seed)
-                keys.append(s)
-                owner.append(np.full(len(s), k))
-                place.append(np.arange(len(s)))
-        self.seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-        if keys:
-            self._add(seed, np.concatenate(keys), np.concatenate(owner), np.concatenate(place))
-        for width in sorted({w for w, _ in short}):
-            own = [k for w, k in short if w == width]
-            self._add(width, np.concatenate([window_hashes(self.tokens[k], width) for k in own]),
-                      np.array(own), np.zeros(len(own), np.int64))
-
-    def _add(self, width, keys, owner, place):
-        order = np.argsort(keys, kind="stable")
-        self.seeds.append((width, keys[order], owner[order], place[order]))
-
-    def candidates(self, h: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], int]:
-        """(document, item) pairs that share a seed. ``h``: the token hashes of
-        several documents; ``starts``: where each begins, and the end."""
-        found: dict[tuple[int, int], int] = {}
-        for width, keys, owner, _ in self.seeds:
+        self.sizes = np.array([len(h) for h in self.tokens], np.int64)
+        # By width: distinct seeds, where the places of each begin, and the end, items, places.
+        self.seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for width, parts in sorted(by_width.items()):
+            keys, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, first = np.unique(keys[order], return_index=True)
+            self.seeds.append((width, keys, np.append(first, len(order)), owner[order], place[order]))
+
+    def candidates(self, h: np.ndarray, starts: np.ndarray, coverage: float) -> list[tuple[int, int]]:
+        """(document, item) pairs where the places of the shared seeds cover the
+        item to ``coverage``; tiles cover no other token. ``h``: the token hashes
+        of several documents; ``starts``: where each begins, and the end."""
+        found: list[tuple[int, int]] = []
+        for width, keys, first, owner, place in self.seeds:
             s = window_hashes(h, width)
-            lo = np.searchsorted(keys, s)
-            at = np.nonzero(keys[np.minimum(lo, len(keys) - 1)] == s)[0]
+            key = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            at = np.nonzero(keys[key] == s)[0]
             doc = np.searchsorted(starts, at, side="right") - 1
             whole = at + width <= starts[doc + 1]
-            for d, p in zip(doc[whole].tolist(), lo[at[whole]].tolist(), strict=True):
-                key = keys[p]
-                while p < len(keys) and keys[p] == key:
-                    found[d, int(owner[p])] = 1
-                    p += 1
+            both = np.unique(doc[whole] * len(keys) + key[at[whole]])
+            doc, key = both // len(keys), both % len(keys)
+            n = first[key + 1] - first[key]
+            ends = np.cumsum(n)
+            a = 0
+            while a < len(doc):  # some whole documents at a time
+                upto = int(np.searchsorted(ends, ends[a] - n[a] + POSTINGS, side="right"))
+                b = len(doc) if upto == len(doc) else int(np.searchsorted(doc, doc[upto]))
+                if b <= a:
+                    b = int(np.searchsorted(doc, doc[a], side="right"))
+                k = np.repeat(first[key[a:b]] - (ends[a:b] - n[a:b]), n[a:b]) + np.arange(ends[a] - n[a], ends[b - 1])
+                found += self._covered(np.repeat(doc[a:b], n[a:b]), owner[k], place[k], width, coverage)
+                a = b
         return found
 
+    def _covered(self, doc, item, place, width: int, coverage: float) -> list[tuple[int, int]]:
+        code = doc * len(self.ids) + item
+        pair, which, n = np.unique(code, return_inverse=True, return_counts=True)
+        enough = n * width >= coverage * self.sizes[pair % len(self.ids)]
+        some = enough[which]
+        code, place = code[some], place[some]
+        if not len(code):
+            return []
+        order = np.lexsort((place, code))
+        code, place = code[order], place[order]
+        new = np.diff(code, prepend=-1) != 0
+        step = np.minimum(np.diff(place, append=0), width)
+        step[np.append(new[1:], True)] = width  # a pair's last seed
+        first = np.nonzero(new)[0]
+        covered, pair = np.add.reduceat(step, first), code[first]
+        pair = pair[covered >= coverage * self.sizes[pair % len(self.ids)]]
+        return list(zip((pair // len(self.ids)).tolist(), (pair % len(self.ids)).tolist(), strict=True))
+
 
 def runs(text: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     """Maximal common runs (length, place in text, place in item) of at least
@@ -144,19 +164,19 @@ def _batched_hits(batch, items: Items, min_match: int, coverage: float):
     hashes = WordHashes()
     for begin, texts in chunks(texts_of(batch), fold):
         h, starts = hashes.of_texts(texts)
-        for d, k in sorted(items.candidates(h, starts)):
+        for d, k in sorted(items.candidates(h, starts, coverage)):
             item = items.tokens[k]
             covered, tiles = tile(h[starts[d]:starts[d + 1]], item, min_match)
             if covered >= coverage * len(item):
                 yield begin + d, k, covered, tiles
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_match: int = 3,
+def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 3,
           coverage: float = 0.8) -> DataFrame:
     """One row per document and test item whose tokens the document covers to
     at least ``coverage``: (doc_id, item_id, coverage, covered, item_tokens,
-    tiles). Seeds have ``seed`` tokens, tiles ``min_match`` at least; an item
-    shorter than a seed is its own seed.
+    tiles). Tiles have ``min_match`` tokens at least, seeds so many; an item
+    shorter than that is its own seed.
 
     The items are broadcast in blocks of bounded size; a larger benchmark
     takes one pass over the documents for each block.
@@ -170,7 +190,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_match: int =
     target = to_arrow_schema(StructType.fromDDL(schema))
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark):
-        items = Items(block, seed)
+        items = Items(block, min_match)
 
         def run(batches, items=items):
             import pyarrow as pa
@@ -188,11 +208,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_match: int =
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_match: int = 3,
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 3,
           coverage: float = 0.8) -> DataFrame:
     """The documents that leak no test item, all columns unchanged."""
     for block in _blocks(benchmark):
-        items = Items(block, seed)
+        items = Items(block, min_match)
 
         def run(batches, items=items):
             import pyarrow as pa

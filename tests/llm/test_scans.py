@@ -161,6 +161,34 @@ def test_tiling_catches_reordered_passages(spark, words):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6]
 
 
+def test_tiling_retrieves_what_short_tiles_cover(spark, words, monkeypatch):
+    rng = random.Random(13)
+    own = sorted(set(words))
+    items = [(k, " ".join(rng.sample(own, n))) for k, n in enumerate([40, 40, 7, 9, 12, 2])]
+    docs = []
+    for k, text in items[:2]:
+        w = text.split()
+        for size in (3, 4):
+            parts = [w[i:i + size] for i in range(0, len(w) - len(w) % size, size)]
+            rng.shuffle(parts)
+            docs.append(" ".join(" ".join([*p, "zzz"]) for p in parts))
+        docs.append(" ".join("zzz" if i % 5 == 4 else x for i, x in enumerate(w)))
+        docs.append(" ".join("zzz" if i % 4 == 3 else x for i, x in enumerate(w)))
+    docs += [" ".join("zzz" if i == len(t.split()) // 2 else x for i, x in enumerate(t.split())) for _, t in items[2:5]]
+    docs += [" ".join(rng.choices(own, k=200)) for _ in range(5)] + [items[5][1]]
+    hashes = {k: decontaminate.WordHashes().of_bytes(decontaminate.fold(t.encode()))[0] for k, t in items}
+    want = set()
+    for d, t in enumerate(docs):
+        h = decontaminate.WordHashes().of_bytes(decontaminate.fold(t.encode()))[0]
+        want |= {(d, k) for k, x in hashes.items() if decontaminate.tile(h, x, 3)[0] >= 0.8 * len(x)}
+    assert {(0, 0), (1, 0), (2, 0), (4, 1), (5, 1), (6, 1), (8, 2), (9, 3), (16, 5)} <= want and (3, 0) not in want
+    for limit in (1 << 20, 7):
+        monkeypatch.setattr(decontaminate, "POSTINGS", limit)
+        got = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"),
+                                  spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def plain_tile(text, item, least):
     """Longest common unmarked run first, by looking at all pairs of places."""
     a, b, covered = [False] * len(text), [False] * len(item), 0
