@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from budgetlens.llm import (
-    decontaminate, html_blocks, kneser_ney, licenses, packing, quality, secrets, simhash, substrings, toxicity)
+    decontaminate, html_blocks, kneser_ney, licenses, packing, quality, quality_model, secrets, simhash, spelling,
+    substrings, toxicity, whitening)
 from budgetlens.llm.common import table
 
 
@@ -52,9 +53,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3)
+
+
+def op12_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_blocks, op2_divergence, op3_simhash, op4_secrets, op5_licenses, op6_substrings, op7_tiling,
-    op8_kneser_ney, op9_packing, op10_toxicity)}
+    op8_kneser_ney, op9_packing, op10_toxicity, op11_spelling, op12_quality_model, op13_whitening)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_substrings": r"""
