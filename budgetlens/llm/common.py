@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,33 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of a bounded Arrow batch, where the session has Spark's own limit.
+BATCH_BYTES = 8 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, so that neither side holds
+    many long texts at once: a session with Spark's default for
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` gets ``BATCH_BYTES``, another
+    value is kept. A task gives unused memory back when it ends."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, str(BATCH_BYTES))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict],
-                schema: str) -> DataFrame:
+                schema: str, bounded: bool = False) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns one batch into columns (a dict of
-    column name to array), or yields several such dicts."""
+    column name to array), or yields several such dicts; ``bounded``: through
+    ``in_arrow``."""
     target = to_arrow_schema(_struct(schema))
 
     def run(batches):
@@ -57,7 +80,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | d
                     arrays = [_array(cols[f.name], f.type) for f in target]
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema) if bounded else df.mapInArrow(run, schema)
 
 
 def _struct(schema: str):
@@ -170,7 +193,7 @@ class WordHashes:
         return int(self.of_bytes(word)[0][0])
 
 
-def chunks(texts: list[str], change=None, size: int = 1 << 22):
+def chunks(texts: Iterable[str], change=None, size: int = 1 << 22):
     """Runs of encoded texts of about ``size`` bytes: (number of the first, list)."""
     run, begin, n = [], 0, 0
     for i, t in enumerate(texts):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from budgetlens.llm.common import BASE, WordHashes, chunks, texts_of, window_hashes
+from budgetlens.llm.common import BASE, WordHashes, chunks, each_text, in_arrow, window_hashes
 from budgetlens.llm.licenses import fold
 
 #: Characters of test items that one pass over the documents carries.
@@ -162,7 +162,7 @@ def _blocks(benchmark: DataFrame):
 def _batched_hits(batch, items: Items, min_match: int, coverage: float):
     """(row, item, covered, tiles) of a batch of texts, several hashed at once."""
     hashes = WordHashes()
-    for begin, texts in chunks(texts_of(batch), fold):
+    for begin, texts in chunks(each_text(batch), fold):
         h, starts = hashes.of_texts(texts)
         for d, k in sorted(items.candidates(h, starts, coverage)):
             item = items.tokens[k]
@@ -204,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 3,
                         [pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), target, strict=True)],
                         schema=target)
 
-        out = out.unionByName(pick.mapInArrow(run, schema))
+        out = out.unionByName(in_arrow(pick, run, schema))
     return out
 
 
@@ -221,5 +221,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 3,
                 bad = {r for r, *_ in _batched_hits(batch, items, min_match, coverage)}
                 yield batch.filter(pa.array([r not in bad for r in range(batch.num_rows)])) if bad else batch
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(docs, run, docs.schema)
     return docs

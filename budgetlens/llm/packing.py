@@ -11,18 +11,22 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from budgetlens.llm.common import WordHashes, chunks, map_batches, per_worker, spans, texts_of
+from budgetlens.llm.common import WordHashes, _array, chunks, each_text, in_arrow, per_worker, spans
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text that are encoded at once (its arrays take many times as
 #: much), word parts whose ids a task remembers before it starts afresh, and
 #: pieces that are handed on together.
-CHUNK_BYTES, KNOWN_PARTS, ROWS_OUT = 4 << 20, 1_000_000, 20_000
+CHUNK_BYTES, KNOWN_PARTS, ROWS_OUT = 2 << 20, 500_000, 20_000
 #: Parts that go through the tokenizer together.
 JOINED = 64
 #: ASCII signs that the tokenizer splits from a letter or digit before them.
@@ -94,7 +98,7 @@ class Encoder:
         self.first = np.concatenate((self.first, first))[order]
         self.size = np.concatenate((self.size, size))[order]
 
-    def ids(self, texts: list[str]):
+    def ids(self, texts: Iterable[str]):
         """The ids of each text, one text after the other."""
         for _, run in chunks(texts, None, CHUNK_BYTES):
             raw = b"\n".join(run)
@@ -174,9 +178,20 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = 4096, end_id:
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket")
     if with_ids:
         schema, names = schema + ", ids array<int>", (*names, "ids")
-    def run(batch):
-        encoder, rows = per_worker(f"encoder {path}", lambda: Encoder(path)), []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(texts_of(batch)), strict=True):
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        # The tokenizer stays in the worker; what it has learned goes with the task.
+        encoder = per_worker(f"encoder {path}", lambda: Encoder(path))
+        try:
+            for batch in batches:
+                yield from packed(encoder, batch)
+        finally:
+            encoder.forget()
+
+    def packed(encoder, batch):
+        rows = []
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(each_text(batch)), strict=True):
             a = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
             raw = memoryview(a).cast("B")
             for s, n in pieces(len(a), longest):
@@ -189,9 +204,10 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = 4096, end_id:
             yield columns(rows)
 
     def columns(rows):
-        return dict(zip(names, zip(*rows, strict=True), strict=True))
+        return pa.RecordBatch.from_arrays([_array(v, f.type) for v, f in zip(zip(*rows, strict=True), target, strict=True)],
+                                          schema=target)
 
-    made = map_batches(pick, run, schema)
+    made = in_arrow(pick, run, schema)
     return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
                        F.monotonically_increasing_id().alias("sequence_id"),
                        F.lit(0).cast("long").alias("offset"), "bucket", *(["ids"] if with_ids else []))

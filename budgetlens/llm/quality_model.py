@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import BASE, BLANK, WordHashes, doc_bucket, each_text, map_batches, mixed, stored
+from budgetlens.llm.common import BASE, BLANK, WordHashes, doc_bucket, each_text, in_arrow, map_batches, mixed, stored
 
 #: Classes of bytes: blank, line end, letter or digit (bytes of other alphabets too), mark.
 KIND = np.full(256, 3, np.int8)
@@ -157,7 +157,8 @@ def examples(docs: DataFrame, labels: DataFrame, features: Features, most: int,
         return {"id": batch.column("id"), "place": batch.column("place"), "y": batch.column("y"),
                 "index": [i for i, _ in made], "n": [n for _, n in made]}
 
-    return stored(map_batches(pick, run, "id long, place long, y int, index array<int>, n array<int>"), "examples")
+    return stored(map_batches(pick, run, "id long, place long, y int, index array<int>, n array<int>", bounded=True),
+                  "examples")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, modulus: int = 5, epochs: int = 3,
@@ -187,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, modulus:
 
     every = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     one = every.repartition(1).sortWithinPartitions("epoch", "place", "id", "y", F.xxhash64("index", "n"))
-    got = one.select("y", "index", "n").mapInArrow(learn, "at long, w double").collect()  # 2**bits + 1 at most
+    got = in_arrow(one.select("y", "index", "n"), learn, "at long, w double").collect()  # 2**bits + 1 at most
     weight, constant = np.zeros(1 << bits, np.float32), 0.0
     for r in got:
         if r["at"] < 0:
@@ -216,4 +217,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, modulus: int =
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s,
                 "predicted": [int(v >= threshold) for v in s]}
 
-    return map_batches(pick, run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(pick, run, "doc_id long, held_out boolean, score double, predicted int", bounded=True)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import each_text, map_batches, mixed, release, stored
+from budgetlens.llm.common import each_text, in_arrow, map_batches, mixed, release, stored
 
 #: Maximal runs of these code points are words; all of them fit into one byte.
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -77,7 +77,7 @@ def vocabulary(docs: DataFrame, min_length: int = 5, min_count: int = 3, rare: i
         if seen:
             yield _counts(seen)
 
-    return (pick.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return (in_arrow(pick, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
             .filter(F.col("n") >= min_count))
 
 

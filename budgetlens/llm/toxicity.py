@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import doc_bucket, each_text, map_batches, stored, texts_of
+from budgetlens.llm.common import doc_bucket, each_text, in_arrow, map_batches, stored
 
 #: Word classes.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LINK, BREAK = range(8)
@@ -111,7 +111,7 @@ class Lexicon(dict):
     """Word to (class, weight), by whole word or else by its longest known stem;
     a cache that starts afresh when it is full."""
 
-    def __init__(self, words: dict[str, tuple[int, float]], stems: dict[str, float], most: int = 300_000):
+    def __init__(self, words: dict[str, tuple[int, float]], stems: dict[str, float], most: int = 100_000):
         super().__init__()
         self.words, self.stems, self.most = words, stems, most
 
@@ -201,7 +201,7 @@ def learn_lexicon(rows: DataFrame, min_docs: int, min_odds: float, most: int) ->
     log-odds of ``min_odds``; at most ``most`` terms, the strongest first."""
     def count(batch):
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch), strict=True):
+        for toxic, text in zip(batch.column("toxic").to_pylist(), each_text(batch), strict=True):
             for t in terms(text):
                 seen[t][toxic > 0] += 1
             if len(seen) > FLUSH_TERMS:
@@ -216,7 +216,7 @@ def learn_lexicon(rows: DataFrame, min_docs: int, min_odds: float, most: int) ->
     a, b = n.get(True, 0), n.get(False, 0)
     odds = (F.log((F.col("toxic") + 0.5) / (a + 1 - F.col("toxic"))) -
             F.log((F.col("clean") + 0.5) / (b + 1 - F.col("clean"))))
-    got = (map_batches(rows.select("toxic", "text"), count, "term string, clean long, toxic long")
+    got = (map_batches(rows.select("toxic", "text"), count, "term string, clean long, toxic long", bounded=True)
            .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
            .filter(F.col("toxic") >= min_docs).withColumn("odds", odds).filter(F.col("odds") >= min_odds)
            .orderBy(F.desc("odds"), "term").limit(most).collect())
@@ -260,11 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, modulus:
     lexicon = learn_lexicon(rows.filter(F.col("part") < modulus - 1), min_docs, min_odds, most_terms)
 
     def measure(batch):
-        x = np.array([features(t, lexicon) for t in texts_of(batch)])
+        x = np.array([features(t, lexicon) for t in each_text(batch)])
         return {"y": batch.column("toxic"), "x": list(x)}
 
     got = map_batches(rows.filter(F.col("part") == modulus - 1).select("toxic", "text"), measure,
-                      "y int, x array<double>").collect()  # at most most_rows rows of five numbers
+                      "y int, x array<double>", bounded=True).collect()  # at most most_rows rows of five numbers
     y = np.array([r["y"] > 0 for r in got], float)
     if len(y) < 20 or y.min() == y.max():
         return Model(lexicon, np.array([-2.0, 1.0, 2.0, 0.5]), np.zeros(4), np.ones(4))
@@ -286,7 +286,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 5) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s,
                 "predicted": [int(v >= 0.5) for v in s]}
 
-    return map_batches(pick, run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(pick, run, "doc_id long, held_out boolean, score double, predicted int", bounded=True)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -297,4 +297,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(t) < 0.5 for t in each_text(batch)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from budgetlens.llm.common import map_batches, stored
+from budgetlens.llm.common import in_arrow, map_batches, stored
 
 #: An entry c becomes floor(SCALE * c) + OFFSET.
 SCALE, OFFSET = 64, 1_000_000
@@ -212,7 +212,7 @@ def spectra(pick: DataFrame, size: int) -> DataFrame:
         if have.n:
             yield _row(TaskContext.get().partitionId(), have, sums, target)
 
-    return pick.mapInArrow(run, SPECTRUM)
+    return in_arrow(pick, run, SPECTRUM)
 
 
 def _row(part: int, have: Spectrum, sums: np.ndarray, target: pa.Schema) -> pa.RecordBatch:
@@ -260,7 +260,7 @@ def moments(pick: DataFrame, size: int, mean: np.ndarray, basis: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every)), pa.int32()), pa.array(every)], ["at", "v"])
 
     # (k + 1) * k rows whatever the number of vectors.
-    got = pick.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    got = in_arrow(pick, run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(k * (k + 1))
     for r in got:
         out[r["at"]] = r["v"]
