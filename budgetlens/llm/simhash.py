@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetlens.llm.common import each_text, map_batches, signed, stored
@@ -50,14 +50,21 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row; a null text has fingerprint 0."""
-    pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, fp, text_hash): one row per input row; a null text has
+    fingerprint 0; ``text_hash`` tells texts under one id apart."""
+    pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       _text_hash(text_col).alias("text_hash"))
 
     def run(batch):
         made = np.array([fingerprint(t, shingle) for t in each_text(batch)], dtype=np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": signed(made)}
+        return {"doc_id": batch.column("doc_id"), "fp": signed(made), "text_hash": batch.column("text_hash")}
 
-    return map_batches(pick, run, "doc_id long, fp long")
+    return map_batches(pick, run, "doc_id long, fp long, text_hash long", bounded=True)
+
+
+def _text_hash(text_col: str):
+    """A null text, which has the empty one's fingerprint, hashes like it."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def index_entries(distinct: DataFrame, segments: int = 4) -> DataFrame:
@@ -92,6 +99,14 @@ def links(distinct: DataFrame, max_distance: int = 2, segments: int = 4) -> Data
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _rooted(marks: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """(fp, first_id, root): every fingerprint with its smallest id and its component."""
+    distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = components(links(distinct, max_distance, segments))
+    return stored(distinct.join(roots, distinct["fp"] == roots["node"], "left")
+                  .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 3, max_distance: int = 2, segments: int = 4) -> DataFrame:
     """One row per input row: (doc_id, fingerprint, component_id).
@@ -103,11 +118,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     input are not read.
     """
     marks = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct, max_distance, segments))
-    rooted = stored(
-        distinct.join(roots, distinct["fp"] == roots["node"], "left")
-        .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _rooted(marks, max_distance, segments)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = rooted.join(least, "root").select("fp", "component_id")
     return marks.join(member, "fp").select(
@@ -115,15 +126,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             shingle: int = 3, max_distance: int = 2) -> DataFrame:
-    """One document of each group: the row with the group's smallest id, all
-    columns unchanged. Of rows that share that id, the one whose columns hash
-    lowest stays. A row with a null id cannot stand for a group or be named as
-    a copy, so it stays."""
-    marks = near_duplicates(docs, id_col, text_col, shingle, max_distance)
-    chosen = stored(marks.filter("doc_id = component_id").select("doc_id").distinct(), "chosen")
-    key = F.col(id_col).cast("long")
-    one = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
-    kept = (docs.join(chosen.select(F.col("doc_id").alias("__id")), key == F.col("__id"), "left_semi")
-            .withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").drop("__nth"))
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+             shingle: int = 3, max_distance: int = 2, segments: int = 4) -> DataFrame:
+    """One document of each component, all columns unchanged: the one with the
+    component's smallest id and, where that id stands on several texts of the
+    component, the text whose hash is smallest; of equal rows of both, the row
+    whose columns hash lowest. Texts under one id that are no copies of each
+    other are in components of their own, and each of those keeps its one.
+
+    Defined cases: a row with a null id cannot stand for a component or be named
+    as a copy, so it stays; null and empty texts are copies of each other; an
+    empty table gives an empty result; a text of any length is read whole.
+    """
+    marks = stored(fingerprints(docs, id_col, text_col, shingle).filter("doc_id is not null"), "fingerprints")
+    rooted = _rooted(marks, max_distance, segments)
+    # One row a (component, id, text); only texts that stand on several rows need a choice among rows.
+    each = (marks.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+            .join(rooted.select("fp", "root"), "fp"))
+    chosen = stored(each.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "rows")).alias("one"))
+                    .select(F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__text"),
+                            F.col("one.rows").alias("__rows")), "chosen")
+    key, text = F.col(id_col).cast("long"), _text_hash(text_col)
+    at = (key == F.col("__id")) & (text == F.col("__text"))
+    kept = docs.join(chosen.filter("__rows = 1"), at).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    several = chosen.filter("__rows > 1")
+    if several.isEmpty():
+        return kept
+    lowest = F.min_by(F.struct(*docs.columns), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
+    again = docs.join(several, at).groupBy("__id", "__text").agg(lowest.alias("__row")).select("__row.*")
+    return kept.unionByName(again)

@@ -73,6 +73,22 @@ def test_keep_one_keeps_one_of_each_group(awkward, rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_keep_one_keeps_texts_that_are_nobodys_copy(spark, words):
+    """Unrelated texts under one id are no copies; equal and near ones are."""
+    import random
+
+    rng = random.Random(21)
+    a, b, c, d = (" ".join(rng.choices(words, k=150)) for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, b, "y"), (2, c, "z"), (2, c, "z"), (4, None, "x"), (4, "", "x"),
+            (None, d, "x"), (5, d, "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(4)
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted((i, t) for i, t, _ in kept if i not in (None, 4)) == sorted([(1, a), (1, b), (2, c), (5, d)])
+    assert len([r for r in kept if r[0] == 4]) == 1 and len([r for r in kept if r[0] is None]) == 2
+    marks = simhash.near_duplicates(df).collect()
+    assert len(marks) == len(rows)
+
+
 def plain_removed(rows, n=13):
     first = {}
     for i, t in rows:
