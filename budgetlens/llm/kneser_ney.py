@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from budgetlens.llm.common import BASE, WordHashes, chunks, doc_bucket, map_batches, mixed, release, stored, texts_of
+from budgetlens.llm.common import BASE, WordHashes, chunks, doc_bucket, each_text, in_arrow, map_batches, mixed, release, stored
 from budgetlens.session import scratch_path
 
 #: Tokens that one shard should hold on average.
 SHARD_TOKENS = 1 << 19
-#: Bytes of text that a task counts or scores at once.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text that a task counts, and scores, at once.
+CHUNK_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
 #: Shards of one array that a task keeps mapped.
 OPEN_SHARDS = 128
 #: Hashes of the end token and of the begin mark.
@@ -57,9 +57,9 @@ class Tokens:
         self.hashes = WordHashes()
         self.end, self.begin = END, BEGIN
 
-    def chunks(self, texts: list[str]):
-        """(hashes, sizes): the tokens of several texts one after the other."""
-        for _, run in chunks(texts, bytes.lower, CHUNK_BYTES):
+    def chunks(self, texts, size: int):
+        """(hashes, sizes): the tokens of several texts, of about ``size`` bytes, one after the other."""
+        for _, run in chunks(texts, bytes.lower, size):
             words, starts = self.hashes.of_texts(run)
             sizes = np.diff(starts) + 1
             h = np.full(len(words) + len(run), self.end, np.uint64)
@@ -169,13 +169,13 @@ def counted(pick: DataFrame, n: int, layout: Layout) -> DataFrame:
     """(shard, blob): distinct n-grams of the training texts by task and chunk."""
     def run(batch):
         tokens = Tokens()
-        for h, sizes in tokens.chunks(texts_of(batch)):
+        for h, sizes in tokens.chunks(each_text(batch), CHUNK_BYTES):
             cols, counts = unique_rows(tokens.grams(h, sizes, n), np.ones(len(h), np.uint64))
             whole = chained(cols)
             context = chained(cols[:-1]) if n > 1 else whole
             yield _rows_by_shard(_blobs(cols, counts, layout.of(context, whole)))
 
-    return map_batches(pick, run, "shard int, blob binary")
+    return map_batches(pick, run, "shard int, blob binary", bounded=True)
 
 
 STATS = ("level int, shard int, n long, total long, n1 long, n2 long, n3 long, n4 long, hot binary, "
@@ -223,7 +223,7 @@ def merged(blobs: DataFrame, n: int, layout: Layout, below: Layout | None, folde
         if parts:
             yield _one(finish(shard, parts), target)
 
-    return blobs.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, STATS)
+    return in_arrow(blobs.repartition(partitions, "shard").sortWithinPartitions("shard"), run, STATS)
 
 
 def _one(row, target):
@@ -429,7 +429,7 @@ def score(docs: DataFrame, model: Model, flag) -> DataFrame:
             held.append(model.maps())
         maps, tokens = held[0], Tokens()
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for h, sizes in tokens.chunks(texts_of(batch)):
+        for h, sizes in tokens.chunks(each_text(batch), SCORE_BYTES):
             cols = tokens.grams(h, sizes, model.order)
             p, c = np.empty(len(h)), np.zeros(len(h), np.int64)
             order = np.argsort(chained(cols))  # look-ups of sorted keys stay near each other
@@ -452,7 +452,7 @@ def score(docs: DataFrame, model: Model, flag) -> DataFrame:
                 "perplexity": [10 ** (-s / t) for s, t in zip(out["score"], out["n_tokens"], strict=True)]}
 
     return map_batches(pick, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                       "base_score double, score double, perplexity double")
+                       "base_score double, score double, perplexity double", bounded=True)
 
 
 def held_out_scores(docs: DataFrame, order: int = 2, modulus: int = 10) -> DataFrame:
