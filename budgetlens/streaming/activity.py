@@ -5,9 +5,12 @@ table; rows that fail to parse go to a quarantine table. Each micro-batch is
 written with ``foreachBatch`` into its own ``batch_id`` partition (dynamic
 overwrite), so together with the checkpoint a re-run batch is idempotent.
 
-R2 ``activity_windows``: tumbling event-time windows per event type. All
-windows are kept (one row a window and type), each run rewrites the table
-with every window so far, and a late row of any age still counts.
+R2 ``run_windows`` / ``read_windows``: tumbling event-time windows per event
+type. Every micro-batch is aggregated on its own and appends its windows' counts
+to a table; counts are mergeable, and the reader adds them. So the stream holds
+no state however many days it runs, a late row of any age counts (an aggregation
+with a watermark would drop it), and a further run reads new files only. The
+watermark is kept as data: the reader tells which windows it has passed.
 
 Checkpoints and outputs live under the shared checkpoint folder
 (``spark.checkpoint.dir``), never on a machine-local path of a cluster.
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from budgetlens.operators.aggregate import attach_scalars
 from budgetlens.session import scratch_path
 
 EVENTS_SCHEMA = T.StructType([
@@ -49,54 +53,72 @@ def utc_wall_clock_text(c):
     return F.date_format(ntz, "yyyy-MM-dd HH:mm:ss")
 
 
-def window_counts(events: DataFrame, window: str = "1 day") -> DataFrame:
-    """Per (window, event type): events and summed value (exact, DECIMAL).
-    ``ts`` must be a TIMESTAMP."""
-    w = events.groupBy(F.window("ts", window).alias("w"), "event_type")
-    return w.agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"))
+#: Rows of the windows' table, one for each window and type of a micro-batch;
+#: times in microseconds, values in exact hundredths, ``latest`` the last event.
+PARTIALS = "start long, end long, event_type string, n long, cents decimal(38,0), latest long"
 
 
-def _start_with_state_partitions(spark: SparkSession, writer, n: int | None):
-    """Start a stateful query with ``n`` state partitions (fixed in the
-    checkpoint at the first start; default: the cluster's total cores),
-    leaving the session's own setting as it was."""
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(key, old)
+def window_partials(events: DataFrame, window: str = "1 day") -> DataFrame:
+    """The counts of one micro-batch; ``ts`` must be a TIMESTAMP. Rows are counted
+    in every task first, so a window with very many rows is one row a task when
+    it is shuffled. Rows without a time are in no window."""
+    cents = (F.col("value").cast("decimal(18,2)") * 100).cast("decimal(20,0)")
+    per = events.filter("ts is not null").groupBy(F.window("ts", window).alias("w"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents).cast("decimal(38,0)").alias("cents"),
+        F.max(F.unix_micros("ts")).alias("latest"))
+    return per.select(F.unix_micros("w.start").alias("start"), F.unix_micros("w.end").alias("end"), "event_type",
+                      "n", "cents", "latest")
 
 
-def activity_windows(spark: SparkSession, source_dir: str, glob: str = "events.parquet",
-                     window: str = "1 day", state_partitions: int | None = None,
-                     files_per_batch: int | None = None) -> DataFrame:
-    """Run R2 over the files present now (``availableNow``) into Parquet and
-    return all windows. ``files_per_batch`` only cuts the work into smaller
-    batches: in complete mode no row is late, so the result does not depend
-    on how files fall into batches."""
-    out, ckpt = scratch_path(spark, "activity-windows"), scratch_path(spark, "activity-windows-ckpt")
+def run_windows(spark: SparkSession, source_dir: str, table: str, glob: str = "events.parquet",
+                window: str = "1 day", files_per_batch: int | None = None) -> list[dict]:
+    """Run R2 over the files of ``source_dir`` that ``table`` has not seen yet
+    (``availableNow``) and append their windows' counts to it. ``files_per_batch``
+    only cuts the work into smaller batches: counts add up the same however files
+    fall into batches. Returns rows read and state rows (none) by batch, for the
+    last batches that the session keeps.
+
+    A batch's counts go into a partition of their own that a repeated batch
+    overwrites; earlier partitions are never touched, so readers see a whole
+    table at any time. The checkpoint belongs to the table."""
     reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.parquet(source_dir)
-    stream = stream.withColumn("ts", wall_clock_as_utc("ts"))
-    agg = window_counts(stream, window).select(
-        utc_wall_clock_text(F.col("w.start")).alias("window_start"),
-        utc_wall_clock_text(F.col("w.end")).alias("window_end"),
-        "event_type", "n", F.col("value_sum").cast("double").alias("value_sum"))
-
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    writer = (agg.writeStream.outputMode("complete").foreachBatch(replace)
-              .option("checkpointLocation", ckpt).trigger(availableNow=True))
-    q = _start_with_state_partitions(spark, writer, state_partitions)
+    events = reader.parquet(source_dir).select(wall_clock_as_utc("ts").alias("ts"), "event_type", "value")
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        (window_partials(batch, window).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table))
+
+    q = (events.writeStream.foreachBatch(append).option("checkpointLocation", f"{table.rstrip('/')}-checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema("window_start string, window_end string, event_type string, n long, "
-                             "value_sum double").parquet(out)
+    return [{"batch_id": p["batchId"], "input_rows": p["numInputRows"],
+             "state_rows": sum(o["numRowsTotal"] for o in p["stateOperators"])} for p in q.recentProgress]
+
+
+def read_windows(spark: SparkSession, table: str, delay_days: float = 1.0) -> DataFrame:
+    """All windows of a table that ``run_windows`` feeds: its counts added up.
+    ``closed``: the window's end is at least ``delay_days`` before the latest
+    event of the table, so only late rows can still come."""
+    rows = spark.read.schema(f"{PARTIALS}, batch_id long").parquet(table)
+    per = rows.groupBy("start", "end", "event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+    seen = attach_scalars(per, rows.agg(F.max("latest").alias("_latest")))
+    return seen.select(
+        utc_wall_clock_text(F.timestamp_micros("start")).alias("window_start"),
+        utc_wall_clock_text(F.timestamp_micros("end")).alias("window_end"), "event_type", "n",
+        (F.col("cents") / 100).cast("double").alias("value_sum"),
+        (F.col("end") + F.lit(int(delay_days * 86_400_000_000)) <= F.col("_latest")).alias("closed"))
+
+
+def activity_windows(spark: SparkSession, source_dir: str, glob: str = "events.parquet",
+                     window: str = "1 day", files_per_batch: int | None = None,
+                     table: str | None = None) -> DataFrame:
+    """R2 over the files present now: ``run_windows`` into ``table`` (a new one
+    below the shared checkpoint folder if none is given), then its windows."""
+    table = table or scratch_path(spark, "activity-windows")
+    run_windows(spark, source_dir, table, glob, window, files_per_batch)
+    return read_windows(spark, table).drop("closed")
 
 
 def ingest_files(spark: SparkSession, source_dir: str, schema: T.StructType, fmt: str = "csv",

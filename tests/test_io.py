@@ -90,6 +90,40 @@ def test_stream_counts_rows_of_any_age(spark):
     assert all(r.n == 1 and r.value_sum == 1.5 for r in out)
 
 
+def _event_files(spark, folder, days, start=0):
+    """One small file a day: two views and, with no type, one event without value."""
+    import pandas as pd
+
+    for k, day in enumerate(days, start):
+        ts = pd.Timestamp("2023-01-01") + pd.Timedelta(days=day)
+        pd.DataFrame({"event_id": [3 * k, 3 * k + 1, 3 * k + 2],
+                      "ts": pd.Series([ts, ts + pd.Timedelta(hours=23), ts + pd.Timedelta(hours=5)]).astype("datetime64[us]"),
+                      "user_id": [1, 2, 3], "event_type": ["view", "view", None], "value": [1.25, 2.5, None],
+                      "props": ["", "", ""]}).to_parquet(os.path.join(folder, f"f{k:05d}.parquet"), index=False)
+
+
+def test_stream_holds_no_state_and_loses_no_row(spark):
+    """Sixty days in files of any order, in many batches: all rows count, no state
+    is held, a second run reads new files only."""
+    import random
+
+    d, days = _folder({}), list(range(60))
+    random.Random(4).shuffle(days)
+    table = os.path.join(_folder({}), "windows")
+    _event_files(spark, d, days)
+    first = activity.run_windows(spark, d, table, glob="*.parquet", files_per_batch=10)
+    assert len(first) >= 6 and {p["state_rows"] for p in first} == {0}
+    got = activity.read_windows(spark, table).collect()
+    assert len(got) == 120 and {r.window_start[:10] for r in got if not r.closed} == {"2023-02-28", "2023-03-01"}
+    assert {(r.event_type, r.n, r.value_sum) for r in got} == {("view", 2, 3.75), (None, 1, None)}
+    _event_files(spark, d, [5, 59, 61], start=60)
+    second = activity.run_windows(spark, d, table, glob="*.parquet", files_per_batch=10)
+    assert sum(p["input_rows"] for p in second) == 9
+    again = {(r.window_start[:10], r.event_type): (r.n, r.value_sum) for r in activity.read_windows(spark, table).collect()}
+    assert len(again) == 122 and again["2023-01-06", "view"] == (4, 7.5) and again["2023-01-06", None] == (2, None)
+    assert again["2023-03-01", "view"] == (4, 7.5) and again["2023-01-07", "view"] == (2, 3.75)
+
+
 def test_ingest_adds_to_its_table(spark):
     from pyspark.sql import types as T
     d = _folder({"f1.csv": "a\n1\n2\n"})
