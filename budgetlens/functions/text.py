@@ -297,9 +297,17 @@ def flatten_document(df: DataFrame, doc_col: str = None, keys: list[str] | None
     return df.select(*keys, F.explode(F.array(*rows)).alias("f")).select(*keys, "f.path", "f.value")
 
 
+# Fixed value: the texts that are one amount or share: an optional currency mark,
+# a number with or without grouping commas, an optional unit.
+AMOUNT_TEXT = (r"^\s*(?:Rs[.]?|INR|\x{20B9})?\s*([-+]?(?:[0-9]{1,3}(?:,[0-9]{2,3})*,[0-9]{3}|[0-9]+)(?:[.][0-9]+)?)"
+               r"\s*(?:%|Cr[.]?|Crores?|Lakhs?|Lacs?)?\s*$")
+
+
 def money_text_value(c: str | Column) -> Column:
-    """``Rs. 163.98 Cr`` -> 163.98; ``70%`` -> 70.0; other text -> NULL."""
-    num = F.regexp_extract(col_(c), r"(-?[0-9]+(?:\.[0-9]+)?)", 1)
+    """The number of a text that is one amount or share as a whole: ``Rs. 163.98 Cr``
+    -> 163.98; ``Rs. 1,234.56 Cr`` -> 1234.56; ``70%`` -> 70.0; any other text
+    (``12 of 30``, ``FY 2023-24``) -> NULL. Units do not scale the number."""
+    num = F.regexp_replace(F.regexp_extract(col_(c), AMOUNT_TEXT, 1), "[,+]", "")
     return F.when(num != "", num.try_cast("double"))
 
 

@@ -2,8 +2,9 @@
 
 Top-k uses ``orderBy(...).limit(k)``, which Spark plans as
 ``TakeOrderedAndProject``: every task keeps its k best rows and only
-k x tasks rows meet at the end, so no full sort is done. Ordinals that need
-a window without a partition key are only taken over such bounded results.
+k x tasks rows meet at the end, so no full sort is done. A window without a
+partition key only runs over such bounded results; ordinals over whole tables
+are numbered range by range (``dense_ordinals``).
 Every ordering carries an explicit tie-break so results are deterministic.
 """
 
@@ -14,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from budgetlens.session import materialize
+
 
 def order_cols(spec: list[tuple[str, str]]) -> list[Column]:
     """``[('impl', 'desc'), ('name', 'asc')]`` -> sort columns, nulls last
@@ -36,6 +39,32 @@ def with_rank(small: DataFrame, spec: list[tuple[str, str]], out: str = "rn") ->
     return small.withColumn(out, F.row_number().over(Window.orderBy(*order_cols(spec))).cast("long"))
 
 
+def dense_ordinals(df: DataFrame, spec: list[tuple[str, str]], out: str = "rn",
+                   partitions: int | None = None) -> DataFrame:
+    """1-based ordinals by ``spec`` over input of any size (W1): rows are dealt
+    into ranges of the order and written once, the ranges are counted (one row
+    each), and a row's ordinal is the number of rows in earlier ranges plus its
+    place in its own. No task sees more than its range.
+
+    Rows that agree in ``spec`` are ordered by the hash of all their columns, so
+    the ordinals are the same on every run but for rows that agree in all; such
+    rows are spread over ranges too, however many they are. Columns must not be
+    maps."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])) \
+        .withColumn("_row", F.monotonically_increasing_id())
+    order = [*order_cols(spec), F.col("_tie"), F.col("_row")]
+    held = materialize(keyed.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordinals")
+    before, offsets = 0, [0] * n
+    for r in held.groupBy("_part").count().orderBy("_part").collect():  # a row a range
+        offsets[r["_part"]] = before
+        before += r["count"]
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    offset = F.array(*[F.lit(o).cast("long") for o in offsets])[F.col("_part")]
+    return held.withColumn(out, offset + place).select(*df.columns, out)
+
+
 def top_k_ranked(df: DataFrame, spec: list[tuple[str, str]], k: int, out: str = "rn") -> DataFrame:
     return with_rank(top_k(df, spec, k), spec, out)
 

@@ -672,14 +672,56 @@ SELECT month, round(projects_completed / s, 6) AS w_projects_completed,
        round(grievances_received / s, 6) AS w_grievances_received
 FROM t"""
 
+_GROUPED = "'Rs. ' || format('{{:,}}', cast(floor({x}) as bigint)) || ' Cr'"
+_AMOUNT = (r"^\s*(?:Rs[.]?|INR|\x{20B9})?\s*([-+]?(?:[0-9]{1,3}(?:,[0-9]{2,3})*,[0-9]{3}|[0-9]+)(?:[.][0-9]+)?)"
+           r"\s*(?:%|Cr[.]?|Crores?|Lakhs?|Lacs?)?\s*$")
 SQL["document_facts"] = f"""
 WITH {SECTOR_FACT},
+d AS (
+SELECT sector, CASE projects_count % 3
+  WHEN 0 THEN '{{"Budget":{{"Allocated":"' || {money_text('budget_allocation')} || '","Utilized":"'
+    || {_GROUPED.format(x='budget_utilization')} || '"}},"Status":{{"Projects":{{"Progress":"'
+    || {pct_text('implementation_percentage')} || '","Count":' || projects_count || '}}}}}}'
+  WHEN 1 THEN '{{"Budget":[{{"Year":"FY 2023-24","Lines":[["Allocated","' || {_GROUPED.format(x='budget_allocation')}
+    || '"],["Utilized","' || {money_text('budget_utilization')} || '"]]}}],"Note":"' || projects_count || ' of 99 roads"}}'
+  ELSE '{{"Levels":{{"a":{{"b":{{"c":{{"d":{{"e":"' || {pct_text('implementation_percentage')}
+    || '"}}}}}}}}}},"Empty":{{}},"None":null,"List":[],"On":true,"odd key":' || projects_count || '}}' END AS json FROM sf),
 f AS (
-SELECT sector, 'Budget.Allocated' AS path, {money_text('budget_allocation')} AS value FROM sf
-UNION ALL SELECT sector, 'Budget.Utilized', {money_text('budget_utilization')} FROM sf
-UNION ALL SELECT sector, 'Status.Projects.Progress', {pct_text('implementation_percentage')} FROM sf
-UNION ALL SELECT sector, 'Status.Projects.Count', cast(projects_count as varchar) FROM sf)
-SELECT sector, path, value, try_cast(regexp_extract(value, '-?[0-9]+([.][0-9]+)?') as double) AS number FROM f"""
+SELECT sector, t.fullkey AS path,
+       CASE WHEN t.type IN ('OBJECT', 'ARRAY') THEN cast(t.value AS varchar) ELSE t.atom->>'$' END AS value
+FROM d, json_tree(d.json) t
+WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR cast(t.value AS varchar) IN ('{{}}', '[]'))
+SELECT sector, path, value,
+       try_cast(replace(replace(regexp_extract(value, '{_AMOUNT}', 1), ',', ''), '+', '') AS double) AS number FROM f"""
+
+SQL["line_ordinals"] = """
+WITH n AS (
+SELECT l_orderkey, l_linenumber,
+       row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                                   l_quantity) AS ordinal, count(*) OVER () AS total
+FROM lineitem)
+SELECT l_orderkey, l_linenumber, ordinal FROM n WHERE ordinal < total AND (ordinal - 1) % 2 = 0"""
+
+SQL["item_table_chunks"] = """
+WITH c AS (
+SELECT p_partkey AS k, coalesce(cast(p_partkey AS varchar), '') AS a, coalesce(p_name, '') AS b, coalesce(p_brand, '') AS c,
+       coalesce(cast(p_size AS varchar), '') AS d, coalesce(cast(cast(p_retailprice AS decimal(18,2)) AS varchar), '') AS e
+FROM part),
+w AS (
+SELECT greatest(9, max(length(a))) AS wa, greatest(6, max(length(b))) AS wb, greatest(7, max(length(c))) AS wc,
+       greatest(6, max(length(d))) AS wd, greatest(13, max(length(e))) AS we FROM c),
+l AS (
+SELECT row_number() OVER (ORDER BY k) - 1 AS pos,
+       concat_ws('  ', lpad(a, wa, ' '), lpad(b, wb, ' '), lpad(c, wc, ' '), lpad(d, wd, ' '), lpad(e, we, ' ')) AS line
+FROM c, w),
+h AS (
+SELECT concat_ws('  ', lpad('p_partkey', wa, ' '), lpad('p_name', wb, ' '), lpad('p_brand', wc, ' '),
+                 lpad('p_size', wd, ' '), lpad('p_retailprice', we, ' ')) AS head FROM w),
+t AS (
+SELECT cast(floor(pos / 500) AS bigint) AS chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS body FROM l GROUP BY ALL),
+x AS (
+SELECT chunk, n_lines, CASE WHEN chunk = 0 THEN head || chr(10) || body ELSE body END AS text FROM t, h)
+SELECT chunk, n_lines, length(text) AS n_chars, md5(text) AS text_md5 FROM x"""
 
 # ------------------------------------------------------------- streaming
 

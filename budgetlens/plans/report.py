@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from budgetlens.functions.fmt import ascii_cell, currency, int_text, pct_text
 from budgetlens.functions.text import add_report_sections, py_strip
 from budgetlens.operators.aggregate import attach_scalars
+from budgetlens.operators.ranking import dense_ordinals
 
 # The report's instructions, required sections and fixed texts.
 REQUIRED_SECTIONS = [
@@ -94,6 +95,35 @@ def table_text(df: DataFrame, columns: list[str], order: list[str],
                       .alias(out))
 
 
+def table_text_chunks(df: DataFrame, columns: list[str], order: list[tuple[str, str]],
+                      lines: int = 10_000) -> DataFrame:
+    """The aligned text of a table of any size (S10): one row for every ``lines``
+    lines, (chunk, n_lines, text), numbered from 0; the texts joined by line feeds
+    are the document. Widths come from one aggregate, line numbers from
+    ``dense_ordinals``; no task or string holds more than ``lines`` lines (and one
+    range of the order). An empty table gives no chunk."""
+    okeys = [f"_o{i}" for i in range(len(order))]
+    cells = df.select(*[F.col(f"`{o}`").alias(k) for (o, _), k in zip(order, okeys)],
+                      *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"_c{i}") for i, c in enumerate(columns)])
+    widths = cells.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(f"_c{i}")), F.lit(0))).alias(f"_w{i}")
+                         for i, c in enumerate(columns)])
+    numbered = dense_ordinals(cells, [(k, direction) for k, (_, direction) in zip(okeys, order)], "_rn")
+
+    def line(parts: list[Column]) -> Column:
+        return F.concat_ws("  ", *[F.lpad(p, F.col(f"_w{i}"), " ") for i, p in enumerate(parts)])
+
+    rows = attach_scalars(numbered, widths).select(
+        F.floor((F.col("_rn") - 1) / lines).cast("long").alias("chunk"), "_rn",
+        line([F.col(f"_c{i}") for i in range(len(columns))]).alias("_line"),
+        line([F.lit(c) for c in columns]).alias("_header"))
+    per = rows.groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.first("_header").alias("_header"),
+        F.array_sort(F.collect_list(F.struct("_rn", "_line"))).alias("_rows"))  # ``lines`` at most
+    body = F.array_join(F.transform("_rows", lambda r: r["_line"]), "\n")
+    return per.select("chunk", "n_lines", F.when(F.col("chunk") == 0, F.concat_ws("\n", "_header", body))
+                      .otherwise(body).alias("text"))
+
+
 def markdown_table(df: DataFrame, headers: list[str], columns: list[str], order: list[str],
                    out: str = "body") -> DataFrame:
     """A table block (X6) as Markdown: header, separator, one line per row.

@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from budgetlens.functions import fmt
 from budgetlens.functions.safe import as_double, units_to_double
-from budgetlens.functions.text import flatten_document, money_text_value
+from budgetlens.functions.text import money_text_value
 from budgetlens.operators.aggregate import agg_map, distinct_values
 from budgetlens.operators.binning import COMPLETION_BINS, Bins, count_outside
+from budgetlens.operators.documents import json_leaves
+from budgetlens.operators.ranking import dense_ordinals, every_nth
+from budgetlens.operators.series import drop_last
 from budgetlens.operators.stats import box_outliers, box_summary, sorted_value_counts
 from budgetlens.plans import proxies
 from budgetlens.plans import report_queries as rq
+from budgetlens.plans.report import table_text_chunks
 from budgetlens.session import materialize
 from budgetlens.sources.tables import Tables
 
@@ -239,20 +243,49 @@ def month_weights(spark, sf_dir):
 
 
 def document_facts(spark, sf_dir):
-    """X8 on nested documents: each sector as a JSON document with texts of
-    money and percent, flattened to paths, with the number in each text."""
+    """X8 on nested documents: each sector as a JSON document of one of three
+    shapes (objects, arrays in arrays, six levels with empty parts), walked
+    without a schema, with the number in each text that is an amount."""
     s = sectors(_t(spark, sf_dir))
-    doc = F.struct(F.struct(fmt.currency("budget_allocation").alias("Allocated"),
-                            fmt.currency("budget_utilization").alias("Utilized")).alias("Budget"),
-                   F.struct(F.struct(fmt.pct_text("implementation_percentage").alias("Progress"),
-                                     F.col("projects_count").alias("Count")).alias("Projects")).alias("Status"))
-    parsed = s.select("sector", F.to_json(doc).alias("json"))
-    schema = s.select(doc.alias("d")).schema["d"].dataType
-    facts = flatten_document(parsed.select("sector", F.from_json("json", schema).alias("d")), "d", ["sector"])
-    return facts.withColumn("number", money_text_value("value"))
+    grouped = lambda c: F.concat(F.lit("Rs. "), F.format_number(F.floor(c).cast("long"), 0), F.lit(" Cr"))
+    count, progress = F.col("projects_count").cast("string"), fmt.pct_text("implementation_percentage")
+    objects = F.concat(
+        F.lit('{"Budget":{"Allocated":"'), fmt.currency("budget_allocation"), F.lit('","Utilized":"'),
+        grouped("budget_utilization"), F.lit('"},"Status":{"Projects":{"Progress":"'), progress, F.lit('","Count":'),
+        count, F.lit("}}}"))
+    arrays = F.concat(
+        F.lit('{"Budget":[{"Year":"FY 2023-24","Lines":[["Allocated","'), grouped("budget_allocation"),
+        F.lit('"],["Utilized","'), fmt.currency("budget_utilization"), F.lit('"]]}],"Note":"'), count, F.lit(" of 99 roads\"}"))
+    deep = F.concat(
+        F.lit('{"Levels":{"a":{"b":{"c":{"d":{"e":"'), progress, F.lit('"}}}}},"Empty":{},"None":null,"List":[],"On":true,'
+                                                                        '"odd key":'), count, F.lit("}"))
+    shape = F.col("projects_count") % 3
+    docs = s.select("sector", F.when(shape == 0, objects).when(shape == 1, arrays).otherwise(deep).alias("json"))
+    return json_leaves(docs, "json", ["sector"]).withColumn("number", money_text_value("value"))
+
+
+def line_ordinals(spark, sf_dir):
+    """W1 with P5 and P14 on top, over whole tables: every order line's ordinal by
+    price (largest first, then its keys), the last line dropped, every second kept."""
+    lines = _t(spark, sf_dir).lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    spec = [("l_extendedprice", "desc"), *((c, "asc") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                                "l_quantity"))]
+    return drop_last(dense_ordinals(lines, spec, "ordinal"), "ordinal").filter(every_nth("ordinal")).select(
+        "l_orderkey", "l_linenumber", "ordinal")
+
+
+def item_table_chunks(spark, sf_dir):
+    """S10 on a whole table: the aligned text of all items in chunks of 500 lines."""
+    p = _t(spark, sf_dir).part.select("p_partkey", "p_name", "p_brand", "p_size",
+                                      F.col("p_retailprice").cast("decimal(18,2)").alias("p_retailprice"))
+    t = table_text_chunks(p, ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"], [("p_partkey", "asc")], 500)
+    return t.select("chunk", "n_lines", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 QUERIES = {
+    "line_ordinals": line_ordinals,
+    "item_table_chunks": item_table_chunks,
     "district_heatmap_tidy": district_heatmap_tidy,
     "event_types": event_types,
     "section_aggregates": section_aggregates,

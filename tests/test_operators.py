@@ -206,3 +206,35 @@ def test_flag_top_k_marks_rows_not_keys(spark):
         assert len(got) == len(rows) and sum(r.is_top for r in got) == min(k, len(rows))
     got = ranking.flag_top_k(df, "k", [("v", "desc"), ("k", "asc")], 2).collect()
     assert sorted((r.k, r.v) for r in got if r.is_top) == [("x", 8), ("x", 9)]
+
+
+def test_dense_ordinals_over_ranges(spark):
+    """The same as a sort in one place; many equal rows and nulls; no window over all rows."""
+    import random
+
+    from budgetlens.operators.ranking import dense_ordinals
+
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 2, 2, None, 7]), rng.randint(0, 9), "x") for _ in range(2000)] + [(2, 5, "same")] * 1500
+    df = spark.createDataFrame(rows, "a int, b int, c string").repartition(6)
+    got = dense_ordinals(df, [("a", "desc"), ("b", "asc")], "rn", partitions=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    out = sorted(got.collect(), key=lambda r: r.rn)
+    assert [r.rn for r in out] == list(range(1, len(rows) + 1))
+    order = sorted(((a, b) for a, b, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [(r.a, r.b) for r in out] == order
+    assert sorted((str(r.a), r.b, r.c) for r in out) == sorted((str(a), b, c) for a, b, c in rows)
+    assert dense_ordinals(df.limit(0), [("a", "asc")]).collect() == []
+
+
+def test_table_text_in_chunks_is_the_whole_text(spark):
+    from budgetlens.plans.report import table_text, table_text_chunks
+
+    df = spark.createDataFrame([(i, f"n{i * i}", None if i % 5 == 0 else "é" * (i % 7)) for i in range(103)],
+                               "k int, name string, note string").repartition(5)
+    whole = table_text(df, ["k", "name", "note"], ["k"]).collect()[0].table_text
+    for lines in (10, 103, 1000):
+        parts = sorted(table_text_chunks(df, ["k", "name", "note"], [("k", "asc")], lines).collect(), key=lambda r: r.chunk)
+        assert "\n".join(p.text for p in parts) == whole and all(p.n_lines <= lines for p in parts)
+    assert table_text_chunks(df.limit(0), ["k"], [("k", "asc")]).collect() == []

@@ -128,3 +128,55 @@ def test_utf8_ignore_and_dates(spark):
                     fmt.period_text(F.to_date("ts")).alias("period"),
                     fmt.previous_month(F.to_date("ts")).cast("string").alias("prev")).collect()[0]
     assert (row.u, row.rid, row.period, row.prev) == ("okyes", "20240315_093000", "March 2024", "2024-02-01")
+
+
+def _leaves(v, path="$"):
+    """Plain recursion over a parsed document."""
+    import re
+
+    if isinstance(v, dict) and v:
+        for k, x in v.items():
+            plain = re.match("^[A-Za-z_][A-Za-z0-9_]*$", k)
+            yield from _leaves(x, path + (f".{k}" if plain else f'."{k}"'))
+    elif isinstance(v, list) and v:
+        for i, x in enumerate(v):
+            yield from _leaves(x, f"{path}[{i}]")
+    else:
+        yield path, {True: "true", False: "false", None: None}[v] if v is None or isinstance(v, bool) else \
+            "{}" if v == {} else "[]" if v == [] else str(v)
+
+
+def test_json_leaves_equal_recursion(spark):
+    import json
+    import random
+
+    from budgetlens.operators.documents import json_leaves
+
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.35:
+            return {rng.choice(["a", "b2", "odd key", "é", "x.y", "_c"]): value(depth - 1) for _ in range(rng.randint(0, 3))}
+        if depth and kind < 0.6:
+            return [value(depth - 1) for _ in range(rng.randint(0, 4))]
+        return rng.choice([1, -20, 12345678901, 2.5, "text", "", 'quo"te', "12 of 30", None, True, False])
+    docs = [(i, json.dumps(value(6))) for i in range(60)] + [(100, '{"big": ' + json.dumps([{"k": i} for i in range(3000)]) + "}")]
+    docs += [(101, "{not json"), (102, None), (103, ""), (103, "[1]"), (104, "7"), (105, "null")]
+    df = spark.createDataFrame([(i, t, "clash", "p") for i, t in docs], "id int, doc string, value string, path string")
+    got = sorted(((r.id, r.path or "", r.value or "<null>") for r in json_leaves(df, "doc", ["id"]).collect()))
+    want = [(i, p, v or ("<null>" if v is None else "<null>")) for i, t in docs if t and t not in ("{not json",)
+            for p, v in _leaves(json.loads(t))]
+    want += [(101, "", "{not json"), (103, "", "<null>")]
+    assert got == sorted(want)
+    assert json_leaves(df.limit(0), "doc", ["id"]).collect() == []
+    two = json_leaves(df.filter("id = 104"), "doc", ["path", "id"]).collect()
+    assert [tuple(r) for r in two] == [("p", 104, "$", "7")] and two[0].__fields__ == ["path", "id", "path", "value"]
+
+
+def test_amounts_are_whole_texts(spark):
+    texts = {"Rs. 163.98 Cr": 163.98, "Rs. 1,234.56 Cr": 1234.56, "1,23,456": 123456.0, "70%": 70.0, "-5": -5.0, "12": 12.0,
+             "INR 10 Lakhs": 10.0, " 7.5 ": 7.5, "12 of 30 roads": None, "FY 2023-24": None, "2023-24": None, "1,2": None,
+             "Rs.": None, "": None, "about 5": None, "5 km": None, None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in df.select("t", X.money_text_value("t").alias("n")).collect()} == texts
