@@ -703,22 +703,25 @@ FROM lineitem)
 SELECT l_orderkey, l_linenumber, ordinal FROM n WHERE ordinal < total AND (ordinal - 1) % 2 = 0"""
 
 SQL["item_table_chunks"] = """
-WITH c AS (
+WITH cells AS (
 SELECT p_partkey AS k, coalesce(cast(p_partkey AS varchar), '') AS a, coalesce(p_name, '') AS b, coalesce(p_brand, '') AS c,
        coalesce(cast(p_size AS varchar), '') AS d, coalesce(cast(cast(p_retailprice AS decimal(18,2)) AS varchar), '') AS e
 FROM part),
 w AS (
-SELECT greatest(9, max(length(a))) AS wa, greatest(6, max(length(b))) AS wb, greatest(7, max(length(c))) AS wc,
-       greatest(6, max(length(d))) AS wd, greatest(13, max(length(e))) AS we FROM c),
+SELECT cast(greatest(9, max(length(a))) AS integer) AS wa, cast(greatest(6, max(length(b))) AS integer) AS wb,
+       cast(greatest(7, max(length(c))) AS integer) AS wc, cast(greatest(6, max(length(d))) AS integer) AS wd,
+       cast(greatest(13, max(length(e))) AS integer) AS we FROM cells),
 l AS (
 SELECT row_number() OVER (ORDER BY k) - 1 AS pos,
-       concat_ws('  ', lpad(a, wa, ' '), lpad(b, wb, ' '), lpad(c, wc, ' '), lpad(d, wd, ' '), lpad(e, we, ' ')) AS line
-FROM c, w),
+       lpad(a, wa, ' ') || '  ' || lpad(b, wb, ' ') || '  ' || lpad(c, wc, ' ') || '  ' || lpad(d, wd, ' ') || '  '
+         || lpad(e, we, ' ') AS line
+FROM cells, w),
 h AS (
-SELECT concat_ws('  ', lpad('p_partkey', wa, ' '), lpad('p_name', wb, ' '), lpad('p_brand', wc, ' '),
-                 lpad('p_size', wd, ' '), lpad('p_retailprice', we, ' ')) AS head FROM w),
+SELECT lpad('p_partkey', wa, ' ') || '  ' || lpad('p_name', wb, ' ') || '  ' || lpad('p_brand', wc, ' ') || '  '
+         || lpad('p_size', wd, ' ') || '  ' || lpad('p_retailprice', we, ' ') AS head FROM w),
 t AS (
-SELECT cast(floor(pos / 500) AS bigint) AS chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS body FROM l GROUP BY ALL),
+SELECT cast(floor(pos / 500) AS bigint) AS chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS body
+FROM l GROUP BY 1),
 x AS (
 SELECT chunk, n_lines, CASE WHEN chunk = 0 THEN head || chr(10) || body ELSE body END AS text FROM t, h)
 SELECT chunk, n_lines, length(text) AS n_chars, md5(text) AS text_md5 FROM x"""
