@@ -157,3 +157,40 @@ def test_stream_windows_independent_of_session_time_zone(spark):
     finally:
         spark.conf.set(key, old)
     assert utc == la and utc[0][0].endswith("00:00:00")
+
+
+def test_one_damaged_file_does_not_stop_the_others(spark):
+    import gzip
+
+    import pandas as pd
+
+    from budgetlens.sources.isolate import read_isolated
+
+    d = _folder({})
+    paths = [os.path.join(d, f"f{i}.parquet") for i in range(10)]
+    for i, p in enumerate(paths):
+        pd.DataFrame({"a": range(100 * i, 100 * i + 100)}).to_parquet(p)
+    whole = open(paths[4], "rb").read()
+    with open(paths[4], "wb") as f:
+        f.write(whole[:len(whole) // 2])
+    rows, rejected = read_isolated(spark, paths, lambda p: spark.read.schema("a long").parquet(*p))
+    assert sorted(r.a for r in rows.collect()) == [k for k in range(1000) if k // 100 != 4]
+    (bad,) = rejected.collect()
+    assert bad.path == paths[4] and "FAILED_READ_FILE" in bad.reason
+
+    packed = [os.path.join(d, f"g{i}.csv.gz") for i in range(3)]
+    for i, p in enumerate(packed):
+        with gzip.open(p, "wt") as f:
+            f.write("".join(f"{i},{k}\n" for k in range(100_000)))
+    whole = open(packed[1], "rb").read()
+    with open(packed[1], "wb") as f:
+        f.write(whole[:len(whole) * 3 // 4])  # its first part could be read, but is not kept
+    rows, rejected = read_isolated(spark, packed, lambda p: spark.read.schema("i int, k int").csv(p))
+    assert {r.i: r["count"] for r in rows.groupBy("i").count().collect()} == {0: 100_000, 2: 100_000}
+    assert [r.path for r in rejected.collect()] == [packed[1]]
+    none, rejected = read_isolated(spark, [paths[4]], lambda p: spark.read.schema("a long").parquet(*p))
+    assert none is None and rejected.count() == 1
+    import pytest
+
+    with pytest.raises(Exception):  # no error of a file
+        read_isolated(spark, paths[:1], lambda p: spark.read.schema("a long").parquet(*p).selectExpr("raise_error('x') a"))
