@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from budgetlens.functions.safe import as_double, row_pct
 from budgetlens.operators.aggregate import attach_scalars
+from budgetlens.session import materialize
 
 
 @dataclass(frozen=True)
@@ -87,3 +88,42 @@ def count_outside(df: DataFrame, x: str, bins: Bins) -> DataFrame:
     return df.agg(F.count_if(v <= F.lit(float(bins.edges[0]))).alias("n_below"),
                   F.count_if(v > F.lit(float(bins.edges[-1]))).alias("n_above"),
                   F.count_if(v.isNull()).alias("n_null"))
+
+
+def sums_by_bin_table(df: DataFrame, x: str, bins: DataFrame, sums: dict[str, Column] | None = None,
+                      lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """J3 with the bins in a table of any size: one row per bin (lo, hi], with the
+    number ``n`` of rows whose ``x`` it holds and the given sums (NULL if empty).
+
+    Bins must not overlap; gaps between them are allowed, what they hold and NULL
+    or NaN values belong to no bin. Rows are added up by value first, so a hot
+    value is one row; values and lower edges are then dealt together into ranges
+    and written once, and a value takes the last lower edge below it, within its
+    range or, from one row a range, before it. So there is no theta join, and no
+    task holds more than its range. An empty bin table gives an empty result."""
+    spark = df.sparkSession
+    sums = sums or {}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col(f"`{x}`").cast("double")
+    per = df.filter(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("_x")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    edges = bins.select(F.col(f"`{lo}`").cast("double").alias("_lo"), F.col(f"`{hi}`").cast("double").alias("_hi"))
+    # At equal places a value comes before an edge: bins are open below.
+    events = per.withColumn("_edge", F.lit(0)).unionByName(
+        edges.select(F.col("_lo").alias("_x"), F.lit(1).alias("_edge"), F.struct("_lo", "_hi").alias("_bin")),
+        allowMissingColumns=True)
+    held = materialize(events.repartitionByRange(n, "_x", "_edge").withColumn("_part", F.spark_partition_id()), "bin-ranges")
+    last, before = None, []
+    found = {r["_part"]: r["bin"] for r in held.filter("_edge = 1").groupBy("_part").agg(
+        F.max(F.col("_bin")).alias("bin")).collect()}  # a row a range
+    for part in range(n):
+        before.append(last)
+        last = found.get(part, last)
+    carried = F.array(*[F.lit(None).cast("struct<_lo:double,_hi:double>") if b is None else
+                        F.struct(F.lit(b["_lo"]).alias("_lo"), F.lit(b["_hi"]).alias("_hi")) for b in before])
+    run = Window.partitionBy("_part").orderBy("_x", "_edge").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = held.withColumn("_in", F.coalesce(F.last("_bin", ignorenulls=True).over(run), carried[F.col("_part")]))
+    inside = placed.filter((F.col("_edge") == 0) & (F.col("_x") <= F.col("_in._hi"))).groupBy(
+        F.col("_in._lo").alias("_at")).agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums])
+    return edges.join(inside, F.col("_lo") == F.col("_at"), "left").select(
+        F.col("_lo").alias(lo), F.col("_hi").alias(hi), F.coalesce("n", F.lit(0)).alias("n"), *sums)

@@ -726,6 +726,12 @@ x AS (
 SELECT chunk, n_lines, CASE WHEN chunk = 0 THEN head || chr(10) || body ELSE body END AS text FROM t, h)
 SELECT chunk, n_lines, length(text) AS n_chars, md5(text) AS text_md5 FROM x"""
 
+SQL["price_bins"] = """
+WITH b AS (SELECT DISTINCT cast(floor(p_retailprice) AS double) AS lo FROM part),
+e AS (SELECT lo, lo + 1 AS hi FROM b)
+SELECT lo, hi, count(l_extendedprice) AS n, cast(sum(cast(l_quantity AS decimal(18,2))) AS double) AS quantity
+FROM e LEFT JOIN lineitem ON l_extendedprice > lo AND l_extendedprice <= hi GROUP BY lo, hi"""
+
 # ------------------------------------------------------------- streaming
 
 SQL["activity_windows_stream"] = """

@@ -16,7 +16,7 @@ from budgetlens.functions import fmt
 from budgetlens.functions.safe import as_double, units_to_double
 from budgetlens.functions.text import money_text_value
 from budgetlens.operators.aggregate import agg_map, distinct_values
-from budgetlens.operators.binning import COMPLETION_BINS, Bins, count_outside
+from budgetlens.operators.binning import COMPLETION_BINS, Bins, count_outside, sums_by_bin_table
 from budgetlens.operators.documents import json_leaves
 from budgetlens.operators.ranking import dense_ordinals, every_nth
 from budgetlens.operators.series import drop_last
@@ -283,7 +283,17 @@ def item_table_chunks(spark, sf_dir):
     return t.select("chunk", "n_lines", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def price_bins(spark, sf_dir):
+    """J3 with bins as data: one bin of width one for every whole price of an item,
+    with the order lines whose price falls into it; empty bins stay."""
+    t = _t(spark, sf_dir)
+    bins = t.part.select(F.floor("p_retailprice").cast("double").alias("lo")).distinct().withColumn("hi", F.col("lo") + 1)
+    out = sums_by_bin_table(t.lineitem, "l_extendedprice", bins, {"quantity": F.col("l_quantity").cast("decimal(18,2)")})
+    return out.withColumn("quantity", as_double(F.col("quantity")))
+
+
 QUERIES = {
+    "price_bins": price_bins,
     "line_ordinals": line_ordinals,
     "item_table_chunks": item_table_chunks,
     "district_heatmap_tidy": district_heatmap_tidy,

@@ -238,3 +238,35 @@ def test_table_text_in_chunks_is_the_whole_text(spark):
         parts = sorted(table_text_chunks(df, ["k", "name", "note"], [("k", "asc")], lines).collect(), key=lambda r: r.chunk)
         assert "\n".join(p.text for p in parts) == whole and all(p.n_lines <= lines for p in parts)
     assert table_text_chunks(df.limit(0), ["k"], [("k", "asc")]).collect() == []
+
+
+def test_bins_from_a_table(spark):
+    """Against a search by hand: gaps, empty bins, edges, a hot value, NULL and NaN."""
+    import random
+    from bisect import bisect_left
+
+    from pyspark.sql import functions as F
+
+    from budgetlens.operators.binning import sums_by_bin_table
+
+    rng = random.Random(2)
+    edges = sorted(rng.sample(range(-500, 3000), 800))
+    bins = [(float(a), float(b)) for a, b in zip(edges, edges[1:], strict=False) if rng.random() < 0.8]
+    values = [float(rng.randint(-600, 3100)) / rng.choice([1, 2]) for _ in range(4000)] + [float(edges[40])] * 2000
+    rows = [(v, 2) for v in values] + [(None, 1), (float("nan"), 1), (float("inf"), 1), (float("-inf"), 1)]
+    df = spark.createDataFrame(rows, "x double, w int").repartition(5)
+    table = spark.createDataFrame(bins, "lo double, hi double").repartition(3)
+    out = sums_by_bin_table(df, "x", table, {"w": F.col("w")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = dict.fromkeys(bins, 0)
+    lows = [a for a, _ in bins]
+    for v in values:
+        k = bisect_left(lows, v) - 1
+        if k >= 0 and v <= bins[k][1]:
+            want[bins[k]] += 1
+    got = out.collect()
+    assert {(r.lo, r.hi): r.n for r in got} == want and len(got) == len(bins)
+    assert all((r.w or 0) == 2 * r.n for r in got) and any(r.n == 0 for r in got) and max(r.n for r in got) > 2000
+    assert sums_by_bin_table(df, "x", table.limit(0)).collect() == []
+    assert {r.n for r in sums_by_bin_table(df.limit(0), "x", table).collect()} == {0}
