@@ -93,6 +93,36 @@ def approx_quantiles(df: DataFrame, group: str, value: str,
     return out.select("g", "n", *[F.col("_q")[i].alias(f"q_{i}") for i in range(len(probs))])
 
 
+#: Size parameter of quantile sketches: a rank is off by at most about 0.4 % of the
+#: rows (2.296 / k**0.9723, with 99 % confidence), also after merging.
+SKETCH_K = 800
+
+
+def quantile_sketches(df: DataFrame, keys: list[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """One mergeable quantile sketch for every group (A14): (keys, n, least,
+    greatest, sketch), some kilobytes a row whatever the group's size. Stored by
+    day, say, they give the quantiles of any range of days without the values.
+    NULL and NaN values are left out; a group without values has n = 0."""
+    v = F.col(f"`{value}`").cast("double")
+    v = F.when(~F.isnan(v), v)
+    return df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(
+        F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"),
+        F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, keys: list[str], probabilities: tuple[float, ...] = (0.25, 0.5, 0.75),
+                       k: int = SKETCH_K) -> DataFrame:
+    """(keys, n, least, greatest, quantiles) of the merged sketches of each group;
+    least and greatest are exact, quantiles are values of the data whose rank is
+    near (``SKETCH_K``). Groups without values have no row."""
+    own = [F.col(f"`{c}`") for c in keys]
+    merged = sketches.filter("n > 0").groupBy(*own).agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"),
+        F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    at = F.array(*[F.lit(float(p)) for p in probabilities])
+    return merged.select(*own, "n", "least", "greatest", F.kll_sketch_get_quantile_double("sketch", at).alias("quantiles"))
+
+
 def _fences(summary: DataFrame) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     return summary.select("g", (F.col("q1") - 1.5 * iqr).alias("lo_fence"),

@@ -732,6 +732,11 @@ e AS (SELECT lo, lo + 1 AS hi FROM b)
 SELECT lo, hi, count(l_extendedprice) AS n, cast(sum(cast(l_quantity AS decimal(18,2))) AS double) AS quantity
 FROM e LEFT JOIN lineitem ON l_extendedprice > lo AND l_extendedprice <= hi GROUP BY lo, hi"""
 
+SQL["value_sketches"] = """
+WITH c AS (SELECT event_type, count(value) AS n FROM events GROUP BY event_type)
+SELECT event_type, n, p, true AS within
+FROM (SELECT event_type, n, unnest([0.25::double, 0.5::double, 0.75::double]) AS p FROM c WHERE n > 0)"""
+
 # ------------------------------------------------------------- streaming
 
 SQL["activity_windows_stream"] = """

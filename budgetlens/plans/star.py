@@ -20,7 +20,7 @@ from budgetlens.operators.binning import COMPLETION_BINS, Bins, count_outside, s
 from budgetlens.operators.documents import json_leaves
 from budgetlens.operators.ranking import dense_ordinals, every_nth
 from budgetlens.operators.series import drop_last
-from budgetlens.operators.stats import box_outliers, box_summary, sorted_value_counts
+from budgetlens.operators.stats import box_outliers, box_summary, quantile_sketches, sketched_quantiles, sorted_value_counts
 from budgetlens.plans import proxies
 from budgetlens.plans import report_queries as rq
 from budgetlens.plans.report import table_text_chunks
@@ -292,7 +292,26 @@ def price_bins(spark, sf_dir):
     return out.withColumn("quantity", as_double(F.col("quantity")))
 
 
+def value_sketches(spark, sf_dir):
+    """A14 over stored sketches: the quartiles of each event type's values, merged
+    from a sketch a day and type, with a check against the values themselves:
+    ``within`` tells that the rank is off by no more than one in a hundred."""
+    e = _t(spark, sf_dir).events.select(F.to_date("ts").alias("day"), "event_type", "value")
+    stored = materialize(quantile_sketches(e, ["day", "event_type"], "value"), "value-sketches")
+    quartiles = sketched_quantiles(stored, ["event_type"])
+    points = materialize(quartiles.select(F.col("event_type").alias("t"), "n", F.explode(F.arrays_zip(
+        F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]).alias("p"), F.col("quantiles").alias("q"))).alias("x"))
+        .select("t", "n", "x.p", "x.q"), "value-quartiles")
+    ranks = e.join(points, F.col("event_type").eqNullSafe(F.col("t"))).groupBy("event_type", "n", "p").agg(
+        F.count(F.when(F.col("value") < F.col("q"), 1)).alias("below"),
+        F.count(F.when(F.col("value") <= F.col("q"), 1)).alias("upto"))
+    off = F.lit(0.01)
+    return ranks.select("event_type", "n", "p", ((F.col("below") / F.col("n") - off <= F.col("p")) &
+                                                 (F.col("p") <= F.col("upto") / F.col("n") + off)).alias("within"))
+
+
 QUERIES = {
+    "value_sketches": value_sketches,
     "price_bins": price_bins,
     "line_ordinals": line_ordinals,
     "item_table_chunks": item_table_chunks,

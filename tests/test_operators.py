@@ -270,3 +270,25 @@ def test_bins_from_a_table(spark):
     assert all((r.w or 0) == 2 * r.n for r in got) and any(r.n == 0 for r in got) and max(r.n for r in got) > 2000
     assert sums_by_bin_table(df, "x", table.limit(0)).collect() == []
     assert {r.n for r in sums_by_bin_table(df.limit(0), "x", table).collect()} == {0}
+
+
+def test_quantiles_of_any_range_from_stored_sketches(spark):
+    import random
+
+    from budgetlens.operators.stats import quantile_sketches, sketched_quantiles
+
+    rng = random.Random(6)
+    rows = [(d, rng.choice("ab"), rng.gauss(d, 20) if rng.random() < 0.9 else 5.0) for d in range(20) for _ in range(1500)]
+    rows += [(3, "a", None), (4, "a", float("nan")), (5, "c", None)]
+    df = spark.createDataFrame(rows, "day int, g string, v double").repartition(6)
+    stored = quantile_sketches(df, ["day", "g"], "v").cache()
+    assert stored.count() == 41
+    for lo, hi in ((0, 19), (4, 9), (7, 7)):
+        got = sketched_quantiles(stored.filter(f"day between {lo} and {hi}"), ["g"], (0.05, 0.25, 0.5, 0.75, 0.95)).collect()
+        assert {r.g for r in got} == {"a", "b"}
+        for r in got:
+            v = sorted(x for d, g, x in rows if lo <= d <= hi and g == r.g and x is not None and x == x)
+            assert (r.n, r.least, r.greatest) == (len(v), v[0], v[-1])
+            for p, q in zip((0.05, 0.25, 0.5, 0.75, 0.95), r.quantiles, strict=True):
+                below, upto = sum(x < q for x in v) / len(v), sum(x <= q for x in v) / len(v)
+                assert below - 0.01 <= p <= upto + 0.01 and q in v
