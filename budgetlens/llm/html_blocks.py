@@ -31,6 +31,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 SKIP = frozenset("script style template noscript svg math iframe object canvas title select textarea".split())
+#: Of these, the ones that a slash at the end of their tag closes.
+FOREIGN = frozenset(("svg", "math"))
 #: An opening tag of these ends an open paragraph; those of the second list end an open one of their kind.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol "
                    "p pre section table ul".split())
@@ -121,7 +123,7 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             continue
         if tag in SKIP:
-            if not m.group(3).rstrip().endswith("/"):
+            if tag not in FOREIGN or not m.group(3).rstrip().endswith("/"):
                 skip = tag
             text.append(" ")
             continue
@@ -147,7 +149,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "tbody"):
                     break
-        if tag not in VOID and not m.group(3).rstrip().endswith("/"):
+        if tag not in VOID:  # a slash at the end of a tag closes no HTML element
             stack.append((tag, names_of(tag, m.group(3))))
     close()
     return out

@@ -35,6 +35,22 @@ def test_extract_main_text(spark, labeller):
     assert by[5][3] == 30000 * 5 - 1
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<p>One</p><script src="a.js"/>var x=1;</script><p>Two', ["One", "Two"]),
+    ("<script src=a/>var y</script><p>Three", ["Three"]),
+    ("<style/>p{color:red}</style><p>Four", ["Four"]),
+    ('<p>A <svg viewBox="0 0 1 1"/> b</p><svg><text>no</text></svg><p>c', ["A b", "c"]),
+    ("<textarea/>typed</textarea><iframe/>frame</iframe>x", ["x"]),
+    ("<p>one<br/>two<hr/>three", ["one two", "three"])])
+def test_a_slash_ends_no_raw_text_element(page, want):
+    assert [b.text for b in html_blocks.blocks_of(page)] == want
+
+
+def test_a_slash_closes_no_block():
+    (block,) = html_blocks.blocks_of('<div class="ad"/>inside</div>')
+    assert block.text == "inside" and ".ad" in block.path
+
+
 def test_labeller_generalises_to_unseen_pages(labeller):
     composer = html_blocks.Composer(["alpha", "beta", "gamma", "delta.", "of", "the"], 77)
     data = [html_blocks.labelled(composer.page()) for _ in range(120)]
