@@ -216,6 +216,79 @@ def test_tile_equals_greedy_over_all_pairs(seed):
     assert decontaminate.tile(text, item, 3)[0] == plain_tile(text.tolist(), item.tolist(), 3)
 
 
+def test_tiling_equals_tiling_every_window(spark, monkeypatch):
+    """Long documents over few words: the best window of each item, by looking at all."""
+    monkeypatch.setattr(decontaminate, "PAIRS", 11)
+    rng = random.Random(8)
+    own = [f"w{k}" for k in range(12)]
+    items = [" ".join(rng.choices(own, k=n)) for n in (1, 2, 3, 5, 8, 9, 16)] + ["w0 " * 12]
+    docs = [" ".join(rng.choices(own, k=n)) for n in (1, 7, 30, 64, 65, 300, 700)] + ["w0 " * 200, "w1 " * 90 + items[4]]
+
+    def tokens(t):
+        return decontaminate.WordHashes().of_bytes(decontaminate.fold(t.encode()))[0]
+
+    want = {}
+    for d, doc in enumerate(map(tokens, docs)):
+        for k, item in enumerate(map(tokens, items)):
+            half = 2
+            while half < 2 * len(item):
+                half *= 2
+            for a in range(0, max(1, len(doc) - half), half):
+                covered = decontaminate.tile(doc[a:a + 2 * half], item, 3)[0]
+                if covered >= 0.8 * len(item):
+                    want[d, k] = max(want.get((d, k), 0), covered)
+    got = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"),
+                              spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["covered"] for r in got} == want
+    assert len(got) == len(want) > 10 and (8, 4) in want
+
+
+def test_tiling_leaves_long_clean_documents_alone(spark):
+    """Prose-like text, each word with eight successors: items of twenty words drawn alike
+    share nearly all their short runs with a text of 200,000 words."""
+    rng = random.Random(17)
+    own = [f"w{k}" for k in range(400)]
+    follow = {w: rng.sample(own, 8) for w in own}
+
+    def walk(n):
+        out = [rng.choice(own)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    items = [walk(20) for _ in range(60)]
+    long = walk(200_000)
+    planted = long[:150_000] + items[3][10:] + ["zzz"] + items[3][:10] + long[150_000:]
+    got = decontaminate.leaks(
+        spark.createDataFrame([(1, " ".join(long)), (2, " ".join(planted))], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(2, 3)]
+
+
+def test_runs_of_equal_tokens_take_bounded_memory():
+    import tracemalloc
+
+    text, item = np.zeros(60_000, np.uint64), np.zeros(300, np.uint64)
+    tracemalloc.start()
+    found = decontaminate.runs(text, item, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and len(found) == 60_000 - 2 + 300 - 2 - 1
+    assert max(found)[0] == 300
+
+
+def test_tiling_takes_awkward_rows(spark, awkward, rows):
+    text = dict(rows)
+    items = spark.createDataFrame([(1, text[1]), (None, text[8]), (2, None), (3, "")], "item_id long, text string")
+    got = decontaminate.leaks(awkward, items).collect()
+    assert all(r["coverage"] == r["covered"] / r["item_tokens"] >= 0.8 for r in got)
+    kept = decontaminate.clean(awkward, items)
+    assert kept.columns == awkward.columns
+    gone = Counter(r["doc_id"] for r in awkward.select("doc_id").collect()) - Counter(
+        r["doc_id"] for r in kept.select("doc_id").collect())
+    assert {1, 8, 101, 305} <= set(gone) == {r["doc_id"] for r in got}
+
+
 def plain_quality(t):
     w = (t or "").encode().split()
     g = Counter(zip(w, w[1:], w[2:], strict=False))
