@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -145,6 +146,49 @@ def test_license_windows_lose_no_template_at_full_containment():
     assert all(c.span >= c.m + c.stride - 1 and c.bands >= 1 for c in table)
 
 
+def test_novelty_follows_the_alphabet():
+    rng = random.Random(21)
+    novelty = secrets.Novelty()
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789"):
+        for n in (24, 64, 512, 2048):
+            text = "bearer " + "".join(rng.choices(alphabet, k=n)) + "\n"
+            base = [b for b in secrets.base_spans(text) if b[1] < 2]  # digits alone are hex too
+            assert secrets.novel_spans(text, base, novelty, 0.6) == [(7, 3, 7 + n)], (alphabet, n)
+    for dull in ("0123456789ABCDEF" * 32, "ABABABAB" * 64, "0" * 512):
+        assert not secrets.novel_spans(f"bearer {dull}\n", [], novelty, 0.6)
+
+
+def test_identifiers_are_learned_from_the_table(spark):
+    """Identifiers of the corpus are no secrets; what a secret is made of is not learned."""
+    rng = random.Random(22)
+    prose = "The thread pool runs an executor service; quickstart, getting started: module pluggable vendor perl."
+    secret = "".join(rng.choices(string.ascii_letters, k=40))
+    names = ("java.util.concurrent.ThreadPoolExecutorService", "docs_getting_started_quickstart_guide",
+             "/usr/local/share/perl5-vendor/Module-Pluggable-Object")
+    docs = [(k, f"{prose} {k} guide to docs share object") for k in range(4)]
+    docs += [(10 + k, f"auth secret token {n}\n") for k, n in enumerate(names)]
+    docs += [(20 + k, f"bearer {secret} number {k}\n") for k in range(4)]
+    docs += [(30, None), (31, ""), (None, prose)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    learned = secrets.identifiers(df)
+    assert {"executor", "quickstart", "pluggable"} <= set(learned) and "auth" in learned
+    assert not any(w in secret.lower() for w in learned)
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    assert [spans[10 + k] for k in range(3)] == ["", "", ""]
+    assert [spans[20 + k] for k in range(4)] == ["novel:7:47"] * 4
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert all(kept[10 + k] == docs[4 + k][1] for k in range(3)) and kept[20] == "bearer [SECRET] number 0\n"
+    assert secrets.identifiers(df, sample=1, least=3) == [] and len(secrets.identifiers(df, words=2)) == 2
+
+
+def test_secrets_take_awkward_rows(spark, awkward, rows):
+    got = Counter((r["doc_id"], r["n_assign"], r["spans"]) for r in secrets.scan(awkward).collect())
+    assert sum(got.values()) == len(rows) and {s for _, _, s in got} == {""}
+    kept = secrets.redact(awkward)
+    assert kept.columns == awkward.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(rows)
+
+
 def test_tiling_catches_reordered_passages(spark, words):
     rng = random.Random(3)
     items = [(k, " ".join(rng.choices(words, k=40))) for k in range(6)] + [(9, None), (10, ""), (11, "one two")]
