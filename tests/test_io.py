@@ -6,7 +6,7 @@ import tempfile
 import pytest
 
 from budgetlens.plans import report
-from budgetlens.sources import catalog, sinks
+from budgetlens.sources import catalog, ranges, sinks
 from budgetlens.streaming import activity
 from tests.conftest import SF_SMALL
 
@@ -194,3 +194,53 @@ def test_one_damaged_file_does_not_stop_the_others(spark):
 
     with pytest.raises(Exception):  # no error of a file
         read_isolated(spark, paths[:1], lambda p: spark.read.schema("a long").parquet(*p).selectExpr("raise_error('x') a"))
+
+
+def test_previews_read_heads_only(spark, monkeypatch):
+    long = "é" * 3000
+    d = _folder({"a.csv": "x,y\r\n" + "".join(f"{i},{i * 2}\n" for i in range(90_000)), "b.csv": "h\n1", "c.csv": "",
+                 "long.csv": "x," + "y" * 200_000 + "\n1,2\n", "a.txt": "z" * 500, "b.txt": long, "c.txt": ""})
+    got = {}
+    for r in ranges.preview_csv_heads(spark, d).orderBy("line_no").collect():
+        got.setdefault(r.name, []).append((r.line, r.cut))
+    assert got["a.csv"] == [("x,y", False)] + [(f"{i},{i * 2}", False) for i in range(5)]
+    assert got["b.csv"] == [("h", False), ("1", False)] and "c.csv" not in got
+    assert [(len(line), cut) for line, cut in got["long.csv"]] == [(64 << 10, True)]
+    text = {r.name: r.preview for r in ranges.preview_text_heads(spark, d).collect()}
+    assert text == {"a.txt": "z" * 500, "b.txt": "é" * 500 + "..."}
+    sizes = ranges.file_heads(spark, d, "*.csv", 1000).selectExpr("name", "length(content) n", "whole").collect()
+    assert {(r.name, r.n, r.whole) for r in sizes} == {
+        ("a.csv", 1000, False), ("b.csv", 3, True), ("long.csv", 1000, False)}
+
+
+def test_landed_chunks_come_back_byte_for_byte(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    files = {"big.bin": rng.randbytes(5_000_001), "even.bin": rng.randbytes(200_000), "a b.csv": b"x,y\r\n"}
+    d, bronze = _folder({}), os.path.join(_folder({}), "bronze")
+
+    def put(name, data):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+
+    for name, data in files.items():
+        put(name, data)
+    ranges.land_chunks(spark, d, bronze, chunk=100_000)
+    rows = ranges.landed(spark, bronze)
+    assert rows.agg({"n": "max"}).first()[0] == 100_000 and rows.count() == 51 + 2 + 1
+    # Uploaded again, changed; then an upload that broke off.
+    files["even.bin"] = rng.randbytes(150_000)
+    put("even.bin", files["even.bin"])
+    ranges.land_chunks(spark, d, bronze, "even.bin", chunk=100_000)
+    put("even.bin", b"broken" * 30_000)
+    broken = os.path.join(_folder({}), "bronze")
+    ranges.land_chunks(spark, d, broken, "even.bin", chunk=100_000)
+    spark.read.parquet(broken).filter("start = 0").write.mode("append").parquet(bronze)
+    out = _folder({})
+    told = {r.source_name: (r["bytes"], r.sha256) for r in ranges.restore(spark, bronze, out).collect()}
+    assert told == {n: (len(v), hashlib.sha256(v).hexdigest()) for n, v in files.items()}
+    for name, data in files.items():
+        with open(os.path.join(out, name), "rb") as f:
+            assert f.read() == data
