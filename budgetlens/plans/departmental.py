@@ -61,7 +61,8 @@ def departmental_report(spark: SparkSession, folder: str,
     report), ``sections`` (executive summary / detailed text of the report
     text), ``prompt``, ``summary_context``, ``quick_stats`` and the chart
     data. ``report_text`` (column ``report_text``) is the model's text if
-    one exists; otherwise the deterministic narrative is used."""
+    one exists; otherwise the deterministic narrative is used: from the KPIs, or
+    from the item table where the optional tables are missing (basic mode)."""
     src = load_sources(spark, folder)
     months = _months(src, period)
     sectors = D.sectors(src)
@@ -74,7 +75,10 @@ def departmental_report(spark: SparkSession, folder: str,
         "kpi_grievance": rq.q17_kpi_grievance(months),
     }
     kpis = report.kpi_record(parts["kpi_budget"], parts["kpi_projects"], parts["kpi_grievance"])
-    text = report_text if report_text is not None else report.fallback_narrative(kpis)
+    if not src.has_additional_data:
+        kpis = None
+    narrative = report.item_narrative(D.items(src)) if kpis is None else report.fallback_narrative(kpis)
+    text = report_text if report_text is not None else narrative
     # The whole item table: every row, every column of the file, in file order.
     columns = [c for c in src.items.columns if c != "ord"]
     table = report.table_text(src.items, columns, ["ord"])

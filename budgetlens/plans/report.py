@@ -175,13 +175,15 @@ def kpi_bullets(kpis: DataFrame) -> DataFrame:
     return kpis.select(text.alias("bullets"))
 
 
-def summary_context(detailed: DataFrame, kpis: DataFrame, table: DataFrame, json_text: DataFrame,
+def summary_context(detailed: DataFrame, kpis: DataFrame | None, table: DataFrame, json_text: DataFrame,
                     detailed_col: str = "detailed_report", keys: list[str] | None = None) -> DataFrame:
     """Q19: the context given to the summary writer (X3), one per row of
     ``detailed``: the request, the report's detailed text, the KPI bullets,
     the whole JSON document and the whole table. ``kpis``, ``table`` and
-    ``json_text`` are one-row frames; a missing one leaves its place empty."""
-    d = attach_scalars(attach_scalars(attach_scalars(detailed, kpi_bullets(kpis)), table), json_text)
+    ``json_text`` are one-row frames; a missing one leaves its place empty, and
+    without ``kpis`` (None, basic mode) no metrics are announced."""
+    d = detailed.withColumn("bullets", F.lit("")) if kpis is None else attach_scalars(detailed, kpi_bullets(kpis))
+    d = attach_scalars(attach_scalars(d, table), json_text)
 
     def text(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(""))
@@ -220,6 +222,42 @@ def fallback_narrative(kpis: DataFrame) -> DataFrame:
     return kpis.select(text.alias("report_text"))
 
 
+def item_narrative(items: DataFrame) -> DataFrame:
+    """The report text of basic mode, when the optional tables are missing: what the
+    item table (section, item, pct_achieved, allocated, utilized) tells. One row.
+
+    A sentence whose figure is NULL (no cell holds a number) is left out, and so is
+    a section without a sentence; an empty table gives an empty text.
+    """
+    row = items.agg(
+        F.count("*").alias("n"), F.count_distinct("section").alias("sections"),
+        F.sum("allocated").alias("allocated"), F.sum("utilized").alias("utilized"),
+        F.avg("pct_achieved").alias("achieved"),
+        F.count_if(F.col("pct_achieved") >= 100).alias("complete"))
+    row = row.withColumn("utilization", F.try_divide(F.col("utilized"), F.col("allocated")) * 100)
+
+    def section(title: str, *sentences: Column) -> Column:
+        text = F.concat_ws(" ", *sentences)
+        return F.when(text != "", F.concat(F.lit(f"## {title}\n\n"), text))
+
+    some = F.when(F.col("n") > 0, F.lit("The department reports on "))
+    summary = section(
+        "Executive Summary",
+        F.concat(some, int_text("n"), F.lit(" items in "), int_text("sections"), F.lit(" sections.")),
+        F.concat(F.lit("Budget utilization stands at "), pct_text("utilization"), F.lit(" of an allocation of "),
+                 currency("allocated"), F.lit(".")),
+        F.concat(F.lit("On average "), pct_text("achieved"), F.lit(" of the targets has been achieved.")))
+    budget = section(
+        "Budget Performance Analysis",
+        F.concat(F.lit("Budget utilization is "), currency("utilized"), F.lit(" against "), currency("allocated"),
+                 F.lit(" allocated.")))
+    projects = section(
+        "Project Status",
+        F.concat(F.when(F.col("achieved").isNotNull(), int_text("complete")), F.lit(" of "), int_text("n"),
+                 F.lit(" items have reached their target.")))
+    return row.select(F.concat_ws("\n\n", summary, budget, projects).alias("report_text"))
+
+
 def json_context(doc: DataFrame) -> DataFrame:
     """The whole JSON document as prompt text (S11), pretty-printed."""
     pretty = F.to_json(F.struct(*[F.col(f"`{c}`") for c in doc.columns]), {"pretty": "true"})

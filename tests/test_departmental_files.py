@@ -142,3 +142,22 @@ def test_real_short_texts_stay(spark, src):
     empty = spark.createDataFrame([("",)], "report_text string")
     got = {b.ord: b.body for b in report.report_blocks(spark, parts, empty, include=("budget",)).collect()}
     assert got[21] == report.BASIC_ANALYSIS
+
+
+def test_basic_mode_tells_what_the_items_tell(spark, tmp_path):
+    """Without the time series: sentences from the item table, no heading alone, no empty metrics."""
+    got = departmental_report(spark, files.write(tmp_path, {"TimeSeriesData.csv": None}))
+    bodies = [r.body for r in got["blocks"].orderBy("ord").collect() if r.kind == "text"]
+    assert "4 items in 3 sections. Budget utilization stands at 44.1% of an allocation of Rs. 170.50 Cr" in bodies[0]
+    assert "Budget utilization is Rs. 75.25 Cr against Rs. 170.50 Cr allocated." in bodies[1]
+    assert "1 of 4 items have reached their target." in bodies[1]
+    assert "Key Metrics" not in one(got["summary_context"])["summary_context"]
+
+
+def test_item_narrative_without_figures(spark):
+    schema = "section string, item string, pct_achieved double, allocated double, utilized double"
+    empty = spark.createDataFrame([], schema)
+    assert one(report.item_narrative(empty)) == {"report_text": ""}
+    bare = spark.createDataFrame([("a", "b", None, None, None)], schema)
+    assert one(report.item_narrative(bare))["report_text"] == \
+        "## Executive Summary\n\nThe department reports on 1 items in 1 sections."
