@@ -1,16 +1,18 @@
 """SimHash near-duplicates through multi-index hashing.
 
-Fingerprints are 64-bit SimHashes of word shingles. To link fingerprints that
-differ in at most two bits, the 64 bits are cut into segments and the index
-holds, for every distinct fingerprint, the Hamming ball of radius one within
-each segment (the other segments unchanged), plus the fingerprint itself. Two
-fingerprints at distance two or less meet in such a table entry: the point
-half way between them, whether their differing bits lie in one segment or in
-two. An entry can only hold the fingerprints within one bit of it, 65 at
-most, however large a group of near copies is; so no bucket is ever large, no
-pairs within a group are listed, and the entry's members are linked in a star
-whose complete distances are verified. A table keyed by one segment alone
-would put all near copies of a group into one bucket.
+Fingerprints are 64-bit SimHashes of word shingles. The 64 bits are cut into
+segments, four by default. Two fingerprints that differ in two bits at most
+agree in two whole segments at least, so there is one table for each pair of
+segments, keyed by their values: a fingerprint has six entries, and is found by
+all its neighbours in one of them (radius zero in both segments). The members
+of a bucket are compared by their complete distances.
+
+A large group of near copies agrees in many bits and crowds into few buckets.
+Fingerprints in a bucket of more than ``crowd`` members are indexed anew, by
+the Hamming ball of radius one within each segment, the other segments
+unchanged: two neighbours meet half way, and such an entry holds 65
+fingerprints at most. No pairs of a crowd are listed: an entry's members are
+linked to its smallest.
 """
 
 from __future__ import annotations
@@ -67,27 +69,65 @@ def _text_hash(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def segment_masks(segments: int) -> list[int]:
+    """The bits of each segment, as signed longs."""
+    cuts = [BITS * k // segments for k in range(segments + 1)]
+    return [_signed((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _signed(bits: int) -> int:
+    return bits if bits < 1 << 63 else bits - (1 << 64)
+
+
 def index_entries(distinct: DataFrame, segments: int = 4) -> DataFrame:
-    """(z, fp): the table entries of each distinct fingerprint: itself and its
-    radius-one ball within each of the segments."""
-    width = BITS // segments
+    """(pair, key, fp): the entry of each distinct fingerprint in the table of
+    each pair of segments."""
+    masks = segment_masks(segments)
+    both = [x | y for k, x in enumerate(masks) for y in masks[k + 1:]]
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in both])
+    return distinct.select("fp", F.posexplode(keys).alias("pair", "key"))
+
+
+def ball_entries(distinct: DataFrame, segments: int = 4) -> DataFrame:
+    """(z, fp): each distinct fingerprint under itself and under every value of
+    the radius-one Hamming ball within each of its segments."""
+    cuts = [BITS * k // segments for k in range(segments + 1)]
     balls = F.flatten(F.array(*[
-        F.array(*[F.col("fp").bitwiseXOR(F.lit(_bit(s * width + b))) for b in range(width)])
-        for s in range(segments)]))
+        F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(1 << bit))) for bit in range(a, b)])
+        for a, b in zip(cuts, cuts[1:], strict=False)]))
     return distinct.select("fp", F.explode(F.concat(F.array("fp"), balls)).alias("z"))
 
 
-def _bit(k: int) -> int:
-    return 1 << k if k < 63 else -(1 << 63)
-
-
-def links(distinct: DataFrame, max_distance: int = 2, segments: int = 4) -> DataFrame:
+def links(distinct: DataFrame, max_distance: int = 2, segments: int = 4, crowd: int = 64) -> DataFrame:
     """(u, v) of fingerprints with u > v whose complete distance was verified;
     connects exactly the fingerprints that a chain of distances of at most
-    ``max_distance`` (0 to 2) connects."""
+    ``max_distance`` (0 to 2) connects. ``segments``: at least two more than
+    that distance. ``crowd``: the members up to which a bucket is compared as a
+    whole; larger ones are split by Hamming balls, with the same components."""
     if max_distance not in (0, 1, 2):
         raise ValueError("max_distance must be 0, 1 or 2")
-    entries = (index_entries(distinct, segments).groupBy("z")
+    if not max_distance + 2 <= segments <= BITS:
+        raise ValueError("segments must be at least max_distance + 2, and at most 64")
+    # Dealt evenly before the rows multiply: a small table is read back in few splits.
+    spread = distinct.select("fp").repartition("fp")
+    entries = index_entries(spread, segments)
+    sizes = entries.groupBy("pair", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # The written join is one whose hot side AQE may split.
+    shared = stored(entries.join(sizes, ["pair", "key"]), "buckets")
+
+    buckets = (shared.filter(F.col("n") <= crowd).groupBy("pair", "key")
+               .agg(F.collect_list("fp").alias("members")))  # at most `crowd`
+    near = F.expr(f"filter(members, v -> v < u and bit_count(u ^ v) <= {max_distance})")
+    found = (buckets.select("members", F.explode("members").alias("u"))
+             .select("u", F.explode(near).alias("v")))
+
+    crowded = shared.filter(F.col("n") > crowd).select("fp").distinct()
+    return found.unionByName(_crowd_links(crowded, max_distance, segments)).distinct()
+
+
+def _crowd_links(distinct: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """Links by whole values with one bit changed: members of an entry lie within one bit of it."""
+    entries = (ball_entries(distinct, segments).groupBy("z")
                .agg(F.count("*").alias("n"), F.min("fp").alias("v"),
                     F.collect_list("fp").alias("members"))  # 65 at most: the ball of z
                .filter("n > 1"))
@@ -95,8 +135,7 @@ def links(distinct: DataFrame, max_distance: int = 2, segments: int = 4) -> Data
         entries = entries.filter("array_contains(members, z)").withColumn("v", F.col("z"))
     pairs = entries.select("v", F.explode("members").alias("u")).filter("u <> v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance
-    return pairs.filter(near).select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return pairs.filter(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def _rooted(marks: DataFrame, max_distance: int, segments: int) -> DataFrame:

@@ -57,6 +57,33 @@ def test_index_links_chains_across_and_within_segments(spark):
                 assert together == (x == y or x in got and got.get(x) == got.get(y)), (most, x, y)
 
 
+def test_buckets_of_any_size_link_alike(spark):
+    """Groups of near copies, thin and crowded: whole buckets, split ones and
+    a mixture of both give the components of all pairs."""
+    import random
+
+    rng = random.Random(8)
+    fps = {0, (1 << 64) - 1}
+    for size in (2, 5, 60, 250):
+        centre = rng.getrandbits(64)
+        for _ in range(size):
+            fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))))
+    fps |= {rng.getrandbits(64) for _ in range(50)}
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    for most in (1, 2):
+        want = plain_groups(fps, lambda x, y, most=most: (x ^ y).bit_count() <= most)
+        for crowd in (1, 8, 10_000):
+            edges = simhash.links(df, most, crowd=crowd)
+            assert edges.filter(f"bit_count(u ^ v) > {most} or u <= v").isEmpty()
+            root = {r["node"] & (2 ** 64 - 1): r["root"] for r in graph.components(edges).collect()}
+            groups, plain = defaultdict(set), defaultdict(set)
+            for f in fps:
+                groups[root.get(f, ("alone", f))].add(f)
+                plain[want[f]].add(f)
+            assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values())), (most, crowd)
+    assert simhash.index_entries(df).count() == 6 * len(fps)
+
+
 def test_components_of_long_chain_and_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(500)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
