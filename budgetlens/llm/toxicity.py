@@ -4,7 +4,8 @@ Clauses, not words, are scored. A clause is a string of word classes; three
 weighted transducers read it, composed into one machine:
 
 * scope: after a negation the next words are weakened, after a verb of
-  reported speech or an opening quote the rest of the clause is;
+  reported speech the rest of the clause is, after an opening quote all words
+  up to the closing one or the clause's end;
 * address: remembers whether a target (you, they, names of groups) was met and
   whether only link words followed it;
 * pattern: gives an insult its weight, more when it is aimed at a target, and
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from budgetlens.llm.common import doc_bucket, each_text, in_arrow, map_batches, stored
 
 #: Word classes.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LINK, BREAK = range(8)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LINK, BREAK, OPEN, CLOSE = range(10)
 #: Seeds of the lexicon (fixed values).
 SEEDS = {
     INSULT: "idiot moron stupid imbecile loser scum trash garbage vermin worthless pathetic disgusting "
@@ -42,8 +43,10 @@ SEEDS = {
     LINK: "are is re am be a an the such so really very total complete absolute utterly will going to gonna must "
           "should ll all just bunch of et and",
 }
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“«]")
-QUOTES = "\"“«"
+TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”„«»]")
+#: A quote at the front of a word opens; the other marks of that kind close.
+OPENING = re.compile(r"(?<![^\s(\[])(?:[\"“”„»](?=\w)|«)")
+OPENED, CLOSING = "„", "\"“”«»"
 #: Stem lengths that the lexicon considers.
 STEMS = range(5, 9)
 #: Distinct terms that a task counts before it hands its counts on.
@@ -57,7 +60,7 @@ class Transducer:
 
     def __init__(self, states: int, arcs: dict, default):
         self.states = states
-        self.arc = {(s, c): arcs.get((s, c)) or default(s, c) for s in range(states) for c in range(8)}
+        self.arc = {(s, c): arcs.get((s, c)) or default(s, c) for s in range(states) for c in range(CLOSE + 1)}
 
     def then(self, other: Transducer) -> Transducer:
         """Composition: what this one passes on is read by ``other``; factors multiply."""
@@ -72,21 +75,25 @@ class Transducer:
 
 
 def scope(weak: float = 0.35, span: int = 3) -> Transducer:
-    """State: 0 plain, 1..span after a negation, span + 1 inside reported speech."""
-    told = span + 1
+    """State: 0 plain, 1..span after a negation, span + 1 inside reported speech,
+    span + 2 between quotes."""
+    told, quoted = span + 1, span + 2
     arcs = {}
-    for s in range(span + 2):
+    for s in range(span + 3):
         arcs[s, BREAK] = (0, BREAK, 1.0)
-        arcs[s, REPORT] = (told, OTHER, 1.0)
-        if s != told:
+        arcs[s, OPEN] = (told if s == told else quoted, OTHER, 1.0)
+        arcs[s, CLOSE] = (0 if s == quoted else s, OTHER, 1.0)
+        if s != quoted:
+            arcs[s, REPORT] = (told, OTHER, 1.0)
+        if s < told:
             arcs[s, NEGATION] = (1, OTHER, 1.0)
 
     def rest(s, c):
-        if s == told:
+        if s >= told:
             return s, c, weak
         return (s + 1 if 0 < s < span else 0), c, (weak if s else 1.0)
 
-    return Transducer(span + 2, arcs, rest)
+    return Transducer(span + 3, arcs, rest)
 
 
 def address(aimed: float = 1.6) -> Transducer:
@@ -123,8 +130,10 @@ class Lexicon(dict):
             got = (OTHER, 0.0)
             if word in ".!?;:\n":
                 got = (BREAK, 0.0)
-            elif word in QUOTES:
-                got = (REPORT, 0.0)
+            elif word == OPENED:
+                got = (OPEN, 0.0)
+            elif word in CLOSING:
+                got = (CLOSE, 0.0)
             else:
                 for k in reversed(STEMS):
                     if len(word) > k and word[:k] in self.stems:
@@ -139,7 +148,7 @@ class Lexicon(dict):
 
 def clause_scores(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
     """The scores of the clauses that the grammar matches, and the number of words."""
-    tokens = TOKEN.findall(text.lower())
+    tokens = TOKEN.findall(OPENING.sub(OPENED, text.lower()))
     found = list(map(lexicon.__getitem__, tokens))
     scores, state, score = [], 0, 0.0
     if any(c == INSULT or c == THREAT for c, _ in found):

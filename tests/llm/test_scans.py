@@ -396,6 +396,65 @@ def test_grammar_composition_scores_clauses():
     assert one("a quiet day") == 0
 
 
+@pytest.mark.parametrize("a, b", ['""', "“”", "„“", "»«", ("« ", " »"), "””"])
+def test_quotes_end_where_they_close(a, b):
+    lex = toxicity.Lexicon({w: (c, 1.0) for c, ws in toxicity.SEEDS.items() for w in ws.split()}, {})
+    one = lambda t: sum(toxicity.clause_scores(t, lex)[0])
+    plain = one("you are an idiot")
+    assert one(f"he is {a}smart{b} and you are an idiot") == plain
+    assert one(f"a {a}quiet day.{b} you are an idiot") == plain
+    assert one(f"a note, {a}you are an idiot{b}, was there") < plain
+    assert one(f"({a}you are an idiot{b})") < plain
+    assert one(f"they wrote {a}fine{b} and you are an idiot") < plain
+    assert one('a board of 5" and you are an idiot') == plain
+
+
+def clause_by_words(words, classes, weak=0.35, span=3, aimed=1.6):
+    """The weight of one clause, word by word without a machine."""
+    score, told, quoted, since, link_run, threat = 0.0, False, False, None, False, False
+    for w in words:
+        c = classes.get(w, toxicity.OTHER)
+        if c == toxicity.OPEN:
+            quoted, since = quoted or not told, None if not told else since
+            c = None
+        elif c == toxicity.CLOSE:
+            quoted = False
+            c = None
+        factor = weak if told or quoted or since is not None else 1.0
+        silent = c is None or (c == toxicity.REPORT and not quoted) or (
+            c == toxicity.NEGATION and not told and not quoted)
+        if c == toxicity.REPORT and not quoted:
+            told, since = True, None
+        elif c == toxicity.NEGATION and not told and not quoted:
+            since = 0
+        elif c is not None and since is not None:
+            since = since + 1 if since + 1 < span else None
+        if silent:
+            c, factor = toxicity.OTHER, 1.0
+        if c == toxicity.INSULT:
+            score += factor * (aimed if link_run else 1.0)
+        if c == toxicity.TARGET and threat:
+            score += factor
+        threat = c == toxicity.THREAT or (threat and c == toxicity.LINK)
+        link_run = c == toxicity.TARGET or (link_run and c in (toxicity.LINK, toxicity.INSULT))
+    return score
+
+
+def test_grammar_equals_clauses_read_word_by_word():
+    rng = random.Random(77)
+    words = {"idiot": toxicity.INSULT, "kill": toxicity.THREAT, "you": toxicity.TARGET, "not": toxicity.NEGATION,
+             "said": toxicity.REPORT, "will": toxicity.LINK, "moon": toxicity.OTHER}
+    lex = toxicity.Lexicon({w: (c, 1.0) for w, c in words.items()}, {})
+    classes = words | {"„": toxicity.OPEN, "”": toxicity.CLOSE}
+    for _ in range(3000):
+        clause = rng.choices([*classes], k=rng.randint(1, 12))
+        text = " ".join(clause).replace("„ ", "„").replace(" ”", "”")
+        if any(a + b in text for a in "„”" for b in "„”") or text.endswith("„"):
+            continue
+        got = sum(toxicity.clause_scores(text, lex)[0])
+        assert abs(got - clause_by_words(clause, classes)) < 1e-9, (text, got)
+
+
 def test_toxicity_learns_and_defines_awkward_cases(spark, awkward, words):
     rng = random.Random(8)
     docs, labels = [], []
