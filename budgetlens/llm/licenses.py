@@ -98,6 +98,10 @@ TEMPLATES = (
                         "International License"),
     ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
 )
+#: SPDX tags: the identifiers of the notices above; of the GNU licenses the
+#: short form, with which the longer ones begin.
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}")
+                   for name in dict.fromkeys(name for name, _ in TEMPLATES) if name != "Proprietary")
 #: A-Z to a-z; ASCII punctuation and controls to blanks; everything else stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -229,14 +233,36 @@ def clearest(hits: list[tuple], names: list[str], sizes: list[int]) -> list[tupl
     return out
 
 
+def reserved_alone(hits: list[tuple], names: list[str], beside: int) -> list[tuple]:
+    """The hits without a reservation of rights that has an open license at most
+    ``beside`` words before or after it in its text: there it is part of a
+    copyright line and grants or withholds nothing."""
+    out, begin = [], 0
+    for k in range(1, len(hits) + 1):
+        if k < len(hits) and hits[k][0] == hits[begin][0]:
+            continue
+        open_spans = sorted((a, b) for _, i, a, b, _ in hits[begin:k] if names[i] != "Proprietary")
+        starts = [a for a, _ in open_spans]
+        longest = max((b - a for a, b in open_spans), default=0)
+        for hit in hits[begin:k]:
+            _, i, a, b, _ = hit
+            near = open_spans[bisect_left(starts, a - beside - longest):bisect_left(starts, b + beside + 1)]
+            if names[i] != "Proprietary" or not any(x - b <= beside and a - y <= beside for x, y in near):
+                out.append(hit)
+        begin = k
+    return out
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = 5, containment: float = 0.8,
-         miss: float = 1e-4) -> DataFrame:
+         miss: float = 1e-4, beside: int = 50) -> DataFrame:
     """One row per document and license found: (doc_id, license, n_hits,
     containment, first_word, end_word); the words of the best hit, counted over
     the folded text (letters and digits of ASCII, everything beyond ASCII).
-    Of licenses that match the same run of words the clearest is reported.
+    Of licenses that match the same run of words the clearest is reported. Rights
+    reserved within ``beside`` words of an open license are not `Proprietary`.
 
-    Defined cases: null and empty texts have no rows; a null id stays null; a
+    Defined cases: an empty table gives an empty result; a text of any length is
+    scanned whole; null and empty texts have no rows; a null id stays null; a
     repeated row repeats its findings; templates without words are ignored;
     equally good hits: the first; other columns are not read.
     """
@@ -252,7 +278,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = 5, containment: fl
         for begin, texts in chunks(texts_of(batch), fold):
             h, starts = cache.of_texts(texts)
             best: dict[tuple[int, str], list] = {}
-            for d, i, a, b, held in clearest(find(h, starts, table, containment), names, sizes):
+            clear = clearest(find(h, starts, table, containment), names, sizes)
+            for d, i, a, b, held in reserved_alone(clear, names, beside):
                 hit = best.setdefault((d, names[i]), [0, 0.0, 0, 0])
                 hit[0] += 1
                 if (held, -a) > (hit[1], -hit[2]):

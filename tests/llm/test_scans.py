@@ -141,6 +141,61 @@ def test_look_alike_licenses_are_told_apart(spark):
     assert got == list(enumerate(texts))
 
 
+def found_licenses(spark, rows):
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    got = [[] for _ in rows]
+    for r in licenses.scan(df).collect():
+        got[r["doc_id"]].append(r["license"])
+    return [sorted(g) for g in got]
+
+
+def test_spdx_tags_and_reserved_rights(spark, words):
+    far = " ".join(random.Random(4).choices(words, k=200))
+    rows = ["// SPDX-License-Identifier: MIT\nint main", "# SPDX-License-Identifier: Apache-2.0",
+            "/* SPDX-License-Identifier: GPL-2.0-or-later */", "SPDX-License-Identifier: LGPL-2.1-only",
+            "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: none",
+            "Copyright (c) 2020 A. All rights reserved.\n" + licenses.BSD,
+            licenses.BSD + " Copyright 2020, all rights reserved.",
+            "Copyright 2020 A. All rights reserved. No part may be copied.",
+            "All rights reserved. " + far + " SPDX-License-Identifier: MIT"]
+    assert found_licenses(spark, rows) == [
+        ["MIT"], ["Apache-2.0"], ["GPL-2.0"], ["LGPL-2.1"], ["BSD-2-Clause"], [], ["BSD-2-Clause"], ["BSD-2-Clause"],
+        ["Proprietary"], ["MIT", "Proprietary"]]
+
+
+def plain_containment(text, times=1, least=0.8):
+    """Licenses of which some run of shingles, ``times`` as long as the template,
+    holds enough of its shingles: every run, by sets."""
+    fold = licenses.folded_words
+    words, out = fold(text), set()
+    for name, template in licenses.TEMPLATES:
+        t = fold(template)
+        width = min(5, len(t))
+        want = {tuple(t[i:i + width]) for i in range(len(t) - width + 1)}
+        s = [tuple(words[i:i + width]) for i in range(len(words) - width + 1)]
+        span = times * (len(t) - width + 1)
+        if any(len(want.intersection(s[i:i + span])) >= least * len(want) for i in range(max(1, len(s)))):
+            out.add(name)
+    return out
+
+
+def test_scan_finds_what_plain_containment_finds(spark, words):
+    """Notices with words changed or dropped: a text in which the plain test finds
+    a license has one reported, and every license reported passes the plain
+    test over runs as long as the scan's windows get."""
+    rng, rows = random.Random(31), []
+    for i in range(120):
+        t = licenses.TEMPLATES[rng.randrange(len(licenses.TEMPLATES))][1].split()
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(t))
+            t[at:at + rng.randrange(2)] = [rng.choice(words)] if rng.random() < 0.7 else []
+        rows.append(" ".join(rng.choices(words, k=rng.randrange(60)) + t + rng.choices(words, k=rng.randrange(60))))
+    got = found_licenses(spark, rows)
+    for text, names in zip(rows, got, strict=True):
+        assert names or not plain_containment(text) - {"Proprietary"}, text
+        assert set(names) <= plain_containment(text, 4), (text, names)
+
+
 def test_license_windows_lose_no_template_at_full_containment():
     table = licenses.classes(licenses.TEMPLATES, 5, 0.8, 1e-4)
     assert all(c.span >= c.m + c.stride - 1 and c.bands >= 1 for c in table)
