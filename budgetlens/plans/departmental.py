@@ -85,11 +85,14 @@ def departmental_report(spark: SparkSession, folder: str,
     json_text = report.json_context(src.json)
     prompt = report.report_prompt(src.text, "text", table, json_text, department, ["path"])
     sections = add_report_sections(text, "report_text", "compat")
+    context = report.summary_context(sections, kpis, table, json_text)
     return {
         "blocks": report.report_blocks(spark, parts, text, src.has_additional_data, include),
         "sections": sections,
         "prompt": prompt,
-        "summary_context": report.summary_context(sections, kpis, table, json_text),
+        "messages": report.messages(prompt, "prompt", report.REPORT_ROLE, report.REPORT_LEAD, ["path"]),
+        "summary_context": context,
+        "summary_messages": report.messages(context, "summary_context", report.SUMMARY_ROLE, None, []),
         "rejected_cells": src.rejected_cells,
         "quick_stats": rq.q18_quick_stats(sectors, totals),
         **chart_data(src, totals, ratio_mode, period),

@@ -548,7 +548,26 @@ SELECT concat_ws(chr(10), {lit(SUMMARY_START)}, '', 'Report Content:', {NARRATIV
 FROM kr, tt, js"""
 
 
-def _report_prompt_sql() -> str:
+# Who the writers are told they are, and the line before the data.
+REPORT_WRITER = (
+    "You are an expert AI report generator specialized in government department reporting with data "
+    "analysis expertise. Your task is to create clear, concise, and well-structured reports with properly"
+    " formatted section headers. Always include an executive summary and organize content with markdown "
+    "formatting. Focus on data-driven insights, key metrics, achievements, challenges, and actionable "
+    "recommendations.")
+SUMMARY_WRITER = (
+    "You are an expert government report writer specializing in executive summaries. Your task is to "
+    "create professional, concise summaries (150-200 words) that highlight key performance metrics, "
+    "achievements, challenges, and strategic directions. Focus on clarity, quantitative data points, and "
+    "actionable information. Do not use meta-language like 'this report' or refer to the document itself.")
+DATA_LEAD = "Generate a detailed monthly departmental report based on the following data:"
+
+SQL["summary_messages"] = f"""
+SELECT cast(0 as bigint) AS ord, 'system' AS role, {lit(SUMMARY_WRITER)} AS content
+UNION ALL SELECT cast(1 as bigint), 'user', summary_context FROM ({SQL["summary_context"]}) c"""
+
+
+def _report_prompt_sql(last: str) -> str:
     sections = "REQUIRED REPORT SECTIONS:\n" + "\n".join(f"## {x}" for x in REQUIRED)
     return f"""
 WITH {KPI_RECORD}, {_section_table_sql()},
@@ -557,10 +576,16 @@ p AS (SELECT doc_id, concat_ws(chr(10),
         'Unstructured Data:', {strip('text')}, '', 'JSON Data:', json_text, '',
         {lit(sections)}, '', {lit(PROMPT_END)}) AS prompt
       FROM documents, tt, js)
-SELECT doc_id, cast(length(prompt) as bigint) AS prompt_len, md5(prompt) AS prompt_md5 FROM p"""
+{last}"""
 
 
-SQL["report_prompt"] = _report_prompt_sql()
+SQL["report_prompt"] = _report_prompt_sql(
+    "SELECT doc_id, cast(length(prompt) as bigint) AS prompt_len, md5(prompt) AS prompt_md5 FROM p")
+SQL["report_messages"] = _report_prompt_sql(f""",
+m AS (SELECT doc_id, 0 AS ord, 'system' AS role, {lit(REPORT_WRITER)} AS content FROM p
+      UNION ALL SELECT doc_id, 1, 'user', {lit(DATA_LEAD)} || chr(10) || chr(10) || prompt FROM p)
+SELECT doc_id, cast(ord as bigint) AS ord, role, cast(length(content) as bigint) AS content_len,
+       md5(content) AS content_md5 FROM m""")
 
 
 def _table_sql(headers: list[str], cells: str) -> str:

@@ -53,6 +53,20 @@ CORRELATION_NOTE = (
     "progress relates to population coverage, with bubble size representing project count and color "
     "intensity showing budget allocation.")
 
+# What the writer is told it is, and the line before a report's data.
+REPORT_ROLE = (
+    "You are an expert AI report generator specialized in government department reporting with data "
+    "analysis expertise. Your task is to create clear, concise, and well-structured reports with properly"
+    " formatted section headers. Always include an executive summary and organize content with markdown "
+    "formatting. Focus on data-driven insights, key metrics, achievements, challenges, and actionable "
+    "recommendations.")
+SUMMARY_ROLE = (
+    "You are an expert government report writer specializing in executive summaries. Your task is to "
+    "create professional, concise summaries (150-200 words) that highlight key performance metrics, "
+    "achievements, challenges, and strategic directions. Focus on clarity, quantitative data points, and "
+    "actionable information. Do not use meta-language like 'this report' or refer to the document itself.")
+REPORT_LEAD = "Generate a detailed monthly departmental report based on the following data:"
+
 
 def prompt_preamble(department: str) -> str:
     lines = [PROMPT_HEAD.format(department=department), "", "FORMAT INSTRUCTIONS:"]
@@ -145,6 +159,7 @@ def kpi_record(budget: DataFrame, projects: DataFrame, grievance: DataFrame) ->
     return attach_scalars(attach_scalars(budget, projects), grievance)
 
 
+# The summary writer's request and its close.
 SUMMARY_REQUEST = (
     "Generate a concise executive summary for a government department's performance report.\n"
     "The summary should highlight key achievements, challenges, budget utilization, project status, and "
@@ -282,6 +297,19 @@ def report_prompt(docs: DataFrame, text_col: str, table: DataFrame, json_text: D
     return joined.select(*keys, prompt.alias("prompt"))
 
 
+def messages(texts: DataFrame, text_col: str, role: str, lead: str | None, keys: list[str]) -> DataFrame:
+    """The two messages of one request to the writer, as rows (keys, ord, role,
+    content): who it is (``system``), then the text of ``text_col`` (``user``),
+    after ``lead`` and a blank line if there is one. A NULL text is an empty one;
+    each row of ``texts`` gives its two, an empty frame none."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    user = text if lead is None else F.concat(F.lit(lead + "\n\n"), text)
+    both = F.array(
+        F.struct(F.lit(0).alias("ord"), F.lit("system").alias("role"), F.lit(role).alias("content")),
+        F.struct(F.lit(1).alias("ord"), F.lit("user").alias("role"), user.alias("content")))
+    return texts.select(*keys, F.inline(both))
+
+
 # ----------------------------------------------------------- X5, Q20
 
 # Headers of the report's tables and the columns under them.

@@ -63,13 +63,33 @@ def kpi_json(k: DataFrame) -> DataFrame:
 
 def report_prompt(spark, sf_dir, department: str = DEPARTMENT) -> DataFrame:
     """Q22: one prompt per document (length and MD5 of the whole prompt)."""
+    p = _prompts(spark, sf_dir, department)
+    return p.select("doc_id", F.length("prompt").cast("long").alias("prompt_len"),
+                    F.md5("prompt").alias("prompt_md5"))
+
+
+def _prompts(spark, sf_dir, department: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     parts = materialize(proxies.part_fact(t), "fact-parts")
     docs = spread_for_cpu(t.documents.select("doc_id", "text"))
-    p = report.report_prompt(docs, "text", section_table_text(t, parts), kpi_json(kpis(t, parts)),
-                             department, ["doc_id"])
-    return p.select("doc_id", F.length("prompt").cast("long").alias("prompt_len"),
-                    F.md5("prompt").alias("prompt_md5"))
+    return report.report_prompt(docs, "text", section_table_text(t, parts), kpi_json(kpis(t, parts)),
+                                department, ["doc_id"])
+
+
+def report_messages(spark, sf_dir, department: str = DEPARTMENT) -> DataFrame:
+    """X2 with its role: the messages of each document's request (length and MD5
+    of the whole content)."""
+    m = report.messages(_prompts(spark, sf_dir, department), "prompt", report.REPORT_ROLE, report.REPORT_LEAD,
+                        ["doc_id"])
+    return m.select("doc_id", F.col("ord").cast("long").alias("ord"), "role",
+                    F.length("content").cast("long").alias("content_len"),
+                    F.md5("content").alias("content_md5"))
+
+
+def summary_messages(spark, sf_dir) -> DataFrame:
+    """X3 with its role: the messages of the summary writer's request, whole."""
+    m = report.messages(summary_context(spark, sf_dir), "summary_context", report.SUMMARY_ROLE, None, [])
+    return m.select(F.col("ord").cast("long").alias("ord"), "role", "content")
 
 
 class ReportFacts:
@@ -138,5 +158,7 @@ QUERIES = {
     "missing_sections": missing_sections,
     "summary_context": summary_context,
     "report_prompt": report_prompt,
+    "report_messages": report_messages,
+    "summary_messages": summary_messages,
     "report_blocks": report_blocks,
 }

@@ -100,7 +100,16 @@ def test_whole_report(spark, tmp_path):
         assert [x.split()[-3:] for x in table] == [["60", "100.5", "50.25"], ["100", "20.0", "20.0"],
                                                    ["80", "10.0", "5.0"], ["25", "40.0", "0.0"]]
         assert all(f"note number {i}\"" in text for i in range(60))     # the whole JSON document
-    assert "Wells were dug." in out["prompt"].collect()[0].prompt
+    prompt = out["prompt"].collect()[0].prompt
+    assert "Wells were dug." in prompt
+    told = {r.ord: r for r in out["messages"].collect()}
+    assert [told[k].role for k in (0, 1)] == ["system", "user"] and len(told) == 2
+    assert told[0].content.startswith("You are an expert AI report generator")
+    assert told[1].content == ("Generate a detailed monthly departmental report based on the following data:"
+                               "\n\n" + prompt)
+    asked = {r.ord: r.content for r in out["summary_messages"].collect()}
+    assert asked[1] == out["summary_context"].collect()[0].summary_context
+    assert "executive summaries" in asked[0]
     assert "Received 20, Resolved 20 (100.0%" in out["summary_context"].collect()[0].summary_context
 
 
