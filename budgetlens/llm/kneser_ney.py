@@ -32,8 +32,9 @@ from budgetlens.session import scratch_path
 
 #: Tokens that one shard should hold on average.
 SHARD_TOKENS = 1 << 19
-#: Bytes of text that a task counts, and scores, at once.
-CHUNK_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
+#: Bytes of text that a task counts, and scores, at once, and of packed
+#: n-grams that it hands on together.
+CHUNK_BYTES, SCORE_BYTES, OUT_BYTES = 8 << 20, 4 << 20, 2 << 20
 #: Shards of one array that a task keeps mapped.
 OPEN_SHARDS = 128
 #: Hashes of the end token and of the begin mark.
@@ -66,17 +67,18 @@ class Tokens:
             inner = np.ones(len(h), bool)
             inner[np.cumsum(sizes) - 1] = False
             h[inner] = words
+            del run, words, inner  # the arrays of a chunk are large; none stays while it is used
             yield h, sizes
 
     def grams(self, h: np.ndarray, sizes: np.ndarray, n: int) -> list[np.ndarray]:
         """n columns: for every token the n - 1 tokens before it (begin marks
         where the text starts) and itself."""
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        place = np.arange(len(h)) - np.repeat(starts, sizes)
         out = []
         for back in range(n - 1, 0, -1):
             c = np.roll(h, back)
-            c[place < back] = self.begin
+            for k in range(back):
+                c[starts[sizes > k] + k] = self.begin
             out.append(c)
         return [*out, h]
 
@@ -89,19 +91,25 @@ def chained(columns: list[np.ndarray]) -> np.ndarray:
     return mixed(h)
 
 
-def unique_rows(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in order, with summed counts."""
+def unique_rows(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, with summed counts (without counts: 1 a row)."""
     if len(columns) == 1:
         order = np.argsort(columns[0])
     elif len(columns) == 2:
         # One fast sort by the upper halves; exact unless two different rows
         # agree in both, which is seen and sorted again.
         half = np.uint64(32)
-        order = np.argsort(columns[0] >> half << half | columns[1] >> half)
-        a, b = (c[order] for c in columns)
-        if ((a[1:] >> half == a[:-1] >> half) & (b[1:] >> half == b[:-1] >> half)
-                & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]))).any():
-            order = np.lexsort(columns[::-1])
+        key = columns[0] >> half << half
+        key |= columns[1] >> half
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        del key
+        for c in columns:
+            c = c[order]
+            if (same & (c[1:] != c[:-1])).any():
+                order = np.lexsort(columns[::-1])
+                break
     else:
         order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
@@ -110,10 +118,25 @@ def unique_rows(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     first = np.nonzero(new)[0]
-    sums = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+    if counts is None:
+        sums = np.diff(first, append=len(new)).astype(np.uint64)
+    else:
+        sums = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
     return [c[first] for c in columns], sums
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct key, by key, and for every place the number of its key."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    del key
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], number
+
+
 def _packed(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     """Sorted columns by differences, bytes of equal weight together, compressed."""
     raw = []
@@ -161,8 +184,17 @@ def _blobs(columns, counts, shard):
 
 
 def _rows_by_shard(made):
-    ids, blobs = zip(*made, strict=True) if (made := list(made)) else ((), ())
-    return {"shard": ids, "blob": blobs}
+    """The packed rows in columns of about ``OUT_BYTES``."""
+    ids, blobs, size = [], [], 0
+    for shard, blob in made:
+        ids.append(shard)
+        blobs.append(blob)
+        size += len(blob)
+        if size >= OUT_BYTES:
+            yield {"shard": ids, "blob": blobs}
+            ids, blobs, size = [], [], 0
+    if ids:
+        yield {"shard": ids, "blob": blobs}
 
 
 def counted(pick: DataFrame, n: int, layout: Layout) -> DataFrame:
@@ -170,10 +202,13 @@ def counted(pick: DataFrame, n: int, layout: Layout) -> DataFrame:
     def run(batch):
         tokens = Tokens()
         for h, sizes in tokens.chunks(each_text(batch), CHUNK_BYTES):
-            cols, counts = unique_rows(tokens.grams(h, sizes, n), np.ones(len(h), np.uint64))
+            cols, counts = unique_rows(tokens.grams(h, sizes, n))
+            del h
             whole = chained(cols)
-            context = chained(cols[:-1]) if n > 1 else whole
-            yield _rows_by_shard(_blobs(cols, counts, layout.of(context, whole)))
+            shard = layout.of(chained(cols[:-1]) if n > 1 else whole, whole)
+            del whole
+            yield from _rows_by_shard(_blobs(cols, counts, shard))
+            del cols, counts, shard
 
     return map_batches(pick, run, "shard int, blob binary", bounded=True)
 
@@ -194,6 +229,7 @@ def merged(blobs: DataFrame, n: int, layout: Layout, below: Layout | None, folde
         got = [_unpacked(p, n) for p in parts]
         cols, counts = unique_rows([np.concatenate([g[0][j] for g in got]) for j in range(n)],
                                    np.concatenate([g[1] for g in got]))
+        del got
         whole = chained(cols)
         hot = b""
         if n > 1:
@@ -204,7 +240,7 @@ def merged(blobs: DataFrame, n: int, layout: Layout, below: Layout | None, folde
         _write(f"{folder}/{tag}-{shard}-n", counts[order].astype(np.min_scalar_type(int(counts.max()))))
         lower = []
         if below is not None:
-            sub, ones = unique_rows(cols[1:], np.ones(len(counts), np.uint64))
+            sub, ones = unique_rows(cols[1:])
             w = chained(sub)
             c = chained(sub[:-1]) if n > 2 else w
             lower = [{"shard": s, "blob": b} for s, b in _blobs(sub, ones, below.of(c, w))]
@@ -324,13 +360,35 @@ class Model:
                     at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
                     hit = keys[at] == context
                     total[hit] = stats[at[hit]]
+                del context
             c = maps[n, "n"].get(shard, whole)
-            kept = np.maximum(c - d[np.minimum(c, 3)], 0.0)
-            freed = total[:, 1:] @ d[1:]
-            sums = np.maximum(total[:, 0], 1)
-            p = np.where(total[:, 0] > 0, (kept + freed * p) / sums, p)
+            del shard, whole
+            seen = total[:, 0] > 0
+            here = (total[:, 1:] @ d[1:]) * p
+            here += np.maximum(c - d[np.minimum(c, 3)], 0.0)
+            here /= np.maximum(total[:, 0], 1)
+            p = np.where(seen, here, p)
         return p
 
+    def token_scores(self, maps: dict, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every token of several texts its count in training and its log10
+        probabilities by the base and by the model. Every distinct n-gram, and
+        word, of the texts is looked up once, in the order of its hash."""
+        cols = Tokens().grams(h, sizes, self.order)
+        some, number = distinct(chained(cols))
+        cols = [c[some] for c in cols]
+        del some
+        p = np.log10(self.probabilities(maps, cols))[number]
+        del cols, number
+        word = chained([h])
+        some, number = distinct(word)
+        word = word[some]
+        c = np.zeros(len(word), np.int64)
+        if self.tokens:
+            c = maps["raw"].get(self.layout[0].of(word, word), word)
+        base = np.log10((c + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
+        return c[number], base[number], p
+
     def maps(self) -> dict:
         out: dict = {"raw": Mapped(f"{self.folder}/raw", "key", "n")}
         for n in range(1, self.order + 1):
@@ -430,22 +488,14 @@ def score(docs: DataFrame, model: Model, flag) -> DataFrame:
         maps, tokens = held[0], Tokens()
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         for h, sizes in tokens.chunks(each_text(batch), SCORE_BYTES):
-            cols = tokens.grams(h, sizes, model.order)
-            p, c = np.empty(len(h)), np.zeros(len(h), np.int64)
-            order = np.argsort(chained(cols))  # look-ups of sorted keys stay near each other
-            p[order] = np.log10(model.probabilities(maps, [v[order] for v in cols]))
-            if model.tokens:
-                word = chained([h])
-                order = np.argsort(word)
-                word = word[order]
-                c[order] = maps["raw"].get(model.layout[0].of(word, word), word)
-            base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
+            c, base, p = model.token_scores(maps, h, sizes)
             known = c > 0
             first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             out["n_tokens"] += sizes.tolist()
             out["n_known"] += np.add.reduceat(known.astype(np.int64), first).tolist()
             out["base_score"] += np.add.reduceat(base, first).tolist()
             out["score"] += np.add.reduceat(p, first).tolist()
+            del h, c, base, p, known
         n = len(out["score"])
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), **out,
                 "train_tokens": [model.tokens] * n,

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from budgetlens.llm import html_blocks, kneser_ney, packing
@@ -143,6 +147,26 @@ def test_probabilities_sum_to_one(awkward):
     assert model.probabilities(maps, [context, h]).sum() == pytest.approx(1, abs=1e-9)
 
 
+@pytest.mark.parametrize("step", ["score", "count"])
+def test_arrays_of_a_chunk_stay_few(awkward, words, monkeypatch, step):
+    """Peak of a task's arrays for 4 MB of text, in arrays of one number a token."""
+    model = kneser_ney.train(awkward, 2)
+    monkeypatch.setattr(kneser_ney, "map_batches", lambda df, fn, *_, **__: fn)
+    run = (kneser_ney.score(awkward, model, F.lit(True)) if step == "score"
+           else kneser_ney.counted(awkward, 2, model.layout[2]))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(words, k=3000)) for _ in range(240)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(240)), "held_out": [True] * 240, "text": texts})
+    tracemalloc.start()
+    try:
+        made = run(batch)
+        n = sum(map(len, [made["score"]] if step == "score" else [c["blob"] for c in made]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n and peak < 14 * 8 * 240 * 3001, peak / (8 * 240 * 3001)
+
+
 def test_packing_round_trip(awkward, rows):
     from tokenizers import Tokenizer
 
