@@ -3,8 +3,8 @@
 The fixed patterns report their spans as they are. Beside them, a long string
 in a sensitive context is a candidate; its novelty is the number of bytes by
 which it lengthens the compressed surrounding text when the compressor was
-primed with common identifiers, with the identifiers that a sample of the table
-shares, and with the nearby code, other copies of the
+primed with common identifiers, with the identifiers that the texts of the table
+share, and with the nearby code, other copies of the
 candidate itself left out. Text made of its surroundings or of known
 identifiers costs almost nothing; a random string costs about its entropy,
 however often it is written, and is reported. What counts as incompressible
@@ -75,8 +75,8 @@ WORDS = (
     "core common spring springframework oauth for and not the our call calls new old add all any str int obj env")
 #: A word of a longer identifier; a candidate is no secret with fewer characters beside known words.
 WORD, UNKNOWN = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])"), 12
-#: A plain word, no part of a candidate or of any run of its characters.
-PLAIN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,15}(?![A-Za-z0-9+/_=-])"
+#: Runs of which a plain word is a whole one: it is no part of a candidate or of any run of its characters.
+RUN, PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{4,}"), re.compile("[A-Za-z]{4,15}")
 #: Alphabets of fewer than 64 characters that secrets are written in, and their sizes.
 ALPHABETS = tuple((re.compile(p), n) for p, n in (
     ("[0-9]+", 10), ("[0-9A-F]+|[0-9a-f]+", 16), ("[A-Z2-7]+=*|[a-z2-7]+=*", 32)))
@@ -108,21 +108,29 @@ class Novelty:
         return len(size.compress(probe + candidate.encode("utf-8", "replace"))) - len(size.compress(probe))
 
 
-def identifiers(docs: DataFrame, sample: int = 2000, words: int = 1000, least: int = 3) -> list[str]:
+def plain_words(text: str) -> set[str]:
+    """The distinct plain words of a text, in lower case."""
+    return {r.lower() for r in set(RUN.findall(text)) if PLAIN.fullmatch(r)}
+
+
+def identifiers(docs: DataFrame, sample: int | None = None, words: int = 1000, least: int = 3) -> list[str]:
     """Plain words of 4 to 15 letters, in lower case, that stand in at least
-    ``least`` of the ``sample`` distinct texts of smallest hash; the ``words`` most
-    frequent of them, ties by word. A bounded sample: it only adds known
-    identifiers, every text is scanned. Copies of one text count once, and parts
-    of candidates are no plain words, so a secret's pieces are not learned.
+    ``least`` distinct texts of the table; the ``words`` that stand in most of
+    them, ties by word. Copies of one text count once, and parts of candidates
+    are no plain words, so a secret's pieces are not learned. ``sample``: count
+    in so many distinct texts of smallest hash only (None: in all of them).
     """
-    texts = docs.select(F.col("text").alias("text"), F.xxhash64("text").alias("h")).filter("text is not null")
-    last = texts.groupBy("h").count().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if last is None:
-        return []
-    found = texts.filter(F.col("h") <= last).select(
-        "h", F.explode(F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0))).alias("word"))
-    counts = found.select("h", F.lower("word").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words)
+    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").alias("text")).filter("text is not null")
+    if sample is not None:
+        last = texts.groupBy("h").count().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        texts = texts.filter(F.col("h") <= F.lit(last))
+
+    def run(batch):
+        return {"h": batch.column("h"), "words": [" ".join(sorted(plain_words(t))) for t in each_text(batch)]}
+
+    once = map_batches(texts, run, "h long, words string", bounded=True).dropDuplicates(["h"])
+    counts = once.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counts.filter((F.col("n") >= least) & (F.col("word") != "")).orderBy(F.desc("n"), "word").limit(words)
     return sorted(r["word"] for r in top.collect())
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from budgetlens.llm import decontaminate, licenses, quality, secrets, toxicity
 
@@ -236,6 +237,23 @@ def test_identifiers_are_learned_from_the_table(spark):
     assert secrets.identifiers(df, sample=1, least=3) == [] and len(secrets.identifiers(df, words=2)) == 2
 
 
+def test_identifiers_are_counted_in_every_text(spark):
+    """The words of texts beyond the 2,000 of smallest hash count too, copies once."""
+    texts = [f"common filler {k}" for k in range(2200)] + [f"common zebrafish {k}" for k in range(4000)]
+    hashed = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text").alias("h"))
+    by_hash = [r["text"] for r in hashed.orderBy("h").collect()]
+    last = [t for t in by_hash if "zebrafish" in t][-3:]
+    kept = [t for t in by_hash[:by_hash.index(last[0])] if "filler" in t] + last + ["common quagga"] * 5
+    kept += ["Zebrafish/x okapi", "okapi, OKAPI (okapi)", "an okapi=1 okapi", "the okapi. lynx lynx lynx", None, ""]
+    assert len(kept) > 2010
+    df = spark.createDataFrame([(t,) for t in kept], "text string").repartition(4)
+    plain = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,15}(?![A-Za-z0-9+/_=-])")
+    n = Counter(w for t in {*kept} - {None} for w in {w.lower() for w in plain.findall(t)})
+    assert n["zebrafish"] == 3 and n["okapi"] == 4 and n["quagga"] == 1
+    assert secrets.identifiers(df) == sorted(w for w, k in n.items() if k >= 3) == ["common", "filler", "okapi", "zebrafish"]
+    assert "zebrafish" not in secrets.identifiers(df, sample=2000)
+
+
 def test_secrets_take_awkward_rows(spark, awkward, rows):
     got = Counter((r["doc_id"], r["n_assign"], r["spans"]) for r in secrets.scan(awkward).collect())
     assert sum(got.values()) == len(rows) and {s for _, _, s in got} == {""}
