@@ -192,17 +192,18 @@ def terms(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int, modulus: int) -> DataFrame:
-    """(part, toxic, text) of at most ``most`` labelled training documents, the
-    ones whose id hashes lowest. Ids whose crc32 leaves remainder 0 are left
-    out; a doc_id with contrary labels counts as toxic."""
+def labelled(docs: DataFrame, labels: DataFrame, modulus: int, most: int | None = None) -> DataFrame:
+    """(part, toxic, text) of all labelled training documents. Ids whose crc32
+    leaves remainder 0 are left out; a doc_id with contrary labels counts as
+    toxic. ``most``: the documents of so many ids only, the ones that hash lowest."""
     ids = (labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
            .filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-           .withColumn("part", doc_bucket("id", modulus)).filter("part <> 0")
-           .orderBy(F.xxhash64("id"), "id").limit(most))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).filter("text is not null")
-    # At most `most` small rows: a proven bound for the broadcast.
-    return stored(rows.join(F.broadcast(ids), "id").select("part", "toxic", "text"), "labelled")
+           .withColumn("part", doc_bucket("id", modulus)).filter("part <> 0"))
+    if most is not None:
+        ids = ids.orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+            .filter((doc_bucket("id", modulus) != 0) & F.col("text").isNotNull()))
+    return stored(rows.join(ids, "id").select("part", "toxic", "text"), "labelled")
 
 
 def learn_lexicon(rows: DataFrame, min_docs: int, min_odds: float, most: int) -> Lexicon:
@@ -240,44 +241,56 @@ def learn_lexicon(rows: DataFrame, min_docs: int, min_odds: float, most: int) ->
     return Lexicon(words, stems)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(rows: DataFrame, size: int, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton steps on standardised columns; the
-    first column is the constant."""
-    center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    first of the ``size`` columns is the constant. ``rows``: (y int, x array of
+    double). A step adds up the gradient and the Hessian over all rows in Spark;
+    only these sums come to the driver."""
+    x = [F.col("x")[k] for k in range(size)]
+    got = rows.agg(*map(F.avg, x), *map(F.stddev_pop, x)).first()
+    center, scale = np.array(got[:size]), np.array(got[size:]) + 1e-9
     center[0], scale[0] = 0.0, 1.0
-    z, w = (x - center) / scale, np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
+    z, w = [(c - float(m)) / float(d) for c, m, d in zip(x, center, scale, strict=True)], np.zeros(size)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    penalty = np.full(size, ridge)
     penalty[0] = 1e-3
+    z = rows.select(F.when(F.col("y") > 0, 1.0).otherwise(0.0).alias("y"), *[c.alias(f"z{k}") for k, c in enumerate(z)])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        g = z.T @ (p - y) + penalty * w
-        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty)
-        step = np.linalg.solve(h, g)
+        at = sum((F.col(f"z{k}") * float(v) for k, v in enumerate(w)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(40.0)), F.lit(-40.0))))
+        sums = z.select("*", p.alias("p")).agg(
+            *[F.sum((F.col("p") - F.col("y")) * F.col(f"z{k}")) for k in range(size)],
+            *[F.sum(F.col(f"z{i}") * F.col(f"z{j}") * (F.col("p") * (1 - F.col("p")) + 1e-6)) for i, j in pairs]).first()
+        h = np.diag(penalty)
+        for (i, j), v in zip(pairs, sums[size:], strict=True):
+            h[i, j] += v
+            h[j, i] = h[i, j]
+        step = np.linalg.solve(h, np.array(sums[:size]) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w, center, scale
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, modulus: int = 5,
+def train(docs: DataFrame, labels: DataFrame, most_rows: int | None = None, modulus: int = 5,
           min_docs: int = 3, min_odds: float = 2.5, most_terms: int = 4_000) -> Model:
-    """Learn from at most ``most_rows`` labelled rows: the lexicon from the
-    remainders 1 to ``modulus`` - 2, the logistic function from the last one,
-    so that its scores are honest ones. Without labels of both kinds the seeds
-    stand alone with fixed weights."""
-    rows = labelled(docs, labels, most_rows, modulus)
+    """Learn from all labelled rows (``most_rows``: from the rows of so many ids
+    only): the lexicon from the remainders 1 to ``modulus`` - 2, the logistic
+    function from the last one, so that its scores are honest ones. Without
+    labels of both kinds the seeds stand alone with fixed weights."""
+    rows = labelled(docs, labels, modulus, most_rows)
     lexicon = learn_lexicon(rows.filter(F.col("part") < modulus - 1), min_docs, min_odds, most_terms)
 
     def measure(batch):
         x = np.array([features(t, lexicon) for t in each_text(batch)])
         return {"y": batch.column("toxic"), "x": list(x)}
 
-    got = map_batches(rows.filter(F.col("part") == modulus - 1).select("toxic", "text"), measure,
-                      "y int, x array<double>", bounded=True).collect()  # at most most_rows rows of five numbers
-    y = np.array([r["y"] > 0 for r in got], float)
-    if len(y) < 20 or y.min() == y.max():
+    got = stored(map_batches(rows.filter(F.col("part") == modulus - 1).select("toxic", "text"), measure,
+                             "y int, x array<double>", bounded=True), "features")
+    n = {r["t"]: r["count"] for r in got.groupBy((F.col("y") > 0).alias("t")).count().collect()}
+    if len(n) < 2 or sum(n.values()) < 20:
         return Model(lexicon, np.array([-2.0, 1.0, 2.0, 0.5]), np.zeros(4), np.ones(4))
-    return Model(lexicon, *fit(np.array([r["x"] for r in got]), y))
+    return Model(lexicon, *fit(got, 4))
 
 
 def score(docs: DataFrame, model: Model, modulus: int = 5) -> DataFrame:

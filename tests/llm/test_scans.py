@@ -548,6 +548,34 @@ def test_toxicity_learns_and_defines_awkward_cases(spark, awkward, words):
     assert kept.columns == awkward.columns and kept.count() <= awkward.count()
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that stands only beyond the 20,000 ids of smallest hash is learned."""
+    ids = spark.range(26_000).filter(toxicity.doc_bucket("id", 5) != 0).orderBy(F.xxhash64("id"), "id")
+    ids = [r["id"] for r in ids.collect()]
+    assert len(ids) > 20_300
+    bad = set(ids[-300:])
+    docs = spark.createDataFrame([(i, "you blorgzang" if i in bad else "calm sea") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "blorgzang" in model.lexicon.words and model.score("you blorgzang") > 0.5 > model.score("calm sea")
+    assert toxicity.labelled(docs, labels, 5).count() == len(ids)
+
+
+def test_logistic_fit_equals_plain_newton_steps(spark):
+    rng = np.random.default_rng(9)
+    x = np.column_stack([np.ones(400), rng.normal(3, 2, 400), rng.exponential(1, 400), np.zeros(400)])
+    y = (x[:, 1] - x[:, 2] + rng.normal(0, 2, 400) > 2).astype(int)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y, strict=True)], "y int, x array<double>")
+    got, center, scale = toxicity.fit(rows.repartition(3), 4)
+    z, w = (x - center) / scale, np.zeros(4)
+    assert center == pytest.approx([0, *x[:, 1:].mean(axis=0)]) and scale == pytest.approx([1, *x[:, 1:].std(axis=0) + 1e-9])
+    penalty = np.array([1e-3, 1, 1, 1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
+    assert got == pytest.approx(w, abs=1e-6)
+
+
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
