@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import doc_bucket, each_text, in_arrow, map_batches, stored
+from budgetlens.llm.common import doc_bucket, each_text, in_arrow, map_batches, release, stored
 
 #: Word classes.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LINK, BREAK, OPEN, CLOSE = range(10)
@@ -203,7 +203,8 @@ def labelled(docs: DataFrame, labels: DataFrame, modulus: int, most: int | None
         ids = ids.orderBy(F.xxhash64("id"), "id").limit(most)
     rows = (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
             .filter((doc_bucket("id", modulus) != 0) & F.col("text").isNotNull()))
-    return stored(rows.join(ids, "id").select("part", "toxic", "text"), "labelled")
+    # Labels grow with the documents: a join by shuffles at every size.
+    return stored(rows.join(ids.hint("merge"), "id").select("part", "toxic", "text"), "labelled")
 
 
 def learn_lexicon(rows: DataFrame, min_docs: int, min_odds: float, most: int) -> Lexicon:
@@ -279,6 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int | None = None, modu
     function from the last one, so that its scores are honest ones. Without
     labels of both kinds the seeds stand alone with fixed weights."""
     rows = labelled(docs, labels, modulus, most_rows)
+    release(docs.sparkSession)  # the shuffled texts go before terms are counted
     lexicon = learn_lexicon(rows.filter(F.col("part") < modulus - 1), min_docs, min_odds, most_terms)
 
     def measure(batch):
